@@ -112,3 +112,56 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         raise RuntimeError("connected_components did not settle")
     roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch) -> DataFrame:
+    """(node, root) for nodes linked to another one by a verified pair from one bucket.
+
+    posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
+    is a cheap necessary condition on two posts given as functions from a column
+    name to a column; ``verify(pairs)`` returns those of the pairs (a, b) that are
+    links.
+
+    Pairs of a bucket aren't all made. First each post is paired with its
+    bucket's leader and verified pairs are merged into components. A bucket whose
+    posts now lie in one component needs no more. In the others every pair of
+    posts from *different* components is still tried (each such pair has a member
+    outside the bucket's largest component), so no link between components is
+    lost, whatever the size of a bucket.
+    """
+    attrs = [c for c in posts.columns if c not in ("key",)]
+    lead = posts.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
+    buckets = scratch.write(posts.join(lead.where("members > 1"), "key"), "buckets")
+
+    stars = buckets.where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
+    tried = scratch.write(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = scratch.write(verify(tried), "links")
+    roots = scratch.write(connected_components(links, scratch), "roots")
+
+    # only buckets of three posts or more can hold a pair without the leader
+    placed = (
+        buckets.where("members > 2")
+        .join(roots, "node", "left")
+        .withColumn("comp", F.coalesce("root", "node"))
+        .select("key", "comp", *attrs, F.col("lead.node").alias("lead"))
+    )
+    placed = scratch.write(placed, "placed")
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
+    mixed = scratch.write(
+        placed.join(largest.where("comps > 1").select("key", F.col("most.comp").alias("most")), "key"), "mixed"
+    )
+    x, y = mixed.where("comp <> most").alias("x"), mixed.alias("y")
+    pairs = (
+        x.join(y, F.col("x.key") == F.col("y.key"))
+        .where("x.comp <> y.comp AND (y.comp = y.most OR x.node < y.node) AND x.node <> x.lead AND y.node <> y.lead")
+        .where(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
+    )
+    more = scratch.write(verify(scratch.write(pairs, "pairs")), "more")
+    scratch.drop(buckets, placed, mixed, tried)
+    if more.isEmpty():
+        return roots
+    return scratch.write(connected_components(links.union(more), scratch), "roots")

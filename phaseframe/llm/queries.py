@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseframe.llm import chat, packing, urlfilter
+from phaseframe.llm import chat, htmlextract, license, minhash, packing, quality, urlfilter
 
 #: The url rules of the contract.
 URL_RULES = [
@@ -57,10 +57,42 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmlextract.extract(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license.scan(_read(spark, sf_dir, "documents"))
+    base = F.expr("transform(filter(places, p -> p.base), p -> p.start)")
+    return out.withColumn("starts", base).select(
+        "doc_id",
+        "n_words",
+        F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").alias("first_word"),
+        F.array_max("starts").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
+    "op3_minhash": op3_minhash,
     "op5_urls": op5_urls,
+    "op6_html": op6_html,
+    "op7_quality": op7_quality,
+    "op9_licenses": op9_licenses,
 }
 
 _HARD_SQL = HARD_TURN.replace("'", "''")
