@@ -17,6 +17,7 @@ rows; extra columns are ignored. Texts are never shortened.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -99,16 +100,19 @@ class WordTokenizer:
 
     The vocabulary's rules work on one pre-token at a time, so ids of a text are
     the ids of its pre-tokens in a row. For texts in plain Latin letters the
-    pre-tokens are found here and each distinct one is encoded once; any other
-    text (other scripts, combining marks, control characters, special tokens)
-    is encoded whole by the library. Both give the same ids.
+    pre-tokens are cut out of a slice of texts at once, named by a 64-bit
+    hash of their lower-case letters, and each distinct one is encoded once; any
+    other text (other scripts, combining marks, control characters, special
+    tokens) is encoded whole by the library. Both give the same ids.
     """
 
-    _LETTER = "a-zªµºß-öø-ÿ"
-    _NUMBER = "0-9²³¹¼-¾"
-    _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \t\n\r{_LETTER}{_NUMBER}]+")
-    _OTHER = re.compile("[^\\t\\n\\r -~¡-ÿ]|<\\|")
+    #: More pre-tokens than this empty the cache.
     LIMIT = 400_000
+    CHARS = 1 << 19
+
+    _OTHER = re.compile("[^\\t\\n\\r -~¡-ÿ]|<\\|")
+    _SUFFIXES = (b"re", b"ve", b"ll", b"s", b"t", b"m", b"d")
+    _SPACE, _LETTER, _NUMBER, _MARK = range(4)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -118,24 +122,110 @@ class WordTokenizer:
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        latin = [chr(c) for c in range(256)]
+        self.kind = np.array(
+            [
+                self._SPACE if c in "\t\n\r " else self._LETTER if c.isalpha() else self._NUMBER if c.isnumeric() else self._MARK
+                for c in latin
+            ],
+            np.uint8,
+        )
+        self.lower = np.array([ord(c.lower()) for c in latin], np.uint8)
+        self.code = np.array([int.from_bytes(hashlib.blake2b(bytes([c]), digest_size=8).digest(), "little") for c in range(256)], np.uint64)
+        self.base = 0x9E3779B97F4A7C15
+        self.power = self.inverse = np.empty(0, np.uint64)
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.slots = np.zeros(4 * self.LIMIT, np.uint64)  # hash of the pre-token, 0: free
+        self.number = np.zeros(4 * self.LIMIT, np.int32)
+        self.known = 0
         self.flat = np.empty(0, np.int32)
         self.begin = np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of the pre-tokens with these hashes; -1 for new ones."""
+        out = np.full(len(names), -1, np.int64)
+        left = np.arange(len(names))
+        slot = names % np.uint64(len(self.slots))
+        while len(left):
+            there = self.slots[slot]
+            hit = there == names[left]
+            out[left[hit]] = self.number[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) % np.uint64(len(self.slots))
+        return out
+
+    def _learn(self, names: np.ndarray, words: list[str]) -> None:
         """Encodes new pre-tokens in one call; the end-of-word mark tells them apart."""
         ids = np.asarray(self.whole.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(words):
             raise ValueError("pre-tokens and end-of-word marks differ")
-        n = len(self.begin) - 1
         self.begin = np.concatenate([self.begin, self.begin[-1] + stop])
         self.flat = np.concatenate([self.flat, ids])
-        for k, w in enumerate(words, n):
-            self.index[w] = k
+        number, left = np.arange(self.known, self.known + len(words)), np.arange(len(words))
+        self.known += len(words)
+        slot = names % np.uint64(len(self.slots))
+        while len(left):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = names[left[free]]
+            won = self.slots[slot] == names[left]
+            self.number[slot[won]] = number[left[won]]
+            left, slot = left[~won], (slot[~won] + np.uint64(1)) % np.uint64(len(self.slots))
+
+    def _pre_tokens(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last-but-one positions of the pre-tokens of lower-case bytes."""
+        kind = self.kind[raw]
+        before = np.concatenate([[self._SPACE], kind[:-1]])
+        first = (kind != self._SPACE) & ((kind != before) | (kind == self._NUMBER))
+        quotes = np.flatnonzero(first[:-1] & (raw[:-1] == 39) & (kind[1:] == self._LETTER))
+        for q in quotes.tolist():  # a quote that opens a run takes a suffix such as 's with it
+            ahead = raw[q + 1 : q + 3].tobytes()
+            size = next((len(x) for x in self._SUFFIXES if ahead.startswith(x)), 0)
+            if size:
+                first[q + 1] = False
+                after = q + 1 + size
+                if after < len(raw) and kind[after] == self._LETTER:
+                    first[after] = True
+        start = np.flatnonzero(first)
+        # a pre-token ends at the next one or at white space
+        gap = np.flatnonzero((kind == self._SPACE) & (before != self._SPACE))
+        stop = np.append(start[1:], len(raw))
+        at = np.searchsorted(gap, start)
+        stop = np.minimum(stop, np.append(gap, len(raw))[at])
+        return start, stop
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        raw = self.lower[np.frombuffer((" ".join(texts) + " ").encode("latin-1"), np.uint8)]
+        if len(raw) > len(self.power):
+            n = max(len(raw), self.CHARS + (1 << 16))
+            self.power = np.cumprod(np.full(n, self.base, np.uint64))
+            self.inverse = np.cumprod(np.full(n, pow(self.base, -1, 1 << 64), np.uint64))
+        start, stop = self._pre_tokens(raw)
+        if not len(start):
+            return [np.empty(0, np.int32) for _ in texts]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.code[raw] * self.power[: len(raw)])])
+        names = (sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        names = (names ^ (names >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        names = np.maximum(names ^ (names >> np.uint64(29)), np.uint64(1))
+        found = self._find(names)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh, where = np.unique(names[new], return_index=True)
+            if self.known + len(fresh) > self.LIMIT:
+                self._reset()
+                fresh, where = np.unique(names, return_index=True)
+                new = np.arange(len(names))
+            data, at = raw.tobytes(), new[where]
+            self._learn(fresh, [data[i:j].decode("latin-1") for i, j in zip(start[at].tolist(), stop[at].tolist())])
+            found[new] = self._find(names[new])
+        first, n = self.begin[found], self.begin[found + 1] - self.begin[found]
+        total = np.cumsum(n)
+        ids = self.flat[np.arange(total[-1]) + np.repeat(first - (total - n), n)]
+        done = np.concatenate([[0], total])[np.searchsorted(start, np.cumsum(lens))]
+        return np.split(ids, done[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -143,26 +233,15 @@ class WordTokenizer:
         if other:
             for i, e in zip(other, self.whole.encode_batch([texts[i] for i in other], add_special_tokens=False)):
                 out[i] = np.asarray(e.ids, np.int32)
-        plain = [i for i in range(len(texts)) if out[i] is None]
-        for lo in range(0, len(plain), 256):
-            part = plain[lo : lo + 256]
-            words = [self._PRE.findall(texts[i].lower()) for i in part]
-            seen = set().union(*words)
-            new = [w for w in seen if w not in self.index]
-            if len(self.index) + len(new) > self.LIMIT:
-                self._reset()
-                new = list(seen)
-            if new:
-                self._learn(new)
-            at = self.index.__getitem__
-            for i, ws in zip(part, words):
-                if not ws:
-                    out[i] = np.empty(0, np.int32)
-                    continue
-                k = np.fromiter(map(at, ws), np.int64, len(ws))
-                first, n = self.begin[k], self.begin[k + 1] - self.begin[k]
-                stop = np.cumsum(n)
-                out[i] = self.flat[np.arange(stop[-1]) + np.repeat(first - (stop - n), n)]
+        part, size = [], 0
+        for i in [i for i in range(len(texts)) if out[i] is None] + [None]:
+            if part and (i is None or size + len(texts[i]) > self.CHARS):
+                for k, ids in zip(part, self._slice([texts[k] for k in part])):
+                    out[k] = ids
+                part, size = [], 0
+            if i is not None:
+                part.append(i)
+                size += len(texts[i])
         return out
 
 
