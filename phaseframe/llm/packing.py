@@ -268,7 +268,9 @@ def _packer(tokenizer_path: str, window: int, end_id: int, block_pieces: int, wi
                 return
             rest.sort(key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
             where, offsets, used = best_fit_decreasing([r[2] for r in rest], window)
-            yield frame([(*r[:5], next_id + w, o, r[5]) for r, w, o in zip(rest, where, offsets)])
+            placed = [(*r[:5], next_id + w, o, r[5]) for r, w, o in zip(rest, where, offsets)]
+            for lo in range(0, used and len(placed), 1024):
+                yield frame(placed[lo : lo + 1024])
             next_id += used
             rest = []
 

@@ -30,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch
+from phaseframe.llm.common import Scratch, bitmap_filter
 
 LOWER, UPPER, DIGIT, SPACE, BREAK, STOP, MARK, SYMBOL = range(8)
 N_STATS = 22
+THRESHOLD = 0.7
 
 
 def _class_table(size: int = 0x3000) -> np.ndarray:
@@ -251,20 +253,24 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_identity: float
     return model
 
 
+def _training_rows(table: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    given = given.where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return table.join(given, "doc_id").select("label", "x")
+
+
 def score_documents(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    threshold: float = 0.7,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted. Learns only from rows that aren't held out."""
     scratch = Scratch(docs.sparkSession, "quality")
     table = scratch.write(document_statistics(docs, id_col, text_col), "statistics")
-    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    train = table.where(~held_out(F.col("doc_id"))).join(given.where("label IN (0, 1)"), "doc_id").select("label", "x")
-    train = scratch.write(train, "train")
+    train = scratch.write(_training_rows(table, labels, id_col, label_col), "train")
     model = fit(train)
     scratch.drop(train)
 
@@ -276,3 +282,35 @@ def score_documents(
     out = table.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "x")
     out = out.mapInPandas(score, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject.
+
+    Statistics for training are made of labelled documents only; then each text
+    is scored where it is read, so no text is exchanged.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    given = labels.select(F.col(id_col).cast("long").alias("__id"))
+    src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    some = document_statistics(bitmap_filter(src, "__id", given), "__id", "__text")
+    train = scratch.write(_training_rows(some, labels, id_col, label_col), "train")
+    model = fit(train)
+    scratch.drop(train)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                texts = ["" if t is None else str(t) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(model.score(statistics(texts)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseframe.llm import chat, htmlextract, license, minhash, packing, quality, urlfilter
+from phaseframe.llm import ann, chat, decontam, htmlextract, license, linededup, minhash, packing, quality, urlfilter
 
 #: The url rules of the contract.
 URL_RULES = [
@@ -51,6 +51,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     rules = urlfilter.rules_table(spark, URL_RULES)
@@ -70,6 +74,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license.scan(_read(spark, sf_dir, "documents"))
     base = F.expr("transform(filter(places, p -> p.base), p -> p.start)")
@@ -85,14 +94,22 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
     "op3_minhash": op3_minhash,
+    "op4_decontamination": op4_decontamination,
     "op5_urls": op5_urls,
     "op6_html": op6_html,
     "op7_quality": op7_quality,
+    "op8_lines": op8_lines,
     "op9_licenses": op9_licenses,
+    "op10_neighbours": op10_neighbours,
 }
 
 _HARD_SQL = HARD_TURN.replace("'", "''")
