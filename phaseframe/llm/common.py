@@ -114,13 +114,52 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return roots.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch) -> DataFrame:
+def _bit_words(wanted: DataFrame, column: str, bits: int) -> DataFrame:
+    return (
+        wanted.select(F.pmod(F.col(column), F.lit(bits)).alias("p"))
+        .groupBy(F.expr("p div 64").alias("__word"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS int)))").alias("__mask"))
+    )
+
+
+_HIT = "(shiftrightunsigned(__mask, CAST(__place % 64 AS int)) & 1) = 1"
+
+
+def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows of ``df`` whose long ``column`` may be in the column of that name of ``wanted``.
+
+    A map of ``bits`` bits is broadcast: at most bits / 64 rows, whatever the
+    size of ``wanted``. No wanted row is lost; others pass with a chance that
+    grows with the number of wanted values, so an exact join has to follow. It
+    keeps most rows out of that join's exchange.
+    """
+    out = df.withColumn("__place", F.pmod(F.col(column), F.lit(bits))).withColumn("__word", F.expr("__place div 64"))
+    return out.join(F.broadcast(_bit_words(wanted, column, bits)), "__word").where(_HIT).select(*df.columns)
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, scratch: Scratch, bits: int = 1 << 24) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone``; rows with a null id stay.
+
+    Documents outside a bitmap of the gone ids pass without an exchange of their
+    texts; only the others meet the exact anti join.
+    """
+    gone = scratch.write(gone.select(F.col(id_col).cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
+    words = F.broadcast(_bit_words(gone, "__gone", bits))
+    out = docs.withColumn("__place", F.pmod(F.col(id_col).cast("long"), F.lit(bits))).withColumn("__word", F.expr("__place div 64"))
+    out = out.join(words, "__word", "left").withColumn("__hit", F.coalesce(F.expr(_HIT), F.lit(False)))
+    missed = out.where("NOT __hit").select(*docs.columns)
+    hit = out.where("__hit").select(*docs.columns)
+    return missed.unionByName(hit.join(gone, hit[id_col].cast("long") == gone["__gone"], "left_anti"))
+
+
+def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, detail=None) -> DataFrame:
     """(node, root) for nodes linked to another one by a verified pair from one bucket.
 
     posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
     is a cheap necessary condition on two posts given as functions from a column
     name to a column; ``verify(pairs)`` returns those of the pairs (a, b) that are
-    links.
+    links. ``detail`` is (a table of further attributes by node, a condition like
+    ``fits`` on them), consulted inside the join that makes the later pairs.
 
     Pairs of a bucket aren't all made. First each post is paired with its
     bucket's leader and verified pairs are merged into components. A bucket whose
@@ -129,9 +168,12 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch) -> DataFrame:
     outside the bucket's largest component), so no link between components is
     lost, whatever the size of a bucket.
     """
-    attrs = [c for c in posts.columns if c not in ("key",)]
-    lead = posts.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
-    buckets = scratch.write(posts.join(lead.where("members > 1"), "key"), "buckets")
+    attrs = [c for c in posts.columns if c != "key"]
+    shared = scratch.write(posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    buckets = bitmap_filter(posts, "key", shared).join(shared, "key")
+    buckets = scratch.write(buckets.select("key", "members", *attrs), "posts")
+    lead = buckets.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
+    buckets = scratch.write(buckets.join(lead, "key"), "buckets")
 
     stars = buckets.where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
     tried = scratch.write(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
@@ -151,11 +193,18 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch) -> DataFrame:
     mixed = scratch.write(
         placed.join(largest.where("comps > 1").select("key", F.col("most.comp").alias("most")), "key"), "mixed"
     )
+    close = F.lit(True)
+    if detail is not None:
+        table, near = detail
+        used = mixed.select("node").distinct()
+        table = bitmap_filter(table, "node", used).join(used, "node", "left_semi").dropDuplicates(["node"])
+        mixed = scratch.write(mixed.join(table, "node"), "detailed")
+        close = near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     x, y = mixed.where("comp <> most").alias("x"), mixed.alias("y")
     pairs = (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where("x.comp <> y.comp AND (y.comp = y.most OR x.node < y.node) AND x.node <> x.lead AND y.node <> y.lead")
-        .where(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+        .where(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & close)
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")

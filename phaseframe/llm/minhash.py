@@ -13,7 +13,9 @@ weighted Jaccard similarity.
 
 Bands of ``rows`` coordinates are hashed to bucket keys. With 40 bands of 8, a
 pair at similarity 0.8 shares a bucket with probability 0.999, one at 0.4 with
-0.03. Candidates are then verified exactly on the element sets.
+0.03. Candidates are then verified exactly on the element sets. Candidates that
+aren't a bucket's leader and a member must first agree in two bits of as many
+coordinates as a pair at the wanted similarity does, less four standard deviations.
 
 Scale: documents with equal element sets are one node from the start, combined
 map-side, so any number of copies costs one row in the join. Buckets are
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, link_buckets
+from phaseframe.llm.common import Scratch, bitmap_filter, link_buckets
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -134,6 +136,26 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(acc + mix(np.arange(bands, dtype=_U) + _U(77))).view(np.int64)
 
 
+#: Coordinates whose lowest two bits share a long of a sketch.
+PER_LONG = 32
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(sets, longs) int64: two bits of each coordinate."""
+    n, k = sig.shape
+    two = np.zeros((n, -(-k // PER_LONG) * PER_LONG), _U)
+    two[:, :k] = mix(sig) & _U(3)
+    shift = (np.arange(PER_LONG, dtype=_U) * _U(2))[None, None, :]
+    return np.bitwise_or.reduce(two.reshape(n, -1, PER_LONG) << shift, axis=2).view(np.int64)
+
+
+def sketch_agreement(k: int, similarity: float, sigmas: float = 4.0) -> int:
+    """Least number of agreeing coordinates of two sketches that a pair of this
+    similarity has, ``sigmas`` standard deviations below the expected one."""
+    p = similarity + (1 - similarity) / 4
+    return math.floor(k * p - sigmas * math.sqrt(k * p * (1 - p)))
+
+
 def _signer(words: int, bands: int, rows: int, weighted: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         darts = Darts(bands * rows)
@@ -141,10 +163,11 @@ def _signer(words: int, bands: int, rows: int, weighted: bool):
         def signed(ids: list, found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
             full = [i for i, (h, _) in enumerate(found) if len(h)]
             keys: list = [[]] * len(found)
+            short: list = [[]] * len(found)
             if full:
                 sig = darts.sign([found[i][0] for i in full], [found[i][1] for i in full] if weighted else None)
-                for i, key in zip(full, band_keys(sig, bands, rows)):
-                    keys[i] = key
+                for i, key, two in zip(full, band_keys(sig, bands, rows), sketches(sig)):
+                    keys[i], short[i] = key, two
             names = [
                 int((mix(h) * (mix(c.astype(_U)) | _U(1) if weighted else _U(1))).sum(dtype=_U).astype(np.int64)) if len(h) else None
                 for h, c in found
@@ -156,6 +179,7 @@ def _signer(words: int, bands: int, rows: int, weighted: bool):
                     "node": pd.array(names, "Int64"),
                     "n": pd.array([len(h) for h, _ in found], "Int32"),
                     "bands": keys,
+                    "sketch": short,
                     "elements": elements,
                     "counts": [c.astype(np.int32) for _, c in found] if weighted else [[]] * len(found),
                 }
@@ -185,9 +209,9 @@ def sign_documents(
     rows: int = ROWS,
     weighted: bool = False,
 ) -> DataFrame:
-    """doc_id, node (hash of the element set), n, bands, elements, counts (of elements, if weighted)."""
+    """doc_id, node (hash of the element set), n, bands, sketch, elements, counts (of elements, if weighted)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, node long, n int, bands array<long>, elements array<int>, counts array<int>"
+    schema = "doc_id long, node long, n int, bands array<long>, sketch array<long>, elements array<int>, counts array<int>"
     return src.mapInPandas(_signer(words, bands, rows, weighted), schema)
 
 
@@ -209,7 +233,7 @@ def near_duplicates(
 
     def verify(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        own = signed.select("node", "elements", "counts").join(used, "node", "left_semi")
+        own = bitmap_filter(signed.select("node", "elements", "counts"), "node", used).join(used, "node", "left_semi")
         own = own.groupBy("node").agg(F.first("elements").alias("e"), F.first("counts").alias("c"))
         own = scratch.write(own, "elements")
         left = own.select(F.col("node").alias("a"), F.col("e").alias("ea"), F.col("c").alias("ca"))
@@ -232,7 +256,18 @@ def near_duplicates(
             return F.lit(True)
         return F.least(x("n"), y("n")) >= F.lit(similarity - 1e-12) * F.greatest(x("n"), y("n"))
 
-    roots = link_buckets(posts, sizes_fit, verify, scratch)
+    longs = -(-bands * rows // PER_LONG)
+    least = sketch_agreement(bands * rows, similarity)
+
+    def agree(x, y):
+        # coordinates that differ in either bit
+        odd = [x(f"s{i}").bitwiseXOR(y(f"s{i}")) for i in range(longs)]
+        low = F.lit(0x5555555555555555)
+        apart = sum((F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(low)) for d in odd[1:]), F.bit_count(odd[0].bitwiseOR(F.shiftright(odd[0], 1)).bitwiseAND(low)))
+        return apart <= bands * rows - least
+
+    table = signed.where("node IS NOT NULL").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)])
+    roots = link_buckets(posts, sizes_fit, verify, scratch, detail=(table, agree))
     placed = (
         signed.select("doc_id", "node")
         .join(roots, "node", "left")
