@@ -131,7 +131,8 @@ def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bits: int = 1 <
     A map of ``bits`` bits is broadcast: at most bits / 64 rows, whatever the
     size of ``wanted``. No wanted row is lost; others pass with a chance that
     grows with the number of wanted values, so an exact join has to follow. It
-    keeps most rows out of that join's exchange.
+    keeps most rows out of that join's exchange. Let that be an inner or outer
+    join: the optimiser moves semi and anti joins below the one with the map.
     """
     out = df.withColumn("__place", F.pmod(F.col(column), F.lit(bits))).withColumn("__word", F.expr("__place div 64"))
     return out.join(F.broadcast(_bit_words(wanted, column, bits)), "__word").where(_HIT).select(*df.columns)
@@ -149,10 +150,12 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, scratch: Scratch,
     out = out.join(words, "__word", "left").withColumn("__hit", F.coalesce(F.expr(_HIT), F.lit(False)))
     missed = out.where("NOT __hit").select(*docs.columns)
     hit = out.where("__hit").select(*docs.columns)
-    return missed.unionByName(hit.join(gone, hit[id_col].cast("long") == gone["__gone"], "left_anti"))
+    # an outer join: the optimiser would move an anti join below the map's join, to all texts
+    exact = hit.join(gone, hit[id_col].cast("long") == gone["__gone"], "left").where("__gone IS NULL").select(*docs.columns)
+    return missed.unionByName(exact)
 
 
-def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, detail=None) -> DataFrame:
+def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None) -> DataFrame:
     """(node, root) for nodes linked to another one by a verified pair from one bucket.
 
     posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
@@ -161,49 +164,44 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, detail=None)
     links. ``detail`` is (a table of further attributes by node, a condition like
     ``fits`` on them), consulted inside the join that makes the later pairs.
 
-    Pairs of a bucket aren't all made. First each post is paired with its
-    bucket's leader and verified pairs are merged into components. A bucket whose
-    posts now lie in one component needs no more. In the others every pair of
-    posts from *different* components is still tried (each such pair has a member
+    Pairs of a bucket aren't all made. First each post of some buckets (all, or
+    those that the condition ``first`` selects) is paired with its bucket's
+    leader and verified pairs are merged into components. A bucket whose posts
+    now lie in one component needs no more. In the others every pair of posts
+    from *different* components is still tried (each such pair has a member
     outside the bucket's largest component), so no link between components is
     lost, whatever the size of a bucket.
     """
     attrs = [c for c in posts.columns if c != "key"]
     shared = scratch.write(posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     buckets = bitmap_filter(posts, "key", shared).join(shared, "key")
-    buckets = scratch.write(buckets.select("key", "members", *attrs), "posts")
-    lead = buckets.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
-    buckets = scratch.write(buckets.join(lead, "key"), "buckets")
+    buckets = scratch.write(buckets.select("key", *attrs), "buckets")
+    scratch.drop(shared)
 
-    stars = buckets.where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
+    early = buckets if first is None else buckets.where(first)
+    lead = early.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
+    stars = early.join(lead, "key").where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
     tried = scratch.write(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = scratch.write(verify(tried), "links")
     roots = scratch.write(connected_components(links, scratch), "roots")
 
-    # only buckets of three posts or more can hold a pair without the leader
-    placed = (
-        buckets.where("members > 2")
-        .join(roots, "node", "left")
-        .withColumn("comp", F.coalesce("root", "node"))
-        .select("key", "comp", *attrs, F.col("lead.node").alias("lead"))
-    )
+    placed = buckets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("key", "comp", *attrs)
     placed = scratch.write(placed, "placed")
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
-    mixed = scratch.write(
-        placed.join(largest.where("comps > 1").select("key", F.col("most.comp").alias("most")), "key"), "mixed"
-    )
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("members"))
+    largest = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp")).alias("most"))
+    mixed = placed.join(largest.where("comps > 1").select("key", F.col("most.comp").alias("most")), "key")
+    mixed = scratch.write(mixed, "mixed")
     close = F.lit(True)
     if detail is not None:
         table, near = detail
         used = mixed.select("node").distinct()
-        table = bitmap_filter(table, "node", used).join(used, "node", "left_semi").dropDuplicates(["node"])
+        table = bitmap_filter(table, "node", used).dropDuplicates(["node"])
         mixed = scratch.write(mixed.join(table, "node"), "detailed")
         close = near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     x, y = mixed.where("comp <> most").alias("x"), mixed.alias("y")
     pairs = (
         x.join(y, F.col("x.key") == F.col("y.key"))
-        .where("x.comp <> y.comp AND (y.comp = y.most OR x.node < y.node) AND x.node <> x.lead AND y.node <> y.lead")
+        .where("x.comp <> y.comp AND (y.comp = y.most OR x.node < y.node)")
         .where(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & close)
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()

@@ -62,6 +62,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Codes of the placeholders, by type.
+_TYPED = mix(np.arange(4, dtype=_U))
+
+
 class Canonical:
     """Token sequences of texts, with a cache of distinct words."""
 
@@ -91,7 +95,7 @@ class Canonical:
             code.append(zlib.crc32(low.encode("utf-8", "surrogatepass")) + 16)
             unit.append(low in UNITS)
             ends.append(word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":"))
-        self.code = np.concatenate([self.code, np.array(code, _U)])
+        self.code = np.concatenate([self.code, mix(np.array(code, _U))])
         self.kind = np.concatenate([self.kind, np.array(kind, np.int8)])
         self.unit = np.concatenate([self.unit, np.array(unit, bool)])
         self.ends = np.concatenate([self.ends, np.array(ends, bool)])
@@ -124,21 +128,38 @@ class Canonical:
         after[1:] = kinds[:-1] == _NUMBER
         types[(kinds == _CAPITAL) & ~opening] = _PLACEHOLDERS["name"]
         types[self.unit[at] & after & (kinds != _NUMBER)] = _PLACEHOLDERS["unit"]
-        codes = np.where(types == 0, self.code[at], types.astype(_U))
+        codes = np.where(types == 0, self.code[at], _TYPED[types])
         return codes, types, keep
 
 
+_BASE = 0x9E3779B97F4A7C15
+_power = _inverse = np.ones(1, _U)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    global _power, _inverse
+    if n > len(_power):
+        size = max(n, 1 << 16)
+        _power = np.cumprod(np.full(size, _BASE, _U))
+        _inverse = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), _U))
+    return _power, _inverse
+
+
 def window_hashes(codes: np.ndarray, types: np.ndarray, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows with enough literal tokens."""
+    """Starts and hashes of the windows with enough literal tokens. A hash is a
+    polynomial in the window's codes, from running sums."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, _U)
-    h = np.full(n, size, _U)
-    for j in range(size):
-        h = mix(h * _U(0x9E3779B97F4A7C15) + codes[j : j + n])
-    literal = np.concatenate([[0], np.cumsum(types == 0)])
+    power, inverse = _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:])
+    h = (sums[size:] - sums[:-size]) * inverse[:n] + _U(size)
+    literal = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(types == 0, out=literal[1:])
     ok = np.flatnonzero(literal[size:] - literal[:-size] >= min_literal)
-    return ok, h[ok]
+    return ok, mix(h[ok])
 
 
 def _slots(types: np.ndarray, keep: np.ndarray, words: list[str], start: int, size: int) -> list[str]:

@@ -1,8 +1,9 @@
 """Fuzzy line deduplication over a whole corpus.
 
-Lines are normalised (lower case, words of letters and digits, single spaces).
+Lines are normalised: lower case, words of a-z, 0-9 and characters beyond ASCII,
+single spaces.
 Equal lines are one node by a 64-bit hash. For the others a 64-bit SimHash of
-the words is cut into five blocks; two lines within three differing bits agree
+the distinct words, weighted by length, is cut into five blocks; two lines within three differing bits agree
 on at least two blocks (pigeonhole), so each line is posted under its ten pairs
 of blocks. Posts of one bucket within three bits and of compatible length are
 candidates, a normalised edit similarity of ``similarity`` verifies them, and of
@@ -17,7 +18,7 @@ Scale: a frequent line is one node, combined map-side; buckets are resolved by
 bucket are mostly held back by a bitmap of fixed size before the exchange. Only
 narrow rows are grouped, whole texts are exchanged once, to drop their lines.
 
-Defined results: lines without a letter or digit are never dropped; lines are
+Defined results: lines without a word are never dropped; lines are
 split at line feeds and the others keep their order; a text of which nothing
 stays is empty; null texts are empty; rows equal in id and text count as one
 document and get the same result; a null id sorts last; an empty table gives no
@@ -26,7 +27,6 @@ rows; all other columns pass through.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,23 +40,61 @@ from phaseframe.llm.common import Scratch, bitmap_filter, link_buckets
 SIMILARITY = 0.9
 MIN_WORDS = 8
 BITS_APART = 3
+HEAVIEST = 8
 
-_NOT_WORD = re.compile(r"[^\w\n]|_")
+#: Bytes of lower-case UTF-8 text: letters, digits and what isn't ASCII stay, line feeds too, the rest is space.
+_WORDS = bytes(c if c == 10 or chr(c).isdigit() or chr(c).islower() or c > 127 else 32 for c in range(256))
 _U = np.uint64
 #: SimHash bits of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = tuple((i, j) for i in range(5) for j in range(i + 1, 5))
 
 
-def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of runs of 32-bit word hashes, the runs beginning at ``starts``."""
+def simhash(words: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of runs of weighted 32-bit word hashes, the runs beginning at ``starts``."""
     x = words.astype(_U) * _U(0x9E3779B97F4A7C15)
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(32)
     bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    size = np.diff(np.append(starts, len(words)))
-    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    ones = np.add.reduceat(bits * weights.astype(np.uint8)[:, None], starts, axis=0, dtype=np.int32)
+    total = np.add.reduceat(weights, starts)
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def line_words(words: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """What a line's SimHash is made of: its distinct words, weighted by length up to
+    ``HEAVIEST``, so that short function words don't make all lines of a language alike."""
+    own = list(dict.fromkeys(words))
+    return own, [min(len(w), HEAVIEST) for w in own]
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, bit-parallel over the part between the common ends."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1])
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    m = len(a)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m  # columns of +1 and -1 steps down the table
+    for c in b:
+        eq = at.get(c, 0)
+        down = eq | minus
+        across = (((eq & plus) + plus) ^ plus) | eq
+        up, low = minus | (full & ~(across | plus)), plus & across
+        score += bool(up & top) - bool(low & top)
+        up = (up << 1 | 1) & full
+        plus = (low << 1 & full) | (full & ~(down | up))
+        minus = up & down
+    return score
 
 
 def _line_rows(min_words: int):
@@ -66,28 +104,31 @@ def _line_rows(min_words: int):
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                doc, no, name, count, length, codes, starts, size = [], [], [], [], [], [], [], 0
+                doc, no, name, count, length, codes, weights, starts, size = [], [], [], [], [], [], [], [], 0
                 for k, text in enumerate(part["text"]):
-                    for i, line in enumerate(_NOT_WORD.sub(" ", (text or "").lower()).split("\n")):
+                    raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORDS)
+                    for i, line in enumerate(raw.split(b"\n")):
                         words = line.split()
                         if not words:
                             continue
-                        norm = " ".join(words)
+                        norm = b" ".join(words)
                         doc.append(k)
                         no.append(i)
-                        name.append(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")))
+                        name.append(xxhash.xxh3_64_intdigest(norm))
                         count.append(len(words))
-                        length.append(len(norm))
+                        length.append(len(norm.decode("utf-8", "surrogatepass")))
                         if len(words) >= min_words:
                             starts.append(size)
-                            codes.append(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)))
-                            size += len(words)
+                            own, heavy = line_words(words)
+                            codes.extend(map(zlib.crc32, own))
+                            weights.extend(heavy)
+                            size += len(own)
                 if not doc:
                     continue
                 count = np.array(count)
                 sim = np.zeros(len(doc), np.int64)
                 if starts:
-                    sim[count >= min_words] = simhash(np.concatenate(codes), np.array(starts)).view(np.int64)
+                    sim[count >= min_words] = simhash(np.array(codes, np.uint32), np.array(weights), np.array(starts)).view(np.int64)
                 yield pd.DataFrame(
                     {
                         "key": part["key"].to_numpy()[doc],
@@ -104,7 +145,7 @@ def _line_rows(min_words: int):
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
 
 
 def dedup_lines(
@@ -137,7 +178,7 @@ def dedup_lines(
 
     def verify(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        places = bitmap_filter(lines.select("node", "key", "at", "line"), "node", used).join(used, "node", "left_semi")
+        places = bitmap_filter(lines.select("node", "key", "at", "line"), "node", used).join(used, "node")
         places = places.groupBy("node").agg(F.min(F.struct("at", "key", "line")).alias("p")).select("node", "p.key", "p.line")
         places = scratch.write(places, "places")
         own = bitmap_filter(src.select("key", "text"), "key", places).join(places, "key")
@@ -146,10 +187,14 @@ def dedup_lines(
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("norm").alias("na")), "a").join(
             own.select(F.col("node").alias("b"), F.col("norm").alias("nb")), "b"
         )
-        most = F.greatest(F.length("na"), F.length("nb"))
-        limit = F.floor(most * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-        found = both.withColumn("limit", limit).withColumn("apart", F.expr("levenshtein(na, nb)"))
-        return found.where("apart <= limit").select("a", "b")
+
+        def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                limit = [int(max(len(x), len(y)) * (1 - similarity) + 1e-9) for x, y in zip(batch["na"], batch["nb"])]
+                ok = [abs(len(x) - len(y)) <= n and edit_distance(x, y) <= n for x, y, n in zip(batch["na"], batch["nb"], limit)]
+                yield batch.loc[ok, ["a", "b"]]
+
+        return both.mapInPandas(alike, "a long, b long")
 
     roots = link_buckets(posts, near, verify, scratch)
     # the first occurrence of each group stays, for groups of two occurrences and more

@@ -13,9 +13,9 @@ weighted Jaccard similarity.
 
 Bands of ``rows`` coordinates are hashed to bucket keys. With 40 bands of 8, a
 pair at similarity 0.8 shares a bucket with probability 0.999, one at 0.4 with
-0.03. Candidates are then verified exactly on the element sets. Candidates that
-aren't a bucket's leader and a member must first agree in two bits of as many
-coordinates as a pair at the wanted similarity does, less four standard deviations.
+0.03. Candidates must agree in two bits of as many coordinates as a pair at the
+wanted similarity does, less four standard deviations, and are then verified
+exactly on the element sets.
 
 Scale: documents with equal element sets are one node from the start, combined
 map-side, so any number of copies costs one row in the join. Buckets are
@@ -228,26 +228,52 @@ def near_duplicates(
     """One row per document: doc_id, class_id (smallest id of its group), class_size."""
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.write(sign_documents(docs, id_col, text_col, words, bands, rows, weighted), "signed")
-    sets = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    posts = sets.select(F.explode("bands").alias("key"), "node", "n").distinct()
+    # one row stands for all with the same elements
+    row = F.xxhash64("node", "doc_id")
+    sets = scratch.write(
+        signed.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets"
+    )
+    posts = sets.select(F.posexplode("bands").alias("band", "key"), "node", "n").select("key", "node", "n", "band")
+    longs = -(-bands * rows // PER_LONG)
+    least = sketch_agreement(bands * rows, similarity)
+
+    def agree(x, y):
+        low = F.lit(0x5555555555555555)
+        apart = F.lit(0)
+        for i in range(longs):  # coordinates that differ in either bit
+            odd = x(f"s{i}").bitwiseXOR(y(f"s{i}"))
+            apart = apart + F.bit_count(odd.bitwiseOR(F.shiftright(odd, 1)).bitwiseAND(low))
+        return apart <= bands * rows - least
+
+    whole = signed.where("node IS NOT NULL").withColumn("row", row)
+    table = whole.select("node", "row", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)])
+
+    def of_pairs(rows_: DataFrame, pairs: DataFrame, cols: list[str], name: str) -> DataFrame:
+        """The columns of each node of the pairs, from one row each."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row"), "node").select("row")
+        own = bitmap_filter(rows_, "row", used).groupBy("node").agg(*[F.first(c).alias(c) for c in cols])
+        return scratch.write(own, name)
+
+    def both_sides(pairs: DataFrame, own: DataFrame, cols: list[str]) -> DataFrame:
+        side = lambda k: own.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
+        return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        own = bitmap_filter(signed.select("node", "elements", "counts"), "node", used).join(used, "node", "left_semi")
-        own = own.groupBy("node").agg(F.first("elements").alias("e"), F.first("counts").alias("c"))
-        own = scratch.write(own, "elements")
-        left = own.select(F.col("node").alias("a"), F.col("e").alias("ea"), F.col("c").alias("ca"))
-        right = own.select(F.col("node").alias("b"), F.col("e").alias("eb"), F.col("c").alias("cb"))
-        both = pairs.join(left, "a").join(right, "b")
+        short = [f"s{i}" for i in range(longs)]
+        own = of_pairs(table, pairs, short, "sketches")
+        near = both_sides(pairs, own, short).where(agree(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+        near = scratch.write(near, "near")
+        own = of_pairs(whole, near, ["elements", "counts"], "elements")
+        both = both_sides(near, own, ["elements", "counts"])
         if weighted:
             common = F.expr(
-                "aggregate(map_values(map_zip_with(map_from_arrays(ea, ca), map_from_arrays(eb, cb),"
+                "aggregate(map_values(map_zip_with(map_from_arrays(a_elements, a_counts), map_from_arrays(b_elements, b_counts),"
                 " (k, x, y) -> least(coalesce(x, 0), coalesce(y, 0)))), 0D, (s, v) -> s + v)"
             )
-            total = F.expr("aggregate(ca, 0D, (s, v) -> s + v) + aggregate(cb, 0D, (s, v) -> s + v)")
+            total = F.expr("aggregate(a_counts, 0D, (s, v) -> s + v) + aggregate(b_counts, 0D, (s, v) -> s + v)")
         else:
-            common = F.size(F.array_intersect("ea", "eb"))
-            total = F.size("ea") + F.size("eb")
+            common = F.size(F.array_intersect("a_elements", "b_elements"))
+            total = F.size("a_elements") + F.size("b_elements")
         found = both.withColumn("common", common).withColumn("total", total)
         return found.where(F.col("common") >= F.lit(similarity - 1e-12) * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -256,18 +282,8 @@ def near_duplicates(
             return F.lit(True)
         return F.least(x("n"), y("n")) >= F.lit(similarity - 1e-12) * F.greatest(x("n"), y("n"))
 
-    longs = -(-bands * rows // PER_LONG)
-    least = sketch_agreement(bands * rows, similarity)
-
-    def agree(x, y):
-        # coordinates that differ in either bit
-        odd = [x(f"s{i}").bitwiseXOR(y(f"s{i}")) for i in range(longs)]
-        low = F.lit(0x5555555555555555)
-        apart = sum((F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(low)) for d in odd[1:]), F.bit_count(odd[0].bitwiseOR(F.shiftright(odd[0], 1)).bitwiseAND(low)))
-        return apart <= bands * rows - least
-
-    table = signed.where("node IS NOT NULL").select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)])
-    roots = link_buckets(posts, sizes_fit, verify, scratch, detail=(table, agree))
+    first = F.col("band") < max(1, bands // 5)
+    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (table.drop("row"), agree))
     placed = (
         signed.select("doc_id", "node")
         .join(roots, "node", "left")
