@@ -167,10 +167,11 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     Pairs of a bucket aren't all made. First each post of some buckets (all, or
     those that the condition ``first`` selects) is paired with its bucket's
     leader and verified pairs are merged into components. A bucket whose posts
-    now lie in one component needs no more. In the others every pair of posts
-    from *different* components is still tried (each such pair has a member
-    outside the bucket's largest component), so no link between components is
-    lost, whatever the size of a bucket.
+    now lie in one component needs no more. In the others, posts outside the
+    bucket's largest component are paired with a member of that one, if only some
+    buckets had a leader before, and then every pair of posts from *different*
+    components is still tried, so no link between components is lost, whatever
+    the size of a bucket.
     """
     attrs = [c for c in posts.columns if c != "key"]
     shared = scratch.write(posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
@@ -185,30 +186,35 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     links = scratch.write(verify(tried), "links")
     roots = scratch.write(connected_components(links, scratch), "roots")
 
-    placed = buckets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("key", "comp", *attrs)
-    placed = scratch.write(placed, "placed")
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("members"))
-    largest = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp")).alias("most"))
-    mixed = placed.join(largest.where("comps > 1").select("key", F.col("most.comp").alias("most")), "key")
-    mixed = scratch.write(mixed, "mixed")
-    close = F.lit(True)
-    if detail is not None:
-        table, near = detail
-        used = mixed.select("node").distinct()
-        table = bitmap_filter(table, "node", used).dropDuplicates(["node"])
-        mixed = scratch.write(mixed.join(table, "node"), "detailed")
-        close = near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-    x, y = mixed.where("comp <> most").alias("x"), mixed.alias("y")
-    pairs = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where("x.comp <> y.comp AND (y.comp = y.most OR x.node < y.node)")
-        .where(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & close)
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = scratch.write(verify(scratch.write(pairs, "pairs")), "more")
-    scratch.drop(buckets, placed, mixed, tried)
-    if more.isEmpty():
-        return roots
-    return scratch.write(connected_components(links.union(more), scratch), "roots")
+    # with few buckets paired so far, first the leader of a bucket's largest component, then all
+    for whole in (True,) if first is None else (False, True):
+        placed = buckets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("key", "comp", *attrs)
+        placed = scratch.write(placed, "placed")
+        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("members"), F.min("node").alias("head"))
+        largest = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp", "head")).alias("m"))
+        mixed = placed.join(largest.where("comps > 1").select("key", F.col("m.comp").alias("most"), F.col("m.head").alias("head")), "key")
+        mixed = scratch.write(mixed, "mixed")
+        close = F.lit(True)
+        if detail is not None:
+            table, near = detail
+            own = bitmap_filter(table, "node", mixed.select("node").distinct()).dropDuplicates(["node"])
+            mixed = scratch.write(mixed.join(own, "node"), "detailed")
+            close = near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+        x = mixed.where("comp <> most").alias("x")
+        y = (mixed if whole else mixed.where("node = head")).alias("y")
+        pairs = (
+            x.join(y, F.col("x.key") == F.col("y.key"))
+            .where("x.comp <> y.comp AND (y.comp = y.most OR x.node < y.node)")
+            .where(fits(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & close)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            .distinct()
+            .join(tried, ["a", "b"], "left_anti")
+        )
+        pairs = scratch.write(pairs, "pairs")
+        more = scratch.write(verify(pairs), "more")
+        scratch.drop(placed, mixed)
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = scratch.write(connected_components(links, scratch), "roots")
+    return roots
