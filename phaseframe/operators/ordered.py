@@ -35,9 +35,9 @@ def running_sum(df: DataFrame, chrom: str, idx: str, value: Column, name: str, w
 
 def islands(df: DataFrame, chrom: str, idx: str) -> DataFrame:
     """Runs of consecutive idx values among the rows: chrom, first, last, n."""
-    x = dense_index(df.select(chrom, idx), chrom, idx, [], "__n", 100_000)
+    x = dense_index(df.select(chrom, idx), chrom, idx, [], "__k", 100_000)
     return (
-        x.groupBy(chrom, (F.col(idx) - F.col("__n")).alias("__run"))
+        x.groupBy(chrom, (F.col(idx) - F.col("__k")).alias("__run"))
         .agg(F.min(idx).alias("first"), F.max(idx).alias("last"), F.count("*").alias("n"))
         .drop("__run")
     )
