@@ -10,7 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +158,35 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, scratch: Scratch,
     return missed.unionByName(exact)
 
 
+def repeated_keys(posts: DataFrame) -> DataFrame:
+    """The values of the long column ``key`` that stand in two rows or more.
+
+    Nearly all keys stand alone, so combining before the exchange would only
+    cost: keys are dealt out by value and counted in slices. A task holds the
+    distinct keys of its part; repetitions of a frequent key are folded as they come.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, rows = [], [], 0
+
+        def fold() -> tuple[list, list, int]:
+            keys, n = np.unique(np.concatenate(once), return_counts=True)
+            found = np.unique(np.concatenate([keys[n > 1], *twice]))
+            return [keys], [found], len(keys)
+
+        held = 0
+        for batch in batches:
+            once.append(batch.column(0).to_numpy(zero_copy_only=False))
+            rows += len(batch)
+            if rows - held > 4_000_000 + held:
+                once, twice, held = fold()
+                rows = held
+        if once:
+            yield pa.RecordBatch.from_arrays([pa.array(fold()[1][0])], ["key"])
+
+    return posts.select("key").repartition("key").mapInArrow(run, "key long")
+
+
 def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None) -> DataFrame:
     """(node, root) for nodes linked to another one by a verified pair from one bucket.
 
@@ -174,7 +206,7 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     the size of a bucket.
     """
     attrs = [c for c in posts.columns if c != "key"]
-    shared = scratch.write(posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    shared = scratch.write(repeated_keys(posts), "shared")
     buckets = bitmap_filter(posts, "key", shared).join(shared, "key")
     buckets = scratch.write(buckets.select("key", *attrs), "buckets")
     scratch.drop(shared)

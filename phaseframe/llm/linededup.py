@@ -1,12 +1,11 @@
 """Fuzzy line deduplication over a whole corpus.
 
 Lines are normalised: lower case, words of a-z, 0-9 and characters beyond ASCII,
-single spaces.
-Equal lines are one node by a 64-bit hash. For the others a 64-bit SimHash of
-the distinct words, weighted by length, is cut into five blocks; two lines within three differing bits agree
-on at least two blocks (pigeonhole), so each line is posted under its ten pairs
-of blocks. Posts of one bucket within three bits and of compatible length are
-candidates, a normalised edit similarity of ``similarity`` verifies them, and of
+single spaces. Equal lines are one node by a 64-bit hash. For the others a 64-bit
+SimHash of the distinct words, weighted by length, is cut into six blocks; two
+lines within three differing bits agree on at least three blocks (pigeonhole), so
+each line is posted under its twenty triples of blocks. Posts of one bucket
+within three bits and of compatible length are candidates, a normalised edit similarity of ``similarity`` verifies them, and of
 every connected group of lines the first occurrence in the corpus stays: that
 in the document with the smallest id, then the first line.
 
@@ -45,9 +44,9 @@ HEAVIEST = 8
 #: Bytes of lower-case UTF-8 text: letters, digits and what isn't ASCII stay, line feeds too, the rest is space.
 _WORDS = bytes(c if c == 10 or chr(c).isdigit() or chr(c).islower() or c > 127 else 32 for c in range(256))
 _U = np.uint64
-#: SimHash bits of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-PAIRS = tuple((i, j) for i in range(5) for j in range(i + 1, 5))
+#: First bit and width of the six blocks.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+TRIPLES = tuple((i, j, k) for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6))
 
 
 def simhash(words: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -165,10 +164,11 @@ def dedup_lines(
         src.mapInPandas(_line_rows(min_words), "key long, at long, line int, node long, words int, length int, sim long"), "lines"
     )
 
-    distinct = lines.where(F.col("words") >= min_words).groupBy("node").agg(F.first("sim").alias("sim"), F.first("length").alias("length"))
+    distinct = scratch.write(lines.where(F.col("words") >= min_words).groupBy("node").agg(F.first("sim").alias("sim"), F.first("length").alias("length")), "distinct")
     block = lambda b: f"(shiftrightunsigned(sim, {b[0]}) & {(1 << b[1]) - 1})"
     keys = [
-        f"({k}L * {1 << 52}L) | ({block(BLOCKS[i])} * {1 << 26}L) | {block(BLOCKS[j])}" for k, (i, j) in enumerate(PAIRS)
+        f"({n}L * {1 << 40}L) | ({block(BLOCKS[i])} * {1 << 22}L) | ({block(BLOCKS[j])} * {1 << 11}L) | {block(BLOCKS[k])}"
+        for n, (i, j, k) in enumerate(TRIPLES)
     ]
     posts = distinct.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "node", "sim", "length")
 
