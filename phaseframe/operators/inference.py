@@ -16,7 +16,7 @@ EPSILON = 1e-20
 
 
 def mirror(t: np.ndarray, normalized: bool = False) -> np.ndarray:
-    """The mirror rule for one 2x2 matrix; see ``transitions.mirrored``."""
+    """The mirror rule for one 2x2 matrix; see ``transitions.mirror``."""
     gaps = t.max(axis=1) / t.min(axis=1)
     tops = t.max(axis=1)
     distinct = (t[0, 0] >= t[0, 1]) != (t[1, 0] >= t[1, 1])

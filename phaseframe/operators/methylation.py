@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaseframe.operators.intervals import overlaps
-from phaseframe.operators.transitions import CELLS, mirrored
+from phaseframe.operators.transitions import CELLS, mirror
 
 LOG_HALF = float(np.log10(0.5))
 
@@ -150,7 +150,7 @@ def fraction_transitions(fractions: DataFrame) -> DataFrame:
         "t11": F.when((a == 1) & (b == 1), q).when((a == 1) & (b == 0), rest).otherwise(tiny),
     }
     keep = [c for c in fractions.columns if c not in CELLS]
-    return fractions.select(*keep, *[v.alias(k) for k, v in cells.items()]).select(*keep, *mirrored(normalized=True))
+    return mirror(fractions.select(*keep, *[v.alias(k) for k, v in cells.items()]), normalized=True)
 
 
 def weighted_mean(one: DataFrame, two: DataFrame, keys: list[str], min_allele_count: int) -> DataFrame:

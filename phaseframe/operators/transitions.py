@@ -82,8 +82,8 @@ def transition_matrix(variants: DataFrame, obs: DataFrame) -> DataFrame:
     return to_matrix(base.join(adjacent_counts(obs), ["chrom", "idx"], "left"))
 
 
-def mirrored(normalized: bool = False) -> list[Column]:
-    """The mirror rule as four columns over t00 t01 t10 t11.
+def mirror(matrix: DataFrame, normalized: bool = False) -> DataFrame:
+    """The mirror rule on the cells t00 t01 t10 t11.
 
     Rows of a matrix should oppose each other. The row that tells the alleles
     apart more clearly is reversed into the other, where both rows point to
@@ -110,17 +110,16 @@ def mirrored(normalized: bool = False) -> list[Column]:
         .when(~distinct, 3)
         .otherwise(2)
     )  # 0: the first row wins, 1: the second, 2: unchanged, 3: erased
-    pick = lambda own, win0, win1: F.when(rule == 0, win0).when(rule == 1, win1).when(rule == 3, erased).otherwise(own)
-    return [
+    # a column of its own: inlined into the cells the rule would multiply the plan
+    ruled, r = matrix.withColumn("__rule", rule), F.col("__rule")
+    pick = lambda own, win0, win1: F.when(r == 0, win0).when(r == 1, win1).when(r == 3, erased).otherwise(own)
+    return ruled.select(
+        *[c for c in matrix.columns if c not in CELLS],
         pick(t["t00"], t["t00"], t["t11"]).alias("t00"),
         pick(t["t01"], t["t01"], t["t10"]).alias("t01"),
         pick(t["t10"], t["t01"], t["t10"]).alias("t10"),
         pick(t["t11"], t["t00"], t["t11"]).alias("t11"),
-    ]
-
-
-def mirror(matrix: DataFrame, normalized: bool = False) -> DataFrame:
-    return matrix.select(*[c for c in matrix.columns if c not in CELLS], *mirrored(normalized))
+    )
 
 
 def normalize(matrix: DataFrame) -> DataFrame:

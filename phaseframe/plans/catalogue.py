@@ -15,6 +15,7 @@ from phaseframe import fixtures as fx
 from phaseframe.config import PhasingConfig
 from phaseframe.operators import cigar, decode, evaluate, haplotag, inference, intervals, methylation, ordered, realign, transitions
 from phaseframe.operators import variants as vr
+from phaseframe.sources.checkpoints import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -334,7 +335,7 @@ _ISLANDS = "SELECT 'chr1' AS chrom, min({i}) AS first, max({i}) AS last, count(*
 
 @query("uncertain_islands", _with("normal", extra=f"unsure AS (SELECT idx FROM normal WHERE {_HALF})") + _ISLANDS.format(i="idx", t="unsure"))
 def _(s, d):
-    n = transitions.normalize(transitions.mirror(_matrix(s, d)))
+    n = cut(transitions.normalize(transitions.mirror(_matrix(s, d))), "transitions")
     return ordered.islands(n.where(transitions.uncertain()), "chrom", "idx")
 
 
@@ -353,13 +354,13 @@ def _(s, d):
 
 def phased(s, d) -> DataFrame:
     """Haplotypes of the derived variants by the sequence-only plan."""
-    obs = fx.observations(s, d)
-    p = _phaseable(s, d)
-    far = transitions.to_matrix(transitions.pairwise_counts(obs, _bridges(s, d))).withColumnRenamed("idx_a", "idx").drop("idx_b")
-    bridges = _bridges(s, d).select("chrom", F.col("idx_a").alias("idx"))
-    near = transitions.transition_matrix(fx.variants(s, d), obs).join(bridges, ["chrom", "idx"], "left_anti")
-    m = transitions.normalize(transitions.mirror(near.unionByName(far)))
-    return decode.haplotypes(decode.blocks(p, m))
+    from phaseframe.plans.pipeline import phaseable_matrix
+
+    obs = cut(fx.observations(s, d), "observations")
+    p = fx.variants(s, d).join(transitions.single_strand_variants(obs), ["chrom", "idx"], "left_anti")
+    p = cut(p.select("chrom", "idx", "pos"), "phaseable")
+    m = cut(transitions.normalize(transitions.mirror(phaseable_matrix(p, obs))), "transitions")
+    return cut(decode.haplotypes(decode.blocks(p, m)), "haplotypes")
 
 
 @query("phase_states", _with("phase") + "SELECT 'chr1' AS chrom, idx, pos, block_id::BIGINT AS block_id, h0, CASE WHEN h0 < 0 THEN -1 ELSE 1 - h0 END AS h1 FROM haps")

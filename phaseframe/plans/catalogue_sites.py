@@ -9,6 +9,7 @@ from phaseframe import fixtures as fx
 from phaseframe.operators import cigar, decode, evaluate, inference, intervals, methylation, ordered, realign, transitions
 from phaseframe.operators import variants as vr
 from phaseframe.plans.catalogue import _bridges, _matrix, _mean_coverage, _phaseable, _with, phased, query
+from phaseframe.sources.checkpoints import cut
 
 # ------------------------------------------------------------- alignments
 
@@ -223,7 +224,7 @@ def _(s, d):
 
 @query("triple_reestimate")
 def _(s, d):
-    n = transitions.normalize(transitions.mirror(_matrix(s, d)))
+    n = cut(transitions.normalize(transitions.mirror(_matrix(s, d))), "transitions")
     cells = lambda k: [F.col(f"t{c}").alias(f"{k}{c}") for c in ("00", "01", "10", "11")]
     a = n.select("chrom", "idx", *cells("a"))
     b = n.select("chrom", (F.col("idx") - 1).alias("idx"), *cells("b"))
@@ -238,15 +239,15 @@ def _(s, d):
     from phaseframe.plans.pipeline import rephased
 
     mean = _mean_coverage(s, d).first()[0] or 0.0
-    return rephased(_phaseable(s, d).select("chrom", "idx", "pos", "vtype"), fx.observations(s, d), 2, mean)
+    return rephased(cut(_phaseable(s, d).select("chrom", "idx", "pos", "vtype"), "phaseable"), cut(fx.observations(s, d), "observations"), 2, mean)
 
 
 @query("connected_blocks")
 def _(s, d):
     from phaseframe.plans.pipeline import connected, phaseable_matrix
 
-    p = _phaseable(s, d).select("chrom", "idx", "pos", "vtype")
-    obs = fx.observations(s, d)
+    p = cut(_phaseable(s, d).select("chrom", "idx", "pos", "vtype"), "phaseable")
+    obs = cut(fx.observations(s, d), "observations")
     return connected(p, phaseable_matrix(p, obs), obs)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.config import PhasingConfig
 from phaseframe.operators import decode, inference, ordered, transitions
+from phaseframe.sources.checkpoints import cut
 
 
 def phaseable_matrix(phaseable: DataFrame, obs: DataFrame) -> DataFrame:
@@ -34,9 +35,9 @@ def _pair_counts(pairs: DataFrame, p: DataFrame, obs: DataFrame) -> DataFrame:
 
 def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_coverage: float, damping: float = 0.0) -> DataFrame:
     """New transitions of runs of difficult variants by belief propagation: chrom, idx and cells."""
-    p = _indexed(phaseable)
+    p = cut(_indexed(phaseable), "indexed")
     hard = transitions.difficult(p, transitions.allele_coverage(obs), min_allele_count)
-    runs = ordered.islands(p.join(hard, ["chrom", "idx"], "left_semi"), "chrom", "p_idx")
+    runs = cut(ordered.islands(p.join(hard, ["chrom", "idx"], "left_semi"), "chrom", "p_idx"), "runs")
     n = p.groupBy("chrom").agg(F.count("*").alias("n_phaseable"))
     pairs = inference.window_pairs(inference.run_windows(runs, n))
     counted = _pair_counts(pairs, p, obs)
@@ -50,8 +51,8 @@ def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_c
 
 def connected(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame) -> DataFrame:
     """Changes that join phase blocks: chrom, idx, drop and new cells. ``matrix`` is mirrored and normalised, or raw."""
-    p = _indexed(phaseable)
-    steps = transitions.normalize(transitions.mirror(matrix)).join(p.select("chrom", "idx", "p_idx"), ["chrom", "idx"])
+    p = cut(_indexed(phaseable), "indexed")
+    steps = cut(transitions.normalize(transitions.mirror(matrix)).join(p.select("chrom", "idx", "p_idx"), ["chrom", "idx"]), "steps")
     total = p.groupBy("chrom").agg(F.count("*").cast("int").alias("total"), F.max("idx").alias("top"))
     unsure = steps.where(transitions.uncertain()).join(total, "chrom").where(F.col("idx") < F.col("top") - 1)
     runs = ordered.islands(unsure, "chrom", "p_idx").select("chrom", "first", "last")
@@ -60,6 +61,7 @@ def connected(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame) -> DataFr
     w = Window.partitionBy("chrom").orderBy("first")
     opens = F.coalesce(F.col("first") - F.lag("last").over(w) > 4, F.lit(True)).cast("int")
     runs = runs.withColumn("o", opens).withColumn("cluster", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("o")
+    runs = cut(runs, "runs")
     near = runs.select("chrom", "cluster", F.explode(F.sequence(F.greatest(F.col("first") - 1, F.lit(0)), F.col("last") + 3)).alias("i")).distinct()
     cells = [f"t{c}" for c in ("00", "01", "10", "11")]
     own = near.join(steps.withColumnRenamed("p_idx", "i"), ["chrom", "i"]).select("chrom", "cluster", F.lit("step").alias("kind"), "i", (F.col("i") + 1).alias("j"), *cells)
@@ -85,15 +87,17 @@ def _replaced(matrix: DataFrame, new: DataFrame) -> DataFrame:
 
 def phase(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> DataFrame:
     """Haplotypes of all phaseable variants: chrom, idx, pos, block_id, h0, h1."""
+    obs = cut(obs, "observations")
     phaseable = variants.select("chrom", "idx", "pos", "vtype")
     if config.ont:
         phaseable = phaseable.join(transitions.single_strand_variants(obs), ["chrom", "idx"], "left_anti")
     seen = transitions.allele_coverage(obs).agg(F.sum(F.col("c0") + F.col("c1")).alias("c")).first()["c"] or 0
     mean = seen / max(1, 2 * variants.count())
+    phaseable = cut(phaseable, "phaseable")
     raw = phaseable_matrix(phaseable, obs)
-    raw = _replaced(raw, rephased(phaseable, obs, config.min_allele_count, mean, config.damping))
-    changes = connected(phaseable, raw, obs)
+    raw = cut(_replaced(raw, rephased(phaseable, obs, config.min_allele_count, mean, config.damping)), "matrix")
+    changes = cut(connected(phaseable, raw, obs), "changes")
     left = phaseable.join(changes.where("drop").select("chrom", "idx"), ["chrom", "idx"], "left_anti")
     # a variant before a dropped one steps over the gap with its new transition
-    matrix = _replaced(transitions.normalize(transitions.mirror(raw)), changes.where("NOT drop"))
+    matrix = cut(_replaced(transitions.normalize(transitions.mirror(raw)), changes.where("NOT drop")), "joined")
     return decode.haplotypes(decode.blocks(left, matrix)).select("chrom", "idx", "pos", "block_id", "h0", "h1")

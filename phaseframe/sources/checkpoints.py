@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +21,26 @@ def stage(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFr
     if force or not _complete(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back: what
+    several later steps read is computed once, and plans stay small. The folder is
+    set only where the session has none. Tables go when the interpreter ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="phaseframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/phaseframe-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already; the folder is scratch space
+        pass
