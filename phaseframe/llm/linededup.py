@@ -212,7 +212,8 @@ def dedup_lines(
     out = (
         docs.withColumn("__key", key)
         .withColumn("__text", text)
-        .join(dropped.withColumnRenamed("key", "__key"), "__key", "left")
+        # texts are dealt out by key at every size; the other side grows with them and isn't broadcast
+        .join(dropped.withColumnRenamed("key", "__key").hint("merge"), "__key", "left")
         .withColumn("__lines", F.split("__text", "\n", -1))
     )
     kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __dropped), i -> __lines[i])")
