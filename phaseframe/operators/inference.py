@@ -21,12 +21,12 @@ def mirror(t: np.ndarray, normalized: bool = False) -> np.ndarray:
     tops = t.max(axis=1)
     distinct = (t[0, 0] >= t[0, 1]) != (t[1, 0] >= t[1, 1])
     wins: int | None = None
-    if distinct and gaps[0] != gaps[1]:
+    if gaps[0] != gaps[1]:
         strong = int(gaps[1] > gaps[0])
-        if tops[strong] > 1 or tops[1 - strong] <= 1 or normalized:
+        if distinct and (tops[strong] > 1 or tops[1 - strong] <= 1 or normalized):
             wins = strong
-        elif tops[strong] == 1 and tops[1 - strong] > 1:
-            wins = 1 - strong
+        elif tops[strong] == 1 and tops[1 - strong] > 1 and not normalized:
+            wins = 1 - strong  # a single read doesn't overrule several
     if wins is None:
         if (t[0] == t[1]).all():
             return np.full((2, 2), 0.5 if normalized else EPSILON)

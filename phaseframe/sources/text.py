@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _at(k: int) -> Column:
+    """A field of the split line, null where there are fewer: region filters may be evaluated before headers are dropped."""
+    return F.get(F.col("f"), F.lit(k))
+
+
 def _in_region(df: DataFrame, chrom: str | None, start: int | None, end: int | None, low: str, high: str | None = None) -> DataFrame:
     """Rows on a chromosome that touch [start, end)."""
     if chrom is not None:
@@ -41,15 +46,15 @@ def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: in
     x = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f"))
     # key=value pairs, flags with an empty value; the last of repeated keys
     info = F.map_from_entries(
-        F.transform(F.filter(F.split(F.col("f")[7], ";"), lambda kv: kv != ""), lambda kv: F.struct(F.substring_index(kv, "=", 1), F.when(kv.contains("="), F.regexp_replace(kv, "^[^=]*=", "")).otherwise("")))
+        F.transform(F.filter(F.split(_at(7), ";"), lambda kv: kv != ""), lambda kv: F.struct(F.substring_index(kv, "=", 1), F.when(kv.contains("="), F.regexp_replace(kv, "^[^=]*=", "")).otherwise("")))
     )
-    keys, values = F.split(F.col("f")[8], ":"), F.split(F.get(F.col("f"), F.lit(9 + sample)), ":")
+    keys, values = F.split(_at(8), ":"), F.split(F.get(F.col("f"), F.lit(9 + sample)), ":")
     field = lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1)
     gt = F.transform(F.split(field("GT"), r"[/|]"), lambda a: F.when(a == ".", -1).otherwise(a.try_cast("int")))
     at = F.when(F.col("info").isNotNull(), F.try_element_at("info", F.lit("AT")))
     out = x.select(
-        F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"),
-        F.split(F.col("f")[4], ",").alias("alts"), F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"),
+        _at(0).alias("chrom"), _at(1).cast("long").alias("pos"), _at(2).alias("id"), _at(3).alias("ref"),
+        F.split(_at(4), ",").alias("alts"), _at(5).try_cast("double").alias("qual"), _at(6).alias("filter"),
         info.alias("info"), gt.alias("gt"), field("GT").contains("|").alias("phased"), field("PS").try_cast("long").alias("ps"), field("GQ").try_cast("int").alias("gq"),
     )
     out = out.withColumn("allele_traversal", F.transform(F.split(at, ","), lambda a: F.filter(F.split(a, "[<>]"), lambda n: n != "")))
@@ -57,21 +62,21 @@ def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: in
 
 
 def _tag(kind: str) -> Column:
-    hit = F.filter(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: t.startswith(kind + ":"))
+    hit = F.filter(F.slice("f", 12, 1_000_000), lambda t: t.startswith(kind + ":"))
     return F.regexp_replace(F.get(hit, F.lit(0)), r"^..:[^:]*:", "")
 
 
 def read_sam(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
     """Alignments: read_name, flag, chrom, read_start (0-based), read_end (exclusive), mapq, cigar, seq, quals, is_forward, mm, ml, line."""
     x = spark.read.text(path).where(~F.col("value").startswith("@")).select("value", F.split("value", "\t").alias("f"))
-    spans = F.regexp_extract_all(F.col("f")[5], F.lit(r"(\d+)[MDN=X]"), 1)
+    spans = F.regexp_extract_all(_at(5), F.lit(r"(\d+)[MDN=X]"), 1)
     span = F.aggregate(spans, F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
-    quals = F.when(F.col("f")[10] != "*", F.transform(F.filter(F.split(F.col("f")[10], ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
-    begin = F.col("f")[3].cast("long") - 1
+    quals = F.when(_at(10) != "*", F.transform(F.filter(F.split(_at(10), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
+    begin = _at(3).cast("long") - 1
     out = x.select(
-        F.col("f")[0].alias("read_name"), F.col("f")[1].cast("int").alias("flag"), F.col("f")[2].alias("chrom"), begin.alias("read_start"),
-        (begin + span).alias("read_end"), F.col("f")[4].cast("int").alias("mapq"), F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq"),
-        quals.alias("quals"), (F.col("f")[1].cast("int").bitwiseAND(16) == 0).alias("is_forward"), _tag("MM").alias("mm"), _tag("ML").alias("ml"),
+        _at(0).alias("read_name"), _at(1).cast("int").alias("flag"), _at(2).alias("chrom"), begin.alias("read_start"),
+        (begin + span).alias("read_end"), _at(4).cast("int").alias("mapq"), _at(5).alias("cigar"), _at(9).alias("seq"),
+        quals.alias("quals"), (_at(1).cast("int").bitwiseAND(16) == 0).alias("is_forward"), _tag("MM").alias("mm"), _tag("ML").alias("ml"),
         F.col("value").alias("line"),
     )
     return _in_region(out, chrom, start, end, "read_start", "read_end")
