@@ -141,6 +141,14 @@ def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bits: int = 1 <
     return out.join(F.broadcast(_bit_words(wanted, column, bits)), "__word").where(_HIT).select(*df.columns)
 
 
+def bit_array(wanted: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
+    """The map of ``bitmap_filter`` as bytes, for use in Python; at most bits / 64 rows reach the driver."""
+    words = _bit_words(wanted, column, bits).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["__word"].to_numpy(np.int64)] = words["__mask"].to_numpy(np.int64)
+    return out.astype("<i8").view(np.uint8)
+
+
 def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, scratch: Scratch, bits: int = 1 << 24) -> DataFrame:
     """``docs`` without the rows whose id is in ``gone``; rows with a null id stay.
 
@@ -187,7 +195,7 @@ def repeated_keys(posts: DataFrame) -> DataFrame:
     return posts.select("key").repartition("key").mapInArrow(run, "key long")
 
 
-def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None) -> DataFrame:
+def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None, narrowed=None) -> DataFrame:
     """(node, root) for nodes linked to another one by a verified pair from one bucket.
 
     posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
@@ -195,6 +203,8 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     name to a column; ``verify(pairs)`` returns those of the pairs (a, b) that are
     links. ``detail`` is (a table of further attributes by node, a condition like
     ``fits`` on them), consulted inside the join that makes the later pairs.
+    ``narrowed(keys)`` may give the posts, or somewhat more, whose key is in the
+    column ``key`` of a table, where the caller knows a faster way than a filter.
 
     Pairs of a bucket aren't all made. First each post of some buckets (all, or
     those that the condition ``first`` selects) is paired with its bucket's
@@ -207,7 +217,8 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     """
     attrs = [c for c in posts.columns if c != "key"]
     shared = scratch.write(repeated_keys(posts), "shared")
-    buckets = bitmap_filter(posts, "key", shared).join(shared, "key")
+    some = narrowed(shared) if narrowed else bitmap_filter(posts, "key", shared)
+    buckets = some.join(shared, "key")
     buckets = scratch.write(buckets.select("key", *attrs), "buckets")
     scratch.drop(shared)
 

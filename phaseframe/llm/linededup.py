@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bitmap_filter, link_buckets
+from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets
 
 SIMILARITY = 0.9
 MIN_WORDS = 8
@@ -143,6 +144,38 @@ def _line_rows(min_words: int):
     return run
 
 
+def _block_keys(sim: np.ndarray) -> np.ndarray:
+    """(lines, 20) int64: the key of each triple of blocks; the same values as ``_KEYS`` in SQL."""
+    blocks = [(sim.astype(_U) >> _U(at)) & _U((1 << width) - 1) for at, width in BLOCKS]
+    keys = [(_U(n) << _U(40)) | (blocks[i] << _U(22)) | (blocks[j] << _U(11)) | blocks[k] for n, (i, j, k) in enumerate(TRIPLES)]
+    return np.stack(keys, axis=1).view(np.int64)
+
+
+def _block(b: tuple[int, int]) -> str:
+    return f"(shiftrightunsigned(sim, {b[0]}) & {(1 << b[1]) - 1})"
+
+
+_KEYS = ", ".join(
+    f"({n}L * {1 << 40}L) | ({_block(BLOCKS[i])} * {1 << 22}L) | ({_block(BLOCKS[j])} * {1 << 11}L) | {_block(BLOCKS[k])}"
+    for n, (i, j, k) in enumerate(TRIPLES)
+)
+
+
+def _posts_in(bitmap):
+    """Posts whose key may be in the bitmap, tested for slices of lines at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            node, sim, length = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            keys = _block_keys(sim)
+            at = keys & (len(bits) * 8 - 1)
+            line, k = np.nonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[line, k], node[line], sim[line], length[line])], ["key", "node", "sim", "length"])
+
+    return run
+
+
 def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
 
@@ -165,12 +198,11 @@ def dedup_lines(
     )
 
     distinct = scratch.write(lines.where(F.col("words") >= min_words).groupBy("node").agg(F.first("sim").alias("sim"), F.first("length").alias("length")), "distinct")
-    block = lambda b: f"(shiftrightunsigned(sim, {b[0]}) & {(1 << b[1]) - 1})"
-    keys = [
-        f"({n}L * {1 << 40}L) | ({block(BLOCKS[i])} * {1 << 22}L) | ({block(BLOCKS[j])} * {1 << 11}L) | {block(BLOCKS[k])}"
-        for n, (i, j, k) in enumerate(TRIPLES)
-    ]
-    posts = distinct.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "node", "sim", "length")
+    posts = distinct.select(F.explode(F.expr(f"array({_KEYS})")).alias("key"), "node", "sim", "length")
+
+    def narrowed(keys: DataFrame) -> DataFrame:
+        bitmap = docs.sparkSession.sparkContext.broadcast(bit_array(keys, "key"))
+        return distinct.select("node", "sim", "length").mapInArrow(_posts_in(bitmap), "key long, node long, sim long, length int")
 
     def near(x, y) -> Column:
         apart = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= BITS_APART
@@ -196,7 +228,7 @@ def dedup_lines(
 
         return both.mapInPandas(alike, "a long, b long")
 
-    roots = link_buckets(posts, near, verify, scratch)
+    roots = link_buckets(posts, near, verify, scratch, narrowed=narrowed)
     # the first occurrence of each group stays, for groups of two occurrences and more
     grouped = lines.select("node", "key", "at", "line").join(roots, "node", "left")
     grouped = grouped.select(F.coalesce("root", "node").alias("root"), "key", F.struct("at", "key", "line").alias("place"))
