@@ -239,15 +239,23 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_identity: float
     y = np.array([r["label"] for r in hist], float)
     w = np.array([r["count"] for r in hist], float)
     target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+
+    def loss(a: float, b: float) -> float:
+        m = a * s + b
+        return float((w * (np.logaddexp(0, m) - target * m)).sum() + 0.5e-3 * (a - 1) ** 2)
+
     a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps for the logistic curve
+    for _ in range(100):  # Newton steps for the logistic curve, halved until they descend
         q = _sigmoid(a * s + b)
         g = np.array([(w * (q - target) * s).sum() + 1e-3 * (a - 1), (w * (q - target)).sum()])
         v = w * q * (1 - q)
-        h = np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum() + 1e-9]])
+        h = np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+        now, rate = loss(a, b), 1.0
+        while rate > 1e-6 and loss(a - rate * step[0], b - rate * step[1]) > now:
+            rate /= 2
+        a, b = a - rate * step[0], b - rate * step[1]
+        if np.abs(rate * step).max() < 1e-9:
             break
     model.a, model.b = max(float(a), 1e-3), float(b)
     return model
