@@ -202,7 +202,8 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     is a cheap necessary condition on two posts given as functions from a column
     name to a column; ``verify(pairs)`` returns those of the pairs (a, b) that are
     links. ``detail`` is (a table of further attributes by node, a condition like
-    ``fits`` on them), consulted inside the join that makes the later pairs.
+    ``fits`` on them, and whether the posts meet in an earlier bucket too),
+    consulted inside the join that makes the later pairs.
     ``narrowed(keys)`` may give the posts, or somewhat more, whose key is in the
     column ``key`` of a table, where the caller knows a faster way than a filter.
 
@@ -239,10 +240,12 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
         mixed = scratch.write(mixed, "mixed")
         close = F.lit(True)
         if detail is not None:
-            table, near = detail
+            table, near, met = detail
             own = bitmap_filter(table, "node", mixed.select("node").distinct()).dropDuplicates(["node"])
             mixed = scratch.write(mixed.join(own, "node"), "detailed")
             close = near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+            if whole:  # every bucket of a pair would make it: only the first one does
+                close = close & ~met(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
         x = mixed.where("comp <> most").alias("x")
         y = (mixed if whole else mixed.where("node = head")).alias("y")
         pairs = (

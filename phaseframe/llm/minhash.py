@@ -282,8 +282,13 @@ def near_duplicates(
             return F.lit(True)
         return F.least(x("n"), y("n")) >= F.lit(similarity - 1e-12) * F.greatest(x("n"), y("n"))
 
+    def met(x, y):
+        before = lambda z: F.slice(z("bands"), F.lit(1), z("band"))
+        return F.exists(F.zip_with(before(x), before(y), lambda p, q: p == q), lambda same: same)
+
     first = F.col("band") < max(1, bands // 5)
-    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (table.drop("row"), agree))
+    details = whole.select("node", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)])
+    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (details, agree, met))
     placed = (
         signed.select("doc_id", "node")
         .join(roots, "node", "left")
