@@ -28,6 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: whole texts of a few kilobytes on average, so a batch is a few megabytes.
+BATCH_ROWS = 1_000
+
+
+def slim_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that its session hands texts to Python in small batches.
+
+    Spark's default of 10,000 rows makes batches of tens of megabytes of text, held
+    several times on the way. A smaller setting of the session is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 class Scratch:
     """Parquet tables in the shared folder, with lineage cut at each of them.
 

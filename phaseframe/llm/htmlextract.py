@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phaseframe.llm.common import slim_batches
+
 #: Families of HTML elements.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span"
@@ -534,7 +536,7 @@ def extract_texts(sources: list[str], model: BoostedTrees) -> list[str]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text."""
     model = trained()
-    rows = pages.select(
+    rows = slim_batches(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
 

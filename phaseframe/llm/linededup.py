@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets
+from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, slim_batches
 
 SIMILARITY = 0.9
 MIN_WORDS = 8
@@ -192,7 +192,7 @@ def dedup_lines(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(id_col), text)
     last = F.lit(2**63 - 1)
-    src = docs.select(key.alias("key"), F.coalesce(F.col(id_col).cast("long"), last).alias("at"), text.alias("text"))
+    src = slim_batches(docs).select(key.alias("key"), F.coalesce(F.col(id_col).cast("long"), last).alias("at"), text.alias("text"))
     lines = scratch.write(
         src.mapInPandas(_line_rows(min_words), "key long, at long, line int, node long, words int, length int, sim long"), "lines"
     )

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phaseframe.llm.common import slim_batches
+
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -320,5 +322,5 @@ def pack(
     the window.
     """
     schema = PIECES if with_ids else PIECES.removesuffix(", ids array<int>")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(_packer(tokenizer_path, window, end_id, block_pieces, with_ids), schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bitmap_filter
+from phaseframe.llm.common import Scratch, bitmap_filter, slim_batches
 
 LOWER, UPPER, DIGIT, SPACE, BREAK, STOP, MARK, SYMBOL = range(8)
 N_STATS = 22
@@ -136,7 +136,7 @@ def _stats_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(_stats_of, "doc_id long, x array<double>")
 
 
