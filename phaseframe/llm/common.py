@@ -8,6 +8,7 @@ a lost executor costs a re-read and never the lineage behind the table.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,18 @@ def slim_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def narrow_batches(spark: SparkSession, rows: int = 50_000):
+    """Larger batches for rows of a few numbers, while something is executed inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Parquet tables in the shared folder, with lineage cut at each of them.
 
@@ -233,7 +246,8 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     the size of a bucket.
     """
     attrs = [c for c in posts.columns if c != "key"]
-    shared = scratch.write(repeated_keys(posts), "shared")
+    with narrow_batches(scratch.spark):
+        shared = scratch.write(repeated_keys(posts), "shared")
     some = narrowed(shared) if narrowed else bitmap_filter(posts, "key", shared)
     buckets = some.join(shared, "key")
     buckets = scratch.write(buckets.select("key", *attrs), "buckets")
