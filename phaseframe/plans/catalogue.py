@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseframe import fixtures as fx
 from phaseframe.config import PhasingConfig
-from phaseframe.operators import cigar, decode, evaluate, haplotag, inference, intervals, methylation, ordered, realign, transitions
+from phaseframe.operators import decode, evaluate, haplotag, intervals, ordered, transitions
 from phaseframe.operators import variants as vr
 from phaseframe.sources.checkpoints import cut
 
@@ -136,10 +136,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _int(*names: str) -> list[Column]:
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
 # ------------------------------------------------------------- variants
 
 _PICK = "SELECT id, pos, ref, alt1, alt2, gt_a, gt_b FROM raw"

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe import fixtures as fx
-from phaseframe.operators import cigar, decode, evaluate, inference, intervals, methylation, ordered, realign, transitions
+from phaseframe.operators import cigar, decode, evaluate, intervals, methylation, realign, transitions
 from phaseframe.operators import variants as vr
-from phaseframe.plans.catalogue import _bridges, _matrix, _mean_coverage, _phaseable, _with, phased, query
+from phaseframe.plans.catalogue import _matrix, _mean_coverage, _phaseable, _with, phased, query
 from phaseframe.sources.checkpoints import cut
 
 # ------------------------------------------------------------- alignments
@@ -98,7 +98,7 @@ def _(s, d):
     return _seqs(s, d).select("read_id", cigar.call_deletion(F.lit(4), F.col("qual"), ref, F.col("a")).alias("state"))
 
 
-@query("homopolymer_sites", _SEQ_SQL + "SELECT read_id, list_has_any([repeat(x, 4) IN (SELECT NULL) OR contains(substring(seq, 1, qpos), repeat(x, 4)) FOR x IN ['A','C','G','T']], [TRUE]) AS homopolymer FROM seqs".replace("repeat(x, 4) IN (SELECT NULL) OR ", ""))
+@query("homopolymer_sites", _SEQ_SQL + "SELECT read_id, list_has_any([contains(substring(seq, 1, qpos), repeat(x, 4)) FOR x IN ['A','C','G','T']], [TRUE]) AS homopolymer FROM seqs")
 def _(s, d):
     return _seqs(s, d).select("read_id", vr.is_homopolymer(F.substring("seq", F.lit(1), F.col("qpos"))).alias("homopolymer"))
 
