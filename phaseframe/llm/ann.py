@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch
+from phaseframe.llm.common import Scratch, tidy
 
 #: Bound of the sample that the index is fitted on.
 MAX_PIVOTS = 2048
@@ -189,8 +189,8 @@ def nearest(
     visited = visited or max(VISITED_LEAST, math.ceil(VISITED_SHARE * n_pivots))
     order, posted, visited = (min(m, n_pivots) for m in (order, posted, visited))
     schema = "pivot int, vec_id long, near array<int>, v array<double>"
-    entries = scratch.write(base.mapInPandas(_post(pivots, order, posted), schema), "entries")
-    visits = scratch.write(wanted.mapInPandas(_post(pivots, visited, visited), schema).drop("near"), "visits")
+    entries = scratch.write(base.mapInPandas(tidy(_post(pivots, order, posted)), schema), "entries")
+    visits = scratch.write(wanted.mapInPandas(tidy(_post(pivots, visited, visited)), schema).drop("near"), "visits")
     found = _block_pairs(entries, visits, scratch, _search(pivots, k, posted, rerank_share, rerank_least))
     found = scratch.write(_ranked(found, k), "found")
 

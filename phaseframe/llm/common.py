@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,25 @@ def slim_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """``run``, a function on batches, giving back memory when it has ended."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 @contextlib.contextmanager
 def narrow_batches(spark: SparkSession, rows: int = 50_000):
     """Larger batches for rows of a few numbers, while something is executed inside."""
@@ -221,7 +241,7 @@ def repeated_keys(posts: DataFrame) -> DataFrame:
         if once:
             yield pa.RecordBatch.from_arrays([pa.array(fold()[1][0])], ["key"])
 
-    return posts.select("key").repartition("key").mapInArrow(run, "key long")
+    return posts.select("key").repartition("key").mapInArrow(tidy(run), "key long")
 
 
 def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None, narrowed=None) -> DataFrame:

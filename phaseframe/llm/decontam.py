@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, slim_batches
+from phaseframe.llm.common import Scratch, slim_batches, tidy
 
 WINDOW, MIN_LITERAL, MIN_WINDOWS = 10, 5, 4
 MAX_BITS = 1 << 28
@@ -239,11 +239,11 @@ def contaminated(
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    items = scratch.write(items.mapInPandas(_windows(window, min_literal, None, None), _ROWS), "items")
+    items = scratch.write(items.mapInPandas(tidy(_windows(window, min_literal, None, None)), _ROWS), "items")
     lengths = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInPandas(_windows(window, min_literal, lengths, bitmap), _ROWS)
+    found = rows.mapInPandas(tidy(_windows(window, min_literal, lengths, bitmap)), _ROWS)
     d = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("dpos"), "size", "h", F.col("slots").alias("dslots"))
     i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("windows").alias("item_windows"), "size", "h", F.col("slots").alias("islots"))
     aligned = (

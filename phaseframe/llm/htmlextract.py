@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import slim_batches
+from phaseframe.llm.common import slim_batches, tidy
 
 #: Families of HTML elements.
 INLINE = frozenset(
@@ -547,4 +547,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = extract_texts(["" if h is None else h for h in part["html"]], model)
                 yield part[["page_id", "url"]].assign(text=texts)
 
-    return rows.mapInPandas(run, "page_id long, url string, text string")
+    return rows.mapInPandas(tidy(run), "page_id long, url string, text string")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, slim_batches
+from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, slim_batches, tidy
 
 SIMILARITY = 0.9
 MIN_WORDS = 8
@@ -194,7 +194,7 @@ def dedup_lines(
     last = F.lit(2**63 - 1)
     src = slim_batches(docs).select(key.alias("key"), F.coalesce(F.col(id_col).cast("long"), last).alias("at"), text.alias("text"))
     lines = scratch.write(
-        src.mapInPandas(_line_rows(min_words), "key long, at long, line int, node long, words int, length int, sim long"), "lines"
+        src.mapInPandas(tidy(_line_rows(min_words)), "key long, at long, line int, node long, words int, length int, sim long"), "lines"
     )
 
     distinct = scratch.write(lines.where(F.col("words") >= min_words).groupBy("node").agg(F.first("sim").alias("sim"), F.first("length").alias("length")), "distinct")
@@ -202,7 +202,7 @@ def dedup_lines(
 
     def narrowed(keys: DataFrame) -> DataFrame:
         bitmap = docs.sparkSession.sparkContext.broadcast(bit_array(keys, "key"))
-        return distinct.select("node", "sim", "length").mapInArrow(_posts_in(bitmap), "key long, node long, sim long, length int")
+        return distinct.select("node", "sim", "length").mapInArrow(tidy(_posts_in(bitmap)), "key long, node long, sim long, length int")
 
     def near(x, y) -> Column:
         apart = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= BITS_APART
@@ -226,7 +226,7 @@ def dedup_lines(
                 ok = [abs(len(x) - len(y)) <= n and edit_distance(x, y) <= n for x, y, n in zip(batch["na"], batch["nb"], limit)]
                 yield batch.loc[ok, ["a", "b"]]
 
-        return both.mapInPandas(alike, "a long, b long")
+        return both.mapInPandas(tidy(alike), "a long, b long")
 
     roots = link_buckets(posts, near, verify, scratch, narrowed=narrowed)
     # the first occurrence of each group stays, for groups of two occurrences and more

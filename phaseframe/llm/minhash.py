@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bitmap_filter, link_buckets, slim_batches
+from phaseframe.llm.common import Scratch, bitmap_filter, link_buckets, slim_batches, tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -212,7 +212,7 @@ def sign_documents(
     """doc_id, node (hash of the element set), n, bands, sketch, elements, counts (of elements, if weighted)."""
     src = slim_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, node long, n int, bands array<long>, sketch array<long>, elements array<int>, counts array<int>"
-    return src.mapInPandas(_signer(words, bands, rows, weighted), schema)
+    return src.mapInPandas(tidy(_signer(words, bands, rows, weighted)), schema)
 
 
 def near_duplicates(

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import slim_batches
+from phaseframe.llm.common import slim_batches, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -323,4 +323,4 @@ def pack(
     """
     schema = PIECES if with_ids else PIECES.removesuffix(", ids array<int>")
     rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(_packer(tokenizer_path, window, end_id, block_pieces, with_ids), schema)
+    return rows.mapInPandas(tidy(_packer(tokenizer_path, window, end_id, block_pieces, with_ids)), schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bitmap_filter, slim_batches
+from phaseframe.llm.common import Scratch, bitmap_filter, slim_batches, tidy
 
 LOWER, UPPER, DIGIT, SPACE, BREAK, STOP, MARK, SYMBOL = range(8)
 N_STATS = 22
@@ -137,7 +137,7 @@ def _stats_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(_stats_of, "doc_id long, x array<double>")
+    return rows.mapInPandas(tidy(_stats_of), "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -198,7 +198,7 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_identity: float
     """From rows (label 0/1, x array<double>); exact class moments over all of them."""
     rows = labelled.select(F.col("label").cast("int").alias("label"), "x")
     sums = (
-        rows.mapInPandas(_moments, "label int, sums array<double>")
+        rows.mapInPandas(tidy(_moments), "label int, sums array<double>")
         .select("label", F.posexplode("sums").alias("at", "v"))
         .groupBy("label", "at")
         .agg(F.sum("v").alias("v"))
@@ -234,7 +234,7 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_identity: float
                 s = model.squash(model.log_ratio(np.stack(batch["x"].to_numpy())))
                 yield pd.DataFrame({"label": batch["label"], "bin": np.rint(s * 20).astype(np.int32)})
 
-    hist = rows.mapInPandas(ratios, "label int, bin int").groupBy("label", "bin").count().collect()
+    hist = rows.mapInPandas(tidy(ratios), "label int, bin int").groupBy("label", "bin").count().collect()
     s = np.array([r["bin"] / 20 for r in hist])
     y = np.array([r["label"] for r in hist], float)
     w = np.array([r["count"] for r in hist], float)
@@ -288,7 +288,7 @@ def score_documents(
             yield batch.drop(columns="x").assign(score=s)
 
     out = table.withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "x")
-    out = out.mapInPandas(score, "doc_id long, held_out boolean, score double")
+    out = out.mapInPandas(tidy(score), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -321,4 +321,4 @@ def keep_documents(
                 texts = ["" if t is None else str(t) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(model.score(statistics(texts)) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
