@@ -27,6 +27,7 @@ rows; all other columns pass through.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,15 +58,14 @@ def simhash(words: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.nd
     x ^= x >> _U(32)
     bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits * weights.astype(np.uint8)[:, None], starts, axis=0, dtype=np.int32)
-    total = np.add.reduceat(weights, starts)
+    total = np.add.reduceat(weights.astype(np.int64), starts)
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def line_words(words: list[bytes]) -> tuple[list[bytes], list[int]]:
-    """What a line's SimHash is made of: its distinct words, weighted by length up to
-    ``HEAVIEST``, so that short function words don't make all lines of a language alike."""
-    own = list(dict.fromkeys(words))
-    return own, [min(len(w), HEAVIEST) for w in own]
+def line_weights(lengths: np.ndarray) -> np.ndarray:
+    """Weights of a line's distinct words in its SimHash: their lengths up to ``HEAVIEST``,
+    so that short function words don't make all lines of a language alike."""
+    return np.minimum(lengths, HEAVIEST)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -104,7 +104,8 @@ def _line_rows(min_words: int):
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                doc, no, name, count, length, codes, weights, starts, size = [], [], [], [], [], [], [], [], 0
+                doc, no, name, count, length, starts, size = [], [], [], [], [], [], 0
+                codes, lengths = array("I"), array("I")
                 for k, text in enumerate(part["text"]):
                     raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORDS)
                     for i, line in enumerate(raw.split(b"\n")):
@@ -119,16 +120,16 @@ def _line_rows(min_words: int):
                         length.append(len(norm.decode("utf-8", "surrogatepass")))
                         if len(words) >= min_words:
                             starts.append(size)
-                            own, heavy = line_words(words)
+                            own = dict.fromkeys(words)
                             codes.extend(map(zlib.crc32, own))
-                            weights.extend(heavy)
+                            lengths.extend(map(len, own))
                             size += len(own)
                 if not doc:
                     continue
                 count = np.array(count)
                 sim = np.zeros(len(doc), np.int64)
                 if starts:
-                    sim[count >= min_words] = simhash(np.array(codes, np.uint32), np.array(weights), np.array(starts)).view(np.int64)
+                    sim[count >= min_words] = simhash(np.frombuffer(codes, np.uint32), line_weights(np.frombuffer(lengths, np.uint32)), np.array(starts)).view(np.int64)
                 yield pd.DataFrame(
                     {
                         "key": part["key"].to_numpy()[doc],

@@ -22,8 +22,9 @@ def distance(a, b):
 def sim_of(text):
     import zlib
 
-    own, heavy = linededup.line_words(text.encode().split())
-    return int(linededup.simhash(np.array([zlib.crc32(w) for w in own], np.uint32), np.array(heavy), np.array([0]))[0])
+    own = list(dict.fromkeys(text.encode().split()))
+    heavy = linededup.line_weights(np.array([len(w) for w in own]))
+    return int(linededup.simhash(np.array([zlib.crc32(w) for w in own], np.uint32), heavy, np.array([0]))[0])
 
 
 def brute(rows, similarity=0.9):
