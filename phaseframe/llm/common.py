@@ -249,10 +249,11 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
 
     posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
     is a cheap necessary condition on two posts given as functions from a column
-    name to a column; ``verify(pairs)`` returns those of the pairs (a, b) that are
-    links. ``detail`` is (a table of further attributes by node, a condition like
-    ``fits`` on them, and whether the posts meet in an earlier bucket too),
-    consulted inside the join that makes the later pairs.
+    name to a column. ``detail`` is (a table of further attributes by node, a
+    condition like ``fits`` on them, and whether the posts meet in an earlier bucket
+    too), consulted inside the join that makes the later pairs. ``verify(pairs,
+    agreed)`` returns those of the pairs (a, b) that are links; ``agreed`` says that
+    the pairs have met the condition of ``detail``.
     ``narrowed(keys)`` may give the posts, or somewhat more, whose key is in the
     column ``key`` of a table, where the caller knows a faster way than a filter.
 
@@ -277,7 +278,7 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     lead = early.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
     stars = early.join(lead, "key").where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
     tried = scratch.write(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = scratch.write(verify(tried), "links")
+    links = scratch.write(verify(tried, False), "links")
     roots = scratch.write(connected_components(links, scratch), "roots")
 
     # with few buckets paired so far, first the leader of a bucket's largest component, then all
@@ -307,7 +308,7 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
             .join(tried, ["a", "b"], "left_anti")
         )
         pairs = scratch.write(pairs, "pairs")
-        more = scratch.write(verify(pairs), "more")
+        more = scratch.write(verify(pairs, detail is not None), "more")
         scratch.drop(placed, mixed)
         tried = tried.union(pairs)
         if not more.isEmpty():

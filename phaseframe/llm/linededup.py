@@ -209,7 +209,7 @@ def dedup_lines(
         apart = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= BITS_APART
         return apart & (F.least(x("length"), y("length")) >= F.lit(similarity - 1e-9) * F.greatest(x("length"), y("length")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, _agreed: bool) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         places = bitmap_filter(lines.select("node", "key", "at", "line"), "node", used).join(used, "node")
         places = places.groupBy("node").agg(F.min(F.struct("at", "key", "line")).alias("p")).select("node", "p.key", "p.line")

@@ -250,7 +250,7 @@ def near_duplicates(
 
     def of_pairs(rows_: DataFrame, pairs: DataFrame, cols: list[str], name: str) -> DataFrame:
         """The columns of each node of the pairs, from one row each."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "row"), "node").select("row")
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "row"), "node").select("row")
         own = bitmap_filter(rows_, "row", used).groupBy("node").agg(*[F.first(c).alias(c) for c in cols])
         return scratch.write(own, name)
 
@@ -258,11 +258,13 @@ def near_duplicates(
         side = lambda k: own.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        short = [f"s{i}" for i in range(longs)]
-        own = of_pairs(table, pairs, short, "sketches")
-        near = both_sides(pairs, own, short).where(agree(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
-        near = scratch.write(near, "near")
+    def verify(pairs: DataFrame, agreed: bool) -> DataFrame:
+        near = pairs
+        if not agreed:
+            short = [f"s{i}" for i in range(longs)]
+            own = of_pairs(table, pairs, short, "sketches")
+            near = both_sides(pairs, own, short).where(agree(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+            near = scratch.write(near, "near")
         own = of_pairs(whole, near, ["elements", "counts"], "elements")
         both = both_sides(near, own, ["elements", "counts"])
         if weighted:
