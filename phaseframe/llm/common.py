@@ -244,7 +244,7 @@ def repeated_keys(posts: DataFrame) -> DataFrame:
     return posts.select("key").repartition("key").mapInArrow(tidy(run), "key long")
 
 
-def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None, narrowed=None) -> DataFrame:
+def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None, narrowed=None, attrs=None) -> DataFrame:
     """(node, root) for nodes linked to another one by a verified pair from one bucket.
 
     posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
@@ -255,7 +255,8 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     agreed)`` returns those of the pairs (a, b) that are links; ``agreed`` says that
     the pairs have met the condition of ``detail``.
     ``narrowed(keys)`` may give the posts, or somewhat more, whose key is in the
-    column ``key`` of a table, where the caller knows a faster way than a filter.
+    column ``key`` of a table, where the caller knows a faster way than a filter; with ``attrs``, its columns besides ``key``,
+    ``posts`` needs the keys alone.
 
     Pairs of a bucket aren't all made. First each post of some buckets (all, or
     those that the condition ``first`` selects) is paired with its bucket's
@@ -266,7 +267,7 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     components is still tried, so no link between components is lost, whatever
     the size of a bucket.
     """
-    attrs = [c for c in posts.columns if c != "key"]
+    attrs = attrs or [c for c in posts.columns if c != "key"]
     with narrow_batches(scratch.spark):
         shared = scratch.write(repeated_keys(posts), "shared")
     some = narrowed(shared) if narrowed else bitmap_filter(posts, "key", shared)

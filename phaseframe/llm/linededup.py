@@ -1,16 +1,15 @@
 """Fuzzy line deduplication over a whole corpus.
 
 Lines are normalised: lower case, words of a-z, 0-9 and characters beyond ASCII,
-single spaces. Equal lines are one node by a 64-bit hash. For the others a 64-bit
-SimHash of the distinct words, weighted by length, is cut into six blocks; two
-lines within three differing bits agree on at least three blocks (pigeonhole), so
-each line is posted under its twenty triples of blocks. Posts of one bucket
-within three bits and of compatible length are candidates, a normalised edit similarity of ``similarity`` verifies them, and of
-every connected group of lines the first occurrence in the corpus stays: that
+single spaces. Equal lines are one node by a 64-bit hash. Two lines are linked if
+their normalised edit similarity is at least ``similarity``, and of every
+connected group of lines the first occurrence in the corpus stays: that
 in the document with the smallest id, then the first line.
 
-Lines under ``min_words`` words are grouped when equal only: one changed word
-in them moves more SimHash bits than the three that are searched.
+Candidates of lines of ``SHORT`` characters and more share a run of ``GRAM`` characters: each
+line is posted under some ``SEEDS`` of its runs, those with the smallest hashes, so
+two lines choose alike. Edits that are close to the limit and evenly spread may
+leave no run that both have posted; the README has the recall.
 
 Scale: a frequent line is one node, combined map-side; buckets are resolved by
 ``link_buckets`` without making all pairs of a group; the posts that meet in no
@@ -26,8 +25,6 @@ rows; all other columns pass through.
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +36,16 @@ from pyspark.sql import functions as F
 from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, slim_batches, tidy
 
 SIMILARITY = 0.9
+SHORT = 60
+GRAM = 12
+SEEDS = 40
+#: Of the former search by SimHash, to which tests/llm/test_linededup.py still compares.
 MIN_WORDS = 8
-BITS_APART = 3
 HEAVIEST = 8
 
 #: Bytes of lower-case UTF-8 text: letters, digits and what isn't ASCII stay, line feeds too, the rest is space.
 _WORDS = bytes(c if c == 10 or chr(c).isdigit() or chr(c).islower() or c > 127 else 32 for c in range(256))
 _U = np.uint64
-#: First bit and width of the six blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-TRIPLES = tuple((i, j, k) for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6))
-
-
 def simhash(words: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SimHash of runs of weighted 32-bit word hashes, the runs beginning at ``starts``."""
     x = words.astype(_U) * _U(0x9E3779B97F4A7C15)
@@ -97,15 +92,23 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def _line_rows(min_words: int):
+def may_be_near(a: str, b: str, most: int) -> bool:
+    """Whether the counts of characters allow for ``most`` edits."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") & 255, minlength=256) for s in (a, b))
+    return int(np.abs(x - y).sum()) <= 2 * most
+
+
+def _line_rows():
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # of a task; a line's text goes out once
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                doc, no, name, count, length, starts, size = [], [], [], [], [], [], 0
-                codes, lengths = array("I"), array("I")
+                doc, no, name, count, length, norms = [], [], [], [], [], []
                 for k, text in enumerate(part["text"]):
                     raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORDS)
                     for i, line in enumerate(raw.split(b"\n")):
@@ -113,74 +116,114 @@ def _line_rows(min_words: int):
                         if not words:
                             continue
                         norm = b" ".join(words)
+                        node = xxhash.xxh3_64_intdigest(norm)
+                        norm = norm.decode("utf-8", "replace")
                         doc.append(k)
                         no.append(i)
-                        name.append(xxhash.xxh3_64_intdigest(norm))
+                        name.append(node)
                         count.append(len(words))
-                        length.append(len(norm.decode("utf-8", "surrogatepass")))
-                        if len(words) >= min_words:
-                            starts.append(size)
-                            own = dict.fromkeys(words)
-                            codes.extend(map(zlib.crc32, own))
-                            lengths.extend(map(len, own))
-                            size += len(own)
+                        length.append(len(norm))
+                        norms.append(None if node in seen else norm)
+                        seen.add(node)
                 if not doc:
                     continue
-                count = np.array(count)
-                sim = np.zeros(len(doc), np.int64)
-                if starts:
-                    sim[count >= min_words] = simhash(np.frombuffer(codes, np.uint32), line_weights(np.frombuffer(lengths, np.uint32)), np.array(starts)).view(np.int64)
                 yield pd.DataFrame(
                     {
                         "key": part["key"].to_numpy()[doc],
                         "at": part["at"].to_numpy()[doc],
                         "line": np.array(no, np.int32),
                         "node": np.array(name, np.uint64).view(np.int64),
-                        "words": count.astype(np.int32),
+                        "words": np.array(count, np.int32),
                         "length": np.array(length, np.int32),
-                        "sim": sim,
+                        "norm": norms,
                     }
                 )
 
     return run
 
 
-def _block_keys(sim: np.ndarray) -> np.ndarray:
-    """(lines, 20) int64: the key of each triple of blocks; the same values as ``_KEYS`` in SQL."""
-    blocks = [(sim.astype(_U) >> _U(at)) & _U((1 << width) - 1) for at, width in BLOCKS]
-    keys = [(_U(n) << _U(40)) | (blocks[i] << _U(22)) | (blocks[j] << _U(11)) | blocks[k] for n, (i, j, k) in enumerate(TRIPLES)]
-    return np.stack(keys, axis=1).view(np.int64)
-
-
-def _block(b: tuple[int, int]) -> str:
-    return f"(shiftrightunsigned(sim, {b[0]}) & {(1 << b[1]) - 1})"
-
-
-_KEYS = ", ".join(
-    f"({n}L * {1 << 40}L) | ({_block(BLOCKS[i])} * {1 << 22}L) | ({_block(BLOCKS[j])} * {1 << 11}L) | {_block(BLOCKS[k])}"
-    for n, (i, j, k) in enumerate(TRIPLES)
-)
-
-
-def _posts_in(bitmap):
-    """Posts whose key may be in the bitmap, tested for slices of lines at once."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x94D049BB133111EB)
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(32))
+
+
+def _gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` characters from each place on; the last GRAM - 1 places have none."""
+    x = np.zeros(max(0, len(codes) - GRAM + 1), _U)
+    for j in range(GRAM):
+        x = x * _U(0x9E3779B97F4A7C15) + codes[j : j + len(x)]
+    return _mixed(x)
+
+
+def _seeds(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place) of the chosen runs of lines; a run that a line repeats has its first place."""
+    hashes = _gram_hashes(codes)
+    owner = np.repeat(np.arange(len(starts)), lengths + 1)[: len(hashes)]
+    place = np.arange(len(hashes)) - starts[owner]
+    inside = (place + GRAM <= lengths[owner]) & (lengths[owner] >= SHORT)
+    # a share of the values that gives SEEDS runs of a line and more of a long one, all of them if it has no more
+    share = np.minimum(1.0, (SEEDS + lengths / 25) / np.maximum(1, lengths - GRAM + 1))
+    bound = (share * float(2**53)).astype(_U)
+    chosen = np.flatnonzero(inside & ((hashes >> _U(11)) < bound[owner]))
+    line, key, at = owner[chosen], hashes[chosen], place[chosen]
+    order = np.lexsort((at, key, line))
+    line, key, at = line[order], key[order], at[order]
+    first = np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])][: len(line)]
+    line, key, at = line[first], key[first], at[first]
+    # lines that repeat few runs: the smallest of all, which includes the share
+    few = np.flatnonzero((np.bincount(line, minlength=len(starts)) < SEEDS // 2) & (lengths >= SHORT))
+    if len(few):
+        kept = ~np.isin(line, few)
+        parts = [(line[kept], key[kept], at[kept])]
+        for k in few:
+            values, where = np.unique(hashes[starts[k] : starts[k] + lengths[k] - GRAM + 1], return_index=True)
+            parts.append((np.full(min(SEEDS, len(values)), k), values[:SEEDS], where[:SEEDS]))
+        line, key, at = (np.concatenate(x) for x in zip(*parts))
+    return line, key.view(np.int64), at
+
+
+def line_posts(norms: list[str], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, place) of the posts of normalised lines, and a 64-bit map of each line's pairs of characters."""
+    lengths = np.array([len(x) for x in norms])
+    codes = np.frombuffer("".join(f"{x}\n" for x in norms).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    twos = codes.copy()
+    twos[:-1] = codes[:-1] * _U(0x9E3779B97F4A7C15) + codes[1:]
+    twos[starts + lengths] = twos[starts]
+    maps = np.bitwise_or.reduceat(_U(1) << (_mixed(twos) >> _U(58)), starts).view(np.int64)
+    line, key, at = _seeds(codes, starts, lengths)
+    return line, key, at, maps
+
+
+def _posts(similarity: float, bitmap=None):
+    """Posts of lines; with a bitmap those whose key may be in it, else their keys alone."""
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lo, size, lengths = 0, 0, batch.column("length").to_numpy(zero_copy_only=False)
+        for hi in range(1, len(lengths) + 1):
+            size += lengths[hi - 1]
+            if size > 300_000 or hi == len(lengths):
+                yield batch.slice(lo, hi - lo)
+                lo, size = hi, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch in batches:
-            node, sim, length = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            keys = _block_keys(sim)
-            at = keys & (len(bits) * 8 - 1)
-            line, k = np.nonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[line, k], node[line], sim[line], length[line])], ["key", "node", "sim", "length"])
+        bits = None if bitmap is None else bitmap.value
+        for batch in (x for b in batches for x in slices(b)):
+            line, key, at, maps = line_posts(batch.column("norm").to_pylist(), similarity)
+            if bits is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+                continue
+            slot = key & (len(bits) * 8 - 1)
+            hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            line, key, at = line[hit], key[hit], at[hit]
+            node, length = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("node", "length"))
+            arrays = [pa.array(x) for x in (key, node, maps[line], length, at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "sim", "length", "at"])
 
     return run
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
-
-
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -195,28 +238,26 @@ def dedup_lines(
     last = F.lit(2**63 - 1)
     src = slim_batches(docs).select(key.alias("key"), F.coalesce(F.col(id_col).cast("long"), last).alias("at"), text.alias("text"))
     lines = scratch.write(
-        src.mapInPandas(tidy(_line_rows(min_words)), "key long, at long, line int, node long, words int, length int, sim long"), "lines"
+        src.mapInPandas(tidy(_line_rows()), "key long, at long, line int, node long, words int, length int, norm string"), "lines"
     )
 
-    distinct = scratch.write(lines.where(F.col("words") >= min_words).groupBy("node").agg(F.first("sim").alias("sim"), F.first("length").alias("length")), "distinct")
-    posts = distinct.select(F.explode(F.expr(f"array({_KEYS})")).alias("key"), "node", "sim", "length")
+    distinct = lines.where("norm IS NOT NULL").select("node", "words", "length", "norm").dropDuplicates(["node"])
+    distinct = scratch.write(distinct.where(F.col("words") >= min_words).drop("words"), "distinct")
+    posts = distinct.mapInArrow(tidy(_posts(similarity)), "key long")
 
     def narrowed(keys: DataFrame) -> DataFrame:
         bitmap = docs.sparkSession.sparkContext.broadcast(bit_array(keys, "key"))
-        return distinct.select("node", "sim", "length").mapInArrow(tidy(_posts_in(bitmap)), "key long, node long, sim long, length int")
+        return distinct.mapInArrow(tidy(_posts(similarity, bitmap)), "key long, node long, sim long, length int, at int")
 
     def near(x, y) -> Column:
-        apart = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= BITS_APART
-        return apart & (F.least(x("length"), y("length")) >= F.lit(similarity - 1e-9) * F.greatest(x("length"), y("length")))
+        """What lines within the edits that their length allows have in common: places of a shared run, and pairs of characters."""
+        most = F.floor(F.greatest(x("length"), y("length")) * F.lit(1 - similarity) + F.lit(1e-9))
+        before, after = x("at") - y("at"), x("length") - x("at") - y("length") + y("at")
+        return (F.abs(before) + F.abs(after) <= most) & (F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= 4 * most)
 
     def verify(pairs: DataFrame, _agreed: bool) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        places = bitmap_filter(lines.select("node", "key", "at", "line"), "node", used).join(used, "node")
-        places = places.groupBy("node").agg(F.min(F.struct("at", "key", "line")).alias("p")).select("node", "p.key", "p.line")
-        places = scratch.write(places, "places")
-        own = bitmap_filter(src.select("key", "text"), "key", places).join(places, "key")
-        own = own.select("node", _normal(F.expr("split(text, '\n', -1)[line]")).alias("norm")).dropDuplicates(["node"])
-        own = scratch.write(own, "texts")
+        own = scratch.write(bitmap_filter(distinct.select("node", "norm"), "node", used).join(used, "node"), "texts")
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("norm").alias("na")), "a").join(
             own.select(F.col("node").alias("b"), F.col("norm").alias("nb")), "b"
         )
@@ -224,12 +265,12 @@ def dedup_lines(
         def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 limit = [int(max(len(x), len(y)) * (1 - similarity) + 1e-9) for x, y in zip(batch["na"], batch["nb"])]
-                ok = [abs(len(x) - len(y)) <= n and edit_distance(x, y) <= n for x, y, n in zip(batch["na"], batch["nb"], limit)]
+                ok = [may_be_near(x, y, n) and edit_distance(x, y) <= n for x, y, n in zip(batch["na"], batch["nb"], limit)]
                 yield batch.loc[ok, ["a", "b"]]
 
         return both.mapInPandas(tidy(alike), "a long, b long")
 
-    roots = link_buckets(posts, near, verify, scratch, narrowed=narrowed)
+    roots = link_buckets(posts, near, verify, scratch, attrs=["node", "sim", "length", "at"], narrowed=narrowed)
     # the first occurrence of each group stays, for groups of two occurrences and more
     grouped = lines.select("node", "key", "at", "line").join(roots, "node", "left")
     grouped = grouped.select(F.coalesce("root", "node").alias("root"), "key", F.struct("at", "key", "line").alias("place"))
