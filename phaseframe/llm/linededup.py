@@ -9,7 +9,10 @@ in the document with the smallest id, then the first line.
 Candidates of lines of ``SHORT`` characters and more share a run of ``GRAM`` characters: each
 line is posted under some ``SEEDS`` of its runs, those with the smallest hashes, so
 two lines choose alike. Edits that are close to the limit and evenly spread may
-leave no run that both have posted; the README has the recall.
+leave no run that both have posted; the README has the recall. A pair with a shorter
+line is always found: the longer one is cut into one piece more than the edits
+that its length allows, so one piece stands unchanged in the other line, and
+near its place.
 
 Scale: a frequent line is one node, combined map-side; buckets are resolved by
 ``link_buckets`` without making all pairs of a group; the posts that meet in no
@@ -92,6 +95,11 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def _most(length: int, similarity: float) -> int:
+    """Edits that a pair may have whose longer line has ``length`` characters."""
+    return int(length * (1 - similarity) + 1e-9)
+
+
 def may_be_near(a: str, b: str, most: int) -> bool:
     """Whether the counts of characters allow for ``most`` edits."""
     if abs(len(a) - len(b)) > most:
@@ -108,7 +116,7 @@ def _line_rows():
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                doc, no, name, count, length, norms = [], [], [], [], [], []
+                doc, no, name, length, norms = [], [], [], [], []
                 for k, text in enumerate(part["text"]):
                     raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORDS)
                     for i, line in enumerate(raw.split(b"\n")):
@@ -121,7 +129,6 @@ def _line_rows():
                         doc.append(k)
                         no.append(i)
                         name.append(node)
-                        count.append(len(words))
                         length.append(len(norm))
                         norms.append(None if node in seen else norm)
                         seen.add(node)
@@ -133,7 +140,6 @@ def _line_rows():
                         "at": part["at"].to_numpy()[doc],
                         "line": np.array(no, np.int32),
                         "node": np.array(name, np.uint64).view(np.int64),
-                        "words": np.array(count, np.int32),
                         "length": np.array(length, np.int32),
                         "norm": norms,
                     }
@@ -183,8 +189,36 @@ def _seeds(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     return line, key.view(np.int64), at
 
 
+def _short_keys(norm: str, similarity: float) -> set[int]:
+    """Keys of pieces for pairs of lines of which the shorter has less than ``SHORT`` characters.
+
+    A line posts its own pieces, and what equals a piece of a line as long or
+    longer if the edits before it are at most as many as the pieces before it, and
+    so after it: of one piece more than edits, some piece meets both.
+    """
+    import xxhash
+
+    n, keys = len(norm), set()
+    for length in range(n, int((n + 1) / similarity) + 2):
+        most = _most(length, similarity)
+        if length - most > min(n, SHORT - 1):
+            break
+        if most == 0 or (n >= SHORT and length > n):
+            continue
+        width, wide = divmod(length, most + 1)
+        start = 0
+        for i in range(most + 1):
+            size = width + (i > most - wide)
+            for at in range(max(0, start - i), min(n - size, start + i) + 1):
+                if abs(start - at - (length - n)) <= most - i:
+                    keys.add(xxhash.xxh3_64_intdigest(norm[at : at + size].encode("utf-8", "surrogatepass"), length << 8 | i))
+            start += size
+    return keys
+
+
 def line_posts(norms: list[str], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, place) of the posts of normalised lines, and a 64-bit map of each line's pairs of characters."""
+    """(line, key, place, map) of the posts of normalised lines: the place of a run in
+    its line, and for pieces of short lines a 64-bit map of the line's pairs of characters."""
     lengths = np.array([len(x) for x in norms])
     codes = np.frombuffer("".join(f"{x}\n" for x in norms).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -193,7 +227,11 @@ def line_posts(norms: list[str], similarity: float = SIMILARITY) -> tuple[np.nda
     twos[starts + lengths] = twos[starts]
     maps = np.bitwise_or.reduceat(_U(1) << (_mixed(twos) >> _U(58)), starts).view(np.int64)
     line, key, at = _seeds(codes, starts, lengths)
-    return line, key, at, maps
+    short = [(k, _short_keys(norms[k], similarity)) for k in np.flatnonzero(lengths - (lengths * (1 - similarity)).astype(int) <= SHORT)]
+    owner = np.repeat(np.array([k for k, _ in short], np.int64), [len(x) for _, x in short])
+    pieces = np.array([x for _, keys in short for x in keys], np.uint64).view(np.int64)
+    none = np.zeros(len(line), np.int64)
+    return np.r_[line, owner], np.r_[key, pieces], np.r_[at, np.zeros(len(owner), np.int64)], np.r_[none, maps[owner]]
 
 
 def _posts(similarity: float, bitmap=None):
@@ -216,9 +254,9 @@ def _posts(similarity: float, bitmap=None):
                 continue
             slot = key & (len(bits) * 8 - 1)
             hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            line, key, at = line[hit], key[hit], at[hit]
+            line, key, at, maps = line[hit], key[hit], at[hit], maps[hit]
             node, length = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("node", "length"))
-            arrays = [pa.array(x) for x in (key, node, maps[line], length, at.astype(np.int32))]
+            arrays = [pa.array(x) for x in (key, node, maps, length, at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "sim", "length", "at"])
 
     return run
@@ -229,7 +267,6 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     similarity: float = SIMILARITY,
-    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """``docs`` with the text less its repeated lines, and n_lines, n_dropped (lines before, lines dropped)."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -238,11 +275,11 @@ def dedup_lines(
     last = F.lit(2**63 - 1)
     src = slim_batches(docs).select(key.alias("key"), F.coalesce(F.col(id_col).cast("long"), last).alias("at"), text.alias("text"))
     lines = scratch.write(
-        src.mapInPandas(tidy(_line_rows()), "key long, at long, line int, node long, words int, length int, norm string"), "lines"
+        src.mapInPandas(tidy(_line_rows()), "key long, at long, line int, node long, length int, norm string"), "lines"
     )
 
-    distinct = lines.where("norm IS NOT NULL").select("node", "words", "length", "norm").dropDuplicates(["node"])
-    distinct = scratch.write(distinct.where(F.col("words") >= min_words).drop("words"), "distinct")
+    distinct = lines.where("norm IS NOT NULL").select("node", "length", "norm").dropDuplicates(["node"])
+    distinct = scratch.write(distinct, "distinct")
     posts = distinct.mapInArrow(tidy(_posts(similarity)), "key long")
 
     def narrowed(keys: DataFrame) -> DataFrame:
@@ -264,7 +301,7 @@ def dedup_lines(
 
         def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                limit = [int(max(len(x), len(y)) * (1 - similarity) + 1e-9) for x, y in zip(batch["na"], batch["nb"])]
+                limit = [_most(max(len(x), len(y)), similarity) for x, y in zip(batch["na"], batch["nb"])]
                 ok = [may_be_near(x, y, n) and edit_distance(x, y) <= n for x, y, n in zip(batch["na"], batch["nb"], limit)]
                 yield batch.loc[ok, ["a", "b"]]
 

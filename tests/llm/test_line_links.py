@@ -49,3 +49,15 @@ def test_long_lines_with_few_edits(spark):
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = by_edits(rows)
     assert {r["doc_id"]: r["text"] for r in out} == want and sum(not t for t in want.values()) >= 175
+
+
+def test_short_lines(spark):
+    rng = random.Random(6)
+    rows = [(0, "all rights reserved 2019 by example\nmenu\nhome page"), (1, "all rights reserved 2020 by example\nmenus\nhome page"), (2, "all rights reserved 2018 by example\nhome pages")]
+    for _ in range(80):
+        base = words(rng, rng.randint(1, 12))
+        for edits in range(0, 2 + len(base) // 10):
+            rows.append((len(rows), edited(rng, base, edits) or "x"))
+    rng.shuffle(rows)
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == by_edits(rows)
