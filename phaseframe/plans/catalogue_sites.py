@@ -105,7 +105,7 @@ def _(s, d):
 
 @query("realigned_states")
 def _(s, d):
-    pending = _seqs(s, d).where("read_id % 10 = 0").select(
+    pending = _seqs(s, d).select(
         "read_id", F.lit(0).cast("long").alias("idx"), F.substring("seq", 3, 17).alias("read_window"), F.substring("seq", F.lit(1), F.col("qpos")).alias("left_flank"),
         F.col("a").alias("allele_a"), F.col("b").alias("allele_b"), F.expr("substring(seq, qpos + 2, 24)").alias("right_flank"),
         F.lit(5).alias("gap_open"), F.lit(1).alias("gap_extend"), vr.is_homopolymer(F.col("seq")).alias("homopolymer"),

@@ -38,3 +38,8 @@ def test_full_plan_recovers_the_planted_phase(spark, tiny):
     orient = (out.h0 + out.truth) % 2
     same = [a == b for (x, a), (y, b) in zip(zip(out.block_id, orient), list(zip(out.block_id, orient))[1:]) if x == y]
     assert sum(same) / len(same) > 0.97
+
+
+def test_every_read_is_realigned(spark, con, tiny):
+    got = [r["read_id"] for r in catalogue.QUERIES["realigned_states"](spark, tiny).select("read_id").collect()]
+    assert sorted(got) == [r[0] for r in con.sql("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]
