@@ -6,7 +6,7 @@ state. Decoding is therefore a parity: within a block a variant's allele on the
 first haplotype is the number of switches after it, modulo two, as the last
 variant of a block is in state 0. That is two running sums instead of a
 sequential forward and backtrace pass. Blocks that hold an asymmetric matrix
-are decoded step by step in ``viterbi_blocks``.
+are decoded step by step in ``viterbi_blocks``; ``decoded`` has both.
 """
 
 from __future__ import annotations
@@ -72,11 +72,11 @@ def block_table(haps: DataFrame) -> DataFrame:
 
 
 def viterbi(t: np.ndarray) -> np.ndarray:
-    """States of the best path of one block; t[k] is the matrix into step k + 1. Ties go to state 0."""
+    """States of the best path of one block; t[k] is the matrix into step k + 1, its rows the states
+    stepped to, as in the reference. Ties go to state 0; an impossible step counts as 1e-20."""
     n = len(t) + 1
     score, back = np.log([0.5, 0.5]), np.zeros((n, 2), np.int8)
-    with np.errstate(divide="ignore"):
-        logs = np.log(t)
+    logs = np.log(np.where(t == 0, 1e-20, t)).transpose(0, 2, 1)
     for k in range(1, n):
         step = score[:, None] + logs[k - 1]
         back[k] = step.argmax(axis=0)
@@ -105,3 +105,13 @@ def viterbi_blocks(blocked: DataFrame) -> DataFrame:
         .groupBy("chrom", "block_id")
         .applyInPandas(run, "chrom string, idx long, block_id long, h0 int")
     )
+
+
+def decoded(blocked: DataFrame) -> DataFrame:
+    """``haplotypes``, with h0 and h1 of blocks that hold an asymmetric matrix from ``viterbi_blocks``.
+
+    The delta of those blocks stays that of the symmetric path.
+    """
+    odd = viterbi_blocks(blocked).select("chrom", "idx", F.col("h0").alias("own"))
+    haps = haplotypes(blocked).join(odd, ["chrom", "idx"], "left")
+    return haps.withColumn("h0", F.coalesce("own", "h0")).withColumn("h1", F.coalesce(1 - F.col("own"), "h1")).drop("own")

@@ -100,4 +100,4 @@ def phase(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> DataFra
     left = phaseable.join(changes.where("drop").select("chrom", "idx"), ["chrom", "idx"], "left_anti")
     # a variant before a dropped one steps over the gap with its new transition
     matrix = cut(_replaced(transitions.normalize(transitions.mirror(raw)), changes.where("NOT drop")), "joined")
-    return decode.haplotypes(decode.blocks(left, matrix)).select("chrom", "idx", "pos", "block_id", "h0", "h1")
+    return decode.decoded(cut(decode.blocks(left, matrix), "blocks")).select("chrom", "idx", "pos", "block_id", "h0", "h1")

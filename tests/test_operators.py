@@ -269,3 +269,24 @@ def test_config():
     with pytest.raises(ValueError):
         PhasingConfig(technology="other")
     assert math.isclose(PhasingConfig().error_rate, 1e-3)
+
+
+def test_plan_decodes_asymmetric_blocks(spark, monkeypatch):
+    """Blocks of the plan with asymmetric matrices against all paths, rows being the states stepped to."""
+    from itertools import product
+
+    from phaseframe.config import PhasingConfig
+    from phaseframe.plans import pipeline
+
+    cells = [(0.6, 0.4, 0.1, 0.9), (0.2, 0.8, 0.7, 0.3), (0.5, 0.5, 0.5, 0.5), (0.9, 0.1, 0.6, 0.4), (0.3, 0.7, 0.9, 0.1)]
+    variants = spark.createDataFrame([("c", k, 100 * k, "SNP") for k in range(6)], "chrom string, idx long, pos long, vtype string")
+    obs = spark.createDataFrame([("c", r, k, r % 2, True) for r in range(8) for k in range(6)], "chrom string, read_id long, idx long, state int, direct boolean")
+    schema = "chrom string, idx long, drop boolean, t00 double, t01 double, t10 double, t11 double"
+    changes = spark.createDataFrame([("c", k, False, *x) for k, x in enumerate(cells)], schema)
+    monkeypatch.setattr(pipeline, "rephased", lambda *a: changes.where("drop").drop("drop"))
+    monkeypatch.setattr(pipeline, "connected", lambda *a: changes)
+    got = {r["idx"]: (r["h0"], r["h1"]) for r in pipeline.phase(variants, obs, PhasingConfig()).collect()}
+    t = np.array(cells).reshape(-1, 2, 2)
+    for at, n in ((0, 3), (3, 3)):
+        best = max(product((0, 1), repeat=n), key=lambda h: sum(np.log(t[at + k][h[k + 1], h[k]]) for k in range(n - 1)))
+        assert [got[at + k] for k in range(n)] == [(h, 1 - h) for h in best]
