@@ -48,6 +48,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
+#: Of RAW, those that a browser doesn't carry on to the end of a page without a closing tag.
+UNCLOSED = frozenset("svg math select object canvas".split())
 #: An opening tag closes open elements of these names, up to the nearest of the stops.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -175,7 +177,7 @@ class Page:
                 if tag in RAW:
                     if not attrs.rstrip().endswith("/"):
                         close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(src, at)
-                        at = close.end() if close else n
+                        at = close.end() if close else at if tag in UNCLOSED else n
                     if tag not in ("script", "style", "noscript", "template"):
                         flush()
                     continue

@@ -72,3 +72,15 @@ def test_nulls_repeats_and_empty_table(spark):
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r["page_id"] or 0, len(r["text"]) > 0) for r in out) == [(0, True), (1, False), (1, False)]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["select", "svg", "math", "object", "canvas"])
+def test_unclosed_element_does_not_end_the_page(tag):
+    page = H.Page(f"<body><p>before</p><{tag} class='x'><p>the whole article</p></body>")
+    assert "the whole article" in vars(page)["text"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea", "iframe", "noscript"])
+def test_unclosed_raw_text_reaches_the_end(tag):
+    page = H.Page(f"<body><p>before</p><{tag}><p>no article</p></body>")
+    assert "before" in vars(page)["text"] and "no article" not in vars(page)["text"]
