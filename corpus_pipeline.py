@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseframe.llm import decontam, linededup, minhash, packing, quality
-from phaseframe.llm.common import Scratch, without_ids
+from phaseframe.llm.common import Scratch, bitmap_filter, without_ids
 from phaseframe.llm.queries import tokenizer_path
 
 
@@ -29,9 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id."""
-    classes = minhash.near_duplicates(docs)
-    return without_ids(docs, "doc_id", classes.where("doc_id <> class_id").select("doc_id"), Scratch(spark, "near"))
+    """One row of each group stays, that with the smallest id (null last), then text hash; of equal rows any one."""
+    scratch = Scratch(spark, "near")
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    classes = minhash.near_duplicates(rows, id_col="__row").where("class_size > 1")
+    members = classes.select(F.col("doc_id").alias("__row"), "class_id").groupBy("__row", "class_id").agg(F.count("*").alias("rows"))
+    ids = bitmap_filter(rows.select("__row", "doc_id"), "__row", members.select("__row")).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    members = scratch.write(members.join(ids, "__row").withColumn("place", place), "members")
+    stays = members.groupBy("class_id").agg(F.min("place").alias("stay"))
+    members = scratch.write(members.join(stays, "class_id").select("__row", "rows", (F.col("place") == F.col("stay")).alias("stays")), "placed")
+    left = without_ids(rows, "__row", members.where("NOT stays OR rows > 1").select("__row"), scratch)
+    again = members.where("stays AND rows > 1").select("__row")
+    again = bitmap_filter(rows, "__row", again).join(again, "__row").dropDuplicates(["__row"]).select(*rows.columns)
+    return left.unionByName(again).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,14 @@ def test_empty_documents(spark, tiny):
         out = stage(spark, docs, tiny)
         assert out.count() == 0
         docs = docs if "sequence_id" in out.columns else out
+
+
+def test_near_stage_keeps_one_row_of_repeated_and_null_ids(spark, tiny):
+    words = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(3, words), (3, words), (3, other), (None, words), (None, other + " end"), (5, words + " end"), (1, "alone"), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, tiny)
+    assert out.columns == COLUMNS
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(3, words), (3, other), (1, "alone"), (None, ""), (None, "")], key=str)
