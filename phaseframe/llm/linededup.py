@@ -16,8 +16,8 @@ near its place.
 
 Scale: a frequent line is one node, combined map-side; buckets are resolved by
 ``link_buckets`` without making all pairs of a group; the posts that meet in no
-bucket are mostly held back by a bitmap of fixed size before the exchange. Only
-narrow rows are grouped, whole texts are exchanged once, to drop their lines.
+bucket are mostly held back by a bitmap of fixed size before the exchange. Each
+distinct line's text is exchanged once, whole texts once, to drop their lines.
 
 Defined results: lines without a word are never dropped; lines are
 split at line feeds and the others keep their order; a text of which nothing
