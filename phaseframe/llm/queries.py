@@ -115,7 +115,38 @@ QUERIES = {
 _HARD_SQL = HARD_TURN.replace("'", "''")
 _ESC = "replace(replace(replace(replace({c}, '\\', '\\s'), '<turn', '\\lturn'), '</turn', '\\l/turn'), '<part/', '\\lpart/')"
 
+_LICENCES = license.templates()
+_LICENCE_ROWS = ", ".join(
+    f"({k}, '{t.label}', {str(t.base).lower()}, {t.key_at}, {len(t.key)}, '{' '.join(t.key)}')" for k, t in enumerate(_LICENCES)
+)
+_LICENCE_POSTS = ", ".join(f"({k}, '{w}', {r})" for k, t in enumerate(_LICENCES) for w, r in t.postings)
+
 ORACLE = {
+    # starts come from the key phrases here, not from an index
+    "op9_licenses": f"""
+WITH t(t, label, base, key_at, key_size, key) AS (VALUES {_LICENCE_ROWS}),
+posts(t, w, r) AS (VALUES {_LICENCE_POSTS}),
+files AS (
+  SELECT row_number() OVER () AS rid, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{license.SPLIT}', ' ', 'g')) AS norm FROM documents
+), f AS (SELECT *, CASE WHEN norm = '' THEN []::VARCHAR[] ELSE string_split(norm, ' ') END AS words FROM files),
+lexicon AS (SELECT DISTINCT w FROM posts),
+counts AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT rid, unnest(words) AS w FROM f) u JOIN lexicon USING (w) GROUP BY w),
+idf AS (SELECT w, greatest(ln(((SELECT count(*) FROM f) + 1.0::DOUBLE) / (coalesce(c, 0) + 0.5::DOUBLE)), 0.001) AS idf FROM lexicon LEFT JOIN counts USING (w)),
+totals AS (SELECT t, sum(idf) AS total FROM posts JOIN idf USING (w) GROUP BY t),
+starts AS (
+  SELECT rid, t, label, base, unnest([j FOR j IN range(0, len(words)) IF array_to_string(words[j + 1 : j + key_size], ' ') = key]) - key_at AS s
+  FROM f JOIN t ON contains(' ' || norm || ' ', ' ' || key || ' ')
+), mass AS (
+  SELECT s.rid, s.t, s.label, s.base, s.s, CASE WHEN s.base THEN 1.0::DOUBLE ELSE
+    round(coalesce(sum(CASE WHEN s.s + p.r >= 0 AND f.words[s.s + p.r + 1] = p.w THEN i.idf END), 0) / max(total), 9) END AS mass
+  FROM starts s JOIN posts p USING (t) JOIN idf i USING (w) JOIN totals USING (t) JOIN f USING (rid) GROUP BY s.rid, s.t, s.label, s.base, s.s
+), places AS (SELECT * FROM mass WHERE mass >= {license.MIN_MASS})
+SELECT f.doc_id, len(f.words)::BIGINT AS n_words, count(*) FILTER (WHERE p.base)::BIGINT AS n_base,
+  min(p.s) FILTER (WHERE p.base)::BIGINT AS first_word, max(p.s) FILTER (WHERE p.base)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT p.label, ',' ORDER BY p.label) FILTER (WHERE p.base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT p.label, ',' ORDER BY p.label), '') AS labels, coalesce(max(p.mass), 0.0::DOUBLE) AS score
+FROM f LEFT JOIN places p USING (rid) GROUP BY f.rid, f.doc_id, f.words""",
     "op1_chat": f"""
 WITH rows_in AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -1,5 +1,7 @@
 """Chat formatting, url rules and licence scanning."""
 
+import math
+import random
 import re
 
 import duckdb
@@ -103,11 +105,41 @@ def test_licenses_against_a_loop(spark):
     assert license.scan(df.limit(0)).count() == 0
 
 
+def test_licence_places_against_every_start(spark):
+    """All starts of all templates in a loop, with words of the notices changed, left out or moved."""
+    rng = random.Random(4)
+    texts = [None, "", "the mit license"]
+    for t in license.templates():
+        for share in (0.0, 0.1, 0.25, 0.5):
+            words = [w if rng.random() >= share else rng.choice(["", "other", "license software"]) for w in t.words]
+            texts.append(" ".join(["some", "words", "before"][: rng.randint(0, 3)] + words + ["and after"] * rng.randint(0, 2)))
+    texts += ["hereby granted free of charge to any person"] * 3 + ["plain text of a file about a public domain"] * 40
+    lists = [(t or "").split() for t in texts]
+    n = len(lists)
+    known = license.templates()
+    idf = {w: max(math.log((n + 1) / (sum(w in x for x in lists) + 0.5)), 1e-3) for t in known for w, _ in t.postings}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hit = 0
+    for r in license.scan(df).collect():
+        words, want = lists[r["doc_id"]], []
+        for t in known:
+            total = sum(idf[w] for w, _ in t.postings)
+            for s in range(-len(t.words), len(words)):
+                k = s + t.key_at
+                if k >= 0 and tuple(words[k : k + len(t.key)]) == t.key:
+                    mass = 1.0 if t.base else sum(idf[w] for w, i in t.postings if 0 <= s + i < len(words) and words[s + i] == w) / total
+                    if round(mass, 9) >= license.MIN_MASS:
+                        want.append((t.label, s, t.base, round(mass, 7)))
+        assert sorted((p["label"], p["start"], p["base"], round(p["mass"], 7)) for p in r["places"]) == sorted(want)
+        hit += len(want)
+    assert hit > 60
+
+
 def test_registered_native_queries_match_their_sql(spark, tiny):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tiny}/{t}.parquet')")
-    for name in ("op1_chat", "op5_urls"):
+    for name in ("op1_chat", "op5_urls", "op9_licenses"):
         df = queries.QUERIES[name](spark, tiny)
         rel = con.sql(queries.ORACLE[name])
         cols = sorted(df.columns)
