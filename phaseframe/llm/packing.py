@@ -102,9 +102,10 @@ class WordTokenizer:
 
     The vocabulary's rules work on one pre-token at a time, so ids of a text are
     the ids of its pre-tokens in a row. For texts in plain Latin letters the
-    pre-tokens are cut out of a slice of texts at once, named by a 64-bit
-    hash of their lower-case letters, and each distinct one is encoded once; any
-    other text (other scripts, combining marks, control characters, special
+    pre-tokens are cut out of a slice of texts at once, named by their lower-case
+    letters, up to eight, or a 64-bit hash of them, and each distinct one is encoded
+    once. Letters of longer ones are compared with those that have the name; what
+    differs has a number of its own. Any other text (other scripts, combining marks, control characters, special
     tokens) is encoded whole by the library. Both give the same ids.
     """
 
@@ -144,6 +145,9 @@ class WordTokenizer:
         self.known = 0
         self.flat = np.empty(0, np.int32)
         self.begin = np.zeros(1, np.int64)
+        self.letters = np.empty(0, np.uint8)
+        self.letter_begin = np.zeros(1, np.int64)
+        self.unnamed: dict[bytes, int] = {}  # pre-tokens whose name another one has
 
     def _find(self, names: np.ndarray) -> np.ndarray:
         """Numbers of the pre-tokens with these hashes; -1 for new ones."""
@@ -158,7 +162,7 @@ class WordTokenizer:
             left, slot = left[on], (slot[on] + np.uint64(1)) % np.uint64(len(self.slots))
         return out
 
-    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+    def _keep(self, words: list[str]) -> None:
         """Encodes new pre-tokens in one call; the end-of-word mark tells them apart."""
         ids = np.asarray(self.whole.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
         stop = np.flatnonzero(self.ends[ids]) + 1
@@ -166,8 +170,14 @@ class WordTokenizer:
             raise ValueError("pre-tokens and end-of-word marks differ")
         self.begin = np.concatenate([self.begin, self.begin[-1] + stop])
         self.flat = np.concatenate([self.flat, ids])
-        number, left = np.arange(self.known, self.known + len(words)), np.arange(len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.letter_begin = np.concatenate([self.letter_begin, self.letter_begin[-1] + np.cumsum(sizes)])
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(words).encode("latin-1"), np.uint8)])
         self.known += len(words)
+
+    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+        number, left = np.arange(self.known, self.known + len(words)), np.arange(len(words))
+        self._keep(words)
         slot = names % np.uint64(len(self.slots))
         while len(left):
             free = self.slots[slot] == 0
@@ -176,6 +186,34 @@ class WordTokenizer:
             self.number[slot[won]] = number[left[won]]
             left, slot = left[~won], (slot[~won] + np.uint64(1)) % np.uint64(len(self.slots))
 
+    def _names(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Names of pre-tokens: a bijection of up to eight letters, a hash of more."""
+        size = stop - start
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))[start].astype(np.uint64)
+        short = size < 8
+        eight[short] &= (np.uint64(1) << (size[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(self.code[raw] * self.power[: len(raw)])])
+            a, b = start[long], stop[long]
+            eight[long] = (sums[b] - sums[a]) * self.inverse[a] + size[long].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        names = (eight ^ (eight >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.maximum(names ^ (names >> np.uint64(29)), np.uint64(1))
+
+    def _misnamed(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Pre-tokens whose letters aren't those of the one found by their name."""
+        size, first = stop - start, self.letter_begin[found]
+        wrong = self.letter_begin[found + 1] - first != size
+        long = np.flatnonzero((size > 8) & ~wrong)  # shorter ones of one length have one name if they are equal, and only then
+        if len(long):
+            n = size[long]
+            before = np.cumsum(n) - n
+            step = np.arange(int(n.sum()))
+            apart = raw[step + np.repeat(start[long] - before, n)] != self.letters[step + np.repeat(first[long] - before, n)]
+            wrong[long] = np.logical_or.reduceat(apart, before)
+        return np.flatnonzero(wrong)
+
     def _pre_tokens(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-but-one positions of the pre-tokens of lower-case bytes."""
         kind = self.kind[raw]
@@ -208,10 +246,7 @@ class WordTokenizer:
         start, stop = self._pre_tokens(raw)
         if not len(start):
             return [np.empty(0, np.int32) for _ in texts]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.code[raw] * self.power[: len(raw)])])
-        names = (sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        names = (names ^ (names >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        names = np.maximum(names ^ (names >> np.uint64(29)), np.uint64(1))
+        names = self._names(raw, start, stop)
         found = self._find(names)
         new = np.flatnonzero(found < 0)
         if len(new):
@@ -223,6 +258,12 @@ class WordTokenizer:
             data, at = raw.tobytes(), new[where]
             self._learn(fresh, [data[i:j].decode("latin-1") for i, j in zip(start[at].tolist(), stop[at].tolist())])
             found[new] = self._find(names[new])
+        for i in self._misnamed(raw, start, stop, found).tolist():
+            word = raw[start[i] : stop[i]].tobytes()
+            if word not in self.unnamed:
+                self.unnamed[word] = self.known
+                self._keep([word.decode("latin-1")])
+            found[i] = self.unnamed[word]
         first, n = self.begin[found], self.begin[found + 1] - self.begin[found]
         total = np.cumsum(n)
         ids = self.flat[np.arange(total[-1]) + np.repeat(first - (total - n), n)]

@@ -78,3 +78,20 @@ def test_little_padding_and_empty_table(spark, tiny):
     used, n = df.selectExpr("sum(length)", "count(DISTINCT sequence_id)").first()
     assert used / (n * packing.WINDOW) > 0.97
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer_path()).count() == 0
+
+
+def test_words_of_one_name_keep_their_own_ids(reference, monkeypatch):
+    """The Thue-Morse word and its complement have one polynomial hash modulo a power of two."""
+    tok = packing.WordTokenizer(queries.tokenizer_path())
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), f"{one} and {one.translate(str.maketrans('ab', 'ba'))}"]
+    want = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] != want[1] and [x.tolist() for x in tok.encode(texts)] == want
+    whole = packing.WordTokenizer._names
+
+    def clashing(self, raw, start, stop):
+        return np.where(stop - start > 8, np.uint64(77), whole(self, raw, start, stop))
+
+    monkeypatch.setattr(packing.WordTokenizer, "_names", clashing)
+    tok, texts = packing.WordTokenizer(queries.tokenizer_path()), ["considerable advantages of independence, independent of consideration", "independence advantages, considerable"]
+    assert [x.tolist() for x in tok.encode(texts)] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
