@@ -23,6 +23,7 @@ languages, sources and ids never enter a statistic.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import zlib
 from collections import Counter
@@ -41,31 +42,36 @@ N_STATS = 22
 THRESHOLD = 0.7
 
 
-def _class_table(size: int = 0x3000) -> np.ndarray:
-    table = np.empty(size, np.uint8)
-    for code in range(size):
-        ch = chr(code)
-        kind = unicodedata.category(ch)
-        if ch == "\n":
-            table[code] = BREAK
-        elif ch.isspace():
-            table[code] = SPACE
-        elif kind == "Lu":
-            table[code] = UPPER
-        elif kind[0] in "LM":
-            table[code] = LOWER
-        elif kind[0] == "N":
-            table[code] = DIGIT
-        elif ch in ".,":
-            table[code] = STOP
-        elif ch in ";:'\"!?-()":
-            table[code] = MARK
-        else:
-            table[code] = SYMBOL
-    return table
-
-
-_CLASSES = _class_table()
+@functools.lru_cache(1 << 17)
+def _class_of(code: int) -> int:
+    ch = chr(code)
+    kind = unicodedata.category(ch)
+    if ch == "\n":
+        return BREAK
+    if ch.isspace():
+        return SPACE
+    if kind == "Lu":
+        return UPPER
+    if kind[0] in "LM":
+        return LOWER
+    if kind[0] == "N":
+        return DIGIT
+    if ch in ".,":
+        return STOP
+    return MARK if ch in ";:'\"!?-()" else SYMBOL
+
+
+#: Classes of the first code points; those of others are looked up as they come.
+_CLASSES = np.array([_class_of(code) for code in range(0x3000)], np.uint8)
+
+
+def classes(codes: np.ndarray) -> np.ndarray:
+    kinds = _CLASSES[np.minimum(codes, len(_CLASSES) - 1)]
+    far = np.flatnonzero(codes >= len(_CLASSES))
+    if len(far):
+        own, at = np.unique(codes[far], return_inverse=True)
+        kinds[far] = np.array([_class_of(int(c)) for c in own], np.uint8)[at]
+    return kinds
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -73,7 +79,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     n = len(texts)
     lens = np.fromiter(map(len, texts), np.int64, n)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    kinds = _CLASSES[np.minimum(codes, len(_CLASSES) - 1)]
+    kinds = classes(codes)
     doc = np.repeat(np.arange(n), lens)
     counts = np.bincount(doc * 8 + kinds, minlength=n * 8).reshape(n, 8).astype(float)
     # places where a symbol or mark follows a word character: symbols glued to words

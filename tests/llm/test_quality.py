@@ -72,3 +72,29 @@ def test_log_ratio_is_that_of_two_gaussians():
     x = rng.normal(size=(5, p))
     dens = lambda c, mu: np.array([-0.5 * (v - mu) @ np.linalg.inv(c @ c.T) @ (v - mu) - 0.5 * np.linalg.slogdet(c @ c.T)[1] for v in x])
     assert np.allclose(m.log_ratio(x), dens(b, np.ones(p)) - dens(a, np.zeros(p)) + 0.3)
+
+
+def test_classes_of_all_scripts():
+    codes = np.array([ord(c) for c in "a\u00c9\u3042\u6f22\ud55c\uff21\U00020000\U0001f600\uff11\u3000"], np.uint32)
+    lower, upper = quality.LOWER, quality.UPPER
+    want = [lower, upper, lower, lower, lower, upper, lower, quality.SYMBOL, quality.DIGIT, quality.SPACE]
+    assert quality.classes(codes).tolist() == want
+
+
+def test_fit_against_plain_numpy(spark):
+    """Moments, shrinkage and log densities anew from the rows, without the operator's sums and factors."""
+    rng, p = np.random.default_rng(5), quality.N_STATS
+    y = (rng.random(400) < 0.6).astype(int)
+    x = rng.normal(size=(400, p)) @ (np.eye(p) + 0.3 * rng.normal(size=(p, p))) + np.outer(y, rng.normal(size=p)) + 7
+    table = spark.createDataFrame([(int(v), row.tolist()) for v, row in zip(y, x)], "label int, x array<double>")
+    model = quality.fit(table, 0.1, 0.02)
+    cov = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).sum() * cov[c] for c in (0, 1)) / len(y)
+    mean, scale = np.mean([x[y == c].mean(axis=0) for c in (0, 1)], axis=0), np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    z, out = (x - mean) / scale, []
+    for c in (0, 1):
+        s = (0.9 * cov[c] + 0.1 * pooled) / np.outer(scale, scale)
+        s = 0.98 * s + 0.02 * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s))
+        d = z - z[y == c].mean(axis=0)
+        out.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log((y == c).mean()))
+    assert np.allclose(model.log_ratio(x), out[1] - out[0], rtol=1e-5, atol=1e-6)
