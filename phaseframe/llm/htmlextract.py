@@ -16,6 +16,8 @@ Scale: pages are independent rows (``mapInPandas`` without an exchange), worked
 off in small slices of a batch; a very long page is one row's memory, and depth
 of nesting costs no recursion.
 
+Text of inline elements that are hidden is left out; that of formulas and drawings stays in its block.
+
 Defined results: null or empty html gives an empty text, as does a page without
 main text; a text without markup is a page of one block; repeated rows give
 repeated results; null ids and urls pass through; an empty table gives no rows;
@@ -94,6 +96,25 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDES = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_STYLE_HIDES = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_SVG_TEXT = re.compile(r"<text\b[^>]*>(.*?)</text\s*>", re.I | re.S)
+_ANNOTATION = re.compile(r"<(annotation(?:-xml)?)\b.*?</\1\s*>", re.I | re.S)
+_ANY_TAG = re.compile(r"<[^>]*>")
+
+
+@functools.lru_cache(4096)
+def _is_hidden(attrs: str) -> bool:
+    """Whether an element isn't shown: a ``hidden`` attribute or a style that says so."""
+    return bool(_HIDES.search(_QUOTED.sub('""', attrs)) or _STYLE_HIDES.search(attrs))
+
+
+def _drawn(tag: str, inner: str) -> str:
+    """What a page shows of the text inside a formula or a drawing."""
+    if tag == "math":
+        return _ANY_TAG.sub(" ", _ANNOTATION.sub(" ", inner))
+    return _ANY_TAG.sub(" ", " ".join(_SVG_TEXT.findall(inner))) if tag == "svg" else ""
 
 
 @functools.lru_cache(4096)
@@ -132,6 +153,7 @@ class Page:
         run: list[str] = []
         in_link, link = False, 0
         at, n = 0, len(src)
+        unseen: list = []  # of a hidden inline element: its tag, open ones of that tag, depth of the stack
 
         def flush() -> None:
             nonlocal run, link
@@ -142,9 +164,12 @@ class Page:
                 run, link = [], 0
 
         def pop_to(depth: int) -> None:
+            nonlocal unseen
             while len(stack) > depth:
                 stack.pop()
                 counts[names.pop()] -= 1
+            if unseen and depth < unseen[2]:  # its block has ended
+                unseen = []
 
         while at < n:
             m = _TAG.search(src, at)
@@ -152,7 +177,7 @@ class Page:
                 stop = n
             else:
                 stop = m.start()
-            if stop > at:
+            if stop > at and not unseen:
                 piece = src[at:stop]
                 run.append(piece)
                 if in_link:
@@ -164,6 +189,10 @@ class Page:
             if start:
                 tag = start.lower()
                 if tag in INLINE:
+                    if unseen:
+                        unseen[1] += tag == unseen[0]
+                    elif m[3] and tag not in VOID and _is_hidden(m[3]) and not m[3].rstrip().endswith("/"):
+                        unseen = [tag, 1, len(stack)]
                     if tag == "a":
                         in_link = True
                     continue
@@ -177,8 +206,10 @@ class Page:
                 if tag in RAW:
                     if not attrs.rstrip().endswith("/"):
                         close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(src, at)
+                        if close and not unseen and not _is_hidden(attrs) and (seen := _drawn(tag, src[at : close.start()])).strip():
+                            run.append(f" {seen} ")
                         at = close.end() if close else at if tag in UNCLOSED else n
-                    if tag not in ("script", "style", "noscript", "template"):
+                    if tag == "title":
                         flush()
                     continue
                 flush()
@@ -199,7 +230,7 @@ class Page:
                 if tag in ("html", "body") and counts.get(tag):
                     continue
                 bits, hidden = _categories(attrs) if attrs else (0, False)
-                if hidden or tag == "head":
+                if hidden or unseen or tag == "head":
                     bits |= 1 << (N_CAT)
                 stack.append(self._add(tag, stack[-1], bits))
                 names.append(tag)
@@ -207,6 +238,9 @@ class Page:
             elif end:
                 tag = end.lower()
                 if tag in INLINE:
+                    if unseen and tag == unseen[0]:
+                        unseen[1] -= 1
+                        unseen = unseen if unseen[1] else []
                     if tag == "a":
                         in_link = False
                     continue
