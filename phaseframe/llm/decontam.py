@@ -11,8 +11,9 @@ values. With equal slots throughout it is 'verbatim', else 'reparameterised': th
 same question with other numbers, names or units.
 
 Windows need ``min_literal`` tokens that are not placeholders. Items shorter
-than a window are matched whole, at their own length; items with fewer than
-``min_literal`` literal tokens can't be told from ordinary text and are ignored.
+than a window are matched whole, at their own length. Items with fewer than
+``min_literal`` literal tokens can't be told from ordinary text: they are found
+where they are a whole text, with equal slots.
 
 Scale: only benchmark windows are gathered, into a bitmap of at most 2**28 bits
 whatever the benchmark's size; document windows outside it never leave their
@@ -26,8 +27,8 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,10 +50,8 @@ UNITS = frozenset(
 )
 _U = np.uint64
 _LITERAL, _NUMBER, _CAPITAL, _NOTHING = range(4)
-_CORE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
+_CORE_HEAD, _CORE_TAIL = re.compile(r"[^\w$€£%°+-]*"), re.compile(r"[^\w$€£%°]+$")
 _IS_NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*%?")
-_HAS_DIGIT = re.compile(r"\d")
-_GLUED = re.compile(r"(?<=\d)(?=[^\W\d_])|(?<=[^\W\d_])(?=\d)")
 _PLACEHOLDERS = {"num": 1, "unit": 2, "name": 3}
 
 
@@ -66,86 +65,168 @@ def mix(x: np.ndarray) -> np.ndarray:
 _TYPED = mix(np.arange(4, dtype=_U))
 
 
-class Canonical:
-    """Token sequences of texts, with a cache of distinct words."""
+_SPACE, _WORD, _DIGIT, _ALPHA, _UPPER, _LOWER, _SIGN, _END = (1 << k for k in range(8))
+_BASE = 0x9E3779B97F4A7C15
+_power = _inverse = np.ones(1, _U)
 
-    LIMIT = 300_000
 
-    def __init__(self):
-        self._reset()
+@functools.lru_cache(1 << 17)
+def _char(code: int) -> tuple[int, int]:
+    """Class bits of a code point, and its lower-case one."""
+    c = chr(code)
+    bits = _SPACE * c.isspace() | _DIGIT * c.isdecimal() | _ALPHA * c.isalpha() | _WORD * (c.isalnum() or c == "_")
+    bits |= _UPPER * (c.isupper() or c.istitle()) | _LOWER * c.islower() | _SIGN * (c in ",.;:!?") | _END * (c in ".!?:")
+    return bits, ord(c.lower()) if len(c.lower()) == 1 else code
 
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.code, self.kind, self.unit, self.ends = np.empty(0, _U), np.empty(0, np.int8), np.empty(0, bool), np.empty(0, bool)
 
-    def _learn(self, words: list[str]) -> None:
-        code, kind, unit, ends = [], [], [], []
-        for word in words:
-            core = _CORE.sub("", word)
-            low = core.lower()
-            if not core:
-                kind.append(_NOTHING)
-            elif _IS_NUMBER.fullmatch(core):
-                kind.append(_NUMBER)
-            elif core[0].isupper() and core[1:].islower():  # not shouting, not an initial
-                kind.append(_CAPITAL)
-            else:
-                kind.append(_LITERAL)
-            self.index[word] = len(self.index)
-            code.append(zlib.crc32(low.encode("utf-8", "surrogatepass")) + 16)
-            unit.append(low in UNITS)
-            ends.append(word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":"))
-        self.code = np.concatenate([self.code, mix(np.array(code, _U))])
-        self.kind = np.concatenate([self.kind, np.array(kind, np.int8)])
-        self.unit = np.concatenate([self.unit, np.array(unit, bool)])
-        self.ends = np.concatenate([self.ends, np.array(ends, bool)])
-
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """Words of the texts, all of them then in the cache."""
-        out = [(_GLUED.sub(" ", t) if _HAS_DIGIT.search(t) else t).split() for t in texts]
-        seen = set().union(*out)
-        if len(self.index) > self.LIMIT:
-            self._reset()
-        if new := sorted(seen.difference(self.index)):
-            self._learn(new)
-        return out
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, placeholder types (0: literal), positions among the words."""
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        kinds = self.kind[at]
-        keep = np.flatnonzero(kinds != _NOTHING)
-        if not len(keep):
-            return np.empty(0, _U), np.empty(0, np.int8), keep
-        opening = np.empty(len(at), bool)
-        opening[0] = True
-        opening[1:] = self.ends[at[:-1]]
-        # a sign alone that ends a sentence passes that on to the next token
-        at, kinds, opening = at[keep], kinds[keep], np.maximum.reduceat(opening, np.append(0, keep[:-1] + 1))
-        types = np.zeros(len(at), np.int8)
-        types[kinds == _NUMBER] = _PLACEHOLDERS["num"]
-        after = np.zeros(len(at), bool)
-        after[1:] = kinds[:-1] == _NUMBER
-        types[(kinds == _CAPITAL) & ~opening] = _PLACEHOLDERS["name"]
-        types[self.unit[at] & after & (kinds != _NUMBER)] = _PLACEHOLDERS["unit"]
-        codes = np.where(types == 0, self.code[at], _TYPED[types])
-        return codes, types, keep
+#: Classes and lower case of the first code points; those of others are looked up as they come.
+_BITS, _FOLD = (np.array(x) for x in zip(*map(_char, range(0x3000))))
+_BITS, _FOLD = _BITS.astype(np.uint8), _FOLD.astype(np.uint32)
 
 
-_BASE = 0x9E3779B97F4A7C15
-_power = _inverse = np.ones(1, _U)
+def _chars(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    near = np.minimum(codes, len(_BITS) - 1)
+    bits, fold = _BITS[near], _FOLD[near]
+    far = np.flatnonzero(codes >= len(_BITS))
+    if len(far):
+        own, at = np.unique(codes[far], return_inverse=True)
+        known = np.array([_char(int(c)) for c in own], np.int64)[at]
+        bits[far], fold[far] = known[:, 0], known[:, 1]
+    return bits, fold
+
+
+def _letter(fold: np.ndarray) -> np.ndarray:
+    """A 64-bit code of lower-case code points."""
+    x = fold.astype(_U) * _U(0xD6E8FEB86659FD93)
+    return (x ^ (x >> _U(32))) * _U(0xBF58476D1CE4E5B9)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     global _power, _inverse
     if n > len(_power):
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 19)
         _power = np.cumprod(np.full(size, _BASE, _U))
         _inverse = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), _U))
     return _power, _inverse
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def word_code(core: str) -> int:
+    """Code of a word without its signs: a polynomial in its lower-case letters."""
+    letters = _letter(_chars(_codes(core))[1])
+    power, inverse = _powers(len(letters))
+    return int(mix((letters * power[: len(letters)]).sum(dtype=_U)[None] * inverse[:1] + _U(len(letters)))[0])
+
+
+_UNIT_CODES = np.sort(np.array([word_code(u) for u in UNITS], _U))
+
+
+class Canonical:
+    """The words of a slice of texts, cut and classed in whole arrays.
+
+    A word ends at white space and between a digit and a letter. Words of letters,
+    or letters before one sign, are classed by counts of character classes; each other
+    one (digits, signs inside or around) by its string, once while it is remembered.
+    """
+
+    LIMIT = 300_000
+
+    def __init__(self):
+        self.odd: dict[str, tuple[int, bool, int, int]] = {}
+
+    def _classed(self, word: str) -> tuple[int, bool, int, int]:
+        """Kind, whether it ends a sentence, and where its core begins and ends."""
+        if (found := self.odd.get(word)) is None:
+            if len(self.odd) >= self.LIMIT:
+                self.odd = {}
+            head = _CORE_HEAD.match(word).end()
+            core = _CORE_TAIL.sub("", word[head:])
+            if not core:
+                kind = _NOTHING
+            elif _IS_NUMBER.fullmatch(core):
+                kind = _NUMBER
+            elif core[0].isupper() and core[1:].islower():  # not shouting, not an initial
+                kind = _CAPITAL
+            else:
+                kind = _LITERAL
+            ends = word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
+            found = self.odd[word] = (kind, ends, head, head + len(core))
+        return found
+
+    def read(self, texts: list[str]) -> None:
+        self.text = "\n".join(texts)
+        codes = _codes(self.text)
+        bits, fold = _chars(codes)
+        n = len(codes)
+        before = np.empty(n, np.uint8)
+        before[:1] = _SPACE
+        before[1:] = bits[:-1]
+        blank = (bits & _SPACE) != 0
+        letter = lambda b: (b & (_WORD | _DIGIT)) == _WORD
+        digit = lambda b: (b & _DIGIT) != 0
+        under = codes == 95
+        glued = (letter(bits) & ~under & digit(before)) | (digit(bits) & letter(before) & ~np.concatenate([[False], under[:-1]])[:n])
+        self.start = np.flatnonzero(~blank & (((before & _SPACE) != 0) | glued))
+        gap = np.flatnonzero(blank & ((before & _SPACE) == 0))
+        stop = np.append(self.start[1:], n)[: len(self.start)]
+        self.stop = np.minimum(stop, np.append(gap, n)[np.searchsorted(gap, self.start)])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.bound = np.searchsorted(self.start, np.concatenate([[0], ends]))
+        power, inverse = _powers(n)
+        running = lambda x, t: np.concatenate([np.zeros(1, t), np.cumsum(x, dtype=t)])
+        alpha, upper, lower = (running((bits & c) != 0, np.int32) for c in (_ALPHA, _UPPER, _LOWER))
+        sums = running(_letter(fold) * power[:n], _U)
+        i, j = self.start, self.stop
+        last = bits[j - 1] if len(j) else np.empty(0, np.uint8)
+        letters = alpha[j] - alpha[i]
+        signed = (letters == j - i - 1) & (letters > 0) & ((last & _SIGN) != 0)
+        plain = (letters == j - i) | signed
+        self.end = e = j - signed
+        self.begin = i.copy()
+        first = np.minimum(i + 1, e)
+        capital = ((bits[i] & _UPPER) != 0) & (lower[e] > lower[first]) & (upper[e] == upper[first])
+        self.kind = np.where(capital, _CAPITAL, _LITERAL).astype(np.int8)
+        self.closes = signed & ((last & _END) != 0)
+        for k in np.flatnonzero(~plain).tolist():
+            self.kind[k], self.closes[k], head, tail = self._classed(self.text[i[k] : j[k]])
+            self.begin[k], self.end[k] = i[k] + head, i[k] + tail
+        i, e = self.begin, self.end
+        self.code = mix((sums[e] - sums[i]) * inverse[np.minimum(i, max(0, n - 1))] + (e - i).astype(_U))
+
+    def __call__(self, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, placeholder types (0: literal) and numbers of the words of a text."""
+        at = np.arange(self.bound[doc], self.bound[doc + 1])
+        kinds, keep = self.kind[at], None
+        if not len(at) or (kinds == _NOTHING).all():
+            return np.empty(0, _U), np.empty(0, np.int8), at[:0]
+        opening = np.empty(len(at), bool)
+        opening[0] = True
+        opening[1:] = self.closes[at[:-1]]
+        if (kinds == _NOTHING).any():
+            keep = np.flatnonzero(kinds != _NOTHING)
+            # a sign alone that ends a sentence passes that on to the next token
+            at, kinds, opening = at[keep], kinds[keep], np.maximum.reduceat(opening, np.append(0, keep[:-1] + 1))
+        types = np.zeros(len(at), np.int8)
+        number = kinds == _NUMBER
+        types[number] = _PLACEHOLDERS["num"]
+        types[(kinds == _CAPITAL) & ~opening] = _PLACEHOLDERS["name"]
+        after = np.flatnonzero(number[:-1] & ~number[1:]) + 1
+        if len(after):
+            codes = self.code[at[after]]
+            near = _UNIT_CODES[np.minimum(np.searchsorted(_UNIT_CODES, codes), len(_UNIT_CODES) - 1)]
+            types[after[near == codes]] = _PLACEHOLDERS["unit"]
+        codes = np.where(types == 0, self.code[at], _TYPED[types])
+        return codes, types, at
+
+    def slots(self, types: np.ndarray, at: np.ndarray, start: int, size: int) -> list[str]:
+        """Values of a window's placeholders, in order, with their types."""
+        return [f"{types[i]}:{self.text[self.begin[at[i]] : self.end[at[i]]].lower()}" for i in range(start, start + size) if types[i]]
+
+
 def window_hashes(codes: np.ndarray, types: np.ndarray, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the windows with enough literal tokens. A hash is a
     polynomial in the window's codes, from running sums."""
@@ -162,11 +243,6 @@ def window_hashes(codes: np.ndarray, types: np.ndarray, size: int, min_literal:
     return ok, mix(h[ok])
 
 
-def _slots(types: np.ndarray, keep: np.ndarray, words: list[str], start: int, size: int) -> list[str]:
-    """Values of a window's placeholders, in order, with their types."""
-    return [f"{types[i]}:{_CORE.sub('', words[keep[i]]).lower()}" for i in range(start, start + size) if types[i]]
-
-
 _ROWS = "id long, pos int, windows int, size int, h long, slots array<string>"
 
 
@@ -179,21 +255,25 @@ def _windows(window: int, min_literal: int, lengths: list[int] | None, bitmap):
         mask = _U(len(bits) * 8 - 1) if bits is not None else None
         for batch in batches:
             rows: list[tuple] = []
-            for lo in range(0, len(batch), 64):
-                part = batch.iloc[lo : lo + 64]
-                for i, words in zip(part["id"], canonical.words([t or "" for t in part["text"]])):
-                    codes, types, keep = canonical(words)
-                    for size in lengths if lengths is not None else [min(window, len(codes))]:
-                        if size < min_literal:
+            for part in _slices(batch):
+                canonical.read([t or "" for t in part["text"]])
+                for k, i in enumerate(part["id"]):
+                    codes, types, at = canonical(k)
+                    if len(codes) and np.count_nonzero(types == 0) < min_literal:  # such an item is only found as a text of its own
+                        sizes = [-len(codes)]
+                    else:
+                        sizes = lengths if lengths is not None else [min(window, len(codes))]
+                    for size in sizes:
+                        if 0 <= size < min_literal:
                             continue
-                        start, h = window_hashes(codes, types, size, min_literal)
+                        start, h = window_hashes(codes, types, abs(size), min_literal if size > 0 else 0)
                         total = len(start)
                         if bits is not None and total:
                             p = h & mask
                             hit = np.flatnonzero((bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1)
                             start, h = start[hit], h[hit]
                         for s, x in zip(start.tolist(), h.view(np.int64).tolist()):
-                            rows.append((None if pd.isna(i) else int(i), s, total, size, x, _slots(types, keep, words, s, size)))
+                            rows.append((None if pd.isna(i) else int(i), s, total, size, x, canonical.slots(types, at, s, abs(size))))
                 if len(rows) > 20_000:
                     yield _frame(rows)
                     rows = []
@@ -203,6 +283,16 @@ def _windows(window: int, min_literal: int, lengths: list[int] | None, bitmap):
     return run
 
 
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of some hundred thousand characters, small enough for a processor's cache."""
+    lo, size = 0, 0
+    for hi, text in enumerate(batch["text"], 1):
+        size += len(text or "")
+        if size > 200_000 or hi == len(batch):
+            yield batch.iloc[lo:hi]
+            lo, size = hi, 0
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["id", "pos", "windows", "size", "h", "slots"])
     out["id"] = out["id"].astype("Int64")
@@ -240,7 +330,7 @@ def contaminated(
     scratch = Scratch(spark, "decontam")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = scratch.write(items.mapInPandas(tidy(_windows(window, min_literal, None, None)), _ROWS), "items")
-    lengths = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
+    lengths = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # at most `window` values
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInPandas(tidy(_windows(window, min_literal, lengths, bitmap)), _ROWS)
@@ -253,10 +343,12 @@ def contaminated(
         .agg(
             F.count_distinct("ipos").alias("n_windows"),
             F.min("dpos").alias("at"),
+            F.min("size").alias("size"),
             F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "dslots")))).alias("slots"),
         )
         .where(F.col("n_windows") >= F.least(F.lit(min_windows), F.greatest(F.col("item_windows") - 1, F.lit(1))))
         .where("size(array_distinct(transform(slots, s -> s.islots))) = size(slots)")
+        .where("size > 0 OR forall(slots, s -> s.islots = s.dslots)")
         .withColumn("kind", F.expr("if(forall(slots, s -> s.islots = s.dslots), 'verbatim', 'reparameterised')"))
     )
     best = F.max(F.struct("n_windows", F.col("kind") == "verbatim", -F.col("at"), "item_windows", "at", "kind"))

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from phaseframe.llm import decontam, queries
@@ -17,9 +20,13 @@ CASES = [
     (8, PLAIN.upper() + "!!", {(1, "verbatim")}),
     (9, "word " * 40_000 + PLAIN, {(1, "verbatim")}),
     (None, PLAIN, {(1, "verbatim")}),
+    (11, "Too short!", {(5, "verbatim")}),
+    (12, "It is too short to tell.", set()),
+    (13, " 12 + 30 = ?", {(6, "verbatim")}),
+    (14, "12 + 31 = ?", set()),
     (10, "short item of only seven words yes. Then more.", {(2, "verbatim")}),
 ]
-ITEMS = [(0, ITEM), (1, PLAIN), (2, "Short item of only seven words yes."), (3, ""), (4, None), (5, "too short")]
+ITEMS = [(0, ITEM), (1, PLAIN), (2, "Short item of only seven words yes."), (3, ""), (4, None), (5, "too short"), (6, "12 + 30 = ?")]
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +58,67 @@ def test_against_brute_force(spark, tiny):
     want = {(d, i) for d, w in docs for k in range(len(w) - 12) for i in runs.get(tuple(w[k : k + 13]), ())}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op4_decontamination(spark, tiny).collect()}
     assert want and got == want
+
+
+UNITS = set("km kg m dollars euros hours minutes".split())
+
+
+def plain_tokens(text):
+    """(literal or placeholder, value) of each token, word by word."""
+    out, opening, number = [], True, False
+    text = re.sub(r"(?<=\d)(?=[^\W\d_])|(?<=[^\W\d_])(?=\d)", " ", text)
+    for word in text.split():
+        core = re.sub(r"^[^\w$%+-]+|[^\w$%]+$", "", word)
+        if core:
+            low = core.lower()
+            if re.fullmatch(r"[+\-$]?\d[\d.,:/]*%?", core):
+                out.append(("NUM", low))
+            elif number and low in UNITS:
+                out.append(("UNIT", low))
+            elif core[0].isupper() and core[1:].islower() and not opening:
+                out.append(("NAME", low))
+            else:
+                out.append((low, None))
+            number = out[-1][0] == "NUM"
+            opening = False
+        opening = opening or word.rstrip("\"')]")[-1:] in ".!?:"
+    return out
+
+
+def plain_matches(doc, item, window=10, literal=5, least=4):
+    d, i = plain_tokens(doc), plain_tokens(item)
+    size = min(window, len(i))
+    fine = [k for k in range(len(i) - size + 1) if sum(v is None for _, v in i[k : k + size]) >= literal]
+    lines = {}
+    for k in fine:
+        for j in range(len(d) - size + 1):
+            if [t for t, _ in d[j : j + size]] == [t for t, _ in i[k : k + size]]:
+                pairs = {(x[0], x[1], y[1]) for x, y in zip(i[k : k + size], d[j : j + size]) if x[1]}
+                lines.setdefault(j - k, []).append(pairs)
+    for hits in lines.values():
+        slots = set().union(*hits)
+        if len(hits) >= min(least, max(len(fine) - 1, 1)) and len({(t, v) for t, v, _ in slots}) == len(slots):
+            return True
+    return False
+
+
+def test_changed_questions_against_brute_force(spark):
+    """Numbers, names and units of questions replaced one for one, or one of several alike, against windows compared in a loop."""
+    rng = random.Random(3)
+    names, words = ["Anna", "Boris", "Clara", "David"], "apples pears trains rides sells buys every carries toward market village river cost when does arrive after".split()
+    items, docs = [], []
+    for k in range(30):
+        name, a, b, unit = rng.choice(names), rng.randint(2, 90), rng.randint(2, 90), rng.choice(sorted(UNITS))
+        body = [rng.choice(words) for _ in range(rng.randint(8, 25))]
+        for piece in (name, f"{a} {unit}", str(b), name, str(a)):
+            body.insert(rng.randint(1, len(body)), piece)
+        items.append((k, "Today " + " ".join(body) + "?"))
+    for k, (_, text) in enumerate(items * 3):
+        new = re.sub(r"\d+", lambda m: str(int(m[0]) + 100), text) if rng.random() < 0.6 else text
+        new = re.sub("|".join(names), lambda m: names[names.index(m[0]) - 1], new) if rng.random() < 0.6 else new
+        new = re.sub(r"\d+", "7", new, count=1) if rng.random() < 0.4 else new
+        new = new.replace(rng.choice(words), "otherwise") if rng.random() < 0.3 else new
+        docs.append((k, f"Some words before it. {new} And some words after that one."))
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {(d, i) for d, t in docs for i, x in items if plain_matches(t, x)} and 40 < len(got) < 90
