@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and all but the last return the columns of ``documents``. ``run`` writes
 each stage's rows as Parquet to the shared folder and reads them again.
+
+Defined results, for all stages: null texts count as empty, very long texts are
+worked whole; an empty table gives an empty one; extra columns pass through the
+filters, whatever their names; of repeated rows the classifier keeps all or none, line dedup
+counts them as one document, near-duplicate removal keeps one, decontamination
+all or none. Rows are removed by id and text together, so neither a null id nor an id that
+several texts share makes a row go or stay with another one.
 """
 
 from __future__ import annotations
@@ -15,6 +22,18 @@ from phaseframe.llm.common import Scratch, bitmap_filter, without_ids
 from phaseframe.llm.queries import tokenizer_path
 
 
+#: Column that names a row by its id and text while a stage works.
+ROW = "__pipeline_row"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -25,30 +44,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which every line stands elsewhere."""
     out = linededup.dedup_lines(docs)
     emptied = (F.col("n_dropped") > 0) & (F.col("text") == "")
-    return out.where(~emptied).select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    return out.where(~emptied).select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that with the smallest id (null last), then text hash; of equal rows any one."""
     scratch = Scratch(spark, "near")
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    classes = minhash.near_duplicates(rows, id_col="__row").where("class_size > 1")
-    members = classes.select(F.col("doc_id").alias("__row"), "class_id").groupBy("__row", "class_id").agg(F.count("*").alias("rows"))
-    ids = bitmap_filter(rows.select("__row", "doc_id"), "__row", members.select("__row")).distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
-    members = scratch.write(members.join(ids, "__row").withColumn("place", place), "members")
+    rows = _named(docs)
+    classes = minhash.near_duplicates(rows, id_col=ROW).where("class_size > 1")
+    members = classes.select(F.col("doc_id").alias(ROW), "class_id").groupBy(ROW, "class_id").agg(F.count("*").alias("rows"))
+    ids = bitmap_filter(rows.select(ROW, "doc_id"), ROW, members.select(ROW)).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
+    members = scratch.write(members.join(ids, ROW).withColumn("place", place), "members")
     stays = members.groupBy("class_id").agg(F.min("place").alias("stay"))
-    members = scratch.write(members.join(stays, "class_id").select("__row", "rows", (F.col("place") == F.col("stay")).alias("stays")), "placed")
-    left = without_ids(rows, "__row", members.where("NOT stays OR rows > 1").select("__row"), scratch)
-    again = members.where("stays AND rows > 1").select("__row")
-    again = bitmap_filter(rows, "__row", again).join(again, "__row").dropDuplicates(["__row"]).select(*rows.columns)
-    return left.unionByName(again).select(*docs.columns)
+    members = scratch.write(members.join(stays, "class_id").select(ROW, "rows", (F.col("place") == F.col("stay")).alias("stays")), "placed")
+    left = without_ids(rows, ROW, members.where("NOT stays OR rows > 1").select(ROW), scratch)
+    again = members.where("stays AND rows > 1").select(ROW)
+    again = bitmap_filter(rows, ROW, again).join(again, ROW).dropDuplicates([ROW]).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return left.unionByName(again).select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_ids(docs, "doc_id", found.select("doc_id"), Scratch(spark, "leaks"))
+    """Rows whose text holds a benchmark item go."""
+    rows = _named(docs)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return without_ids(rows, ROW, found.select(F.col("doc_id").alias(ROW)), Scratch(spark, "leaks")).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
