@@ -115,3 +115,112 @@ def methylation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, GENES, supplier=_table(spark, sf_dir, "supplier"))
+
+
+# ------------------------------------------------------------- alignments with sequences
+# Two chromosomes of blocks of 100 bases, each block the same text but for one variant. A read covers
+# three blocks; two blocks of forty have no variant, so no read links those beside them.
+
+#: The text of a block.
+BLOCK = "TAACGGCGCGTTAGCGACGGCAAGGCGACGAACACTATAACACAGAGCATGACATACCAGGTAGCCGTCTTGACCACGCAAGAGTTGCTGTGCGACGGCG"
+#: By kind: offset in the block, reference and alternative allele.
+ALLELES = ((17, "C", "T"), (57, "C", "A"), (30, "A", "AGT"), (45, "AG", "CT"), (77, "GCAA", "G"))
+N_BLOCKS = "(SELECT 5 * greatest(count(*) // 150, 2) + 3 FROM {orders})"
+_CHROMS = "(SELECT 'chr1' AS chrom UNION ALL SELECT 'chr2' AS chrom) c"
+_CASE = lambda k: "CASE b % 5 " + " ".join(f"WHEN {n} THEN {a[k]!r}" for n, a in enumerate(ALLELES)) + " END"
+
+BLOCK_VARIANTS = (
+    "SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY b) - 1 AS idx, b, 100 * b + " + _CASE(0) + " + 1 AS pos, concat('b', CAST(b AS STRING)) AS id,\n"
+    "  " + _CASE(1) + " AS ref, " + _CASE(2) + " AS alt, CAST((b * 7 + b // 3) % 2 AS INT) AS truth\n"
+    "FROM (SELECT p_partkey AS b FROM {part} WHERE p_partkey < " + N_BLOCKS + ") p CROSS JOIN " + _CHROMS + " WHERE b % 40 NOT IN (18, 19)"
+)
+
+
+def _piece(k: int) -> tuple[str, str]:
+    """SQL for the sequence and the CIGAR of the k-th block of a read; b{k} is its number, c{k} the allele it carries."""
+    skip = 10 if k == 0 else 0
+    text, b, c = BLOCK, f"b{k}", f"c{k}"
+    seqs, cigars = [], []
+    for kind, (at, ref, alt) in enumerate(ALLELES):
+        head, tail = text[skip:at], text[at + len(ref) :]
+        bases = f"CASE WHEN n{k} = 1 THEN 'N' WHEN {c} = 1 THEN '{alt}' ELSE '{ref}' END" if len(ref) == len(alt) == 1 else f"CASE WHEN {c} = 1 AND w{k} = 1 THEN 'AGA' WHEN {c} = 1 THEN '{alt}' ELSE '{ref}' END"
+        seqs.append(f"WHEN {kind} THEN concat('{head}', {bases}, '{tail}')")
+        n = at - skip + 1
+        step = f"{len(alt) - 1}I" if len(alt) > len(ref) else f"{len(ref) - 1}D" if len(alt) < len(ref) else ""
+        if step:
+            cigars.append(f"WHEN {kind} THEN CASE WHEN {c} = 1 THEN '{n}M{step}{100 - at - len(ref)}M' ELSE '{100 - skip}M' END")
+    plain = f"{b} % 40 IN (18, 19)"
+    seq = f"CASE WHEN {plain} THEN '{text[skip:]}' ELSE CASE {b} % 5 {' '.join(seqs)} END END"
+    return seq, f"CASE WHEN {plain} THEN '{100 - skip}M' ELSE CASE {b} % 5 {' '.join(cigars)} ELSE '{100 - skip}M' END END"
+
+
+_PIECES = [_piece(k) for k in range(3)]
+_FLAGS = ", ".join(
+    f"CAST(((first_block + {k}) * 7 + (first_block + {k}) // 3 + hap + CASE WHEN (ok * 5 + (first_block + {k}) * 3) % 37 = 0 THEN 1 ELSE 0 END) % 2 AS INT) AS c{k}, first_block + {k} AS b{k},"
+    f" CASE WHEN (ok * 3 + first_block + {k}) % 31 = 0 THEN 1 ELSE 0 END AS n{k}, CASE WHEN (ok + first_block + {k}) % 13 = 0 AND (first_block + {k}) % 5 = 2 THEN 1 ELSE 0 END AS w{k}"
+    for k in range(3)
+)
+BLOCK_READS = (
+    "SELECT chrom, ok, concat('r', CAST(ok AS STRING)) AS read_name, hap, flag, mapq, 100 * b0 + 10 AS read_start, 100 * b0 + 300 AS read_end,\n"
+    "  b0, b1, b2, c0, c1, c2, n0, n1, n2, w0, w1, w2, clip, CASE WHEN ok % 29 = 0 THEN 0 ELSE 30 END AS qual,\n"
+    "  concat(CASE WHEN clip > 0 THEN concat(CAST(clip AS STRING), 'S') ELSE '' END, " + ", ".join(p[1] for p in _PIECES) + ") AS cigar,\n"
+    "  concat(substring('AAAA', 1, clip), " + ", ".join(p[0] for p in _PIECES) + ") AS seq\n"
+    "FROM (SELECT *, " + _FLAGS + " FROM (\n"
+    "  SELECT o_orderkey AS ok, CASE WHEN o_orderkey % 3 = 0 THEN 'chr2' ELSE 'chr1' END AS chrom, (o_orderkey * 7919 + o_custkey * 104729) % (" + N_BLOCKS + " - 3) AS first_block,\n"
+    "    CAST((o_orderkey // 4) % 2 AS INT) AS hap, CAST(o_custkey % 4 AS INT) AS clip, CAST((o_orderkey * 17 + o_custkey) % 61 AS INT) AS mapq,\n"
+    "    CAST(16 * ((o_orderkey // 2) % 2) + CASE WHEN o_orderkey % 50 = 0 THEN 256 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 2048 ELSE 0 END AS INT) AS flag\n"
+    "  FROM {orders}) a) f"
+)
+
+
+def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, idx, b, pos, id, ref, alts, gt, vtype, truth (allele of haplotype 0)."""
+    v = _sql(spark, BLOCK_VARIANTS, part=_table(spark, sf_dir, "part"), orders=_table(spark, sf_dir, "orders"))
+    alts = F.array("alt")
+    from phaseframe.operators.variants import variant_type
+
+    return v.select("chrom", "idx", "b", "pos", "id", "ref", alts.alias("alts"), F.array(F.lit(0), F.lit(1)).alias("gt"), variant_type(F.col("ref"), alts).alias("vtype"), "truth")
+
+
+def block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments as the readers give them, with what they were made from and ``calls`` of modified bases."""
+    x = _sql(spark, BLOCK_READS, orders=_table(spark, sf_dir, "orders"))
+    return x.withColumn("quals", F.array_repeat("qual", F.length("seq"))).withColumn("is_forward", F.col("flag").bitwiseAND(16) == 0)
+
+
+def block_reference(spark: SparkSession, sf_dir: str, chunk: int = 100_000) -> DataFrame:
+    """chrom, chunk_no, chunk_start, seq."""
+    blocks = _sql(spark, "SELECT " + N_BLOCKS + " AS n", orders=_table(spark, sf_dir, "orders"))
+    rows = blocks.select("n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") * len(BLOCK) - 1) / chunk).cast("int"))).alias("chunk_no"))
+    rows = rows.withColumn("chrom", F.explode(F.array(F.lit("chr1"), F.lit("chr2")))).withColumn("chunk_start", F.col("chunk_no").cast("long") * chunk)
+    size = F.least(F.lit(chunk), F.col("n") * len(BLOCK) - F.col("chunk_start")).cast("int")
+    return rows.select("chrom", "chunk_no", "chunk_start", F.substring(F.lit(BLOCK * (chunk // len(BLOCK))), F.lit(1), size).alias("seq"))
+
+
+#: Offsets of cytosines in a block that may be methylated, on the haplotype h of block b where b + (number of the offset) + h is odd.
+METHYLATED = (25, 65, 92)
+
+
+def block_methylation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, site_start, site_end, coverage, mod_count, unmod_count, ratio: half of the reads are methylated everywhere."""
+    blocks = _sql(spark, "SELECT " + N_BLOCKS + " AS n", orders=_table(spark, sf_dir, "orders"))
+    b = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b")).withColumn("chrom", F.explode(F.array(F.lit("chr1"), F.lit("chr2"))))
+    x = b.withColumn("site_start", F.explode(F.array(*[F.col("b") * len(BLOCK) + k for k in METHYLATED])))
+    cover = (F.lit(16) + 2 * (F.col("b") % 10)).cast("int")
+    return x.select("chrom", "site_start", (F.col("site_start") + 1).alias("site_end"), cover.alias("coverage"), (cover / 2).cast("int").alias("mod_count"), (cover / 2).cast("int").alias("unmod_count"), F.lit(50.0).alias("ratio"))
+
+
+def block_modified_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``block_reads`` with ``calls``: map from query index to probability at the methylated offsets, missing in one block of 17."""
+    from phaseframe.operators import cigar
+
+    x = cigar.with_offsets(block_reads(spark, sf_dir))
+
+    def call(k: int, n: int):
+        b = F.col(f"b{k}")
+        q = cigar.query_index(F.col("offs"), (b * len(BLOCK) + METHYLATED[n] - F.col("read_start")).cast("int")).cast("int")
+        p = F.when((b + n + F.col("hap")) % 2 == 1, 254.0).otherwise(2.0) / 256
+        return F.struct(q.alias("q"), F.when((F.col("ok") + b) % 17 != 0, p).alias("p"))
+
+    every = F.array(*[call(k, n) for k in range(3) for n in range(len(METHYLATED))])
+    return x.withColumn("calls", F.map_from_entries(F.filter(every, lambda c: c["p"].isNotNull() & c["q"].isNotNull()))).drop("offs")

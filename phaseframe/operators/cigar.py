@@ -6,8 +6,14 @@ the format: M = X advance both, I and S the query, D and N the reference.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def parse(cigar: Column) -> Column:
@@ -15,18 +21,39 @@ def parse(cigar: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.substring(x, -1, 1).alias("op"), F.regexp_extract(x, r"\d+", 0).cast("int").alias("len")))
 
 
-def offsets(ops: Column) -> Column:
-    """Each operation with the query and reference offsets it starts at."""
-    step = lambda o, letters: F.when(o["op"].isin(*letters), o["len"]).otherwise(0)
-    return F.transform(
-        ops,
-        lambda o, k: F.struct(
-            o["op"].alias("op"),
-            o["len"].alias("len"),
-            F.aggregate(F.slice(ops, 1, k), F.lit(0), lambda a, x: a + step(x, "M=XIS")).alias("q"),
-            F.aggregate(F.slice(ops, 1, k), F.lit(0), lambda a, x: a + step(x, "M=XDN")).alias("r"),
-        ),
+_STEPS = re.compile(r"(\d+)([MIDNSHP=X])")
+OFFSETS = "array<struct<op:string,len:int,q:int,r:int>>"
+
+
+def _offset_lists(cigars: list[str | None]) -> pa.Array:
+    """The operations of each CIGAR with the query and reference offsets they start at: running sums over all of them at once."""
+    parts = [_STEPS.findall(c) if c else [] for c in cigars]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    ops = [op for p in parts for _, op in p]
+    sizes = np.fromiter((int(n) for p in parts for n, _ in p), np.int64, len(ops))
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    letters = np.array(ops, "U1") if ops else np.empty(0, "U1")
+
+    def before(moves: str) -> np.ndarray:
+        step = np.where(np.isin(letters, list(moves)), sizes, 0)
+        total = np.concatenate([[0], np.cumsum(step)])
+        return (total[:-1] - total[first]).astype(np.int32) if len(first) else np.empty(0, np.int32)
+
+    values = pa.StructArray.from_arrays(
+        [pa.array(ops, pa.string()), pa.array(sizes.astype(np.int32)), pa.array(before("M=XIS")), pa.array(before("M=XDN"))], ["op", "len", "q", "r"]
     )
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def with_offsets(df: DataFrame, cigar: str = "cigar", name: str = "offs") -> DataFrame:
+    """``df`` with each alignment's operations and the query and reference offsets they start at; linear in the operations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offs = _offset_lists(batch.column(batch.schema.get_field_index(cigar)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, offs], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, _parse_datatype_string(OFFSETS))]))
 
 
 def query_index(offs: Column, at: Column) -> Column:
@@ -63,10 +90,11 @@ def call_snv_context(seq: Column, quals: Column, qpos: Column, left: Column, rig
     return F.when(low <= min_quality, -1).when(word == F.concat(left, a, right), 0).when(word == F.concat(left, b, right), 1)
 
 
-def call_insertion(seq: Column, qpos: Column, qnext: Column, alt: Column) -> Column:
-    """No inserted bases: 0; exactly the alternative's: 1; others null (to be realigned)."""
+def call_insertion(seq: Column, qpos: Column, qnext: Column, alt: Column, ref_length: Column | None = None) -> Column:
+    """No inserted bases: 0; exactly those the alternative has after the reference's: 1; others null (to be realigned)."""
     inserted = F.substring(seq, qpos + 2, qnext - qpos - 1)
-    return F.when(qnext - qpos <= 1, 0).when(inserted == F.substring(alt, F.lit(2), F.length(alt)), 1)
+    start = F.lit(2) if ref_length is None else ref_length + 1
+    return F.when(qnext - qpos <= 1, 0).when(inserted == F.substring(alt, start, F.length(alt)), 1)
 
 
 def call_deletion(ref_span: Column, query_span: Column, ref: Column, alt: Column) -> Column:
@@ -86,5 +114,5 @@ def methylation_probability(offs: Column, at: Column, calls: Column) -> Column:
 
 
 def explode_offsets(df: DataFrame, cigar: str = "cigar") -> DataFrame:
-    out = df.withColumn("o", F.explode(offsets(parse(F.col(cigar)))))
+    out = with_offsets(df, cigar, "__offs").withColumn("o", F.explode("__offs"))
     return out.select(*[c for c in df.columns], "o.op", "o.len", "o.q", "o.r")

@@ -101,3 +101,42 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 20
     """Counts per equal bin, values outside clipped into the outer ones."""
     at = F.least(F.greatest(F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)), F.lit(1)), F.lit(bins))
     return df.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def concordant(query: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Sites of the query that the truth has with the same alleles (ref, alt)."""
+    return query.join(truth, [*keys, "ref", "alt"], "left_semi")
+
+
+def gains(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``gain``: what a second run has more of a value than a first one."""
+    x = before.select(*keys, F.col(value).alias("__a")).join(after.select(*keys, F.col(value).alias("__b")), keys)
+    return x.select(*keys, (F.col("__b") - F.col("__a")).alias("gain"))
+
+
+def joined_gaps(blocks: DataFrame, joined: DataFrame, sites: DataFrame) -> DataFrame:
+    """Gaps between neighbouring blocks that a larger block joins: block, block_start (after the gap), gap, n_sites in it."""
+    inner = blocks.select("chrom", F.col("block_start").alias("s"), F.col("block_end").alias("e"))
+    inside = overlaps(inner, joined.select("chrom", "block", "block_start", "block_end"), "chrom", "s", "e", "block_start", "block_end", how="within")
+    w = Window.partitionBy("chrom", "block").orderBy("s")
+    gaps = inside.withColumn("before", F.lag("e").over(w)).where("before IS NOT NULL").select("chrom", "block", "before", "s")
+    counted = overlap_counts(gaps, sites.select("chrom", "site_start", "site_end"), "chrom", "before", "s", "site_start", "site_end", ["block", "before"])
+    return counted.select("chrom", "block", F.col("s").alias("block_start"), (F.col("s") - F.col("before")).alias("gap"), F.col("n").alias("n_sites"))
+
+
+def first_fit_rows(df: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
+    """``row``: the first display row in which an interval overlaps none before it; a chromosome's intervals are one picture."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([start, end, *keys])
+        ends: list[int] = []
+        rows = []
+        for a, b in zip(pdf[start], pdf[end]):
+            k = next((k for k, e in enumerate(ends) if e <= a), len(ends))
+            ends[k : k + 1] = [b]
+            rows.append(k)
+        return pdf[["chrom", *keys]].assign(row=pd.array(rows, "int32"))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select("chrom", *keys).schema.fields)
+    return df.groupBy("chrom").applyInPandas(run, f"{kinds}, row int")

@@ -70,3 +70,11 @@ def combined_tags(direct: DataFrame, methylated: DataFrame) -> DataFrame:
     return out.select(
         "chrom", "read_id", F.coalesce("hp", "m_hp").alias("hp"), F.when(F.col("hp").isNotNull(), F.col("last_idx")).otherwise(F.coalesce("m_last", "last_idx")).alias("last_idx")
     )
+
+
+def tagged_reads(obs: DataFrame, haps: DataFrame, assigned: DataFrame | None, config) -> DataFrame:
+    """chrom, read_id, hp, last_idx of all reads seen: by sequence, else by the methylation that assigned them, else null."""
+    direct = tags(read_llr(obs, haps, config.error_rate), config.llr_threshold).select("chrom", "read_id", "hp", "last_idx")
+    if assigned is not None:
+        direct = combined_tags(direct, methylation_tags(assigned, haps))
+    return direct.where("last_idx IS NOT NULL")

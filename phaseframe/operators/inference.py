@@ -58,7 +58,7 @@ def propagate(n: int, edges: dict[tuple[int, int], np.ndarray], damping: float =
 
     edges: counts by (i, j), i < j. Factors are log row-normalised counts,
     weighted by an edge's coverage over itself plus the median coverage.
-    Messages are updated all at once until they move less than ``tol``.
+    Messages are updated all at once until they move less than ``tol``; damping mixes their logarithms.
     """
     phi = np.zeros((n, 2))
     phi[0] = [0.0, -np.inf]
@@ -83,7 +83,8 @@ def propagate(n: int, edges: dict[tuple[int, int], np.ndarray], damping: float =
         new = _log_sum(inner[:, :, None] + fac, 1)
         new -= _log_sum(new, 1)[:, None]
         if damping:
-            new = np.log((1 - damping) * np.exp(new) + damping * np.exp(msg))
+            new = (1 - damping) * new + damping * msg
+            new -= _log_sum(new, 1)[:, None]
         moved = np.abs(np.exp(new) - np.exp(msg)).max()
         msg = new
         if moved < tol:
@@ -143,8 +144,9 @@ def rephase(counts: DataFrame, mean_coverage: float, flank: int = 2, damping: fl
         for (first, last), part in sorted(pdf.assign(row=range(len(pdf))).groupby(["first", "last"])):
             lo, n = first - flank, last - first + 1 + 2 * flank
             edges = {}
+            part = part.sort_values(["i", "j"])
             for i, j, row in zip(part["i"], part["j"], part["row"]):
-                t = shared[i] = mirror(shared[i]) if j == i + 1 else mirror(cells[row])
+                t = mirror(shared[i]) if j == i + 1 else mirror(cells[row])
                 if j == i + 1:
                     shared[i] = t
                 elif np.allclose(row_normal(t), 0.5):
@@ -166,10 +168,10 @@ def reestimate(t1: np.ndarray, t2: np.ndarray, t3: np.ndarray) -> tuple[np.ndarr
     return row_normal(new1 + EPSILON), row_normal(new2 + EPSILON)
 
 
-def _triple(step: dict, pair: dict, p: int, total: int):
-    """Re-estimated (first, second, across) for p, p+1, p+2; None if nothing can be said."""
+def _triple(step: dict, pair: dict, at: dict, p: int, variants: int):
+    """Re-estimated (first, second, across) for p, p+1, p+2; None if nothing can be said. ``at``: variant numbers by p."""
     t1, t2, t3 = step.get(p), step.get(p + 1), pair.get((p, p + 2))
-    if p < 0 or p + 2 > total - 2 or t1 is None or t2 is None:
+    if p < 0 or at.get(p + 2, variants) > variants - 2 or t1 is None or t2 is None:
         return None
     both = lambda t: t.argmax(axis=1)[0] != t.argmax(axis=1)[1]
     if (both(t1) and both(t2)) or t3 is None or t3.sum(axis=1).max() < 1:
@@ -192,10 +194,10 @@ def _verdict(new1: np.ndarray, new2: np.ndarray, t3: np.ndarray) -> str:
 def connect(windows: DataFrame) -> DataFrame:
     """Joins blocks over runs of uncertain transitions.
 
-    windows: chrom, cluster, total (phaseable variants of the chromosome), kind
-    ('step': i to i + 1 with normalised cells; 'pair': i to j with counts;
-    'run': uncertain transitions i..j), i, j, t00 t01 t10 t11. Returns chrom,
-    p_idx, drop (whether the variant becomes unphaseable) and, if it doesn't, the
+    windows: chrom, cluster, total (phaseable variants of the chromosome), variants (all of
+    them), kind ('step': i to i + 1 with normalised cells; 'pair': i to j with counts;
+    'run': uncertain transitions i..j; 'at': the variant number j of i), i, j, t00 t01 t10 t11.
+    Bounds at a chromosome's ends are in variant numbers. Returns chrom, p_idx, drop (whether the variant becomes unphaseable) and, if it doesn't, the
     new transition from it.
 
     Over a long run the variants before and after it are linked directly, if
@@ -206,7 +208,8 @@ def connect(windows: DataFrame) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf["total"].iloc[0])
+        total, variants = int(pdf["total"].iloc[0]), int(pdf["variants"].iloc[0])
+        at = {int(i): int(j) for k, i, j in zip(pdf["kind"], pdf["i"], pdf["j"]) if k == "at"}
         cells = pdf[["t00", "t01", "t10", "t11"]].to_numpy(float).reshape(-1, 2, 2)
         step = {int(i): t for k, i, t in zip(pdf["kind"], pdf["i"], cells) if k == "step"}
         pair = {(int(i), int(j)): t + EPSILON for k, i, j, t in zip(pdf["kind"], pdf["i"], pdf["j"], cells) if k == "pair"}
@@ -224,17 +227,17 @@ def connect(windows: DataFrame) -> DataFrame:
                     step[a] = new[a] = row_normal(t)
                     gone.update(range(a + 1, b))
                 continue
-            if not 0 < a < total - 2:
+            if not (a > 0 and 0 < at.get(a, 0) < variants - 2):
                 continue
-            found = _triple(step, pair, a - 1, total)
+            found = _triple(step, pair, at, a - 1, variants)
             act = _verdict(*found) if found else "none"
             if act == "skip":
                 step[a - 1] = new[a - 1] = found[2]
                 gone.add(a)
             elif act == "keep":
                 step[a - 1], step[a] = new[a - 1], new[a] = found[0], found[1]
-            elif a < total - 3:
-                found = _triple(step, pair, a, total)
+            elif at[a] < variants - 3:
+                found = _triple(step, pair, at, a, variants)
                 act = _verdict(*found) if found else "none"
                 if act == "skip":
                     step[a] = new[a] = found[2]

@@ -83,37 +83,37 @@ def hap_fractions(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.where("state >= 0").groupBy(*keys).agg(F.avg("state").alias("fraction"), F.count("*").alias("coverage"))
 
 
-def assign_reads_in_region(p: np.ndarray, hap: np.ndarray, max_rounds: int = 100) -> np.ndarray:
+def assign_reads_in_region(p: np.ndarray, hap: np.ndarray, max_rounds: int = 100, log: list | None = None) -> np.ndarray:
     """Haplotype (0, 1 or -1) of the reads of a region.
 
     p: reads x sites, probability of methylation, NaN where unknown; hap: reads
-    assigned from the start. Each round sums log10 probabilities per haplotype
-    and site, calls sites, takes those where the haplotypes differ and assigns
-    a read to the likelier haplotype over them; it ends when nothing changes.
+    assigned from the start, -1 those to be assigned, -2 those left out. Each round sums log10
+    probabilities per haplotype and site, calls a site methylated or not, takes the sites where
+    the haplotypes differ and assigns a read to the likelier haplotype over them; it ends when
+    nothing changes. ``log`` gets the differing sites and the assignment of each round.
     """
     hap = hap.copy()
-    lp = np.nan_to_num(np.log10(np.maximum(p, 1e-20)))
-    lq = np.nan_to_num(np.log10(np.maximum(1 - p, 1e-20)))
     known = ~np.isnan(p)
+    fill = np.where(known, p, 0.5)
+    lp, lq = (np.where(known, np.log10(x + 1e-20), 0.0) for x in (fill, 1 - fill))
     for _ in range(max_rounds):
-        free = hap < 0
-        sums = [(lp[hap == h].sum(axis=0), lq[hap == h].sum(axis=0)) for h in (0, 1)]
-        there = [known[hap == h].any(axis=0) for h in (0, 1)]
-        state = [np.where((m > LOG_HALF) & (m - u > 3), 1, np.where((u > LOG_HALF) & (u - m > 3), 0, -1)) for m, u in sums]
-        differ = (state[0] != state[1]) & there[0] & there[1]
-        if not differ.any() or not free.any():
+        free = np.flatnonzero(hap == -1)
+        if not len(free):
             break
+        sums = [(lp[hap == h].sum(axis=0), lq[hap == h].sum(axis=0)) for h in (0, 1)]
+        meth = [(m > LOG_HALF) & (m - u > 3) for m, u in sums]
+        differ = np.flatnonzero(meth[0] != meth[1])
+        if log is not None:
+            log.append((differ, hap.copy()))
         score = []
         for h in (0, 1):
             m, u = sums[h]
-            side = m > u
-            score.append(((np.where(side, lp, lq) + np.where(side, m, u)) * known)[:, differ].sum(axis=1))
-        new = np.where(score[0] > score[1], 0, np.where(score[1] > score[0], 1, -1))
-        new[np.maximum(*score) <= LOG_HALF] = -1
-        before = hap.copy()
-        hap[free] = new[free]
-        if (before == hap).all():
+            side = np.where(meth[h], lp + m, lq + u)
+            score.append((side * known)[np.ix_(free, differ)].sum(axis=1))
+        new = np.where((score[0] > score[1]) & (score[0] > LOG_HALF), 0, np.where((score[1] > score[0]) & (score[1] > LOG_HALF), 1, -1))
+        if (new == -1).all():
             break
+        hap[free] = new
     return hap
 
 

@@ -41,3 +41,13 @@ def islands(df: DataFrame, chrom: str, idx: str) -> DataFrame:
         .agg(F.min(idx).alias("first"), F.max(idx).alias("last"), F.count("*").alias("n"))
         .drop("__run")
     )
+
+
+def out_of_order(df: DataFrame, chrom: str, idx: str, value: str, width: int = 100_000) -> DataFrame:
+    """Rows whose value is below that of an earlier row of the chromosome, in idx order: in two levels, like ``running_sum``."""
+    x = df.withColumn("__b", F.floor(F.col(idx) / width).cast("long"))
+    before = Window.partitionBy(chrom).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = x.groupBy(chrom, "__b").agg(F.max(value).alias("__t")).withColumn("__before", F.max("__t").over(before)).drop("__t")
+    inside = Window.partitionBy(chrom, "__b").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__own", F.max(value).over(inside)).join(tops, [chrom, "__b"])
+    return x.where(F.col(value) < F.greatest("__own", "__before")).drop("__b", "__own", "__before")

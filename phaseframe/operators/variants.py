@@ -87,3 +87,18 @@ def alignment_filter(reads: DataFrame, min_mapq: int, methylated: bool = False)
     """Mapped, primary or supplementary, not duplicate or failed (0x704), of enough mapping quality."""
     keep = (F.col("flag").bitwiseAND(0x704) == 0) & (F.col("mapq") >= min_mapq)
     return reads.where(keep & F.col("has_mods")) if methylated else reads.where(keep)
+
+
+def primary_methylated(reads: DataFrame) -> DataFrame:
+    """Primary alignments (neither secondary nor supplementary, 0x900) with modification tags."""
+    return reads.where((F.col("flag").bitwiseAND(0x900) == 0) & F.col("has_mods"))
+
+
+def without_phase_sets(calls: DataFrame) -> DataFrame:
+    """Calls without their phase set, as they are compared."""
+    return calls.drop("ps")
+
+
+def rename_samples(calls: DataFrame, names: dict[str, str], column: str = "sample") -> DataFrame:
+    """Samples by their new names; others keep theirs."""
+    return calls.replace(names, subset=[column])

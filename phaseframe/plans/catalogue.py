@@ -289,9 +289,9 @@ _PAIRS_SQL = """SELECT 'chr1' AS chrom, x.idx AS idx_a, y.idx AS idx_b, count(*)
 FROM obs x JOIN obs y ON y.read_id = x.read_id AND {on} WHERE x.state >= 0 AND y.state >= 0 GROUP BY ALL"""
 
 
-@query("pairwise_transitions", _with("obs") + _PAIRS_SQL.format(on="y.idx = x.idx + 2 AND x.idx % 5 = 0"))
+@query("pairwise_transitions", _with("obs") + _PAIRS_SQL.format(on="y.idx = x.idx + 2"))
 def _(s, d):
-    pairs = fx.variants(s, d).where("idx % 5 = 0").select("chrom", F.col("idx").alias("idx_a"), (F.col("idx") + 2).alias("idx_b"))
+    pairs = fx.variants(s, d).select("chrom", F.col("idx").alias("idx_a"), (F.col("idx") + 2).alias("idx_b"))
     return transitions.pairwise_counts(fx.observations(s, d), pairs)
 
 

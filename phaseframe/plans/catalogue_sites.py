@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phaseframe import fixtures as fx
 from phaseframe.operators import cigar, decode, evaluate, intervals, methylation, realign, transitions
 from phaseframe.operators import variants as vr
-from phaseframe.plans.catalogue import _matrix, _mean_coverage, _phaseable, _with, phased, query
+from phaseframe.plans.catalogue import _PAIRS_SQL, _matrix, _mean_coverage, _mirror_sql, _phaseable, _with, phased, query
 from phaseframe.sources.checkpoints import cut
 
 # ------------------------------------------------------------- alignments
@@ -39,7 +39,7 @@ def _(s, d):
 
 @query("cigar_query_index", f"WITH {_CIG}, {_OPS} SELECT c.read_id, min(CASE WHEN op IN ('D','N') THEN q ELSE q + c.at_ - r END)::BIGINT AS qpos FROM cig c LEFT JOIN offs o ON o.read_id = c.read_id AND op IN ('M','=','X','D','N') AND r <= c.at_ AND c.at_ < r + len GROUP BY c.read_id")
 def _(s, d):
-    x = _cigars(s, d).withColumn("offs", cigar.offsets(cigar.parse(F.col("cigar"))))
+    x = cigar.with_offsets(_cigars(s, d))
     return x.select("read_id", cigar.query_index(F.col("offs"), F.col("at_")).cast("long").alias("qpos"))
 
 
@@ -115,13 +115,13 @@ def _(s, d):
 
 # ------------------------------------------------------------- methylation
 
-_REGIONS = "regions AS (SELECT 'chr1' AS chrom, p_partkey AS region_id, 20000 * p_partkey AS pos_a, 20000 * p_partkey + 6000 AS pos_b FROM part WHERE p_partkey % 4 = 0)"
+_REGIONS = "regions AS (SELECT 'chr1' AS chrom, p_partkey AS region_id, 20000 * p_partkey AS pos_a, 20000 * p_partkey + 6000 AS pos_b FROM part)"
 _KEPT = "kept AS (SELECT * FROM meth WHERE coverage >= 10 AND ratio > 20 AND ratio < 80)"
 _IN = "hits AS (SELECT r.region_id, m.site_start, m.coverage, m.ratio FROM regions r JOIN kept m ON m.site_start >= r.pos_a - 5001 AND m.site_end <= r.pos_b + 4999)"
 
 
 def _regions(s, d) -> DataFrame:
-    p = s.read.parquet(f"{d}/part.parquet").where("p_partkey % 4 = 0")
+    p = s.read.parquet(f"{d}/part.parquet")
     return p.select(F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("region_id"), (F.col("p_partkey") * 20000).alias("pos_a"), (F.col("p_partkey") * 20000 + 6000).alias("pos_b"))
 
 
@@ -204,13 +204,25 @@ def _(s, d):
     return methylation.hap_fractions(fx.observations(s, d), ["chrom", "idx", "hap"]).withColumn("fraction", F.round("fraction", 9))
 
 
-@query("methyl_transition")
+_FRACTION_STEPS = (
+    _FRACTIONS + """, ends AS (SELECT a.idx, a.hap, a.fraction AS fa, a.coverage AS cov_a, b.fraction AS fb, b.coverage AS cov_b, round_even(a.fraction, 0)::INT AS ra, round_even(b.fraction, 0)::INT AS rb
+  FROM frac a JOIN frac b ON b.idx = a.idx + 1 AND b.hap = a.hap),
+weighed AS (SELECT *, CASE WHEN ra = rb THEN greatest(fa, 1e-20) * greatest(fb, 1e-20) WHEN ra = 0 THEN greatest(1 - fa, 1e-20) * greatest(fb, 1e-20) ELSE greatest(fa, 1e-20) * greatest(1 - fb, 1e-20) END AS q FROM ends),
+cells AS (SELECT idx, hap, cov_a, cov_b, CASE WHEN ra = 0 THEN greatest(1 - q, 1e-20) ELSE 1e-20 END AS t00, CASE WHEN ra = 0 THEN q ELSE 1e-20 END AS t01,
+  CASE WHEN ra = 0 THEN 1e-20 WHEN rb = 1 THEN greatest(1 - q, 1e-20) ELSE q END AS t10, CASE WHEN ra = 0 THEN 1e-20 WHEN rb = 1 THEN q ELSE greatest(1 - q, 1e-20) END AS t11 FROM weighed),
+sided AS (""" + _mirror_sql("cells", "idx, hap, cov_a, cov_b", True) + ")"
+)
+_MEAN = ", ".join(f"round((x.t{c} * (x.cov_a + x.cov_b) / 2.0::DOUBLE + y.t{c} * (y.cov_a + y.cov_b) / 2.0::DOUBLE) / ((x.cov_a + x.cov_b + y.cov_a + y.cov_b) / 2.0::DOUBLE), 9) AS t{c}" for c in ("00", "01", "10", "11"))
+
+
+@query("methyl_transition", _with("obs", extra=_FRACTION_STEPS) + f"SELECT 'chr1' AS chrom, x.idx, {_MEAN} FROM sided x JOIN sided y USING (idx) WHERE x.hap = 0 AND y.hap = 1 AND least(x.cov_a, x.cov_b, y.cov_a, y.cov_b) >= 1")
 def _(s, d):
     f = methylation.hap_fractions(fx.observations(s, d), ["chrom", "idx", "hap"])
     nxt = f.select("chrom", (F.col("idx") - 1).alias("idx"), "hap", F.col("fraction").alias("f_b"), F.col("coverage").alias("cov_b"))
     x = f.select("chrom", "idx", "hap", F.col("fraction").alias("f_a"), F.col("coverage").alias("cov_a")).join(nxt, ["chrom", "idx", "hap"])
     t = methylation.fraction_transitions(x)
-    return methylation.weighted_mean(t.where("hap = 0"), t.where("hap = 1"), ["chrom", "idx"], 1)
+    mean = methylation.weighted_mean(t.where("hap = 0"), t.where("hap = 1"), ["chrom", "idx"], 1)
+    return mean.select("chrom", "idx", *[F.round(c, 9).alias(c) for c in transitions.CELLS])
 
 
 @query("methyl_assign")
@@ -222,7 +234,21 @@ def _(s, d):
 # ------------------------------------------------------------- inference
 
 
-@query("triple_reestimate")
+_PAIR_MATRIX = (
+    "paired AS (" + _PAIRS_SQL.format(on="y.idx = x.idx + 2") + "), pcells AS (SELECT idx_a AS idx, n00::DOUBLE + 1e-20 AS t00, n01::DOUBLE + 1e-20 AS t01, n10::DOUBLE + 1e-20 AS t10, n11::DOUBLE + 1e-20 AS t11 FROM paired),"
+    " psided AS (" + _mirror_sql("pcells", "idx", False) + "), c_ AS (SELECT idx, t00 / (t00 + t01) AS c00, t01 / (t00 + t01) AS c01, t10 / (t10 + t11) AS c10, t11 / (t10 + t11) AS c11 FROM psided),"
+    " abc AS (SELECT a.chrom, a.idx, a.t00 AS a00, a.t01 AS a01, a.t10 AS a10, a.t11 AS a11, b.t00 AS b00, b.t01 AS b01, b.t10 AS b10, b.t11 AS b11, c00, c01, c10, c11"
+    " FROM normal a JOIN normal b ON b.idx = a.idx + 1 JOIN c_ c ON c.idx = a.idx)"
+)
+_FIRST = lambda i, j: f"(a{i}{j} * (b{j}0 * c{i}0 + b{j}1 * c{i}1))"
+_SECOND = lambda j, k: f"(b{j}{k} * (a0{j} * c0{k} + a1{j} * c1{k}))"
+_TRIPLE = ", ".join(
+    f"round(CASE WHEN {f(i, '0')} + {f(i, '1')} > 0 THEN {f(i, j)} / ({f(i, '0')} + {f(i, '1')}) ELSE 0.5 END, 9) AS {n}{i}{j}"
+    for n, f in (("ab", _FIRST), ("bc", _SECOND)) for i in "01" for j in "01"
+)
+
+
+@query("triple_reestimate", _with("normal", extra=_PAIR_MATRIX) + f"SELECT chrom, idx, {_TRIPLE} FROM abc")
 def _(s, d):
     n = cut(transitions.normalize(transitions.mirror(_matrix(s, d))), "transitions")
     cells = lambda k: [F.col(f"t{c}").alias(f"{k}{c}") for c in ("00", "01", "10", "11")]
@@ -231,7 +257,8 @@ def _(s, d):
     pairs = fx.variants(s, d).select("chrom", F.col("idx").alias("idx_a"), (F.col("idx") + 2).alias("idx_b"))
     c = transitions.normalize(transitions.mirror(transitions.to_matrix(transitions.pairwise_counts(fx.observations(s, d), pairs))))
     c = c.select("chrom", F.col("idx_a").alias("idx"), *cells("c"))
-    return transitions.reestimated_triples(a.join(b, ["chrom", "idx"]).join(c, ["chrom", "idx"]))
+    new = transitions.reestimated_triples(a.join(b, ["chrom", "idx"]).join(c, ["chrom", "idx"]))
+    return new.select("chrom", "idx", *[F.round(x, 9).alias(x) for x in new.columns if x not in ("chrom", "idx")])
 
 
 @query("lbp_transitions")
@@ -261,7 +288,7 @@ def _(s, d):
 
 # ------------------------------------------------------------- intervals
 
-_BLK = "blk AS (SELECT 'chr1' AS chrom, o_orderkey AS block, 15000 * o_orderkey AS block_start, 15000 * o_orderkey + 3000 + 5000 * (o_custkey % 5) AS block_end FROM {orders} WHERE o_orderkey % 3 = 0)"
+_BLK = "blk AS (SELECT 'chr1' AS chrom, o_orderkey AS block, 15000 * o_orderkey AS block_start, 15000 * o_orderkey + 3000 + 5000 * (o_custkey % 5) AS block_end FROM {orders})"
 
 
 def _blk(s, d) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The sequence-only phasing plan: matrix, difficult runs, block joining, decoding."""
+"""The phasing plan: matrix, difficult runs, block joining, gaps filled by methylation, decoding."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from phaseframe.config import PhasingConfig
 from phaseframe.operators import decode, inference, ordered, transitions
+from phaseframe.operators.variants import alignment_filter
+from phaseframe.plans import methylation
 from phaseframe.sources.checkpoints import cut
 
 
@@ -49,12 +51,14 @@ def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_c
     return new.join(p.select("chrom", "p_idx", "idx"), ["chrom", "p_idx"]).drop("p_idx")
 
 
-def connected(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame) -> DataFrame:
-    """Changes that join phase blocks: chrom, idx, drop and new cells. ``matrix`` is mirrored and normalised, or raw."""
+def connected(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """Changes that join phase blocks: chrom, idx, drop and new cells. ``matrix`` is mirrored and normalised, or raw.
+    ``variants`` are all of them, phaseable or not (the phaseable ones, if not given)."""
     p = cut(_indexed(phaseable), "indexed")
     steps = cut(transitions.normalize(transitions.mirror(matrix)).join(p.select("chrom", "idx", "p_idx"), ["chrom", "idx"]), "steps")
-    total = p.groupBy("chrom").agg(F.count("*").cast("int").alias("total"), F.max("idx").alias("top"))
-    unsure = steps.where(transitions.uncertain()).join(total, "chrom").where(F.col("idx") < F.col("top") - 1)
+    total = p.groupBy("chrom").agg(F.count("*").cast("int").alias("total"))
+    total = total.join((phaseable if variants is None else variants).groupBy("chrom").agg((F.max("idx") + 1).cast("int").alias("variants")), "chrom")
+    unsure = steps.where(transitions.uncertain()).join(total, "chrom").where(F.col("idx") < F.col("variants") - 2)
     runs = ordered.islands(unsure, "chrom", "p_idx").select("chrom", "first", "last")
     from pyspark.sql import Window
 
@@ -75,7 +79,8 @@ def connected(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame) -> DataFr
     )
     none = F.lit(None).cast("double")
     spans = runs.select("chrom", "cluster", F.lit("run").alias("kind"), F.col("first").alias("i"), F.col("last").alias("j"), *[none.alias(c) for c in cells])
-    windows = own.unionByName(pairs).unionByName(spans).join(total.drop("top"), "chrom")
+    numbers = near.join(p.select("chrom", F.col("p_idx").alias("i"), "idx"), ["chrom", "i"]).select("chrom", "cluster", F.lit("at").alias("kind"), "i", F.col("idx").alias("j"), *[none.alias(c) for c in cells])
+    windows = own.unionByName(pairs).unionByName(spans).unionByName(numbers).join(total, "chrom")
     return inference.connect(windows).join(p.select("chrom", "p_idx", "idx"), ["chrom", "p_idx"]).drop("p_idx")
 
 
@@ -85,8 +90,8 @@ def _replaced(matrix: DataFrame, new: DataFrame) -> DataFrame:
     return matrix.join(n, ["chrom", "idx"], "left").select("chrom", "idx", *[F.coalesce(f"n{c}", c).alias(c) for c in cells])
 
 
-def phase(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> DataFrame:
-    """Haplotypes of all phaseable variants: chrom, idx, pos, block_id, h0, h1."""
+def sequence_stage(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> tuple[DataFrame, DataFrame]:
+    """Phaseable variants and the row-normalised transitions between them, from what reads carry alone."""
     obs = cut(obs, "observations")
     phaseable = variants.select("chrom", "idx", "pos", "vtype")
     if config.ont:
@@ -96,8 +101,36 @@ def phase(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> DataFra
     phaseable = cut(phaseable, "phaseable")
     raw = phaseable_matrix(phaseable, obs)
     raw = cut(_replaced(raw, rephased(phaseable, obs, config.min_allele_count, mean, config.damping)), "matrix")
-    changes = cut(connected(phaseable, raw, obs), "changes")
-    left = phaseable.join(changes.where("drop").select("chrom", "idx"), ["chrom", "idx"], "left_anti")
+    changes = cut(connected(phaseable, raw, obs, variants), "changes")
+    left = cut(phaseable.join(changes.where("drop").select("chrom", "idx"), ["chrom", "idx"], "left_anti"), "left")
     # a variant before a dropped one steps over the gap with its new transition
-    matrix = cut(_replaced(transitions.normalize(transitions.mirror(raw)), changes.where("NOT drop")), "joined")
-    return decode.decoded(cut(decode.blocks(left, matrix), "blocks")).select("chrom", "idx", "pos", "block_id", "h0", "h1")
+    return left, cut(_replaced(transitions.normalize(transitions.mirror(raw)), changes.where("NOT drop")), "joined")
+
+
+def decode_stage(phaseable: DataFrame, matrix: DataFrame) -> DataFrame:
+    return decode.decoded(cut(decode.blocks(phaseable, matrix), "blocks")).select("chrom", "idx", "pos", "block_id", "h0", "h1")
+
+
+def phase(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> DataFrame:
+    """Haplotypes of all phaseable variants: chrom, idx, pos, block_id, h0, h1."""
+    return decode_stage(*sequence_stage(variants, obs, config))
+
+
+def phase_with_methylation(
+    variants: DataFrame, obs: DataFrame, alignments: DataFrame, sites: DataFrame, config: PhasingConfig
+) -> dict[str, DataFrame]:
+    """``haplotypes`` over gaps that methylation fills, read ``assignments``, ``differing_sites``, and ``filled`` transitions per chromosome.
+
+    Alignments need ``calls``, see ``sources.text.modification_calls``.
+    """
+    obs = cut(obs, "observations")
+    left, matrix = sequence_stage(variants, obs, config)
+    reads = alignment_filter(alignments, config.min_mapq)
+    results = cut(methylation.methylation_results(left, matrix, obs, reads, sites, config, variants), "methylation")
+    new = cut(transitions.normalize(_replaced(matrix, methylation.steps(results))), "filled")
+    return {
+        "haplotypes": decode_stage(left, new),
+        "assignments": methylation.assignments(results),
+        "differing_sites": methylation.differing_sites(results),
+        "filled": methylation.filled(methylation.uncertain_steps(left, matrix, variants), methylation.uncertain_steps(left, new, variants)),
+    }

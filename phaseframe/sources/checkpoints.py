@@ -10,6 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where it is unset a temporary one is set, in local mode
+    only: executors elsewhere wouldn't see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="phaseframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -25,14 +37,9 @@ def stage(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFr
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back: what
-    several later steps read is computed once, and plans stay small. The folder is
-    set only where the session has none. Tables go when the interpreter ends."""
+    several later steps read is computed once, and plans stay small. Tables go when the interpreter ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="phaseframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/phaseframe-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/phaseframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,9 +41,9 @@ def vcf_samples(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None, sample: int = 0) -> DataFrame:
-    """Calls of one sample: chrom, pos (1-based), id, ref, alts, qual, filter, info, gt (-1: missing), phased, ps, gq, allele_traversal."""
+    """Calls of one sample: chrom, pos (1-based), id, ref, alts, qual, filter, info, gt (-1: missing), phased, ps, gq, allele_traversal, line (the record)."""
     f = F.split("value", "\t")
-    x = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f"))
+    x = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f"), "value")
     # key=value pairs, flags with an empty value; the last of repeated keys
     info = F.map_from_entries(
         F.transform(F.filter(F.split(_at(7), ";"), lambda kv: kv != ""), lambda kv: F.struct(F.substring_index(kv, "=", 1), F.when(kv.contains("="), F.regexp_replace(kv, "^[^=]*=", "")).otherwise("")))
@@ -55,7 +55,7 @@ def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: in
     out = x.select(
         _at(0).alias("chrom"), _at(1).cast("long").alias("pos"), _at(2).alias("id"), _at(3).alias("ref"),
         F.split(_at(4), ",").alias("alts"), _at(5).try_cast("double").alias("qual"), _at(6).alias("filter"),
-        info.alias("info"), gt.alias("gt"), field("GT").contains("|").alias("phased"), field("PS").try_cast("long").alias("ps"), field("GQ").try_cast("int").alias("gq"),
+        info.alias("info"), gt.alias("gt"), field("GT").contains("|").alias("phased"), field("PS").try_cast("long").alias("ps"), field("GQ").try_cast("int").alias("gq"), F.col("value").alias("line"),
     )
     out = out.withColumn("allele_traversal", F.transform(F.split(at, ","), lambda a: F.filter(F.split(a, "[<>]"), lambda n: n != "")))
     return _in_region(out, chrom, None if start is None else start - 1, end, "pos")

@@ -146,8 +146,8 @@ def test_cigar_cursors(spark):
                 pairs |= {r + k: q for k in range(n)}
             q += n * (o in "M=XIS")
             r += n * (o in "M=XDN")
-        df = spark.createDataFrame([(c, k) for k in range(-1, 45)], "cigar string, at int")
-        got = df.select("at", cigar.query_index(cigar.offsets(cigar.parse(F.col("cigar"))), F.col("at")).alias("q")).collect()
+        df = cigar.with_offsets(spark.createDataFrame([(c, k) for k in range(-1, 45)], "cigar string, at int"))
+        got = df.select("at", cigar.query_index(F.col("offs"), F.col("at")).alias("q")).collect()
         assert {x["at"]: x["q"] for x in got} == {k: pairs.get(k) for k in range(-1, 45)}, c
 
 
@@ -183,7 +183,7 @@ def _slow_score(query, ref, go, ge):
 @settings(max_examples=60, deadline=None)
 @given(st.text("ACGT", min_size=1, max_size=9), st.text("ACGT", min_size=1, max_size=9), st.integers(2, 8), st.integers(1, 2))
 def test_aligner_against_the_slow_one(query, ref, go, ge):
-    assert realign.score(query, ref, go, ge) == _slow_score(query, ref, go, ge)
+    assert realign.scores([query], [ref], [go], [ge])[0] == _slow_score(query, ref, go, ge)
 
 
 def test_realigned_states(spark):
@@ -230,7 +230,9 @@ def test_connecting_over_a_long_and_a_short_run(spark):
     pair = [("c", 1, 12, "pair", 4, 7, 6.0, 0.0, 1.0, 7.0)]
     rows = step + pair + [("c", 1, 12, "run", 4, 6, None, None, None, None)]
     short = [("c", 2, 12, "step", i, i + 1, *(flat if i == 4 else keep)) for i in range(2, 8)] + [("c", 2, 12, "pair", 3, 5, 5.0, 0.0, 0.0, 5.0), ("c", 2, 12, "run", 4, 4, None, None, None, None)]
-    schema = "chrom string, cluster long, total int, kind string, i long, j long, t00 double, t01 double, t10 double, t11 double"
+    schema = "chrom string, cluster long, total int, variants int, kind string, i long, j long, t00 double, t01 double, t10 double, t11 double"
+    numbered = lambda rs: [(*r[:3], 12, *r[3:]) for r in rs + [(*rs[0][:3], "at", i, i, None, None, None, None) for i in range(12)]]
+    rows, short = numbered(rows), numbered(short)
     long = {r["p_idx"]: r for r in inference.connect(spark.createDataFrame(rows, schema)).collect()}
     assert {p for p, r in long.items() if r["drop"]} == {5, 6} and long[4]["t00"] > 0.8
     got = {r["p_idx"]: r for r in inference.connect(spark.createDataFrame(short, schema)).collect()}

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from phaseframe.plans import catalogue, catalogue_sites  # noqa: F401
+from phaseframe.operators import inference, realign
+from phaseframe.plans import catalogue, catalogue_more, catalogue_reads, catalogue_sites  # noqa: F401
 from verify import TABLES, canonical
 
 
@@ -23,10 +24,99 @@ def test_query(spark, con, tiny, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(rel.fetchall(), rel.columns)
 
 
-@pytest.mark.parametrize("name", ["realigned_states", "methyl_transition", "methyl_assign", "triple_reestimate", "lbp_transitions", "connected_blocks"])
-def test_iterative_queries_run(spark, tiny, name):
-    df = catalogue.QUERIES[name](spark, tiny)
-    assert df.count() >= 0 and df.columns
+def plain_score(query, ref, gap_open, gap_extend):
+    """Best score of the whole query in the reference, cell by cell."""
+    low, n = -(10**9), len(ref)
+    h, down = [0] * (n + 1), [low] * (n + 1)
+    for c in query:
+        new, across, best = [], low, low
+        for j in range(n + 1):
+            down[j] = max(h[j] - gap_open, down[j] - gap_extend)
+            diag = h[j - 1] + (5 if ref[j - 1] == c else -4) if j else low
+            across = max(best - gap_open, across - gap_extend) if j else low
+            best = max(diag, down[j])
+            new.append(max(best, across))
+            best = new[-1]
+        h = new
+    return max(h)
+
+
+def test_realigned_states_against_a_loop(spark, tiny):
+    from phaseframe.plans.catalogue_sites import _seqs
+
+    rows = {r["read_id"]: r for r in _seqs(spark, tiny).collect()}
+    got = {r["read_id"]: r["state"] for r in catalogue.QUERIES["realigned_states"](spark, tiny).collect()}
+    for k in sorted(rows)[:150]:
+        r = rows[k]
+        window, left, right = r["seq"][2:19], r["seq"][: r["qpos"]], r["seq"][r["qpos"] + 1 :]
+        run = any(r["seq"][i] * 4 == r["seq"][i : i + 4] for i in range(21))
+        a, b = (plain_score(window, left + x + right, 10 - 2 * run, 1) for x in (r["a"], r["b"]))
+        assert got[k] == (0 if a > b else 1 if b > a else -1), (k, a, b)
+
+
+def test_assigned_reads_against_a_loop(spark, tiny):
+    """Rounds of read assignment with plain sums instead of arrays."""
+    import math
+    from collections import defaultdict
+
+    from phaseframe.plans.catalogue_sites import _probs
+
+    regions = defaultdict(lambda: defaultdict(dict))
+    for r in _probs(spark, tiny).orderBy("p").collect():
+        regions[r["region_id"]][r["read_id"]].setdefault(r["site"], []).append(r["p"])
+    got = {(r["region_id"], r["read_id"]): r["hap"] for r in catalogue.QUERIES["methyl_assign"](spark, tiny).collect()}
+    assert set(got) == {(g, r) for g, reads in regions.items() for r in reads}
+    log = lambda p: (math.log10(p + 1e-20), math.log10(1 - p + 1e-20))
+    for g, reads in regions.items():
+        if any(len(ps) > 1 for sites in reads.values() for ps in sites.values()):
+            continue  # which of several calls counts isn't defined
+        hap = {r: (r if r < 2 else -1) for r in reads}
+        while any(h < 0 for h in hap.values()):
+            sums = [{s: tuple(sum(log(reads[r][s][0])[k] for r in reads if hap[r] == h and s in reads[r]) for k in (0, 1)) for s in {s for x in reads.values() for s in x}} for h in (0, 1)]
+            on = [{s: m > math.log10(0.5) and m - u > 3 for s, (m, u) in x.items()} for x in sums]
+            differ = [s for s in on[0] if on[0][s] != on[1][s]]
+            new = {}
+            for r in (r for r in reads if hap[r] < 0):
+                score = [sum(log(reads[r][s][0])[0 if on[h][s] else 1] + sums[h][s][0 if on[h][s] else 1] for s in differ if s in reads[r]) for h in (0, 1)]
+                for h in (0, 1):
+                    if score[h] > score[1 - h] and score[h] > math.log10(0.5):
+                        new[r] = h
+            if not new:
+                break
+            hap |= new
+        assert {r: got[g, r] for r in reads} == hap
+
+
+def test_beliefs_on_trees_are_exact():
+    """On a chain, sums over all paths give the beliefs that messages end with."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (2, 4, 6):
+        edges = {(i, i + 1): rng.integers(1, 30, (2, 2)).astype(float) for i in range(n - 1)}
+        cover = {e: t.sum(axis=1).max() for e, t in edges.items()}
+        middle = np.median(list(cover.values()))
+        factor = {e: (t / t.sum(axis=1, keepdims=True)) ** (cover[e] / (cover[e] + middle)) for e, t in edges.items()}
+        want = np.zeros((n, 2))
+        for path in itertools.product((0, 1), repeat=n):
+            if path[0] == 0:
+                p = np.prod([factor[i, i + 1][path[i], path[i + 1]] for i in range(n - 1)])
+                want[np.arange(n), path] += p
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(inference.propagate(n, edges), want, atol=1e-8)
+
+
+def test_first_fit_rows(spark, tiny):
+    rows = {r["suppkey"]: r["row"] for r in catalogue.QUERIES["first_fit_rows"](spark, tiny).collect()}
+    from phaseframe import fixtures as fx
+
+    placed = []
+    for g in sorted(fx.genes(spark, tiny).collect(), key=lambda g: (g["gene_start"], g["gene_end"], g["suppkey"])):
+        free = next(k for k in range(99) if all(k != row or end <= g["gene_start"] for row, end in placed))
+        assert rows[g["suppkey"]] == free
+        placed.append((free, g["gene_end"]))
 
 
 def test_full_plan_recovers_the_planted_phase(spark, tiny):
