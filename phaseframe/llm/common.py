@@ -89,6 +89,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/phaseframe-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
         atexit.register(self._delete, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -97,8 +98,16 @@ class Scratch:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._phaseframe_path = path
+        self._paths.append(path)
         return table
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, where nothing reads the others any more."""
+        kept = {getattr(t, "_phaseframe_path", None) for t in tables}
+        for path in self._paths:
+            if path not in kept:
+                self._delete(path)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             if path := getattr(table, "_phaseframe_path", None):
@@ -113,16 +122,64 @@ class Scratch:
             pass
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+#: Edges that a task of ``connected_components`` holds before it merges them.
+HELD_EDGES = 4_000_000
+#: Edges for which a task is worth while.
+MERGED_EDGES = 1_000_000
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of these edges that aren't the smallest of their component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[child], nodes[label[child]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as a star forest: each node once, beside the smallest node it is joined to here."""
+    a, b, rows = [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _forest(np.concatenate(a), np.concatenate(b))
+
+    for batch in batches:
+        a.append(batch.column(0).to_numpy(zero_copy_only=False))
+        b.append(batch.column(1).to_numpy(zero_copy_only=False))
+        rows += len(batch)
+        if rows > HELD_EDGES:
+            node, root = merged()
+            a, b, rows = [node], [root], len(node)
+            if rows > HELD_EDGES // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+                a, b, rows = [], [], 0
+    if rows:
+        node, root = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the
     smallest node of the component.
 
-    Large-star / small-star rounds: each round points every neighbour at the
-    smallest node seen, so a chain of length n is flat after O(log n) rounds.
-    Minima are partial aggregates joined back, hence a hub with most of the
-    edges is combined map-side and split by the skew join; no group is
-    collected. Each round is a written table. Nothing reaches the driver but a
-    count and a checksum.
+    Tasks first merge the edges of their own files, without an exchange, into star
+    forests of bounded size, and again as long as what is left fits into fewer tasks: few
+    edges meet in one task so and are done. What is more goes through rounds of large star and small star, each merged
+    again as it is written, until all edges are stars: a chain of length n is flat
+    after O(log n) rounds. Minima are partial aggregates joined back, hence a hub
+    with most of the edges is combined map-side and split by the skew join; no
+    group is collected. Each round is a written table. Nothing reaches the driver
+    but a count. ``max_rounds`` is far beyond the logarithm of any table's rows.
     """
 
     def star(pairs: DataFrame) -> DataFrame:
@@ -130,40 +187,50 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         low = pairs.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         return pairs.join(low, "u").select(F.col("v").alias("x"), "m", "u")
 
-    def mark(df: DataFrame):
-        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return r["n"], r["h"]
-
-    cur = scratch.write(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    before = mark(cur)
+    def merged(df: DataFrame, name: str) -> DataFrame:
+        with narrow_batches(scratch.spark):
+            return scratch.write(df.mapInArrow(tidy(_contract), "a long, b long"), name)
+
+    def flat(df: DataFrame) -> bool:
+        """Whether every node has one edge upwards at most, and none if there are edges down to it."""
+        ends = df.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(df.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
+
+    cur = merged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "forest")
+    tasks = cur.rdd.getNumPartitions()
+    while tasks > 1 and (fewer := -(-cur.count() // MERGED_EDGES) or 1) < tasks:  # while they fit into fewer tasks
+        tasks, before = fewer, cur
+        cur = merged(before.coalesce(fewer), "forest")
+        scratch.drop(before)
+    if tasks == 1:  # one task has merged all
+        max_rounds = 0
     for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-            cur.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        large = star(both).where("x > u").select(F.col("x").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = star(down)
-        nxt = (
-            small.select(F.col("x").alias("a"), F.col("m").alias("b"))
-            .union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        nxt = scratch.write(nxt, "round")
-        after = mark(nxt)
-        scratch.drop(cur)
-        cur = nxt
-        if after == before:
+        if flat(cur):
             break
-        before = after
+        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select("b", "a"))
+        large = star(both).where("x > u AND x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+        small = star(large)
+        pairs = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("u", "m")).where("a <> b").distinct()
+        before, cur = cur, merged(pairs, "round")
+        scratch.drop(before)
     else:
-        raise RuntimeError("connected_components did not settle")
-    roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if max_rounds:
+            raise RuntimeError("connected_components did not settle")
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select("b", "b").distinct())
+
+
+def _unlike(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := name + "_" * k).lower() not in taken) for name in names]
+
+
+def _placed(df: DataFrame, column: str, bits: int) -> tuple[DataFrame, str, str]:
+    """``df`` with the word and the bit of the column's values in a map of that many bits."""
+    word, bit = _unlike(df, "__word", "__bit")
+    at = F.pmod(F.col(column).cast("long"), F.lit(bits))
+    return df.withColumn(word, F.floor(at / 64).cast("long")).withColumn(bit, (at % 64).cast("int")), word, bit
 
 
 def _bit_words(wanted: DataFrame, column: str, bits: int) -> DataFrame:
@@ -174,7 +241,16 @@ def _bit_words(wanted: DataFrame, column: str, bits: int) -> DataFrame:
     )
 
 
-_HIT = "(shiftrightunsigned(__mask, CAST(__place % 64 AS int)) & 1) = 1"
+def _hit(mask: str, bit: str):
+    return F.expr(f"(shiftrightunsigned(`{mask}`, `{bit}`) & 1) = 1")
+
+
+def _marked(df: DataFrame, column: str, words: DataFrame, bits: int, how: str) -> tuple[DataFrame, str]:
+    """``df`` joined with the words of a map; the name of the mask's column and the hit as a condition."""
+    out, word, bit = _placed(df, column, bits)
+    (mask,) = _unlike(df, "__mask")
+    words = words.select(F.col("__word").alias(word), F.col("__mask").alias(mask))
+    return out.join(F.broadcast(words), word, how), _hit(mask, bit)
 
 
 def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
@@ -186,8 +262,8 @@ def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bits: int = 1 <
     keeps most rows out of that join's exchange. Let that be an inner or outer
     join: the optimiser moves semi and anti joins below the one with the map.
     """
-    out = df.withColumn("__place", F.pmod(F.col(column), F.lit(bits))).withColumn("__word", F.expr("__place div 64"))
-    return out.join(F.broadcast(_bit_words(wanted, column, bits)), "__word").where(_HIT).select(*df.columns)
+    out, hit = _marked(df, column, _bit_words(wanted, column, bits), bits, "inner")
+    return out.where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def bit_array(wanted: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
@@ -204,24 +280,77 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, scratch: Scratch,
     Documents outside a bitmap of the gone ids pass without an exchange of their
     texts; only the others meet the exact anti join.
     """
-    gone = scratch.write(gone.select(F.col(id_col).cast("long").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
-    words = F.broadcast(_bit_words(gone, "__gone", bits))
-    out = docs.withColumn("__place", F.pmod(F.col(id_col).cast("long"), F.lit(bits))).withColumn("__word", F.expr("__place div 64"))
-    out = out.join(words, "__word", "left").withColumn("__hit", F.coalesce(F.expr(_HIT), F.lit(False)))
-    missed = out.where("NOT __hit").select(*docs.columns)
-    hit = out.where("__hit").select(*docs.columns)
+    (name,) = _unlike(docs, "__gone")
+    gone = scratch.write(gone.select(F.col(id_col).cast("long").alias(name)).where(F.col(name).isNotNull()).distinct(), "gone")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    out, hit = _marked(docs, id_col, _bit_words(gone, name, bits), bits, "left")
+    hit = F.coalesce(hit, F.lit(False))
+    missed, some = out.where(~hit).select(*cols), out.where(hit).select(*cols)
     # an outer join: the optimiser would move an anti join below the map's join, to all texts
-    exact = hit.join(gone, hit[id_col].cast("long") == gone["__gone"], "left").where("__gone IS NULL").select(*docs.columns)
+    exact = some.join(gone, some[id_col].cast("long") == gone[name], "left").where(F.col(name).isNull()).select(*cols)
     return missed.unionByName(exact)
 
 
+def split_by_ids(docs: DataFrame, id_col: str, wanted: DataFrame, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose long id may be in the column of that name of ``wanted``, and rows whose id isn't, by a bitmap."""
+    out, hit = _marked(docs, id_col, _bit_words(wanted, id_col, bits), bits, "left")
+    hit, cols = F.coalesce(hit, F.lit(False)), [F.col(f"`{c}`") for c in docs.columns]
+    return out.where(hit).select(*cols), out.where(~hit).select(*cols)
+
+
+def once_per_key(df: DataFrame, key: str, scratch: Scratch, bits: int = 1 << 24) -> DataFrame:
+    """One row of ``df`` for each value of its long column ``key``, where most values stand alone.
+
+    Only rows whose value may stand in several, by a bitmap of those that do, are exchanged.
+    """
+    again = scratch.write(repeated_keys(df.select(F.col(key).alias("key"))), "again")
+    out, hit = _marked(df, key, _bit_words(again, "key", bits), bits, "left")
+    hit = F.coalesce(hit, F.lit(False))
+    return out.where(~hit).select(*df.columns).unionByName(out.where(hit).select(*df.columns).dropDuplicates([key]))
+
+
+#: Keys that a task holds before it hands them out by part.
+HELD_KEYS = 1_000_000
+
+
+def _dealt(parts: int):
+    """Keys of a task as (part, the part's keys as bytes): a row for many keys, where a row each would cost most of an exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate(held)
+            part = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")
+            data, ends = keys[order], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
+            full = np.flatnonzero(np.diff(ends, prepend=0))
+            offsets = np.concatenate([[0], ends[full]]) * 8
+            blobs = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blobs], ["part", "keys"])
+
+        for batch in batches:
+            column = batch.column(0)
+            keys = column.flatten() if pa.types.is_list(column.type) else column
+            held.append(keys.to_numpy(zero_copy_only=False))
+            rows += len(keys)
+            if rows > HELD_KEYS:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
+
+    return run
+
+
 def repeated_keys(posts: DataFrame) -> DataFrame:
-    """The values of the long column ``key`` that stand in two rows or more.
+    """The values of the long column ``key``, or of arrays of longs there, that stand in two rows or more.
 
     Nearly all keys stand alone, so combining before the exchange would only
     cost: keys are dealt out by value and counted in slices. A task holds the
     distinct keys of its part; repetitions of a frequent key are folded as they come.
     """
+    parts = 4 * int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice, rows = [], [], 0
@@ -233,18 +362,20 @@ def repeated_keys(posts: DataFrame) -> DataFrame:
 
         held = 0
         for batch in batches:
-            once.append(batch.column(0).to_numpy(zero_copy_only=False))
-            rows += len(batch)
-            if rows - held > 4_000_000 + held:
-                once, twice, held = fold()
-                rows = held
+            for blob in batch.column("keys"):
+                once.append(np.frombuffer(blob.as_buffer(), np.int64).copy())
+                rows += len(once[-1])
+                if rows - held > 4_000_000 + held:
+                    once, twice, held = fold()
+                    rows = held
         if once:
             yield pa.RecordBatch.from_arrays([pa.array(fold()[1][0])], ["key"])
 
-    return posts.select("key").repartition("key").mapInArrow(tidy(run), "key long")
+    dealt = posts.select("key").mapInArrow(tidy(_dealt(parts)), "part int, keys binary")
+    return dealt.repartition("part").mapInArrow(tidy(run), "key long")
 
 
-def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None, narrowed=None, attrs=None) -> DataFrame:
+def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, detail=None, narrowed=None, attrs=None, leaders=1, described=None, keys=None) -> DataFrame:
     """(node, root) for nodes linked to another one by a verified pair from one bucket.
 
     posts: key, node and attributes, a node at most once under a key. ``fits(x, y)``
@@ -256,41 +387,58 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     the pairs have met the condition of ``detail``.
     ``narrowed(keys)`` may give the posts, or somewhat more, whose key is in the
     column ``key`` of a table, where the caller knows a faster way than a filter; with ``attrs``, its columns besides ``key``,
-    ``posts`` needs the keys alone.
+    ``posts`` isn't read. ``keys`` may have the posts' keys as arrays in a column ``key``. ``described`` may be a function that adds
+    attributes to the posts that need more than their leader, a condition for them in place of ``fits``, their attributes, and
+    whether two posts meet in an earlier bucket too.
 
     Pairs of a bucket aren't all made. First each post of some buckets (all, or
     those that the condition ``first`` selects) is paired with its bucket's
     leader and verified pairs are merged into components. A bucket whose posts
     now lie in one component needs no more. In the others, posts outside the
-    bucket's largest component are paired with a member of that one, if only some
-    buckets had a leader before, and then every pair of posts from *different*
-    components is still tried, so no link between components is lost, whatever
-    the size of a bucket.
+    bucket's largest component are paired ``leaders`` times with some member of that one, and
+    then every pair of posts from *different* components is still tried, so no link between
+    components is lost, whatever the size of a bucket.
     """
     attrs = attrs or [c for c in posts.columns if c != "key"]
     with narrow_batches(scratch.spark):
-        shared = scratch.write(repeated_keys(posts), "shared")
-    some = narrowed(shared) if narrowed else bitmap_filter(posts, "key", shared)
-    buckets = some.join(shared, "key")
-    buckets = scratch.write(buckets.select("key", *attrs), "buckets")
+        shared = scratch.write(repeated_keys(posts if keys is None else keys), "shared")
+    some = narrowed(shared) if narrowed else bitmap_filter(posts, "key", shared).join(shared, "key")
+    buckets = scratch.write(some.select("key", *attrs), "buckets")
     scratch.drop(shared)
 
     early = buckets if first is None else buckets.where(first)
-    lead = early.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"])).alias("lead"))
+    lead = early.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"], "key")).alias("lead"))
     stars = early.join(lead, "key").where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
     tried = scratch.write(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = scratch.write(verify(tried, False), "links")
     roots = scratch.write(connected_components(links, scratch), "roots")
 
-    # with few buckets paired so far, first the leader of a bucket's largest component, then all
-    for whole in (True,) if first is None else (False, True):
+    # buckets that lie in several components
+    comp = F.coalesce("root", "node")
+    comps = buckets.join(roots, "node", "left").groupBy("key").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi"))
+    several = scratch.write(comps.where("lo <> hi").select("key"), "several")
+    left = bitmap_filter(buckets, "key", several).join(several, "key")
+    seen = None
+    if described:
+        describe, fits, attrs, seen = described
+        left = describe(left)
+    left = scratch.write(left.select("key", *attrs), "left")
+    scratch.drop(buckets)
+    buckets = left
+
+    # first, some times, with one member of a bucket's largest component, another each time; then all
+    for turn in (*range(1, leaders + 1), 0):
+        whole = turn == 0
         placed = buckets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("key", "comp", *attrs)
         placed = scratch.write(placed, "placed")
-        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("members"), F.min("node").alias("head"))
+        drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("members"), F.min(drawn)["node"].alias("head"))
         largest = counts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp", "head")).alias("m"))
         mixed = placed.join(largest.where("comps > 1").select("key", F.col("m.comp").alias("most"), F.col("m.head").alias("head")), "key")
         mixed = scratch.write(mixed, "mixed")
         close = F.lit(True)
+        if whole and seen is not None:
+            close = ~seen(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
         if detail is not None:
             table, near, met = detail
             own = bitmap_filter(table, "node", mixed.select("node").distinct()).dropDuplicates(["node"])

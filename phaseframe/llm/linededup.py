@@ -6,18 +6,22 @@ their normalised edit similarity is at least ``similarity``, and of every
 connected group of lines the first occurrence in the corpus stays: that
 in the document with the smallest id, then the first line.
 
-Candidates of lines of ``SHORT`` characters and more share a run of ``GRAM`` characters: each
-line is posted under some ``SEEDS`` of its runs, those with the smallest hashes, so
-two lines choose alike. Edits that are close to the limit and evenly spread may
-leave no run that both have posted; the README has the recall. A pair with a shorter
-line is always found: the longer one is cut into one piece more than the edits
-that its length allows, so one piece stands unchanged in the other line, and
-near its place.
+Candidates of lines of ``SHORT`` characters and more are joined on blocks of their
+word hashes: under each of ``BANDS`` orders of all words, in which long words tend to
+come first, a line posts the first word of its begin, its middle and its end. (Lines that
+share a passage and differ around it have few posts in common.) Posts that meet are held against each other by a
+bit of each such word; where more than a bucket's leader is tried, by the SimHash of their lines, within a
+wide ``RADIUS``, and by the words' places; and by counts of pairs of characters before edits are counted. (Blocks
+of the SimHash itself can't find these pairs: one changed word in a line of ten moves
+eight bits of 64, and blocks narrow enough for eight bits hold every line; the README has
+figures.) A pair with a shorter line is always found: the longer one is cut into one
+piece more than the edits that its length allows, so one piece stands unchanged in the
+other line, and near its place.
 
 Scale: a frequent line is one node, combined map-side; buckets are resolved by
 ``link_buckets`` without making all pairs of a group; the posts that meet in no
-bucket are mostly held back by a bitmap of fixed size before the exchange. Each
-distinct line's text is exchanged once, whole texts once, to drop their lines.
+bucket are mostly held back by a bitmap of fixed size before the exchange. Texts of
+lines that meet are exchanged, and once the whole texts of which lines go.
 
 Defined results: lines without a word are never dropped; lines are
 split at line feeds and the others keep their order; a text of which nothing
@@ -28,6 +32,7 @@ rows; all other columns pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +41,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, slim_batches, tidy
+from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, once_per_key, slim_batches, split_by_ids, tidy
 
 SIMILARITY = 0.9
-SHORT = 60
-GRAM = 12
-SEEDS = 40
-#: Of the former search by SimHash, to which tests/llm/test_linededup.py still compares.
-MIN_WORDS = 8
+SHORT = 54
+BANDS, PARTS = 20, 3
+FEW = 16
+#: Bits of PARTS * BANDS that the sketches of near lines may differ in: of unrelated ones half do.
+SKETCH = 22
+#: Of eight groups of bands, those whose posts are paired with a leader first.
+EARLY = 3
+#: Bits of 64 that the SimHashes of near lines may differ in: of unrelated ones half do.
+RADIUS = 28
+#: Weights of words in the SimHash are their lengths, up to this.
 HEAVIEST = 8
 
 #: Bytes of lower-case UTF-8 text: letters, digits and what isn't ASCII stay, line feeds too, the rest is space.
 _WORDS = bytes(c if c == 10 or chr(c).isdigit() or chr(c).islower() or c > 127 else 32 for c in range(256))
 _U = np.uint64
+_FULL = np.uint32(0xFFFFFFFF)
+#: How much later words of so many bytes come in the orders, as most short words stand in a large share of all
+#: lines: in lines of at most FEW words, of which no one may decide too much, and in others.
+_LATER = np.array([[6, 6, 4, 3, 2] + [1] * 12, [64, 64, 32, 12, 4] + [1] * 12], np.uint32)
+
+
 def simhash(words: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SimHash of runs of weighted 32-bit word hashes, the runs beginning at ``starts``."""
     x = words.astype(_U) * _U(0x9E3779B97F4A7C15)
@@ -101,11 +117,12 @@ def _most(length: int, similarity: float) -> int:
 
 
 def may_be_near(a: str, b: str, most: int) -> bool:
-    """Whether the counts of characters allow for ``most`` edits."""
+    """Whether the lengths and the counts of pairs of characters allow for ``most`` edits: each one changes four counts at most."""
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = (np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") & 255, minlength=256) for s in (a, b))
-    return int(np.abs(x - y).sum()) <= 2 * most
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
+    x, y = (np.bincount((c[:-1] * np.uint32(31) + c[1:]) & np.uint32(1023), minlength=1024) for c in (x, y))
+    return int(np.abs(x - y).sum()) <= 4 * most
 
 
 def _line_rows():
@@ -154,39 +171,78 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` characters from each place on; the last GRAM - 1 places have none."""
-    x = np.zeros(max(0, len(codes) - GRAM + 1), _U)
-    for j in range(GRAM):
-        x = x * _U(0x9E3779B97F4A7C15) + codes[j : j + len(x)]
-    return _mixed(x)
-
-
-def _seeds(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, place) of the chosen runs of lines; a run that a line repeats has its first place."""
-    hashes = _gram_hashes(codes)
-    owner = np.repeat(np.arange(len(starts)), lengths + 1)[: len(hashes)]
-    place = np.arange(len(hashes)) - starts[owner]
-    inside = (place + GRAM <= lengths[owner]) & (lengths[owner] >= SHORT)
-    # a share of the values that gives SEEDS runs of a line and more of a long one, all of them if it has no more
-    share = np.minimum(1.0, (SEEDS + lengths / 25) / np.maximum(1, lengths - GRAM + 1))
-    bound = (share * float(2**53)).astype(_U)
-    chosen = np.flatnonzero(inside & ((hashes >> _U(11)) < bound[owner]))
-    line, key, at = owner[chosen], hashes[chosen], place[chosen]
-    order = np.lexsort((at, key, line))
-    line, key, at = line[order], key[order], at[order]
-    first = np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])][: len(line)]
-    line, key, at = line[first], key[first], at[first]
-    # lines that repeat few runs: the smallest of all, which includes the share
-    few = np.flatnonzero((np.bincount(line, minlength=len(starts)) < SEEDS // 2) & (lengths >= SHORT))
-    if len(few):
-        kept = ~np.isin(line, few)
-        parts = [(line[kept], key[kept], at[kept])]
-        for k in few:
-            values, where = np.unique(hashes[starts[k] : starts[k] + lengths[k] - GRAM + 1], return_index=True)
-            parts.append((np.full(min(SEEDS, len(values)), k), values[:SEEDS], where[:SEEDS]))
-        line, key, at = (np.concatenate(x) for x in zip(*parts))
-    return line, key.view(np.int64), at
+def _words_of(norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and last-but-one bytes of the words of lines, the first word of each line, and how many it has.
+
+    A hash is made of a word's first and last eight bytes and its length.
+    """
+    data = "\n".join(norms).encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
+    stop = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
+    size = np.diff(stop, prepend=-1) - 1
+    eight = np.ndarray(len(raw) + 9, "<u8", bytes(8) + data + bytes(9), strides=(1,))  # the eight bytes before each place, and there
+    spare = (8 - np.minimum(size, 8)).astype(_U) * _U(8)
+    spare = np.minimum(spare, _U(63))
+    head, tail = (eight[stop - size + 8] << spare) >> spare, eight[stop] >> spare
+    codes = (head * _U(0x9E3779B97F4A7C15)) ^ _mixed(tail + size.astype(_U))
+    last = np.append(np.flatnonzero(raw[stop[:-1]] == 10), len(stop) - 1)
+    counts = np.diff(last, prepend=-1)
+    return codes, stop, last - counts + 1, counts
+
+
+def _orders(codes: np.ndarray, stop: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each band the places of all words in its orders, and the first word of each part of the lines.
+
+    A band has an order of all words for each part, so that a frequent word that is early in one isn't in the others.
+    """
+    later = _LATER[np.repeat(counts > FEW, counts).view(np.int8), np.minimum(np.diff(stop, prepend=-1) - 1, _LATER.shape[1] - 1)]
+    spread = (_mixed(codes) >> _U(32)).astype(np.uint32)
+    odd = (_mixed(np.arange(1, BANDS * PARTS + 1, dtype=_U)) | _U(1)).astype(np.uint32).reshape(BANDS, PARTS)
+    # begin and end are thirds of short lines, fifths of long ones
+    edge = np.maximum(counts // 5, np.minimum(counts // 3, 7))
+    parts = np.stack([starts, starts + edge, starts + counts - np.maximum(edge, 1)], axis=1).ravel()
+    part = np.repeat(np.tile(np.arange(PARTS), len(starts)), np.diff(parts, append=len(codes)))
+    for band in range(BANDS):
+        place = spread * odd[band][part]
+        place >>= np.uint32(6)
+        place *= later
+        yield place, parts
+
+
+def band_keys(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) keys of lines by the first word of each part: the lowest bit is 0, the next three number
+    the band. And a bit of each of those words, together a sketch of the line."""
+    words = _words_of(norms)
+    out, bits = np.empty((len(norms), BANDS), _U), np.zeros(len(norms), _U)
+    for band, (place, parts) in enumerate(_orders(*words)):
+        first = np.minimum.reduceat(place, parts).reshape(-1, PARTS).astype(_U)
+        key = np.full(len(norms), _U(band + 1))
+        for n in range(PARTS):
+            mixed = _mixed(first[:, n] + _U(1))
+            key = _mixed(key * _U(0x9E3779B97F4A7C15) + mixed)
+            bits |= (mixed >> _U(63)) << _U(band * PARTS + n)
+        out[:, band] = key
+    return (out & ~_U(15)) | (np.arange(BANDS, dtype=_U) % _U(8) << _U(1)), bits.view(np.int64)
+
+
+#: Bits of a character's place in a line; longer lines give no places.
+PLACE = 21
+
+
+def band_places(norms: list[str]) -> np.ndarray:
+    """(lines, BANDS) places of the words that made ``band_keys``, PLACE bits each."""
+    codes, stop, starts, counts = _words_of(norms)
+    raw = np.frombuffer("\n".join(norms).encode("utf-8", "surrogatepass"), np.uint8)
+    chars = np.cumsum((raw & 0xC0) != 0x80)
+    at = chars[stop - 1] - np.repeat(np.append(0, chars[stop[starts[1:] - 1]]), counts)  # where each word ends in its line
+    number = np.arange(len(codes), dtype=_U)
+    out = np.empty((len(norms), BANDS), np.int64)
+    for band, (place, parts) in enumerate(_orders(codes, stop, starts, counts)):
+        first = np.minimum.reduceat((place.astype(_U) << _U(32)) | number, parts) & _U(0xFFFFFFFF)
+        where = at[first.astype(np.int64)].reshape(-1, PARTS)
+        out[:, band] = (where << (PLACE * np.arange(PARTS))).sum(axis=1)
+    out[np.fromiter(map(len, norms), np.int64, len(norms)) >= 1 << PLACE] = -1
+    return out
 
 
 def _short_keys(norm: str, similarity: float) -> set[int]:
@@ -216,52 +272,119 @@ def _short_keys(norm: str, similarity: float) -> set[int]:
     return keys
 
 
-def line_posts(norms: list[str], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, place, map) of the posts of normalised lines: the place of a run in
-    its line, and for pieces of short lines a 64-bit map of the line's pairs of characters."""
-    lengths = np.array([len(x) for x in norms])
-    codes = np.frombuffer("".join(f"{x}\n" for x in norms).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    twos = codes.copy()
-    twos[:-1] = codes[:-1] * _U(0x9E3779B97F4A7C15) + codes[1:]
-    twos[starts + lengths] = twos[starts]
-    maps = np.bitwise_or.reduceat(_U(1) << (_mixed(twos) >> _U(58)), starts).view(np.int64)
-    line, key, at = _seeds(codes, starts, lengths)
-    short = [(k, _short_keys(norms[k], similarity)) for k in np.flatnonzero(lengths - (lengths * (1 - similarity)).astype(int) <= SHORT)]
-    owner = np.repeat(np.array([k for k, _ in short], np.int64), [len(x) for _, x in short])
-    pieces = np.array([x for _, keys in short for x in keys], np.uint64).view(np.int64)
-    none = np.zeros(len(line), np.int64)
-    return np.r_[line, owner], np.r_[key, pieces], np.r_[at, np.zeros(len(owner), np.int64)], np.r_[none, maps[owner]]
-
-
-def _posts(similarity: float, bitmap=None):
-    """Posts of lines; with a bitmap those whose key may be in it, else their keys alone."""
-
-    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lo, size, lengths = 0, 0, batch.column("length").to_numpy(zero_copy_only=False)
-        for hi in range(1, len(lengths) + 1):
-            size += lengths[hi - 1]
-            if size > 300_000 or hi == len(lengths):
-                yield batch.slice(lo, hi - lo)
-                lo, size = hi, 0
+def line_keys(norms: list[str], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, sketch) of the posts of normalised lines. Keys of pieces of short lines are odd; their sketches are
+    maps of pairs of characters."""
+    lengths = np.fromiter(map(len, norms), np.int64, len(norms))
+    long = np.flatnonzero(lengths >= SHORT)
+    owners, keys, sketches = [np.repeat(long, BANDS)], [], []
+    if len(long):
+        own, bits = band_keys([norms[k] for k in long])
+        keys.append(own.ravel())
+        sketches.append(np.repeat(bits, BANDS))
+    short = np.flatnonzero(lengths - (lengths * (1 - similarity)).astype(int) <= SHORT)
+    pieces = [_short_keys(norms[k], similarity) for k in short]
+    sizes = [len(x) for x in pieces]
+    owners.append(np.repeat(short, sizes))
+    keys.append(np.array([x for own in pieces for x in own], _U) | _U(1))
+    sketches.append(np.repeat(pair_maps([norms[k] for k in short]), sizes) if len(short) else np.empty(0, np.int64))
+    line = np.concatenate(owners)
+    order = np.argsort(line, kind="stable")
+    return line[order], np.concatenate(keys).view(np.int64)[order], np.concatenate(sketches)[order]
+
+
+def line_sketches(norms: list[str]) -> np.ndarray:
+    """SimHashes of lines, of their distinct words."""
+    codes, stop, starts, counts = _words_of(norms)
+    lengths = np.diff(stop, prepend=-1) - 1
+    owner = np.repeat(np.arange(len(norms)), counts)
+    order = np.lexsort((codes, owner))
+    same = np.zeros(len(codes), bool)
+    same[1:] = (owner[order][1:] == owner[order][:-1]) & (codes[order][1:] == codes[order][:-1])
+    own = order[~same]  # distinct words of each line
+    sims = simhash(codes[own], line_weights(lengths[own]), np.searchsorted(owner[own], np.arange(len(norms))))
+    return sims.view(np.int64)
+
+
+def pair_maps(norms: list[str]) -> np.ndarray:
+    """64-bit maps of the pairs of neighbouring characters of lines."""
+    size = np.fromiter(map(len, norms), np.int64, len(norms))
+    chars = np.frombuffer("".join(f"{x}\n" for x in norms).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    begin = np.cumsum(size + 1) - size - 1
+    twos = chars.copy()
+    twos[:-1] = chars[:-1] * _U(0x9E3779B97F4A7C15) + chars[1:]
+    twos[begin + size] = twos[begin]
+    return np.bitwise_or.reduceat(_U(1) << (_mixed(twos) >> _U(58)), begin).view(np.int64)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some hundred thousand characters, small enough for a processor's cache."""
+    lo, size, lengths = 0, 0, batch.column("length").to_numpy(zero_copy_only=False)
+    for hi in range(1, len(lengths) + 1):
+        size += lengths[hi - 1]
+        if size > 200_000 or hi == len(lengths):
+            yield batch.slice(lo, hi - lo)
+            lo, size = hi, 0
+
+
+def _with_keys(similarity: float):
+    """Lines with their keys, and the sketches of both kinds of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in _slices(b)):
+            line, key, sketch = line_keys(batch.column("norm").to_pylist(), similarity)
+            ends = np.cumsum(np.bincount(line, minlength=len(batch)))
+            keys = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(key))
+            two = np.zeros((2, len(batch)), np.int64)
+            two[key & 1, line] = sketch
+            arrays = [batch.column("node"), batch.column("length"), *map(pa.array, two), keys]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "length", "bits", "map", "keys"])
+
+    return run
+
+
+def _posts(bitmap):
+    """Posts whose key may be in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else bitmap.value
-        for batch in (x for b in batches for x in slices(b)):
-            line, key, at, maps = line_posts(batch.column("norm").to_pylist(), similarity)
-            if bits is None:
-                yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
-                continue
-            slot = key & (len(bits) * 8 - 1)
-            hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            line, key, at, maps = line[hit], key[hit], at[hit], maps[hit]
-            node, length = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("node", "length"))
-            arrays = [pa.array(x) for x in (key, node, maps, length, at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "sim", "length", "at"])
+        full = bitmap.value
+        for batch in batches:
+            keys = batch.column("keys")
+            key = keys.flatten().to_numpy(zero_copy_only=False)
+            slot = key & (len(full) * 8 - 1)
+            hit = np.flatnonzero((full[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            line, key = np.repeat(np.arange(len(batch)), np.diff(keys.offsets.to_numpy()))[hit], key[hit]
+            node, length, bits, maps = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("node", "length", "bits", "map"))
+            arrays = (key, node, length, np.where(key & 1, maps, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "node", "length", "bits"])
 
     return run
 
 
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posts of lines (node, norm, posts of key and more) with the SimHash of the line and the places of a key's words."""
+    for batch in (x for b in batches for x in _slices(b)):
+        posts, norms = batch.column("posts"), batch.column("norm").to_pylist()
+        own = posts.flatten()
+        key = own.field("key").to_numpy(zero_copy_only=False)
+        line = np.repeat(np.arange(len(batch)), np.diff(posts.offsets.to_numpy()))
+        sims, at, number = np.zeros(len(key), np.int64), np.full(len(key), -1), np.zeros(len(key), np.int32)
+        bands = np.zeros((len(norms), BANDS), np.int32)  # half of each band's key
+        band = np.flatnonzero((key & 1) == 0)
+        if len(band):
+            these, which = np.unique(line[band], return_inverse=True)
+            texts = [norms[k] for k in these]
+            sims[band] = line_sketches(texts)[which]
+            every = band_keys(texts)[0].view(np.int64)
+            bands[these] = (every >> 32).astype(np.int32)
+            number[band] = np.argmax(every[which] == key[band][:, None], axis=1)
+            at[band] = band_places(texts)[which, number[band]]
+        node, length = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("node", "length"))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(bands[line].ravel()))
+        arrays = [pa.array(key), pa.array(node), pa.array(length), own.field("bits"), pa.array(sims), pa.array(at), pa.array(number), lists]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "length", "bits", "sim", "at", "band", "bands"])
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -278,23 +401,42 @@ def dedup_lines(
         src.mapInPandas(tidy(_line_rows()), "key long, at long, line int, node long, length int, norm string"), "lines"
     )
 
-    distinct = lines.where("norm IS NOT NULL").select("node", "length", "norm").dropDuplicates(["node"])
-    distinct = scratch.write(distinct, "distinct")
-    posts = distinct.mapInArrow(tidy(_posts(similarity)), "key long")
+    texts = lines.where("norm IS NOT NULL").select("node", "length", "norm")  # of a node once in each task that has it
+    keyed = once_per_key(texts, "node", scratch).mapInArrow(tidy(_with_keys(similarity)), "node long, length int, bits long, map long, keys array<long>")
+    keyed = scratch.write(keyed, "keyed")
+
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """node, length and norm of the nodes."""
+        return scratch.write(bitmap_filter(texts, "node", nodes).join(nodes, "node").dropDuplicates(["node"]), name)
 
     def narrowed(keys: DataFrame) -> DataFrame:
         bitmap = docs.sparkSession.sparkContext.broadcast(bit_array(keys, "key"))
-        return distinct.mapInArrow(tidy(_posts(similarity, bitmap)), "key long, node long, sim long, length int, at int")
+        return keyed.mapInArrow(tidy(_posts(bitmap)), "key long, node long, length int, bits long")
+
+    def described(some: DataFrame) -> DataFrame:
+        of_node = scratch.write(some.groupBy("node").agg(F.collect_list(F.struct("key", "bits")).alias("posts")), "of_node")
+        both = texts_of(of_node.select("node"), "near").join(of_node, "node")
+        return both.mapInArrow(tidy(_described), "key long, node long, length int, bits long, sim long, at long, band int, bands array<int>")
+
+    def most(x, y) -> Column:
+        return F.floor(F.greatest(x("length"), y("length")) * F.lit(1 - similarity) + F.lit(1e-9))
+
+    def alike_in_short(x, y) -> Column:
+        """What lines within the edits that their length allows have in common: their lengths, and a sketch."""
+        apart, piece = F.bit_count(x("bits").bitwiseXOR(y("bits"))), x("key").bitwiseAND(F.lit(1)) == 1
+        return (F.abs(x("length") - y("length")) <= most(x, y)) & (apart <= F.when(piece, 4 * most(x, y)).otherwise(SKETCH))
 
     def near(x, y) -> Column:
-        """What lines within the edits that their length allows have in common: places of a shared run, and pairs of characters."""
-        most = F.floor(F.greatest(x("length"), y("length")) * F.lit(1 - similarity) + F.lit(1e-9))
-        before, after = x("at") - y("at"), x("length") - x("at") - y("length") + y("at")
-        return (F.abs(before) + F.abs(after) <= most) & (F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= 4 * most)
+        """Further the SimHash, and the distances between the words of a key, from the line's begin to its end."""
+        place = lambda z, n: F.shiftright(z("at"), PLACE * n).bitwiseAND(F.lit((1 << PLACE) - 1))
+        shifts = [F.lit(0), *(place(x, n) - place(y, n) for n in range(PARTS)), x("length") - y("length")]
+        moved = sum((F.abs(b - a) for a, b in zip(shifts[1:], shifts[2:])), F.abs(shifts[1]))
+        placed = (x("at") < 0) | (y("at") < 0) | (moved <= most(x, y))
+        return alike_in_short(x, y) & placed & (F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= RADIUS)
 
     def verify(pairs: DataFrame, _agreed: bool) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        own = scratch.write(bitmap_filter(distinct.select("node", "norm"), "node", used).join(used, "node"), "texts")
+        own = texts_of(used, "texts")
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("norm").alias("na")), "a").join(
             own.select(F.col("node").alias("b"), F.col("norm").alias("nb")), "b"
         )
@@ -307,7 +449,17 @@ def dedup_lines(
 
         return both.mapInPandas(tidy(alike), "a long, b long")
 
-    roots = link_buckets(posts, near, verify, scratch, attrs=["node", "sim", "length", "at"], narrowed=narrowed)
+    early = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit(7)) < EARLY
+    attrs = ["node", "length", "bits"]
+    keys = keyed.select(F.col("keys").alias("key"))
+
+    def met(x, y) -> Column:
+        """Whether two lines share the key of an earlier band; pieces of short lines have no order."""
+        before = lambda z: F.slice(z("bands"), F.lit(1), z("band"))
+        return F.exists(F.zip_with(before(x), before(y), lambda p, q: p == q), lambda same: same)
+
+    more = (described, near, [*attrs, "sim", "at", "band", "bands"], met)
+    roots = link_buckets(None, alike_in_short, verify, scratch, early, attrs=attrs, narrowed=narrowed, described=more, keys=keys)
     # the first occurrence of each group stays, for groups of two occurrences and more
     grouped = lines.select("node", "key", "at", "line").join(roots, "node", "left")
     grouped = grouped.select(F.coalesce("root", "node").alias("root"), "key", F.struct("at", "key", "line").alias("place"))
@@ -319,18 +471,18 @@ def dedup_lines(
         .agg(F.collect_set("place.line").alias("__dropped"))
     )
     dropped = scratch.write(dropped, "dropped")
+    scratch.keep_only(dropped)
     kept_cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = (
-        docs.withColumn("__key", key)
-        .withColumn("__text", text)
-        # texts are dealt out by key at every size; the other side grows with them and isn't broadcast
-        .join(dropped.withColumnRenamed("key", "__key").hint("merge"), "__key", "left")
-        .withColumn("__lines", F.split("__text", "\n", -1))
-    )
-    kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __dropped), i -> __lines[i])")
-    new_text = F.when(F.col("__dropped").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept_cols)])  # whatever their names
+    # only texts of which something may go are dealt out
+    some, whole = split_by_ids(docs.select(row.alias("row"), key.alias("key"), text.alias("text")), "key", dropped.select("key"))
+    # at every size: the other side grows with the texts and isn't broadcast
+    some = some.join(dropped.hint("merge"), "key", "left")
+    out = some.unionByName(whole.withColumn("__dropped", F.lit(None).cast("array<int>"))).withColumn("lines", F.split("text", "\n", -1))
+    kept = F.expr("transform(array_except(sequence(0, size(lines) - 1), __dropped), i -> lines[i])")
+    new_text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        *[new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept_cols],
-        F.size("__lines").alias("n_lines"),
+        *[new_text.alias(c) if c == text_col else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept_cols)],
+        F.size("lines").alias("n_lines"),
         F.coalesce(F.size("__dropped"), F.lit(0)).alias("n_dropped"),
     )

@@ -290,13 +290,14 @@ def near_duplicates(
 
     first = F.col("band") < max(1, bands // 5)
     details = whole.select("node", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)])
-    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (details, agree, met))
+    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (details, agree, met), keys=sets.select(F.col("bands").alias("key")))
     placed = (
         signed.select("doc_id", "node")
         .join(roots, "node", "left")
         .select("doc_id", F.coalesce("root", "node").alias("root"))
     )
     placed = scratch.write(placed, "placed")
+    scratch.keep_only(placed)
     groups = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return placed.join(groups, "root", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")

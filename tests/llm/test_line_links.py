@@ -3,29 +3,7 @@
 import random
 
 from phaseframe.llm import linededup
-from tests.llm.test_linededup import normal
-
-
-def by_edits(rows, similarity=0.9):
-    """Texts after line dedup, lines linked by edit similarity alone."""
-    lines = sorted({normal(x) for _, t in rows for x in t.split("\n")} - {""})
-    root = {x: x for x in lines}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(lines):
-        for b in lines[:i]:
-            most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
-            if abs(len(a) - len(b)) <= most and linededup.edit_distance(a, b) <= most:
-                root[find(a)] = find(b)
-    seen, out = set(), {}
-    for d, t in sorted(rows):
-        kept = [x for x in t.split("\n") if find(normal(x)) not in seen and not seen.add(find(normal(x)))]
-        out[d] = "\n".join(kept)
-    return out
+from tests.llm.test_linededup import brute
 
 
 def edited(rng, line, edits):
@@ -47,17 +25,48 @@ def test_long_lines_with_few_edits(spark):
         for edits in (0, 1, 2, len(base) // 40):
             rows.append((len(rows), edited(rng, base, edits)))
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = by_edits(rows)
+    want = brute(rows)
     assert {r["doc_id"]: r["text"] for r in out} == want and sum(not t for t in want.values()) >= 175
 
 
-def test_short_lines(spark):
+def short_rows(longest):
     rng = random.Random(6)
     rows = [(0, "all rights reserved 2019 by example\nmenu\nhome page"), (1, "all rights reserved 2020 by example\nmenus\nhome page"), (2, "all rights reserved 2018 by example\nhome pages")]
     for _ in range(80):
-        base = words(rng, rng.randint(1, 12))
+        base = words(rng, rng.randint(1, 12))[:longest].strip()
         for edits in range(0, 2 + len(base) // 10):
             rows.append((len(rows), edited(rng, base, edits) or "x"))
     rng.shuffle(rows)
+    return rows
+
+
+def test_short_lines(spark):
+    """All pairs are found, however many edits the similarity allows, if a line is shorter than SHORT."""
+    rows = short_rows(linededup.SHORT - 7)
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["text"] for r in out} == by_edits(rows)
+    assert {r["doc_id"]: r["text"] for r in out} == brute(rows)
+
+
+def test_somewhat_longer_lines(spark):
+    """With as many edits as the similarity allows some pairs are missed; no line goes that all pairs would keep."""
+    rows = short_rows(1_000)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    gone = [d for d, t in want.items() if not t]
+    assert all(t or not want[d] for d, t in got.items())
+    assert sum(not got[d] for d in gone) >= 0.8 * len(gone)
+
+
+def test_recall_by_length_and_edits():
+    """Share of pairs of a line and an edited copy, within the similarity, that share a key and pass the sketch and places."""
+    rng = random.Random(8)
+    lines = [words(rng, rng.choice([10, 14, 22, 45, 90])) for _ in range(400)]
+    for least, change in ((0.97, lambda x: edited(rng, x, 1)), (0.95, lambda x: edited(rng, x, 2)), (0.95, lambda x: edited(rng, x, len(x) // 40)), (0.85, lambda x: edited(rng, x, len(x) // 20))):
+        pairs = [(x, " ".join(y.split())) for x in lines if (y := change(x)) != x]
+        own = [linededup.line_keys([p[k] for p in pairs]) for k in (0, 1)]
+        keys = [[set() for _ in pairs] for _ in own]
+        for side, (line, key, _) in zip(keys, own):
+            for i, k in zip(line.tolist(), key.tolist()):
+                side[i].add(k)
+        found = sum(bool(a & b) for a, b in zip(*keys))
+        assert found >= least * len(pairs), (found, len(pairs))

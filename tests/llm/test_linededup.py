@@ -1,8 +1,6 @@
 import random
 import re
 
-import numpy as np
-
 from phaseframe.llm import linededup
 
 
@@ -19,19 +17,9 @@ def distance(a, b):
     return row[-1]
 
 
-def sim_of(text):
-    import zlib
-
-    own = list(dict.fromkeys(text.encode().split()))
-    heavy = linededup.line_weights(np.array([len(w) for w in own]))
-    return int(linededup.simhash(np.array([zlib.crc32(w) for w in own], np.uint32), heavy, np.array([0]))[0])
-
-
 def brute(rows, similarity=0.9):
-    """Texts after line dedup: all pairs of distinct lines, then first occurrences."""
+    """Texts after line dedup: lines linked by the edit similarity of all pairs alone, then first occurrences."""
     lines = sorted({normal(x) for _, t in rows for x in (t or "").split("\n")} - {""})
-    long = [x for x in lines if len(x.split()) >= linededup.MIN_WORDS]
-    sims = {x: sim_of(x) for x in long}
     root = {x: x for x in lines}
 
     def find(x):
@@ -39,9 +27,10 @@ def brute(rows, similarity=0.9):
             x = root[x]
         return x
 
-    for i, a in enumerate(long):
-        for b in long[:i]:
-            if bin(sims[a] ^ sims[b]).count("1") <= 3 and linededup.edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+            if abs(len(a) - len(b)) <= most and linededup.edit_distance(a, b) <= most:
                 root[find(a)] = find(b)
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
