@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where unset (tests, local
-    mode) a temporary one, which is then set for the session."""
+    """The folder in ``spark.checkpoint.dir``; where unset, a temporary one under a local master
+    only, which is then set for the session: executors elsewhere wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="phaseframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -410,13 +412,15 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
     lead = early.groupBy("key").agg(F.min(F.struct("node", *[c for c in attrs if c != "node"], "key")).alias("lead"))
     stars = early.join(lead, "key").where(F.col("node") != F.col("lead.node")).where(fits(lambda c: F.col(f"lead.{c}"), F.col))
     tried = scratch.write(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = scratch.write(verify(tried, False), "links")
+    links = tried if tried.isEmpty() else scratch.write(verify(tried, False), "links")
     roots = scratch.write(connected_components(links, scratch), "roots")
 
     # buckets that lie in several components
     comp = F.coalesce("root", "node")
     comps = buckets.join(roots, "node", "left").groupBy("key").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi"))
     several = scratch.write(comps.where("lo <> hi").select("key"), "several")
+    if several.isEmpty():  # no bucket has posts of different components
+        return roots
     left = bitmap_filter(buckets, "key", several).join(several, "key")
     seen = None
     if described:
@@ -457,8 +461,10 @@ def link_buckets(posts: DataFrame, fits, verify, scratch: Scratch, first=None, d
             .join(tried, ["a", "b"], "left_anti")
         )
         pairs = scratch.write(pairs, "pairs")
-        more = scratch.write(verify(pairs, detail is not None), "more")
         scratch.drop(placed, mixed)
+        if pairs.isEmpty():
+            continue
+        more = scratch.write(verify(pairs, detail is not None), "more")
         tried = tried.union(pairs)
         if not more.isEmpty():
             links = links.union(more)
