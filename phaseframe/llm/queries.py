@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseframe.llm import ann, chat, decontam, htmlextract, license, linededup, minhash, packing, quality, urlfilter
+from phaseframe.llm import ann, chat, decontam, htmlextract, license, linededup, minhash, packing, quality, urlfilter, whitening
 
 #: The url rules of the contract.
 URL_RULES = [
@@ -99,6 +99,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
@@ -110,6 +114,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_licenses": op9_licenses,
     "op10_neighbours": op10_neighbours,
+    "op13_whitening": op13_whitening,
 }
 
 _HARD_SQL = HARD_TURN.replace("'", "''")
