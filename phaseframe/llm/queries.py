@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseframe.llm import ann, chat, decontam, htmlextract, license, linededup, minhash, packing, quality, urlfilter, whitening
+from phaseframe.llm import ann, chat, decontam, htmlextract, lexical, license, linededup, minhash, packing, partenum, quality, urlfilter, whitening
 
 #: The url rules of the contract.
 URL_RULES = [
@@ -99,6 +99,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
@@ -114,6 +122,8 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_licenses": op9_licenses,
     "op10_neighbours": op10_neighbours,
+    "op11_search": op11_search,
+    "op12_jaccard": op12_jaccard,
     "op13_whitening": op13_whitening,
 }
 
@@ -126,7 +136,37 @@ _LICENCE_ROWS = ", ".join(
 )
 _LICENCE_POSTS = ", ".join(f"({k}, '{w}', {r})" for k, t in enumerate(_LICENCES) for w, r in t.postings)
 
+_CUT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE = {
+    "op11_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_CUT} AS ts FROM documents),
+items AS (SELECT row_number() OVER () AS iid, item_id, list_distinct({_CUT}) AS ts FROM benchmark),
+held AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM docs) u GROUP BY rid, t),
+wanted AS (SELECT iid, item_id, unnest(ts) AS t FROM items),
+size AS (SELECT count(*) FILTER (WHERE len(ts) > 0)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs),
+weights AS (SELECT t, floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, size GROUP BY t),
+scored AS (
+  SELECT q.iid, q.item_id, d.rid, d.doc_id,
+    sum(g.w * ((1000000000 * h.tf) // (1000 * h.tf + 20 * (50 + (50 * len(d.ts)::BIGINT * s.n_docs) // s.n_terms))))::BIGINT AS score
+  FROM wanted q JOIN held h USING (t) JOIN weights g USING (t) JOIN docs d USING (rid), size s GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50""",
+    "op12_jaccard": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS s FROM docs
+), posts AS (SELECT rid, len(s)::BIGINT AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT x.rid AS a, y.rid AS b FROM posts x JOIN posts y ON x.g = y.g AND x.rid <> y.rid AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 90
+  GROUP BY x.rid, y.rid, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach(a, b) AS (SELECT rid, rid FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(d.doc_id) AS component_id
+FROM reach r JOIN sets s ON s.rid = r.a JOIN docs d ON d.rid = r.b GROUP BY s.rid, s.doc_id, s.s""",
     # starts come from the key phrases here, not from an index
     "op9_licenses": f"""
 WITH t(t, label, base, key_at, key_size, key) AS (VALUES {_LICENCE_ROWS}),
