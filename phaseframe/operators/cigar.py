@@ -25,24 +25,28 @@ _STEPS = re.compile(r"(\d+)([MIDNSHP=X])")
 OFFSETS = "array<struct<op:string,len:int,q:int,r:int>>"
 
 
-def _offset_lists(cigars: list[str | None]) -> pa.Array:
-    """The operations of each CIGAR with the query and reference offsets they start at: running sums over all of them at once."""
+def flat_operations(cigars: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The operations of all CIGARs, one behind another: number of the CIGAR, letter, length, and the query and
+    reference offsets they start at, by running sums over all of them at once."""
     parts = [_STEPS.findall(c) if c else [] for c in cigars]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    ops = [op for p in parts for _, op in p]
-    sizes = np.fromiter((int(n) for p in parts for n, _ in p), np.int64, len(ops))
+    letters = np.array([op for p in parts for _, op in p], "U1") if counts.sum() else np.empty(0, "U1")
+    sizes = np.fromiter((int(n) for p in parts for n, _ in p), np.int64, len(letters))
     first = np.repeat(np.cumsum(counts) - counts, counts)
-    letters = np.array(ops, "U1") if ops else np.empty(0, "U1")
 
     def before(moves: str) -> np.ndarray:
-        step = np.where(np.isin(letters, list(moves)), sizes, 0)
-        total = np.concatenate([[0], np.cumsum(step)])
-        return (total[:-1] - total[first]).astype(np.int32) if len(first) else np.empty(0, np.int32)
-
-    values = pa.StructArray.from_arrays(
-        [pa.array(ops, pa.string()), pa.array(sizes.astype(np.int32)), pa.array(before("M=XIS")), pa.array(before("M=XDN"))], ["op", "len", "q", "r"]
-    )
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+        total = np.concatenate([[0], np.cumsum(np.where(np.isin(letters, list(moves)), sizes, 0))])
+        return total[:-1] - total[first] if len(first) else np.empty(0, np.int64)
+
+    return np.repeat(np.arange(len(cigars)), counts), letters, sizes, before("M=XIS"), before("M=XDN")
+
+
+def _offset_lists(cigars: list[str | None]) -> pa.Array:
+    """The operations of each CIGAR with the query and reference offsets they start at."""
+    read, letters, sizes, q, r = flat_operations(cigars)
+    ends = np.searchsorted(read, np.arange(len(cigars) + 1))
+    values = pa.StructArray.from_arrays([pa.array(letters.tolist(), pa.string()), *[pa.array(x.astype(np.int32)) for x in (sizes, q, r)]], ["op", "len", "q", "r"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def with_offsets(df: DataFrame, cigar: str = "cigar", name: str = "offs") -> DataFrame:

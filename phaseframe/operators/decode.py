@@ -6,11 +6,13 @@ state. Decoding is therefore a parity: within a block a variant's allele on the
 first haplotype is the number of switches after it, modulo two, as the last
 variant of a block is in state 0. That is two running sums instead of a
 sequential forward and backtrace pass. Blocks that hold an asymmetric matrix
-are decoded step by step in ``viterbi_blocks``; ``decoded`` has both.
+are decoded by two-level scans in ``viterbi_blocks``; ``decoded`` has both.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.operators.ordered import dense_index, running_sum
 from phaseframe.operators.transitions import uncertain
+from phaseframe.sources.checkpoints import cut
 
 
 def blocks(phaseable: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -81,6 +84,7 @@ def viterbi(t: np.ndarray) -> np.ndarray:
         step = score[:, None] + logs[k - 1]
         back[k] = step.argmax(axis=0)
         score = step.max(axis=0)
+        score -= score.max()
     out = np.empty(n, np.int8)
     out[-1] = score.argmax()
     for k in range(n - 1, 0, -1):
@@ -88,23 +92,110 @@ def viterbi(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi_blocks(blocked: DataFrame) -> DataFrame:
-    """h0 of blocks that hold an asymmetric matrix, block by block; a block is one task's unit of work."""
+#: Variants of a chunk of a long block.
+CHUNK = 4096
+
+
+def _logs(cells: np.ndarray) -> list[list[float]]:
+    """Rows (from 0 to 0, from 1 to 0, from 0 to 1, from 1 to 1) of logarithms of matrices whose rows are the states stepped to."""
+    return np.log(np.where(cells == 0, 1e-20, cells)).reshape(-1, 4).tolist()
+
+
+def compose(logs: list[list[float]]) -> tuple[float, float, float, float]:
+    """The steps as one: the best score from state i to state j, as (00, 01, 10, 11). Max-plus products associate."""
+    a00, a01, a10, a11 = 0.0, -np.inf, -np.inf, 0.0
+    for s00, s10, s01, s11 in logs:
+        a00, a01, a10, a11 = max(a00 + s00, a01 + s10), max(a00 + s01, a01 + s11), max(a10 + s00, a11 + s10), max(a10 + s01, a11 + s11)
+    return a00, a01, a10, a11
+
+
+def forward(logs: list[list[float]], start: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """Back pointers of the steps from a score of either state, and the scores at the end."""
+    x, y = start
+    back = np.empty((len(logs), 2), np.int8)
+    for k, (s00, s10, s01, s11) in enumerate(logs):
+        back[k] = y + s10 > x + s00, y + s11 > x + s01
+        x, y = max(x + s00, y + s10), max(x + s01, y + s11)
+        x, y = (0.0, y - x) if x > y else (x - y, 0.0)
+    return back, (x, y)
+
+
+def trace(back: np.ndarray, end: int) -> np.ndarray:
+    """States before, between and after the steps."""
+    out = np.empty(len(back) + 1, np.int8)
+    out[-1] = end
+    for k in range(len(back) - 1, -1, -1):
+        out[k] = back[k, out[k + 1]]
+    return out
+
+
+def viterbi_blocks(blocked: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """h0 of blocks that hold an asymmetric matrix, in chunks of ``chunk`` variants: the best path equals that of ``viterbi``.
+
+    A chunk's steps are composed to one max-plus matrix; these are scanned along the block, a row for a chunk, which gives
+    each chunk its scores at the start. With them a chunk knows for either state at its end the state before it; these
+    maps are scanned back from the block's end. Then each chunk is traced by itself. No group holds a block's variants.
+    """
     odd = F.max((F.col("breaks") == 0) & ((F.col("t00") != F.col("t11")) | (F.col("t01") != F.col("t10"))))
     wanted = blocked.groupBy("chrom", "block_id").agg(odd.alias("odd")).where("odd")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p_idx")
-        t = pdf[["t00", "t01", "t10", "t11"]].to_numpy()[1:].reshape(-1, 2, 2)
-        return pdf[["chrom", "idx", "block_id"]].assign(h0=viterbi(t).astype(np.int32))
-
-    cols = ["chrom", "idx", "block_id", "p_idx", "t00", "t01", "t10", "t11"]
-    return (
-        blocked.join(wanted, ["chrom", "block_id"], "left_semi")
-        .select(*cols)
-        .groupBy("chrom", "block_id")
-        .applyInPandas(run, "chrom string, idx long, block_id long, h0 int")
-    )
+    cells = F.struct("p_idx", "idx", F.array("t00", "t01", "t10", "t11").alias("t"), (F.col("breaks") != 0).alias("opens"))
+    rows = blocked.join(wanted, ["chrom", "block_id"], "left_semi").withColumn("chunk", F.floor(F.col("p_idx") / chunk).cast("long"))
+    rows = rows.groupBy("chrom", "block_id", "chunk").agg(F.sort_array(F.collect_list(cells)).alias("rows"))  # at most ``chunk`` each
+    first = F.col("rows")[0]["opens"]
+    steps = F.transform(F.when(first, F.slice("rows", 2, chunk)).otherwise(F.col("rows")), lambda r: r["t"])
+    chunks = cut(rows.select("chrom", "block_id", "chunk", first.alias("first"), F.transform("rows", lambda r: r["idx"]).alias("idx"), F.flatten(steps).alias("t")), "chunks")
+    keys = ["chrom", "block_id", "chunk"]
+    if chunks.isEmpty():
+        return chunks.sparkSession.createDataFrame([], "chrom string, idx long, block_id long, h0 int")
+
+    def logs_of(t) -> list[list[float]]:
+        return _logs(np.asarray(t, float).reshape(-1, 2, 2)) if len(t) else []
+
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [compose(logs_of(t)) for t in pdf["t"]]
+            yield pdf[keys].assign(**{c: [f[k] for f in found] for k, c in enumerate(("a00", "a01", "a10", "a11"))})
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, y, starts = pdf.sort_values("chunk"), float(np.log(0.5)), float(np.log(0.5)), []
+        for a00, a01, a10, a11 in zip(pdf["a00"], pdf["a01"], pdf["a10"], pdf["a11"]):
+            starts.append((x, y))
+            x, y = max(x + a00, y + a10), max(x + a01, y + a11)
+            x, y = x - max(x, y), y - max(x, y)
+        return pdf[keys].assign(x=[s[0] for s in starts], y=[s[1] for s in starts])
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for t, x, y in zip(pdf["t"], pdf["x"], pdf["y"]):
+                back, (x, y) = forward(logs_of(t), (x, y))
+                found.append((int(trace(back, 0)[0]), int(trace(back, 1)[0]), int(y > x)))
+            yield pdf[keys].assign(**{c: np.array([f[k] for f in found], np.int32) for k, c in enumerate(("from0", "from1", "best"))})
+
+    def scan_back(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk", ascending=False)
+        state, ends = int(pdf["best"].iloc[0]), []
+        for zero, one in zip(pdf["from0"], pdf["from1"]):
+            ends.append(state)
+            state = int(one if state else zero)
+        return pdf[keys].assign(end=np.array(ends, np.int32))
+
+    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for chrom, block, first, idx, t, x, y, end in zip(*(pdf[c] for c in ("chrom", "block_id", "first", "idx", "t", "x", "y", "end"))):
+                states = trace(forward(logs_of(t), (x, y))[0], end)
+                parts.append(pd.DataFrame({"chrom": chrom, "idx": np.asarray(idx), "block_id": block, "h0": states[0 if first else 1 :].astype(np.int32)}))
+            if parts:
+                yield pd.concat(parts)
+
+    key = "chrom string, block_id long, chunk long, "
+    scores = chunks.select(*keys, "t").mapInPandas(composed, key + "a00 double, a01 double, a10 double, a11 double")
+    scores = scores.groupBy("chrom", "block_id").applyInPandas(scan, key + "x double, y double")
+    chunks = cut(chunks.join(scores, keys), "scored")
+    ends = chunks.select(*keys, "t", "x", "y").mapInPandas(maps, key + "from0 int, from1 int, best int")
+    ends = ends.groupBy("chrom", "block_id").applyInPandas(scan_back, key + "end int")
+    return chunks.join(ends, keys).mapInPandas(traced, "chrom string, idx long, block_id long, h0 int")
 
 
 def decoded(blocked: DataFrame) -> DataFrame:

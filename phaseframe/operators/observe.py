@@ -1,17 +1,18 @@
 """From alignments to observations: the allele that each read carries at each variant it covers.
 
-Reads and variants meet in a bin join of narrow rows; the variants of a read are then
-gathered beside its sequence, which is exchanged once. Direct calls from the CIGAR are
-column expressions; pairs that they leave open are realigned in batches.
+Reads and variants meet in a bin join of narrow rows, without sequences; the variants of a
+read are then gathered beside its sequence, which is exchanged once. Direct calls are made for
+whole batches by a merge of operations and variants. Only pairs that they leave open
+meet the reference around their variant and are realigned in batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.config import PhasingConfig
-from phaseframe.operators import cigar, realign
+from phaseframe.operators import calls, realign
 from phaseframe.operators.intervals import points_in_intervals
 from phaseframe.operators.variants import alignment_filter, is_homopolymer
 from phaseframe.sources.checkpoints import cut
@@ -35,59 +36,33 @@ def variant_windows(variants: DataFrame, chunks: DataFrame, config: PhasingConfi
     return x.withColumn("homopolymer", F.coalesce(is_homopolymer(near), F.lit(False)))
 
 
-def _pairs(variants: DataFrame, reads: DataFrame) -> DataFrame:
-    """aln with the variants that the alignment covers, in order."""
-    at = variants.withColumn("at", F.col("pos") - 1)
-    found = points_in_intervals(at, reads.select("chrom", "aln", "read_start", "read_end"), "chrom", "at", "read_start", "read_end")
-    fields = ["idx", "pos", "ref", "allele_a", "allele_b", "wide", "flank", "win_start", "ref_seq", "homopolymer"]
-    return found.groupBy("aln").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("variants"))
-
-
-def _called(v: Column, config: PhasingConfig) -> Column:
-    """idx, query index, direct state (null: to be realigned; -1: not callable) of one variant of a read."""
-    at = (v["pos"] - 1 - F.col("read_start")).cast("int")
-    q = cigar.query_index(F.col("offs"), at).cast("int")
-    span, b = F.length(v["ref"]), v["allele_b"]
-    snv = (v["wide"] == 1) & (F.length(v["ref"]) == 1)
-    if config.ont:
-        base = lambda k: F.substring(v["ref_seq"], (v["pos"] - v["win_start"] + k).cast("int"), F.lit(1))
-        one = cigar.call_snv_context(F.col("seq"), F.col("quals"), q, base(-1), base(1), v["allele_a"], b, config.min_base_quality)
-    else:
-        one = cigar.call_snv(F.col("seq"), F.get(F.col("quals"), q), q, v["allele_a"], b, config.min_base_quality)
-    grows = (v["ref"] == v["allele_a"]) & (span < F.length(b))
-    shrinks = (v["ref"] == v["allele_a"]) & (span > F.length(b))
-    after = lambda n: cigar.query_index(F.col("offs"), at + n).cast("int")
-    state = (
-        F.when(q.isNull() | (q >= F.length("seq")), -1)
-        .when(snv, one)
-        .when(grows, cigar.call_insertion(F.col("seq"), q, after(F.lit(1)), b, span))
-        .when(shrinks, cigar.call_deletion(span, after(span) - q, v["ref"], b))
-    )
-    return F.struct(v["idx"].alias("idx"), q.alias("q"), state.alias("state"))
-
-
-def _pending(v: Column, q: Column, seq_length: Column) -> Column:
-    """What the realigner needs of a variant that is open: the read's window and the reference beside each allele."""
-    start = F.greatest(q - v["flank"], F.lit(0))
-    end = F.least(seq_length, q + v["wide"] + v["flank"])
-    up, down = q - start, end - (q + v["wide"])
-    p = v["pos"] - 1 - v["win_start"]  # of the variant in the reference window
-    piece = lambda first, n: F.substring(v["ref_seq"], (F.greatest(first, F.lit(0)) + 1).cast("int"), F.greatest(n + F.least(first, F.lit(0)), F.lit(0)).cast("int"))
-    right = lambda allele: piece(p + F.length(v["ref"]), down + v["wide"] - F.length(allele))
-    return F.struct(
-        v["idx"].alias("idx"), F.substring("seq", start + 1, end - start).alias("read_window"), piece(p - up, up).alias("left_flank"),
-        v["allele_a"].alias("allele_a"), v["allele_b"].alias("allele_b"), right(v["allele_a"]).alias("right_a"), right(v["allele_b"]).alias("right_b"),
-        v["homopolymer"].alias("homopolymer"),
-    )
+def _pairs(windows: DataFrame, reads: DataFrame) -> DataFrame:
+    """aln with the variants that the alignment covers, in order, each by what a call needs of it."""
+    found = points_in_intervals(calls.spec(windows), reads.select("chrom", "aln", "read_start", "read_end"), "chrom", "at", "read_start", "read_end")
+    return found.groupBy("aln").agg(F.sort_array(F.collect_list("spec")).alias("variants"))
 
 
-def covered(variants: DataFrame, alignments: DataFrame, chunks: DataFrame, config: PhasingConfig, chunk: int = 100_000) -> DataFrame:
-    """Filtered alignments with ``offs`` and the calls of the variants they cover (idx, q, state), and ``variants``."""
+def _called(windows: DataFrame, alignments: DataFrame, config: PhasingConfig) -> DataFrame:
     reads = alignment_filter(alignments, config.min_mapq)
     reads = reads.withColumn("aln", F.xxhash64("chrom", "read_name", "flag", "read_start", "cigar"))
-    found = _pairs(variant_windows(variants, chunks, config, chunk), reads)
-    x = cigar.with_offsets(reads.join(found, "aln"))
-    return x.withColumn("calls", F.transform("variants", lambda v: _called(v, config)))
+    return calls.called(reads.join(_pairs(windows, reads), "aln"), config)
+
+
+def covered(variants: DataFrame, alignments: DataFrame, chunks: DataFrame, config: PhasingConfig, chunk: int = 100_000) -> DataFrame:
+    """Filtered alignments with the direct calls of the variants they cover, see ``calls.called``."""
+    return _called(cut(variant_windows(variants, chunks, config, chunk), "windows"), alignments, config)
+
+
+def _pending(open_: DataFrame, windows: DataFrame) -> DataFrame:
+    """What the realigner needs of open calls: the read's window, and of the reference what stands beside each allele."""
+    x = open_.join(windows.withColumnRenamed("chrom", "__c").withColumnRenamed("idx", "__i"), (F.col("chrom") == F.col("__c")) & (F.col("idx") == F.col("__i")))
+    p = F.col("pos") - 1 - F.col("win_start")  # of the variant in the reference window
+    piece = lambda first, n: F.substring("ref_seq", (F.greatest(first, F.lit(0)) + 1).cast("int"), F.greatest(n + F.least(first, F.lit(0)), F.lit(0)).cast("int"))
+    right = lambda allele: piece(p + F.length("ref"), F.col("down") + F.col("wide") - F.length(allele))
+    return x.select(
+        F.col("aln").alias("read_id"), "idx", F.col("window").alias("read_window"), piece(p - F.col("up"), F.col("up")).alias("left_flank"),
+        "allele_a", "allele_b", right("allele_a").alias("right_a"), right("allele_b").alias("right_b"), "homopolymer", "gap_open", "gap_extend",
+    )
 
 
 def observe(variants: DataFrame, alignments: DataFrame, chunks: DataFrame, config: PhasingConfig, chunk: int = 100_000) -> DataFrame:
@@ -96,17 +71,12 @@ def observe(variants: DataFrame, alignments: DataFrame, chunks: DataFrame, confi
     variants: chrom, idx, pos, ref, alts, gt (sorted). alignments: as the readers give them. chunks: the reference.
     Supplementary records share the read's name; of a variant that several cover, the call of the last one counts.
     """
-    x = cut(covered(variants, alignments, chunks, config, chunk), "calls")
-    keys = ["chrom", F.col("read_name").alias("read_id"), "read_start", "aln", (F.col("flag").bitwiseAND(16) != 0).cast("int").alias("strand")]
-    direct = x.select(*keys, F.explode("calls").alias("c")).select("chrom", "read_id", "read_start", "aln", "strand", "c.idx", "c.state")
-    indel, _ = cigar.rates(F.transform("offs", lambda o: F.struct(o["op"].alias("op"), o["len"].alias("len"))))
-    opening, extend = cigar.gap_penalties(F.coalesce(indel, F.lit(1.0)))
-    both = F.filter(F.zip_with("variants", "calls", lambda v, c: F.struct(v.alias("v"), c.alias("c"))), lambda b: b["c"]["state"].isNull())
-    needs = F.transform(both, lambda b: _pending(b["v"], b["c"]["q"], F.length("seq")))
-    pending = x.select("aln", opening.alias("gap_open"), extend.alias("gap_extend"), F.explode(needs).alias("n")).select(
-        F.col("aln").alias("read_id"), "n.*", "gap_open", "gap_extend"
-    )
-    again = realign.realigned_states(pending).select(F.col("read_id").alias("aln"), "idx", F.col("state").alias("found"))
+    windows = cut(variant_windows(variants, chunks, config, chunk), "windows")
+    x = cut(_called(windows, alignments, config), "calls")
+    direct = x.select("chrom", F.col("read_name").alias("read_id"), "read_start", "aln", "strand", F.explode("calls").alias("c")).select("chrom", "read_id", "read_start", "aln", "strand", "c.idx", "c.state")
+    open_ = x.select("chrom", "aln", "gap_open", "gap_extend", F.explode(F.filter("calls", lambda c: c["state"].isNull())).alias("c"))
+    open_ = open_.select("chrom", "aln", "gap_open", "gap_extend", "c.idx", "c.window", "c.up", "c.down")
+    again = realign.realigned_states(_pending(open_, windows)).select(F.col("read_id").alias("aln"), "idx", F.col("state").alias("found"))
     out = direct.join(again, ["aln", "idx"], "left").withColumn("direct", F.col("state").isNotNull())
     out = out.withColumn("state", F.coalesce("state", "found", F.lit(-1)))
     last = F.max(F.struct("read_start", "aln", "state", "direct", "strand")).alias("l")

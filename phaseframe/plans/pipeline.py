@@ -119,7 +119,8 @@ def phase(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -> DataFra
 def phase_with_methylation(
     variants: DataFrame, obs: DataFrame, alignments: DataFrame, sites: DataFrame, config: PhasingConfig
 ) -> dict[str, DataFrame]:
-    """``haplotypes`` over gaps that methylation fills, read ``assignments``, ``differing_sites``, and ``filled`` transitions per chromosome.
+    """``haplotypes`` over gaps that methylation fills, read ``assignments``, ``differing_sites``, the number of ``filled`` transitions per
+    chromosome, ``phaseable`` variants and their ``transitions`` before methylation and ``filled_transitions`` after it.
 
     Alignments need ``calls``, see ``sources.text.modification_calls``.
     """
@@ -130,6 +131,9 @@ def phase_with_methylation(
     new = cut(transitions.normalize(_replaced(matrix, methylation.steps(results))), "filled")
     return {
         "haplotypes": decode_stage(left, new),
+        "phaseable": left,
+        "transitions": matrix,
+        "filled_transitions": new,
         "assignments": methylation.assignments(results),
         "differing_sites": methylation.differing_sites(results),
         "filled": methylation.filled(methylation.uncertain_steps(left, matrix, variants), methylation.uncertain_steps(left, new, variants)),

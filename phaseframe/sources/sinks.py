@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from phaseframe.operators.decode import phase_sets
 from phaseframe.operators.ordered import dense_index
+from phaseframe.sources import bgzip
 
 
 def phased_vcf_lines(calls: DataFrame, haps: DataFrame) -> DataFrame:
-    """VCF body lines with a phase set; calls: chrom, idx (null: not phased), pos, gt and either line, the
+    """VCF body lines with a phase set, with chrom, pos and the number of the record if it has one; calls: chrom, idx (null: not phased), pos, gt and either line, the
     record as it was read, or id, ref, alts. Phased rows carry a|b, others a/b.
 
     A record keeps all of its fields; of the sample GT is replaced and PS is added, or replaced.
     """
+    place = [c for c in ("chrom", "pos", "record") if c in calls.columns]
     x = calls.join(phase_sets(haps).select("chrom", "idx", "h0", "h1", "ps"), ["chrom", "idx"], "left")
     # the sorted genotype's alleles in the order of the haplotypes
     at = lambda h: F.col("gt")[F.col(h)].cast("string")
@@ -23,14 +25,14 @@ def phased_vcf_lines(calls: DataFrame, haps: DataFrame) -> DataFrame:
     genotype = F.when(on, F.concat(at("h0"), F.lit("|"), at("h1"))).otherwise(F.concat(name(0), F.lit("/"), name(1)))
     if "line" not in calls.columns:
         fields = ["chrom", F.col("pos").cast("string"), "id", "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:PS")]
-        return x.select("chrom", "pos", F.concat_ws("\t", *fields, F.concat_ws(":", genotype, ps)).alias("value"))
+        return x.select(*place, F.concat_ws("\t", *fields, F.concat_ws(":", genotype, ps)).alias("value"))
     f = F.split("line", "\t")
     keys, values = F.split(F.get(f, F.lit(8)), ":"), F.split(F.get(f, F.lit(9)), ":")
     kept = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda z: ~z["k"].isin("GT", "PS"))
     form = F.concat_ws(":", F.lit("GT"), F.transform(kept, lambda z: z["k"]), F.lit("PS"))
     sample = F.concat_ws(":", genotype, F.transform(kept, lambda z: F.coalesce(z["v"], F.lit("."))), ps)
     rest = F.slice(f, 11, 1_000_000)
-    return x.select("chrom", "pos", F.concat_ws("\t", F.slice(f, 1, 8), form, sample, rest).alias("value"))
+    return x.select(*place, F.concat_ws("\t", F.slice(f, 1, 8), form, sample, rest).alias("value"))
 
 
 VCF_HEADER = (
@@ -42,15 +44,20 @@ VCF_HEADER = (
 
 def write_vcf(lines: DataFrame, path: str, sample: str, header: list[str] | None = None) -> None:
     """One sorted file per range of positions; the header is a file that sorts first. ``header``: that of the input, to
-    which the phase set is added."""
+    which the phase set is added. A path that ends in .gz becomes one file of blocked gzip with a tabix index."""
     spark = lines.sparkSession
     columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])
     if header:
         own = [h for h in header if h.startswith("##") and not h.startswith("##FORMAT=<ID=PS,")]
         columns = next((h for h in header if h.startswith("#CHROM")), columns)
     head = [*(own if header else VCF_HEADER[:2]), VCF_HEADER[2], columns]
+    body = lines.orderBy(*[c for c in ("chrom", "pos", "record") if c in lines.columns]).select("value")
+    if path.endswith(".gz"):
+        bgzip.register(spark)
+        body.write.format("bgzip").option("header", "\n".join(head)).option("single", "true").mode("overwrite").save(path)
+        return
     spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/0-header")
-    lines.orderBy("chrom", "pos").select("value").write.mode("overwrite").text(f"{path}/1-body")
+    body.write.mode("overwrite").text(f"{path}/1-body")
 
 
 def block_bed(haps: DataFrame, variants: DataFrame) -> DataFrame:

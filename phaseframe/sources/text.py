@@ -8,9 +8,14 @@ region filters prune files and row groups.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phaseframe.sources import bgzf, bgzip
+
 
 def _at(k: int) -> Column:
     """A field of the split line, null where there are fewer: region filters may be evaluated before headers are dropped."""
@@ -27,6 +32,8 @@ def _in_region(df: DataFrame, chrom: str | None, start: int | None, end: int | N
 
 
 def vcf_header(spark: SparkSession, path: str) -> DataFrame:
+    if bgzip.is_blocked(path):
+        return spark.createDataFrame([(line,) for line in bgzip.read_header(path)[0]], "value string")
     return spark.read.text(path).where(F.col("value").startswith("#"))
 
 
@@ -43,7 +50,13 @@ def vcf_samples(spark: SparkSession, path: str) -> list[str]:
 def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None, sample: int = 0) -> DataFrame:
     """Calls of one sample: chrom, pos (1-based), id, ref, alts, qual, filter, info, gt (-1: missing), phased, ps, gq, allele_traversal, line (the record)."""
     f = F.split("value", "\t")
-    x = spark.read.text(path).where(~F.col("value").startswith("#")).select(f.alias("f"), "value")
+    if bgzip.is_blocked(path):  # read by the index beside it, if there is one
+        bgzip.register(spark)
+        region = {"chrom": chrom, "start": None if start is None else max(start - 2, 0), "end": end}
+        x = spark.read.format("bgzip").options(**{k: v for k, v in region.items() if chrom is not None and v is not None}).load(path)
+    else:
+        x = spark.read.text(path)
+    x = x.where(~F.col("value").startswith("#")).select(f.alias("f"), "value")
     # key=value pairs, flags with an empty value; the last of repeated keys
     info = F.map_from_entries(
         F.transform(F.filter(F.split(_at(7), ";"), lambda kv: kv != ""), lambda kv: F.struct(F.substring_index(kv, "=", 1), F.when(kv.contains("="), F.regexp_replace(kv, "^[^=]*=", "")).otherwise("")))
@@ -105,18 +118,46 @@ def modification_calls(alignments: DataFrame) -> DataFrame:
     return alignments.withColumn("calls", F.when(F.col("mm").isNotNull() & (F.size(one) > 0), F.map_from_entries(pairs)))
 
 
-def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000) -> DataFrame:
+def read_fai(path: str) -> list[tuple[str, int, int, int, int]]:
+    """name, length, offset of the first base, bases and bytes of a line, of the index beside a FASTA file."""
+    if not bgzf.exists(path + ".fai"):
+        raise FileNotFoundError(f"{path}.fai: a FASTA file is read by its index; make one with an indexer of FASTA files")
+    rows = (line.split("\t")[:5] for line in bgzf.read_file(path + ".fai").decode().splitlines() if line)
+    return [(name, *map(int, numbers)) for name, *numbers in rows]
+
+
+def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000, chrom: str | None = None, chunks_per_task: int = 64) -> DataFrame:
     """Sequence in chunks: chrom, chunk_no, chunk_start (0-based), seq (upper case); wanted stretches join on chunk numbers.
 
-    Records are split at '>', so one contig is one record at first.
+    The index beside the file (.fai) says where bases lie, so a chunk is a range of bytes, and a task a run of chunks:
+    no contig is read as a whole. Without an index, or where it doesn't fit the file, that is an error.
     """
-    x = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
-    x = x.select(name.alias("chrom"), seq.alias("s"))
-    x = x.select("chrom", "s", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("s"), F.lit(1)) - 1) / chunk).cast("int"))).alias("chunk_no"))
-    start = F.col("chunk_no").cast("long") * chunk
-    return x.select("chrom", "chunk_no", start.alias("chunk_start"), F.substring("s", (start + 1).cast("int"), F.lit(chunk)).alias("seq"))
+    contigs = [c for c in read_fai(path) if chrom is None or c[0] == chrom]
+    if any(length < 0 or bases <= 0 or width < bases for _, length, _, bases, width in contigs):
+        raise ValueError(f"{path}.fai is damaged")
+    x = spark.createDataFrame(contigs, "chrom string, length long, first long, bases long, width long").where("length > 0")
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / chunk).cast("int"))).alias("chunk_no"))
+    low = F.col("chunk_no").cast("long") * chunk
+    high = F.least(low + chunk, F.col("length"))
+    byte = lambda base: F.col("first") + F.floor(base / F.col("bases")) * F.col("width") + base % F.col("bases")
+    x = x.select("chrom", "chunk_no", low.alias("chunk_start"), (high - low).alias("n"), byte(low).alias("at"), (byte(high - 1) + 1).alias("end"))
+    tasks = max(1, -(-sum(-(-c[1] // chunk) for c in contigs) // chunks_per_task))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = bgzf.File(path)
+        for batch in batches:
+            for lo in range(0, len(batch), 16):
+                part = batch.slice(lo, 16)
+                found = []
+                for n, at, end in zip(*(part.column(c).to_pylist() for c in ("n", "at", "end"))):
+                    seq = file.read_at(at, end - at).translate(None, b"\r\n").upper()
+                    if len(seq) != n:
+                        raise ValueError(f"{path}.fai doesn't fit the file")
+                    found.append(seq.decode())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.string())], ["chrom", "chunk_no", "chunk_start", "seq"])
+
+    # rows are tiny; neighbours stay together
+    return x.repartitionByRange(tasks, "at").mapInArrow(run, "chrom string, chunk_no int, chunk_start long, seq string")
 
 
 def reference_windows(windows: DataFrame, chunks: DataFrame, chunk: int = 100_000) -> DataFrame:

@@ -24,6 +24,9 @@ def files(spark, tiny, tmp_path_factory):
     (folder / "reads.sam").write_text("@HD\tVN:1.6\n" + "\n".join(lines) + "\n")
     blocks = 1 + max(r["b"] for r in v)
     (folder / "ref.fa").write_text("".join(f">{c}\n" + (fx.BLOCK + "\n") * blocks for c in ("chr1", "chr2")))
+    first = len(">chr1\n")
+    starts = (first, first + blocks * (len(fx.BLOCK) + 1) + len(">chr2\n"))
+    (folder / "ref.fa.fai").write_text("".join(f"{c}\t{blocks * len(fx.BLOCK)}\t{at}\t{len(fx.BLOCK)}\t{len(fx.BLOCK) + 1}\n" for c, at in zip(("chr1", "chr2"), starts)))
     return folder
 
 

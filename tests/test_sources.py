@@ -58,9 +58,13 @@ def test_sam_and_modifications(spark, files):
 
 
 def test_fasta_windows(spark, files):
-    path = files("a.fa", ">c1 some text\nacgt\nACGTAC\n>c2\nTTTT\n")
+    path = files("a.fa", ">c1 some text\nacgtAC\nGTAC\n>c2\nTTTT\n")
+    with pytest.raises(FileNotFoundError):
+        text.read_fasta(spark, path)
+    files("a.fa.fai", "c1\t10\t14\t6\t7\nc2\t4\t30\t4\t5\n")
     chunks = text.read_fasta(spark, path, chunk=4)
     assert {(r["chrom"], r["chunk_no"]): r["seq"] for r in chunks.collect()} == {("c1", 0): "ACGT", ("c1", 1): "ACGT", ("c1", 2): "AC", ("c2", 0): "TTTT"}
+    assert {r["chrom"] for r in text.read_fasta(spark, path, chrom="c2").collect()} == {"c2"}
     w = spark.createDataFrame([("c1", 2, 9), ("c1", 4, 5), ("c2", 0, 4)], "chrom string, win_start long, win_end long")
     got = {(r["chrom"], r["win_start"]): r["ref_seq"] for r in text.reference_windows(w, chunks, 4).collect()}
     assert got == {("c1", 2): "GTACGTA", ("c1", 4): "A", ("c2", 0): "TTTT"}
@@ -130,3 +134,25 @@ def test_checkpoints(spark, tmp_path):
         assert checkpoints.stage(spark, str(tmp_path), "a", make).count() == 3
     assert checkpoints.stage(spark, str(tmp_path), "a", make, force=True).count() == 3 and len(made) == 2
     assert checkpoints.cut(spark.range(4), "t").count() == 4
+
+
+PLAIN_SESSION = """
+from pyspark.sql import SparkSession
+from phaseframe.sources import checkpoints
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+df = checkpoints.cut(spark.range(5), "x")
+assert df.count() == 5 and checkpoints.shared_folder(spark) == checkpoints.shared_folder(spark)
+print(checkpoints.shared_folder(spark).removeprefix("file://"), "done")
+"""
+
+
+def test_a_session_without_a_shared_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    done = subprocess.run([sys.executable, "-c", PLAIN_SESSION], env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.endswith(" done\n"), done.stderr[-2000:]
+    assert not os.path.exists(done.stdout.split()[-2])
