@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +11,12 @@ from phaseframe.operators import variants as vr
 from phaseframe.plans.catalogue import _matrix, _with, phased, query
 from phaseframe.plans.catalogue_reads import _BR
 from phaseframe.plans.catalogue_sites import _BLK, _blk
-from phaseframe.sources import checkpoints, sinks, text
+from phaseframe.sources import bam, bgzf, checkpoints, sinks, text
 
 
 def _folder(s, name: str) -> str:
     """A folder for files that a query writes and reads again."""
-    return f"{checkpoints.shared_folder(s)}/phaseframe-{name}-{uuid.uuid4().hex}"
+    return checkpoints.scratch(s, name)
 
 
 # ------------------------------------------------------------- text formats, written and read again
@@ -71,14 +69,89 @@ def _(s, d):
     return x.select("read_name", "flag", "chrom", "read_start", "read_end", "mapq", "cigar", "seq", F.array_min("quals").alias("qual"))
 
 
-@query("fasta_windows", f"SELECT chrom, CAST(a AS BIGINT) AS win_start, substring(repeat('{fx.BLOCK}', 30), CAST(a + 1 AS INT), 37) AS ref_seq FROM (SELECT 'chr1' AS chrom, unnest(range(0, 900, 41)) AS a) x")
+#: Contigs out of the parts, each part a piece of twelve bases, and windows on them out of the suppliers.
+_CONTIGS = "pieces AS (SELECT concat('ctg', CAST(p_size % 5 AS {s})) AS chrom, p_partkey, substring('ACGTTGCAACGGTTACCATG', CAST(1 + (p_partkey * 7 + p_size) % 8 AS INT), 12) AS piece FROM {{part}}), windows AS (SELECT concat('ctg', CAST(s_suppkey % 5 AS {s})) AS chrom, (s_suppkey * 37) % 200 AS win_start, (s_suppkey * 37) % 200 + 20 + s_suppkey % 60 AS win_end FROM {{supplier}})"
+
+
+@query(
+    "fasta_windows",
+    "WITH " + _CONTIGS.format(s="VARCHAR").format(part="part", supplier="supplier") + ", contigs AS (SELECT chrom, string_agg(piece, '' ORDER BY p_partkey) AS seq FROM pieces GROUP BY chrom)"
+    " SELECT w.chrom, w.win_start, substring(seq, CAST(w.win_start + 1 AS INT), CAST(w.win_end - w.win_start AS INT)) AS ref_seq FROM windows w JOIN contigs USING (chrom)",
+)
+def _(s, d):
+    """Windows of a file with an index, whose text comes from a table."""
+    tables = {t: s.read.parquet(f"{d}/{t}.parquet") for t in ("part", "supplier")}
+    sql = "WITH " + _CONTIGS.format(s="STRING")
+    contigs = s.sql(sql + " SELECT * FROM pieces", **tables).groupBy("chrom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    path = sinks.write_fasta(contigs, f"{_folder(s, 'fasta')}/ref.fa", 60)
+    windows = s.sql(sql + " SELECT * FROM windows", **tables)
+    return text.reference_windows(windows, text.read_fasta(s, path, 50, chunks_per_task=4), 50).select("chrom", "win_start", "ref_seq")
+
+
+# ------------------------------------------------------------- blocked files with indices
+
+_BLOCK_SQ = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr1\tLN:500000000\n@SQ\tSN:chr2\tLN:500000000\n"
+
+
+def _bam(s, d, single: bool, hp=None) -> str:
+    """The reads of the sequence fixture as BAM: one file with its index, or a folder of files."""
+    bam.register(s)
+    path = f"{_folder(s, 'bam')}.bam"
+    x = bam.coordinate_order(fx.block_reads(s, d), bam.header_of_text(_BLOCK_SQ))
+    columns = ["read_name", "flag", "chrom", "read_start", "mapq", "cigar", "seq", "quals"] + ([hp.alias("hp")] if hp is not None else [])
+    x.select(*columns).write.format("bam").option("header", _BLOCK_SQ).option("single", single).mode("overwrite").save(path)
+    return path
+
+
+_BAM = ["read_name", "flag", "chrom", "read_start", "read_end", "mapq", "cigar", "seq", "array_min(quals) AS qual"]
+
+
+@query("bam_region", f"WITH {_BR} SELECT read_name, flag, chrom, read_start, read_end, mapq, cigar, seq, CAST(qual AS INT) AS qual FROM br WHERE chrom = 'chr2' AND read_end > 1000 AND read_start < 3000")
+def _(s, d):
+    """Alignments that touch a region, by the index."""
+    x = s.read.format("bam").load(_bam(s, d, True))
+    return x.where((F.col("chrom") == "chr2") & (F.col("read_end") > 1000) & (F.col("read_start") < 3000)).selectExpr(*_BAM)
+
+
+@query("bam_pieces", f"WITH {_BR} SELECT read_name, flag, chrom, read_start, read_end, mapq, cigar, seq, CAST(qual AS INT) AS qual FROM br")
+def _(s, d):
+    """Whole files in many pieces, whose first records are looked for: their index is taken away."""
+    path = _bam(s, d, False)
+    for f in bgzf.files(path, (".bai",)):
+        bgzf.resolve(f)[0].delete_file(bgzf.resolve(f)[1])
+    return s.read.format("bam").option("split_bytes", 40_000).load(path).selectExpr(*_BAM)
+
+
+@query("tagged_bam", f"WITH {_BR} SELECT read_name, flag, read_start, CASE WHEN hap = 0 THEN 2 WHEN ok % 3 = 0 THEN 1 END AS hp FROM br")
+def _(s, d):
+    """Haplotype tags written over others that were there, in a second file, and read back."""
+    path = _bam(s, d, True, F.lit(1))
+    x = s.read.format("bam").option("raw", "true").load(path)
+    hap = fx.block_reads(s, d).select("read_name", "flag", "chrom", "read_start", F.when(F.col("hap") == 0, 2).when(F.col("ok") % 3 == 0, 1).alias("hp"))
+    x = x.select("read_name", "flag", "chrom", "read_start", "record").join(hap, ["read_name", "flag", "chrom", "read_start"])
+    out = f"{_folder(s, 'tagged')}.bam"
+    header = bam.read_header(path)
+    bam.coordinate_order(x, header).select("record", "hp").write.format("bam").option("header", header.text).option("single", "true").mode("overwrite").save(out)
+    return s.read.format("bam").option("tags", "HP").load(out).select("read_name", "flag", "read_start", F.col("HP").cast("int").alias("hp"))
+
+
+@query("vcf_region", _with("raw") + "SELECT chrom, pos, id, ref, concat_ws(',', alt1, alt2) AS alts, filter, gt_a, gt_b, gq FROM raw WHERE pos BETWEEN 100000 AND 900000")
+def _(s, d):
+    """A region of a compressed file, by its index."""
+    raw = text.read_vcf(s, _vcf(s, d))
+    path = f"{_folder(s, 'vcf')}.vcf.gz"
+    sinks.write_vcf(raw.select("chrom", "pos", F.col("line").alias("value")), path, "one")
+    x = text.read_vcf(s, path, "chr1", 100_000, 900_001)
+    return x.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "filter", F.col("gt")[0].alias("gt_a"), F.col("gt")[1].alias("gt_b"), "gq")
+
+
+@query("order_report", _with("reads") + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS inversions, min(read_start) AS first, max(read_start) AS last FROM reads")
 def _(s, d):
-    path = _folder(s, "fasta")
-    chunk = len(fx.BLOCK)
-    blocks = fx.block_reference(s, d).select("chrom").distinct().withColumn("value", F.concat(F.lit(">"), "chrom", F.lit(" test\n"), F.lit("\n".join([fx.BLOCK.lower()] * 12)), F.lit("\n")))
-    blocks.select("value").coalesce(1).write.text(path)
-    windows = s.range(0, 900, 41).select(F.lit("chr1").alias("chrom"), F.col("id").alias("win_start"), (F.col("id") + 37).alias("win_end"))
-    return text.reference_windows(windows, text.read_fasta(s, path, chunk), chunk).select("chrom", "win_start", "ref_seq")
+    """That a sorted table is sorted, by one row of each of its files."""
+    x = checkpoints.cut(fx.reads(s, d).select("chrom", "read_start").orderBy("chrom", "read_start"), "sorted")
+    report = checkpoints.cut(ordered.order_report(x.repartitionByRange(6, "chrom", "read_start").sortWithinPartitions("chrom", "read_start"), "chrom", "read_start"), "report")
+    whole = report.agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return whole.select("n", F.lit(ordered.inversions(report)).cast("long").alias("inversions"), "first", "last")
 
 
 _SITE = "SELECT chrom, site_start, site_end, CAST(round(ratio, 3) AS DOUBLE) AS ratio, coverage FROM meth"

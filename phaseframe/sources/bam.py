@@ -4,7 +4,7 @@ Reading. A file is many tasks: with an index beside it (.bai, .csi) they begin a
 names; without one each looks for the first record of its piece of the file, a chain of plausible records. Filters on
 ``chrom``, ``read_start`` and ``read_end`` become stretches of the file by the index, and only
 the blocks that they touch are read. Options: ``split_bytes`` (of the compressed file, for a task), ``raw`` (a column
-``record`` with the record's bytes, all tags included).
+``record`` with the record's bytes, all tags included), ``tags`` (names of integer tags that become columns, by comma).
 
 Writing. Rows have ``record``, or the decoded columns; ``hp`` (optional, null: none) becomes the HP tag in place of
 one that is there. Options: ``header`` (SAM header text with its @SQ lines), ``single`` (one file instead of a folder
@@ -111,6 +111,12 @@ def _modifications(raw: bytes, at: int) -> tuple[str | None, str | None]:
     return found.get("MM"), found.get("ML")
 
 
+def _numbers(raw: bytes, wanted: list[str]) -> list[int | None]:
+    """Integer tags by name."""
+    found = {name: struct.unpack_from("<" + _CODES[kind], raw, low)[0] for name, kind, low, _ in _tag_spans(raw, _offset_of_tags(raw)) if name in wanted and kind in "cCsSiI"}
+    return [found.get(name) for name in wanted]
+
+
 def _offset_of_tags(raw: bytes) -> int:
     name_len, n_ops, length = raw[8], struct.unpack_from("<H", raw, 12)[0], struct.unpack_from("<i", raw, 16)[0]
     return 32 + name_len + 4 * n_ops + (length + 1) // 2 + length
@@ -230,9 +236,14 @@ def first_record(file: bgzf.File, low: int, end: int, lengths: list[int], chain:
     return None
 
 
+def _tag_names(options: dict) -> list[str]:
+    return [t for t in options.get("tags", "").split(",") if t]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.raw = options["path"], str(options.get("raw", "")).lower() == "true"
+        self.tags = _tag_names(options)
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.chrom: str | None = None
         self.start, self.end = 0, 1 << 60
@@ -291,7 +302,7 @@ class _Reader(DataSourceReader):
         schema = pa.schema([
             ("read_name", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("read_start", pa.int64()), ("read_end", pa.int64()), ("mapq", pa.int32()),
             ("cigar", pa.string()), ("seq", pa.string()), ("quals", pa.list_(pa.int32())), ("is_forward", pa.bool_()), ("mm", pa.string()), ("ml", pa.string()),
-            *([("record", pa.binary())] if self.raw else []),
+            *[(t, pa.int64()) for t in self.tags], *([("record", pa.binary())] if self.raw else []),
         ])
         held: list[tuple] = []
 
@@ -299,7 +310,7 @@ class _Reader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
         for raw in self.records(partition, header):
-            held.append((*decode(raw, header.names), raw) if self.raw else decode(raw, header.names))
+            held.append((*decode(raw, header.names), *(_numbers(raw, self.tags) if self.tags else ()), *((raw,) if self.raw else ())))
             if len(held) == BATCH_RECORDS:
                 yield batch()
                 held = []
@@ -332,7 +343,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return SCHEMA + (", record binary" if str(self.options.get("raw", "")).lower() == "true" else "")
+        return SCHEMA + "".join(f", `{t}` long" for t in _tag_names(self.options)) + (", record binary" if str(self.options.get("raw", "")).lower() == "true" else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)

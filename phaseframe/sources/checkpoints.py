@@ -65,13 +65,19 @@ def stage(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the interpreter ends."""
+    path = f"{shared_folder(spark)}/phaseframe-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back: what
     several later steps read is computed once, and plans stay small. Tables go when the interpreter ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/phaseframe-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.operators.decode import phase_sets
 from phaseframe.operators.ordered import dense_index
-from phaseframe.sources import bgzip
+from phaseframe.sources import bgzf, bgzip
 
 
 def phased_vcf_lines(calls: DataFrame, haps: DataFrame) -> DataFrame:
@@ -70,6 +70,33 @@ def block_bed(haps: DataFrame, variants: DataFrame) -> DataFrame:
     return x.join(variants.select("chrom", "idx", F.col("pos").alias("bed_start")), ["chrom", "idx"])
 
 
+def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> str:
+    """``path``, a FASTA file of contigs (chrom, seq) in lines of ``width`` bases, with its index beside it.
+
+    A task writes its contigs as a file of its own; these are strung together, and offsets are running sums of sizes.
+    """
+    spark = contigs.sparkSession
+    lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    x = contigs.select("chrom", F.length("seq").cast("long").alias("length"), F.concat(F.lit(">"), "chrom", F.lit("\n"), lines).alias("value"))
+    x = x.orderBy("chrom")
+    x.select("value").write.mode("overwrite").text(f"{path}-parts")
+    system, place = bgzf.resolve(path)
+    with system.open_output_stream(place, compression=None) as sink:
+        for part in bgzf.files(f"{path}-parts", (".txt",)):
+            file = bgzf.File(part)
+            for at in range(0, file.size, bgzf.WINDOW):
+                sink.write(file.read_at(at, min(bgzf.WINDOW, file.size - at)))
+    system.delete_dir(place + "-parts")
+    rows, at = [], 0
+    for r in x.select("chrom", "length").collect():  # one row of a contig
+        at += len(r["chrom"]) + 2
+        rows.append(f"{r['chrom']}\t{r['length']}\t{at}\t{width}\t{width + 1}\n")
+        at += r["length"] + -(-r["length"] // width)
+    with system.open_output_stream(place + ".fai", compression=None) as sink:
+        sink.write("".join(rows).encode())
+    return path
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
     """Tab-separated; an empty table still gets its header."""
     df.write.mode("overwrite").option("sep", "\t").option("header", header).csv(path)
