@@ -2,16 +2,24 @@
 
 Both work on small graphs that are cut out of the chromosome by windows over
 the variants. Windows that touch share transitions and must run in order;
-those are one cluster. Clusters don't touch, so each is a group of its own.
+those are one cluster. Clusters don't touch. A long cluster is cut into parts of a bounded number of
+windows, which run side by side until none sees another change of its neighbour, see ``in_parts``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaseframe.sources.checkpoints import cut
+
+#: Windows of a part of a cluster.
+PART = 256
+
 EPSILON = 1e-20
 
 
@@ -106,8 +114,55 @@ def belief_transition(parent: np.ndarray, child: np.ndarray, coverage: float) ->
     return mirror(np.nan_to_num(t, nan=0.5) * coverage)
 
 
+def numbered_parts(windows: DataFrame, order: str = "first", size: int | None = None) -> DataFrame:
+    """``windows`` (chrom, cluster) with ``part``: each ``size`` windows of a cluster in order."""
+    number = F.row_number().over(Window.partitionBy("chrom", "cluster").orderBy(order)) - 1
+    return windows.withColumn("part", F.floor(number / (size or PART)).cast("long"))
+
+
+def in_parts(rows: DataFrame, run: Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]], columns: str) -> DataFrame:
+    """What ``run`` gives for the parts of each cluster, as if these ran one after another.
+
+    ``run(pdf, given)`` takes a part's rows and the matrices by p_idx that the part before has left changed, and returns
+    rows and the matrices that the next part may read. At first all parts run at once with nothing given. Then those
+    run again whose predecessor leaves something else than they were given, until there are none. A part's outcome depends
+    on what precedes it alone, so after k rounds the first k parts of a cluster are final, and the fixed point is the
+    sequential result. A change rarely outlives a few windows, hence few rounds are needed, whatever the length of a cluster.
+    """
+    keys = ["chrom", "cluster", "part"]
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf["carried"].iloc[0]
+        cells = np.asarray([] if left is None else left, float).reshape(-1, 5)
+        out, gives = run(pdf.drop(columns=["carried"]), {int(c[0]): c[1:].reshape(2, 2) for c in cells})
+        out = out.assign(carried=None)
+        mark = pd.DataFrame({n: [None] for n in names} | {"carried": [[float(v) for p, t in sorted(gives.items()) for v in (p, *t.ravel())]]})
+        out = pd.concat([out, mark], ignore_index=True) if len(out) else mark
+        return out.assign(chrom=pdf["chrom"].iloc[0], cluster=int(pdf["cluster"].iloc[0]), part=int(pdf["part"].iloc[0]))[[*keys, "carried", *names]]
+
+    def ran(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.groupBy(*keys).applyInPandas(group, "chrom string, cluster long, part long, carried array<double>, " + columns), name)
+
+    none = F.lit(None).cast("array<double>")
+    rows = rows.withColumn("cluster", F.col("cluster").cast("long"))
+    out = ran(rows.withColumn("carried", none), "parts")
+    later = out.where("carried IS NOT NULL AND part > 0").select(*keys)
+    if not later.isEmpty():
+        given = later.withColumn("before", F.array().cast("array<double>"))
+        while True:
+            leaves = out.where("carried IS NOT NULL").select("chrom", "cluster", (F.col("part") + 1).alias("part"), "carried")
+            changed = cut(leaves.join(given, keys).where("NOT carried <=> before").select(*keys, "carried"), "changed")
+            if changed.isEmpty():
+                break
+            again = ran(rows.join(changed, keys), "again")
+            out = cut(out.join(changed.select(*keys), keys, "left_anti").unionByName(again), "parts")
+            given = cut(given.join(changed, keys, "left").select(*keys, F.coalesce("carried", "before").alias("before")), "given")
+    return out.where("carried IS NULL").drop("carried")
+
+
 def run_windows(runs: DataFrame, n_phaseable: DataFrame, flank: int = 2) -> DataFrame:
-    """Windows around runs of difficult variants: chrom, first, last (p_idx of the run), cluster.
+    """Windows around runs of difficult variants: chrom, cluster, part, first, last (p_idx of the run).
 
     A run needs two variants before it and is cut where fewer than two would follow.
     """
@@ -115,13 +170,12 @@ def run_windows(runs: DataFrame, n_phaseable: DataFrame, flank: int = 2) -> Data
     x = x.where((F.col("first") >= flank) & (F.col("last") >= F.col("first")) & (F.col("first") <= F.col("n_phaseable") - 4))
     w = Window.partitionBy("chrom").orderBy("first")
     opens = F.coalesce(F.col("first") - flank > F.lag("last").over(w) + flank, F.lit(True)).cast("int")
-    return x.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(
-        "chrom", "cluster", "first", "last"
-    )
+    x = x.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered_parts(x.select("chrom", "cluster", "first", "last"))
 
 
 def window_pairs(windows: DataFrame, flank: int = 2) -> DataFrame:
-    """Pairs of layers whose counts a window needs: chrom, cluster, first, last, i, j (p_idx)."""
+    """Pairs of layers whose counts a window needs: chrom, cluster, part, first, last, i, j (p_idx)."""
     lo, hi = F.col("first") - flank, F.col("last") + flank
     x = windows.withColumn("i", F.explode(F.sequence(lo, hi - 1))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, hi)))
     near_start, near_end = F.col("i") < F.col("first"), F.col("j") > F.col("last")
@@ -131,16 +185,18 @@ def window_pairs(windows: DataFrame, flank: int = 2) -> DataFrame:
 def rephase(counts: DataFrame, mean_coverage: float, flank: int = 2, damping: float = 0.0) -> DataFrame:
     """New transitions of difficult runs.
 
-    counts: chrom, cluster, first, last, i, j and n00 n01 n10 n11 per pair of
+    counts: chrom, cluster, part, first, last, i, j and n00 n01 n10 n11 per pair of
     layers; for neighbours the adjacent counts. Returns chrom, p_idx (of the
-    earlier variant) and cells. Windows of a cluster run in order on shared
-    transitions.
+    earlier variant) and cells. The outcome is that of a cluster's windows in order on shared
+    transitions. A window reads one that the window before has changed only where one variant lies between their runs.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, given: dict[int, np.ndarray]) -> tuple[pd.DataFrame, dict[int, np.ndarray]]:
         cells = pdf[["n00", "n01", "n10", "n11"]].to_numpy(float).reshape(-1, 2, 2) + EPSILON
         shared = {i: t for i, j, t in zip(pdf["i"], pdf["j"], cells) if j == i + 1}
+        shared |= {p: t for p, t in given.items() if p in shared}
         changed: dict[int, np.ndarray] = {}
+        end = -1
         for (first, last), part in sorted(pdf.assign(row=range(len(pdf))).groupby(["first", "last"])):
             lo, n = first - flank, last - first + 1 + 2 * flank
             edges = {}
@@ -155,10 +211,13 @@ def rephase(counts: DataFrame, mean_coverage: float, flank: int = 2, damping: fl
             beliefs = propagate(n, edges, damping)
             for k in range(flank - 1, n - flank):
                 shared[lo + k] = changed[lo + k] = belief_transition(beliefs[k], beliefs[k + 1], mean_coverage)
-        rows = [(pdf["chrom"].iloc[0], p, *t.ravel()) for p, t in sorted(changed.items())]
-        return pd.DataFrame(rows, columns=["chrom", "p_idx", "t00", "t01", "t10", "t11"])
+            end = int(last)
+        rows = [(p, *t.ravel()) for p, t in sorted(changed.items())]
+        return pd.DataFrame(rows, columns=["p_idx", "t00", "t01", "t10", "t11"]), {p: t for p, t in changed.items() if p == end}
 
-    return counts.groupBy("chrom", "cluster").applyInPandas(run, "chrom string, p_idx long, t00 double, t01 double, t10 double, t11 double")
+    if "part" not in counts.columns:
+        counts = counts.withColumn("part", F.lit(0).cast("long"))
+    return in_parts(counts, run, "p_idx long, t00 double, t01 double, t10 double, t11 double").select("chrom", "p_idx", "t00", "t01", "t10", "t11")
 
 
 def reestimate(t1: np.ndarray, t2: np.ndarray, t3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +253,7 @@ def _verdict(new1: np.ndarray, new2: np.ndarray, t3: np.ndarray) -> str:
 def connect(windows: DataFrame) -> DataFrame:
     """Joins blocks over runs of uncertain transitions.
 
-    windows: chrom, cluster, total (phaseable variants of the chromosome), variants (all of
+    windows: chrom, cluster, part, total (phaseable variants of the chromosome), variants (all of
     them), kind ('step': i to i + 1 with normalised cells; 'pair': i to j with counts;
     'run': uncertain transitions i..j; 'at': the variant number j of i), i, j, t00 t01 t10 t11.
     Bounds at a chromosome's ends are in variant numbers. Returns chrom, p_idx, drop (whether the variant becomes unphaseable) and, if it doesn't, the
@@ -204,16 +263,17 @@ def connect(windows: DataFrame) -> DataFrame:
     reads connect them, and those between are dropped. Over a short one the
     neighbouring triples are re-estimated: an informative step across drops
     the middle variant where the two-step path is undecided or disagrees, and
-    replaces both steps where it agrees.
+    replaces both steps where it agrees. The outcome is that of a cluster's runs in order.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, given: dict[int, np.ndarray]) -> tuple[pd.DataFrame, dict[int, np.ndarray]]:
         total, variants = int(pdf["total"].iloc[0]), int(pdf["variants"].iloc[0])
         at = {int(i): int(j) for k, i, j in zip(pdf["kind"], pdf["i"], pdf["j"]) if k == "at"}
         cells = pdf[["t00", "t01", "t10", "t11"]].to_numpy(float).reshape(-1, 2, 2)
         step = {int(i): t for k, i, t in zip(pdf["kind"], pdf["i"], cells) if k == "step"}
         pair = {(int(i), int(j)): t + EPSILON for k, i, j, t in zip(pdf["kind"], pdf["i"], pdf["j"], cells) if k == "pair"}
         runs = sorted((int(i), int(j)) for k, i, j in zip(pdf["kind"], pdf["i"], pdf["j"]) if k == "run")
+        step |= given
         new: dict[int, np.ndarray] = {}
         gone: set[int] = set()
         uniform = np.full((2, 2), 0.5)
@@ -244,10 +304,16 @@ def connect(windows: DataFrame) -> DataFrame:
                     gone.add(a + 1)
                 elif act == "keep":
                     step[a], step[a + 1] = new[a], new[a + 1] = found[0], found[1]
-        chrom = pdf["chrom"].iloc[0]
-        rows = [(chrom, p, False, *row_normal(t).ravel()) for p, t in sorted(new.items()) if p not in gone]
-        rows += [(chrom, p, True, None, None, None, None) for p in sorted(gone)]
-        return pd.DataFrame(rows, columns=["chrom", "p_idx", "drop", "t00", "t01", "t10", "t11"])
-
-    schema = "chrom string, p_idx long, drop boolean, t00 double, t01 double, t10 double, t11 double"
-    return windows.groupBy("chrom", "cluster").applyInPandas(run, schema)
+        rows = [(p, False, *row_normal(t).ravel()) for p, t in sorted(new.items()) if p not in gone]
+        rows += [(p, True, None, None, None, None) for p in sorted(gone)]
+        out = pd.DataFrame(rows, columns=["p_idx", "drop", "t00", "t01", "t10", "t11"])
+        # of what the last run has changed, the next one may read the step behind it
+        return out, {p: t for p, t in new.items() if runs and p > runs[-1][1]}
+
+    if "part" not in windows.columns:
+        windows = windows.withColumn("part", F.lit(0).cast("long"))
+    found = in_parts(windows, run, "p_idx long, drop boolean, t00 double, t01 double, t10 double, t11 double")
+    # between parts, as within one: dropped variants have no transition, and later runs overrule earlier ones
+    cells = F.struct("part", "t00", "t01", "t10", "t11")
+    found = found.groupBy("chrom", "p_idx").agg(F.max("drop").alias("drop"), F.max(cells).alias("c"))
+    return found.select("chrom", "p_idx", "drop", *[F.when(~F.col("drop"), F.col(f"c.{t}")).alias(t) for t in ("t00", "t01", "t10", "t11")])

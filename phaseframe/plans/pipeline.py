@@ -47,7 +47,7 @@ def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_c
     m = phaseable_matrix(phaseable, obs).select("chrom", F.col("idx").alias("idx_a"), *[F.col(f"t{c}").alias(f"m{c}") for c in ("00", "01", "10", "11")])
     counted = counted.join(m, ["chrom", "idx_a"], "left")
     cells = [F.when(F.col("j") == F.col("i") + 1, F.col(f"m{c}") - transitions.EPSILON).otherwise(F.col(f"n{c}").cast("double")).alias(f"n{c}") for c in ("00", "01", "10", "11")]
-    new = inference.rephase(counted.select("chrom", "cluster", "first", "last", "i", "j", *cells), mean_coverage, damping=damping)
+    new = inference.rephase(counted.select("chrom", "cluster", "part", "first", "last", "i", "j", *cells), mean_coverage, damping=damping)
     return new.join(p.select("chrom", "p_idx", "idx"), ["chrom", "p_idx"]).drop("p_idx")
 
 
@@ -65,21 +65,21 @@ def connected(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame, variants:
     w = Window.partitionBy("chrom").orderBy("first")
     opens = F.coalesce(F.col("first") - F.lag("last").over(w) > 4, F.lit(True)).cast("int")
     runs = runs.withColumn("o", opens).withColumn("cluster", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("o")
-    runs = cut(runs, "runs")
-    near = runs.select("chrom", "cluster", F.explode(F.sequence(F.greatest(F.col("first") - 1, F.lit(0)), F.col("last") + 3)).alias("i")).distinct()
+    runs = cut(inference.numbered_parts(runs), "runs")
+    near = runs.select("chrom", "cluster", "part", F.explode(F.sequence(F.greatest(F.col("first") - 1, F.lit(0)), F.col("last") + 3)).alias("i")).distinct()
     cells = [f"t{c}" for c in ("00", "01", "10", "11")]
-    own = near.join(steps.withColumnRenamed("p_idx", "i"), ["chrom", "i"]).select("chrom", "cluster", F.lit("step").alias("kind"), "i", (F.col("i") + 1).alias("j"), *cells)
+    own = near.join(steps.withColumnRenamed("p_idx", "i"), ["chrom", "i"]).select("chrom", "cluster", "part", F.lit("step").alias("kind"), "i", (F.col("i") + 1).alias("j"), *cells)
     a, last = F.col("first"), F.col("last")
     across = F.array(
         F.struct(a.alias("i"), (last + 1).alias("j")), F.struct((a - 1).alias("i"), (a + 1).alias("j")), F.struct(a.alias("i"), (a + 2).alias("j"))
     )
-    pairs = runs.select("chrom", "cluster", F.explode(across).alias("x")).select("chrom", "cluster", "x.i", "x.j").distinct()
+    pairs = runs.select("chrom", "cluster", "part", F.explode(across).alias("x")).select("chrom", "cluster", "part", "x.i", "x.j").distinct()
     pairs = _pair_counts(pairs, p, obs).select(
-        "chrom", "cluster", F.lit("pair").alias("kind"), "i", "j", *[F.col(f"n{c[1:]}").cast("double").alias(c) for c in cells]
+        "chrom", "cluster", "part", F.lit("pair").alias("kind"), "i", "j", *[F.col(f"n{c[1:]}").cast("double").alias(c) for c in cells]
     )
     none = F.lit(None).cast("double")
-    spans = runs.select("chrom", "cluster", F.lit("run").alias("kind"), F.col("first").alias("i"), F.col("last").alias("j"), *[none.alias(c) for c in cells])
-    numbers = near.join(p.select("chrom", F.col("p_idx").alias("i"), "idx"), ["chrom", "i"]).select("chrom", "cluster", F.lit("at").alias("kind"), "i", F.col("idx").alias("j"), *[none.alias(c) for c in cells])
+    spans = runs.select("chrom", "cluster", "part", F.lit("run").alias("kind"), F.col("first").alias("i"), F.col("last").alias("j"), *[none.alias(c) for c in cells])
+    numbers = near.join(p.select("chrom", F.col("p_idx").alias("i"), "idx"), ["chrom", "i"]).select("chrom", "cluster", "part", F.lit("at").alias("kind"), "i", F.col("idx").alias("j"), *[none.alias(c) for c in cells])
     windows = own.unionByName(pairs).unionByName(spans).unionByName(numbers).join(total, "chrom")
     return inference.connect(windows).join(p.select("chrom", "p_idx", "idx"), ["chrom", "p_idx"]).drop("p_idx")
 
