@@ -2,12 +2,16 @@
 
 A region is a run of uncertain transitions with two phaseable variants before it and two
 after. Its reads, their alleles at the region's variants and their methylation at intermediate
-sites are gathered by region; a region is one unit of work, bounded by the cap on
-sites and by the coverage. Regions are independent.
+sites are gathered by region. Regions are independent. A region of up to ``MATRIX_CELLS`` reads times
+sites is one matrix in one task. Larger ones, stretches that reads hardly phase, are worked on all at once
+as tables of single probabilities: each round adds what the reads that have just been assigned
+contribute to the sums of their haplotype by site, and scores the reads that are still free. No
+read is left out and none of their groups is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 from phaseframe.config import PhasingConfig
 from phaseframe.operators import cigar, inference, ordered, transitions
 from phaseframe.operators import methylation as meth
-from phaseframe.operators.intervals import overlaps
+from phaseframe.operators.intervals import overlaps, points_in_intervals
 from phaseframe.sources.checkpoints import cut
 
 _RESULT = (
@@ -84,12 +88,18 @@ def site_probabilities(read: tuple, sites: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Reads times sites that a region may have to be worked on as one matrix.
+MATRIX_CELLS = 20_000_000
+
+
 def _pattern_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """The two anchor haplotypes from reads' states at the first two variants; see ``methylation.anchor_patterns``."""
     known = first[(first != -1).any(axis=1)]
-    if not len(known):
-        return None
-    found, n = np.unique(known, axis=0, return_counts=True)
+    return _pattern(*np.unique(known, axis=0, return_counts=True)) if len(known) else None
+
+
+def _pattern(found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the patterns and their numbers."""
     order = sorted(range(len(found)), key=lambda k: (-n[k], *found[k]))
     a = found[order[0]].copy()
     if len(order) == 1:
@@ -205,10 +215,138 @@ def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame,
         whole = ["region_id", "hap", "a_idx", "a_state", "b_idx", "b_state", "idx", "site_start", "site_end", "coverage", "mod_count"]
         return out.astype({c: "Int64" for c in whole} | {c: "float64" for c in ("t00", "t01", "t10", "t11", "ratio")})
 
-    reads, own = cut(reads, "reads"), cut(own, "sites")
+    reads, own = cut(reads.withColumn("rid", F.monotonically_increasing_id()), "reads"), cut(own, "sites")
+    cells = reads.groupBy("chrom", "region_id").count().join(own.groupBy("chrom", "region_id").agg(F.count("*").alias("sites")), ["chrom", "region_id"])
+    large = cut(cells.where(F.col("count") * F.col("sites") > MATRIX_CELLS).select("chrom", "region_id"), "large")
+    if large.isEmpty():
+        return _small(reads, own, run)
+    keys = ["chrom", "region_id"]
+    small = _small(reads.join(large, keys, "left_anti"), own.join(large, keys, "left_anti"), run)
+    return small.unionByName(large_regions(reads.join(large, keys, "left_semi"), own.join(large, keys, "left_semi"), least))
+
+
+def _small(reads: DataFrame, own: DataFrame, run) -> DataFrame:
+    reads = reads.drop("rid")
     return reads.groupBy("chrom", "region_id").cogroup(own.groupBy("chrom", "region_id")).applyInPandas(run, _RESULT)
 
 
+def _probabilities(reads: DataFrame, own: DataFrame) -> DataFrame:
+    """chrom, region_id, rid, site_start, p: what reads say about the sites they cover."""
+    place = lambda df: df.withColumn("key", F.concat_ws(":", "chrom", F.col("region_id").cast("string")))
+    spans = place(reads).select("key", "rid", "read_start", (F.col("read_end") + 1).alias("read_end"))
+    on = points_in_intervals(place(own).select("key", "site_start"), spans, "key", "site_start", "read_start", "read_end")
+    on = on.groupBy("rid").agg(F.sort_array(F.collect_list("site_start")).alias("sites"))  # of one read
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for chrom, region, rid, start, end, text, at, v, sites in zip(*(pdf[c] for c in ("chrom", "region_id", "rid", "read_start", "read_end", "cigar", "call_at", "call_p", "sites"))):
+                sites = np.asarray(sites, np.int64)
+                p = site_probabilities((start, end, text, np.asarray(at, np.int64), np.asarray(v, float)), sites)
+                known = ~np.isnan(p)
+                parts.append(pd.DataFrame({"chrom": chrom, "region_id": region, "rid": rid, "site_start": sites[known], "p": p[known]}))
+            if parts:
+                yield pd.concat(parts)
+
+    cols = ["chrom", "region_id", "rid", "read_start", "read_end", "cigar", "call_at", "call_p", "sites"]
+    return reads.join(on, "rid").select(*cols).mapInPandas(run, "chrom string, region_id long, rid long, site_start long, p double")
+
+
+def large_regions(reads: DataFrame, own: DataFrame, min_allele_count: int, max_rounds: int = 100) -> DataFrame:
+    """The rows of ``region_result`` for all these regions at once, round by round."""
+    keys = ["chrom", "region_id"]
+    reads, by_region = cut(reads, "large"), lambda df, *more: df.groupBy(*keys, *more)
+    p = cut(_probabilities(reads, own), "probabilities")
+    state = lambda k: F.coalesce(F.get(F.col("states"), F.array_position(F.col("layers"), k).cast("int") - 1), F.lit(-1))
+    ends = cut(reads.select(*keys, "rid", state(0).cast("int").alias("s0"), state(1).cast("int").alias("s1")), "ends")
+
+    def anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s0", "s1"])
+        a, b = _pattern(pdf[["s0", "s1"]].to_numpy(), pdf["n"].to_numpy())
+        return pdf[keys].head(1).assign(a0=int(a[0]), a1=int(a[1]), b0=int(b[0]), b1=int(b[1]))
+
+    # a region has nine patterns at most
+    counts = by_region(ends.where("s0 <> -1 OR s1 <> -1"), "s0", "s1").agg(F.count("*").alias("n"))
+    found = cut(by_region(counts).applyInPandas(anchors, "chrom string, region_id long, a0 int, a1 int, b0 int, b1 int"), "anchors")
+
+    def fits(h: str):
+        s, x = (F.col("s0"), F.col("s1")), (F.col(f"{h}0"), F.col(f"{h}1"))
+        part = [(s[k] == x[k]) & (x[k] != -1) & (s[1 - k] == -1) for k in (0, 1)]
+        return ((s[0] == x[0]) & (s[1] == x[1])) | part[0] | part[1]
+
+    start = F.when(fits("a"), 0).when(fits("b"), 1).when((F.col("s0") == -1) & (F.col("s1") == -1), -1).otherwise(-2)
+    hap = cut(ends.join(found, keys).select(*keys, "rid", start.alias("hap")), "haps")
+
+    log = lambda c: F.log10(c + F.lit(1e-20))
+    sums = ["m", "u", "cover", "mods"]
+    new, total, logs = hap.where("hap >= 0"), None, []
+    for _ in range(max_rounds):
+        free = hap.where("hap = -1")
+        if free.isEmpty():
+            break
+        added = by_region(p.join(new.select("rid", "hap"), "rid"), "hap", "site_start").agg(
+            F.sum(log(F.col("p"))).alias("m"), F.sum(log(1 - F.col("p"))).alias("u"), F.count("*").alias("cover"), F.count_if(F.col("p") > 0.5).alias("mods")
+        )
+        if total is not None:
+            added = by_region(total.unionByName(added), "hap", "site_start").agg(*[F.sum(c).alias(c) for c in sums])
+        total = cut(added, "sums")
+        open_ = total.join(free.select(*keys).distinct(), keys, "left_semi")
+        both = by_region(open_, "site_start").agg(*[F.coalesce(F.max(F.when(F.col("hap") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}") for h in (0, 1) for c in sums])
+        call = lambda h: (F.col(f"m{h}") > meth.LOG_HALF) & (F.col(f"m{h}") - F.col(f"u{h}") > 3)
+        differ = cut(both.withColumn("c0", call(0)).withColumn("c1", call(1)).where("c0 <> c1"), "differ")
+        logs.append(differ)
+        # p is sorted neither by region nor by site: reads that are free meet the differing sites of their region
+        side = lambda h: F.sum(F.when(F.col(f"c{h}"), log(F.col("p")) + F.col(f"m{h}")).otherwise(log(1 - F.col("p")) + F.col(f"u{h}")))
+        score = p.join(free.select("rid"), "rid").join(differ, [*keys, "site_start"]).groupBy("rid").agg(side(0).alias("x"), side(1).alias("y"))
+        best = F.when((F.col("x") > F.col("y")) & (F.col("x") > meth.LOG_HALF), 0).when((F.col("y") > F.col("x")) & (F.col("y") > meth.LOG_HALF), 1)
+        new = cut(free.drop("hap").join(score, "rid").select(*keys, "rid", best.alias("hap")).where("hap IS NOT NULL"), "assigned")
+        if new.isEmpty():
+            break
+        # reads that are free in a region where nothing has changed stay free for good
+        going = new.select(*keys).distinct()
+        stay = free.join(going, keys, "left_semi").join(new.select("rid"), "rid", "left_anti")
+        hap = cut(hap.where("hap >= 0").unionByName(new.select(hap.columns)).unionByName(stay.select(hap.columns)), "haps")
+    done = cut(hap.where("hap >= 0"), "done")
+
+    kinds = dict(x.split() for x in _RESULT.split(", "))
+    rows = lambda df, **own: df.select(*[own.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in _NAMES])
+    place = {"chrom": F.col("chrom"), "region_id": F.col("region_id")}
+    who = reads.select("rid", "read_id", "idxs", "layers", "states").join(done, "rid").join(found, keys)
+    of = lambda k: F.when(F.col("hap") == 0, F.col(f"a{k}")).otherwise(F.col(f"b{k}"))
+    out = rows(who, kind=F.lit("assign"), **place, read_id=F.col("read_id"), hap=F.col("hap") + 1, a_idx=F.col("idxs")[0], a_state=of(0), b_idx=F.col("idxs")[1], b_state=of(1))
+    ends_at = own.select(*keys, "site_start", "site_end", F.col("coverage").alias("all_cover"), F.col("mod_count").alias("all_mods"), F.col("ratio").alias("all_ratio"))
+    for differ in logs:
+        at = differ.join(ends_at, [*keys, "site_start"])
+        span = place | {"kind": F.lit("site"), "site_start": F.col("site_start"), "site_end": F.col("site_end")}
+        for h in (0, 1):
+            c, m = F.col(f"cover{h}"), F.col(f"mods{h}")
+            out = out.unionByName(rows(at, **span, hap=F.lit(h + 1), coverage=c, mod_count=m, ratio=F.when(c > 0, 100.0 * m / c)))
+        out = out.unionByName(rows(at, **span, hap=F.lit(0), coverage=F.col("all_cover"), mod_count=F.col("all_mods"), ratio=F.col("all_ratio")))
+
+    # shares of the alternative allele by haplotype and variant, then steps between neighbours
+    known = who.select(*keys, "hap", F.explode(F.arrays_zip("layers", "states")).alias("x"), "idxs").where("x.states >= 0")
+    share = by_region(known, F.col("x.layers").alias("layer")).agg(
+        F.first("idxs").alias("idxs"), *[F.count_if(F.col("hap") == h).alias(f"n{h}") for h in (0, 1)], *[F.coalesce(F.avg(F.when(F.col("hap") == h, F.col("x.states"))), F.lit(0.0)).alias(f"f{h}") for h in (0, 1)]
+    )
+    share = cut(share, "shares")
+    names = ("n0", "n1", "f0", "f1")
+    nxt = share.select(*keys, (F.col("layer") - 1).alias("layer"), *[F.col(c).alias(f"next_{c}") for c in names])
+    pairs = share.join(nxt, [*keys, "layer"]).where((F.col("layer") >= 2) & (F.col("layer") < F.size("idxs") - 2))
+    pairs = pairs.where(F.least("n0", "n1", "next_n0", "next_n1") >= max(min_allele_count, 1)).select(*keys, F.col("idxs")[F.col("layer")].alias("idx"), *names, *[f"next_{c}" for c in names])
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False):
+                w = [(r.n0 + r.next_n0) / 2, (r.n1 + r.next_n1) / 2]
+                t = sum(_hap_transition(f, g) * x for f, g, x in ((r.f0, r.next_f0, w[0]), (r.f1, r.next_f1, w[1]))) / (sum(w) + 1e-100)
+                found.append((r.chrom, r.region_id, r.idx, *map(float, t.ravel())))
+            yield pd.DataFrame(found, columns=[*keys, "idx", "t00", "t01", "t10", "t11"])
+
+    made = pairs.mapInPandas(step, "chrom string, region_id long, idx long, t00 double, t01 double, t10 double, t11 double")
+    return out.unionByName(rows(made, kind=F.lit("step"), **place, **{c: F.col(c) for c in ("idx", "t00", "t01", "t10", "t11")}))
+
+
 def differing_sites(results: DataFrame) -> DataFrame:
     """Sites that told haplotypes apart, of each haplotype (hap1, hap2) and in all (Total), each once and in order."""
     x = results.where("kind = 'site'").select(
