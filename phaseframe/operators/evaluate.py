@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.operators.intervals import overlap_counts, overlap_length, overlaps
 from phaseframe.operators.ordered import BUCKET
+from phaseframe.operators.quantiles import quantiles
 
 
 def block_n50(blocks: DataFrame, keys: list[str], length: Column) -> DataFrame:
@@ -46,16 +47,16 @@ def errors_per_window(points: DataFrame, keys: list[str], width: int = 10_000) -
 
 def interval_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """2.5, 50 and 97.5 percentiles, exact with linear interpolation."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"))
+    return quantiles(df, keys, value, {"low": 0.025, "mid": 0.5, "high": 0.975})
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     c = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.sum(c).alias("total"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"),
-        F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_samp(c).alias("std"),
-    )
+    plain = df.groupBy(*keys).agg(F.sum(c).alias("total"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
+    middle = quantiles(df, keys, value, {"median": 0.5})
+    x, y = plain.alias("x"), middle.alias("y")
+    both = x.join(y, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys] or F.lit(True), "left")
+    return both.select(*[F.col(f"x.{k}").alias(k) for k in keys], "total", "low", "high", "mean", "median", "std")
 
 
 def extents(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

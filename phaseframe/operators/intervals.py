@@ -5,8 +5,8 @@ posted in every bin it touches; a point has one bin, so a pair of point and
 interval meets once. Two intervals may share several bins: the pair is kept in
 the bin where the later of the two starts lies, which is one of them, so no
 deduplication is needed. Bins near the usual interval length keep the posting
-factor near two; a deep spot on a chromosome is one hot bin, which the skew join
-splits.
+factor near two; a deep spot on a chromosome is one hot bin, which ``split`` deals out by its
+depth, and else the skew join.
 """
 
 from __future__ import annotations
@@ -26,13 +26,39 @@ def _binned(df: DataFrame, start: str, end: str, width: int, name: str = "__bin"
     return df.withColumn(name, F.explode(F.sequence(_bin(F.col(start), width), _bin(last, width))))
 
 
+#: Intervals of a bin beyond which it is split.
+DEEP = 200_000
+
+
+def _split_deep(points: DataFrame, intervals: DataFrame, chrom: str, by: list[str], depth: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__salt``: a bin with more than ``depth`` intervals is dealt out by a hash of the columns ``by``
+    into as many shares as it takes, and its points are copied to each.
+
+    Depths come from a count by bin. Of the table of deep bins there is a row for each ``depth`` intervals at most.
+    """
+    depths = intervals.groupBy(chrom, "__bin").agg(F.count("*").alias("n")).where(F.col("n") > depth)
+    deep = depths.select(F.col(chrom).alias("__deep_chrom"), F.col("__bin").alias("__deep_bin"), F.ceil(F.col("n") / depth).cast("int").alias("__shares"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        on = (df[chrom] == F.col("__deep_chrom")) & (df["__bin"] == F.col("__deep_bin"))
+        return df.join(deep, on, "left").withColumn("__shares", F.coalesce("__shares", F.lit(1))).drop("__deep_chrom", "__deep_bin")
+
+    p = marked(points).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
+    i = marked(intervals).withColumn("__salt", F.pmod(F.xxhash64(*by), F.col("__shares")).cast("int")).drop("__shares")
+    return p, i
+
+
 def points_in_intervals(
-    points: DataFrame, intervals: DataFrame, chrom: str, at: str, start: str, end: str, width: int = BIN
+    points: DataFrame, intervals: DataFrame, chrom: str, at: str, start: str, end: str, width: int = BIN, split: list[str] | None = None, depth: int = DEEP
 ) -> DataFrame:
-    """Pairs with start <= at < end."""
+    """Pairs with start <= at < end. ``split``: columns of the intervals that deal out the intervals of a deep bin."""
     p = points.withColumn("__bin", _bin(F.col(at), width))
     i = _binned(intervals, start, end, width)
-    return p.join(i, [chrom, "__bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__bin")
+    keys = [chrom, "__bin"]
+    if split:
+        p, i = _split_deep(p, i, chrom, split, depth)
+        keys.append("__salt")
+    return p.join(i, keys).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__bin", "__salt")
 
 
 def overlaps(

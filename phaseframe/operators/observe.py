@@ -38,7 +38,7 @@ def variant_windows(variants: DataFrame, chunks: DataFrame, config: PhasingConfi
 
 def _pairs(windows: DataFrame, reads: DataFrame) -> DataFrame:
     """aln with the variants that the alignment covers, in order, each by what a call needs of it."""
-    found = points_in_intervals(calls.spec(windows), reads.select("chrom", "aln", "read_start", "read_end"), "chrom", "at", "read_start", "read_end")
+    found = points_in_intervals(calls.spec(windows), reads.select("chrom", "aln", "read_start", "read_end"), "chrom", "at", "read_start", "read_end", split=["aln"])
     return found.groupBy("aln").agg(F.sort_array(F.collect_list("spec")).alias("variants"))
 
 

@@ -234,7 +234,7 @@ def _probabilities(reads: DataFrame, own: DataFrame) -> DataFrame:
     """chrom, region_id, rid, site_start, p: what reads say about the sites they cover."""
     place = lambda df: df.withColumn("key", F.concat_ws(":", "chrom", F.col("region_id").cast("string")))
     spans = place(reads).select("key", "rid", "read_start", (F.col("read_end") + 1).alias("read_end"))
-    on = points_in_intervals(place(own).select("key", "site_start"), spans, "key", "site_start", "read_start", "read_end")
+    on = points_in_intervals(place(own).select("key", "site_start"), spans, "key", "site_start", "read_start", "read_end", split=["rid"])
     on = on.groupBy("rid").agg(F.sort_array(F.collect_list("site_start")).alias("sites"))  # of one read
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StructField, StructType
 
 from phaseframe.sources import bgzf, bgzip
 
@@ -95,27 +97,42 @@ def read_sam(spark: SparkSession, path: str, chrom: str | None = None, start: in
     return _in_region(out, chrom, start, end, "read_start", "read_end")
 
 
+def _modified(mm: str | None, ml: str | None, seq: str | None, forward: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """Query indices and probabilities of 5mC of one read; None without an entry of that kind."""
+    entries = [e for e in (mm or "").split(";") if e]
+    at = next((k for k, e in enumerate(entries) if e.startswith("C+m")), None)
+    if at is None:
+        return None
+    steps = np.array(entries[at].split(",")[1:], np.int64)
+    skipped = sum(e.count(",") for e in entries[:at])
+    given = np.array((ml or "").split(",")[1 + skipped :][: len(steps)], np.int64)
+    # the k-th call is on cytosine number sum of steps so far, plus k
+    nth = (np.cumsum(steps) + np.arange(len(steps)))[: len(given)]
+    bases = np.frombuffer((seq or "").encode(), np.uint8)
+    sites = np.flatnonzero(bases == ord("C")) if forward else np.flatnonzero(bases == ord("G"))[::-1]
+    inside = nth < len(sites)
+    return sites[nth[inside]], given[inside] / 256.0
+
+
 def modification_calls(alignments: DataFrame) -> DataFrame:
     """``calls``: map from query index to probability of 5mC, from the C+m entry of MM and ML.
 
     MM counts the cytosines of the read as sequenced; on the reverse strand
-    those are the guanines of the stored sequence from its end.
+    those are the guanines of the stored sequence from its end. Linear in bases and calls.
     """
-    one = F.filter(F.split("mm", ";"), lambda s: s.startswith("C+m"))
-    before = F.filter(F.split("mm", ";"), lambda s: s != "")
-    at = F.array_position(F.transform(before, lambda s: s.startswith("C+m")), True).cast("int")
-    n = lambda s: F.size(F.split(s, ",")) - 1
-    skipped = F.aggregate(F.slice(before, 1, F.greatest(at - 1, F.lit(0))), F.lit(0), lambda a, s: a + n(s))
-    steps = F.transform(F.slice(F.split(F.get(one, F.lit(0)), ","), 2, 1_000_000_000), lambda s: s.cast("int"))
-    # the k-th call is on cytosine number sum of steps so far, plus k
-    nth = F.transform(steps, lambda _, k: F.aggregate(F.slice(steps, 1, k + 1), F.lit(0), lambda a, s: a + s) + k)
-    letters = F.filter(F.split("seq", ""), lambda c: c != "")
-    fwd = F.filter(F.transform(letters, lambda c, i: F.when(c == "C", i)), lambda i: i.isNotNull())
-    rev = F.reverse(F.filter(F.transform(letters, lambda c, i: F.when(c == "G", i)), lambda i: i.isNotNull()))
-    sites = F.when(F.col("is_forward"), fwd).otherwise(rev)
-    probs = F.transform(F.slice(F.split("ml", ","), F.lit(2) + skipped, F.size(steps)), lambda p: p.cast("int") / F.lit(256.0))
-    pairs = F.filter(F.transform(nth, lambda k, i: F.struct(F.get(sites, k).alias("q"), F.get(probs, i).alias("p"))), lambda s: s["q"].isNotNull() & s["p"].isNotNull())
-    return alignments.withColumn("calls", F.when(F.col("mm").isNotNull() & (F.size(one) > 0), F.map_from_entries(pairs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            found = [_modified(*row) for row in zip(column("mm"), column("ml"), column("seq"), column("is_forward"))]
+            ends = np.cumsum([0] + [0 if f is None else len(f[0]) for f in found])
+            offsets = pa.array([None if f is None else int(e) for f, e in zip(found, ends)] + [int(ends[-1])], pa.int32())
+            every = [f for f in found if f is not None]
+            keys, values = (np.concatenate([f[k] for f in every] or [[]]) for k in (0, 1))
+            calls = pa.MapArray.from_arrays(offsets, pa.array(keys.astype(np.int32)), pa.array(values.astype(float)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, calls], [*batch.schema.names, "calls"])
+
+    return alignments.mapInArrow(run, StructType([*alignments.schema.fields, StructField("calls", MapType(IntegerType(), DoubleType()))]))
 
 
 def read_fai(path: str) -> list[tuple[str, int, int, int, int]]:

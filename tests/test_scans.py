@@ -168,3 +168,57 @@ def test_order_is_told_without_an_exchange(spark):
     report = ordered.order_report(mixed, "chrom", "pos")
     assert ordered.inversions(report) == want > 0 and report.agg(F.sum("n")).first()[0] == 80
     assert ordered.inversions(ordered.order_report(df.where("false"), "chrom", "pos")) == 0
+
+
+@pytest.mark.parametrize("few, bins", [(10_000, 1024), (5, 4), (1, 16)])
+def test_quantiles_by_selection(spark, few, bins):
+    from phaseframe.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=501) ** 9, "b": np.repeat([2.0, 3.0], [400, 7]), "c": np.array([5.0]), None: rng.integers(0, 9, 90).astype(float), "e": np.array([-1.7e308, 1.7e308, 0.0])}
+    rows = [(k, float(v)) for k, g in groups.items() for v in g] + [("a", None), ("b", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    wanted = {"low": 0.025, "mid": 0.5, "top": 1.0}
+    got = {r["k"]: r for r in quantiles(df, ["k"], "v", wanted, bins, few).collect()}
+    assert got.keys() == groups.keys()
+    for k, g in groups.items():
+        if k != "e":
+            assert np.allclose([got[k][n] for n in wanted], np.quantile(g, list(wanted.values())), rtol=1e-12)
+    assert got["e"]["mid"] == 0.0 and got["e"]["top"] == 1.7e308
+    whole = quantiles(df.where("k = 'a'"), [], "v", wanted, bins, few).collect()
+    assert len(whole) == 1 and np.isclose(whole[0]["mid"], np.median(groups["a"]))
+    assert quantiles(df.where("false"), ["k"], "v", wanted, bins, few).count() == 0
+
+
+def test_modification_tags_of_a_long_read_are_linear():
+    import time
+
+    from phaseframe.sources.text import _modified
+
+    took = []
+    for n in (10_000, 100_000):
+        began = time.process_time()
+        at, p = _modified("C+h,0;C+m" + ",1" * n + ";", "C,7" + ",128" * n, "GCTC" * n, True)
+        took.append(time.process_time() - began)
+        assert len(at) == n and at[:3].tolist() == [3, 7, 11] and set(p) == {0.5}
+    assert took[1] < 40 * took[0] + 0.2
+
+
+def test_a_deep_spot_is_dealt_out(spark):
+    from phaseframe.operators import intervals
+
+    rng = random.Random(8)
+    reads = [("c", k, s := rng.randrange(2_000_000), s + rng.randint(1, 30_000)) for k in range(600)]
+    reads += [("c", 1000 + k, 500_000 + k % 50, 500_200 + k % 70) for k in range(300)]  # a third on one bin
+    points = [("c", rng.randrange(2_000_000)) for _ in range(200)] + [("c", 500_000 + 9 * k) for k in range(20)] + [("d", 5)]
+    i = spark.createDataFrame(reads, "chrom string, rid long, start long, end long")
+    p = spark.createDataFrame(points, "chrom string, at long")
+    want = sorted((a, r) for c, a in points for d, r, s, e in reads if c == d and s <= a < e)
+    for split, depth in ((None, 1), (["rid"], 40), (["rid"], 10**6)):
+        got = intervals.points_in_intervals(p, i, "chrom", "at", "start", "end", split=split, depth=depth)
+        assert got.columns == ["chrom", "at", "rid", "start", "end"]
+        assert sorted((r["at"], r["rid"]) for r in got.collect()) == want
+    binned = intervals._binned(i, "start", "end", intervals.BIN)
+    _, dealt = intervals._split_deep(p.withColumn("__bin", F.lit(0).cast("long")), binned, "chrom", ["rid"], 40)
+    assert binned.groupBy("chrom", "__bin").count().agg(F.max("count")).first()[0] > 300
+    assert dealt.groupBy("chrom", "__bin", "__salt").count().agg(F.max("count")).first()[0] < 75
