@@ -98,3 +98,58 @@ def test_phasing_does_not_depend_on_partitions(spark, tiny):
 
 def test_a_vcf_keeps_its_records(spark, files):
     assert text.read_vcf(spark, str(files / "calls.vcf")).where("line IS NULL").count() == 0
+
+
+def test_bam_to_bam(spark, tiny, files, tmp_path):
+    """BAM and compressed VCF in and out; two records of one position without an id; tables; stages by parameters."""
+    from phaseframe.sources import bam, bgzip, checkpoints
+
+    bam.register(spark)
+    bgzip.register(spark)
+    sq = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr1\tLN:100000\n@SQ\tSN:chr2\tLN:100000\n"
+    reads = fx.block_reads(spark, tiny).select("read_name", "flag", "chrom", "read_start", "mapq", "cigar", "seq", "quals")
+    bam_path, vcf_path = str(tmp_path / "reads.bam"), str(tmp_path / "calls.vcf.gz")
+    bam.coordinate_order(reads, bam.header_of_text(sq)).write.format("bam").option("header", sq).option("single", "true").mode("overwrite").save(bam_path)
+    lines = (files / "calls.vcf").read_text().splitlines()
+    first = next(x for x in lines if x.startswith("chr1\t") and "\tb" in x).split("\t")
+    twins = ["\t".join([*first[:2], ".", first[3], alt, *first[5:9], gt]) for alt, gt in (("GG", "1/1:3"), ("TT", "0/1:4"))]
+    first[2] = "."
+    lines = [x for x in lines if x.startswith("#")] + sorted([x for x in lines if not x.startswith("#") and x.split("\t")[:2] != first[:2]] + ["\t".join(first), *twins], key=lambda x: (x.split("\t")[0], int(x.split("\t")[1])))
+    body = spark.createDataFrame([(x,) for x in lines if not x.startswith("#")], "value string").coalesce(1)
+    body.write.format("bgzip").option("header", "\n".join(x for x in lines if x.startswith("#"))).option("single", "true").mode("overwrite").save(vcf_path)
+
+    out = {k: str(tmp_path / f"out{v}") for k, v in {"vcf": ".vcf.gz", "bam": ".bam", "read_assignments": "_assignments", "transition_matrix": "_matrix", "read_states": "_states", "variant_read_mapping": "_mapping", "allele_coverage": "_coverage", "unphaseable_variants": "_unphaseable"}.items()}
+    argv = ["--vcf", vcf_path, "--bam", bam_path, "--reference", str(files / "ref.fa"), "--pacbio", "--chrom", "chr1", "--log", str(tmp_path / "log"), "--checkpoints", str(tmp_path / "stages")]
+    args = run.parser().parse_args(argv + [x for k, path in out.items() for x in (f"--output_{k}", path)])
+    run.start_log(args.log, False)
+    found = run.run(spark, args)
+
+    given = [x.split("\t") for x in lines if x.startswith("chr1\t")]
+    got = [r["line"].split("\t") for r in text.read_vcf(spark, out["vcf"]).collect()]
+    assert sorted(f[:8] for f in got) == sorted(f[:8] for f in given)  # each record once
+    same = [f for f in got if f[:2] == first[:2]]
+    assert {f[4]: f[9] for f in same}["GG"].startswith("1/1:") and all(f[9].split(":")[-1] == "." for f in same if f[4] == "GG")
+    assert [r["pos"] for r in text.read_vcf(spark, out["vcf"], "chr1", 500, 1500).orderBy("pos").collect()] == sorted(int(f[1]) for f in given if 500 <= int(f[1]) < 1500)
+
+    tags = {r[0]: r[1] for r in spark.read.csv(out["read_assignments"], sep="\t").collect()}
+    tagged = spark.read.format("bam").option("tags", "HP").load(out["bam"])
+    hp = {r["read_name"]: r["HP"] for r in tagged.where("flag & 1796 = 0").collect()}
+    assert tagged.count() == reads.where("chrom = 'chr1'").count() and len(hp) > 500
+    assert {k: {"H1": 1, "H2": 2, "none": None}[tags[k]] for k in hp if k in tags} == {k: v for k, v in hp.items() if k in tags} and {1, 2} <= set(hp.values())
+
+    table = lambda name: spark.read.csv(out[name], sep="\t", header=True)
+    assert table("read_states").count() == found["observations"].count() and set(table("allele_coverage").columns) >= {"chrom", "idx", "c0", "c1"}
+    assert table("transition_matrix").count() > 20 and table("variant_read_mapping").count() > 500 and table("unphaseable_variants").columns == ["chrom", "idx", "pos"]
+    assert "isn't sorted" not in (tmp_path / "log").read_text()
+
+    # other parameters and other inputs make other stages
+    stages = lambda: {p.name for p in (tmp_path / "stages").iterdir()}
+    before = stages()
+    again = run.run(spark, run.parser().parse_args(argv))
+    assert stages() == before and again["observations"].count() == found["observations"].count()
+    fewer = run.run(spark, run.parser().parse_args([*argv, "--min_mapq", "50"]))
+    assert len(stages()) == 2 * len(before) and fewer["observations"].count() < found["observations"].count()
+    key = checkpoints.fingerprint(spark, bam_path)
+    with open(bam_path, "ab") as f:
+        f.write(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
+    assert checkpoints.fingerprint(spark, bam_path) != key
