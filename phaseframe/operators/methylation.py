@@ -78,6 +78,14 @@ def site_table(meth: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("unmod_count", F.col("coverage") - F.col("mod_count")).withColumn("ratio", 100 * F.col("mod_count") / F.col("coverage"))
 
 
+def sites_once(order: list[str], *tables: DataFrame) -> DataFrame:
+    """The rows of all tables, each once, in order: of several haplotypes, rounds or regions. Tables have the same columns."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.dropDuplicates().orderBy(*order)
+
+
 def hap_fractions(states: DataFrame, keys: list[str]) -> DataFrame:
     """Mean state and coverage per key over known states."""
     return states.where("state >= 0").groupBy(*keys).agg(F.avg("state").alias("fraction"), F.count("*").alias("coverage"))

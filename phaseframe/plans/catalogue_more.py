@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseframe import fixtures as fx
 from phaseframe.operators import cigar, evaluate, haplotag, intervals, ordered, transitions
+from phaseframe.operators import methylation as meth
 from phaseframe.operators import variants as vr
 from phaseframe.plans.catalogue import _matrix, _with, phased, query
 from phaseframe.plans.catalogue_reads import _BR
@@ -28,7 +29,7 @@ def _vcf(s, d) -> str:
     gt = F.concat_ws("/", *[F.when(F.col(c) < 0, ".").otherwise(F.col(c).cast("string")) for c in ("gt_a", "gt_b")])
     body = raw.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", F.concat_ws(",", "alt1", "alt2"), F.lit("30"), "filter", F.lit("LV=1;DB"), F.lit("GT:GQ"), F.concat(gt, F.lit(":"), F.col("gq").cast("string"))))
     path = _folder(s, "vcf")
-    head = ["##fileformat=VCFv4.2", '##INFO=<ID=LV,Number=1,Type=Integer,Description="Level">', "#" + "\t".join("CHROM POS ID REF ALT QUAL FILTER INFO FORMAT one".split())]
+    head = ["##fileformat=VCFv4.2", '##INFO=<ID=LV,Number=1,Type=Integer,Description="Level">', "#" + "\t".join([*"CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split(), f"n{raw.count()}"])]
     s.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/0")
     body.write.text(f"{path}/1")
     return f"{path}/*"
@@ -40,7 +41,7 @@ def _(s, d):
     return x.where("pos >= 100000").select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "filter", F.col("gt")[0].alias("gt_a"), F.col("gt")[1].alias("gt_b"), "gq")
 
 
-@query("vcf_header", "SELECT TRUE AS has_level, FALSE AS has_traversal, 'one' AS sample")
+@query("vcf_header", _with("raw") + "SELECT TRUE AS has_level, FALSE AS has_traversal, concat('n', CAST(count(*) AS VARCHAR)) AS sample FROM raw")
 def _(s, d):
     path = _vcf(s, d)
     return s.createDataFrame([(text.vcf_has_info(s, path, "LV"), text.vcf_has_info(s, path, "AT"), text.vcf_samples(s, path)[0])], "has_level boolean, has_traversal boolean, sample string")
@@ -219,8 +220,9 @@ def _(s, d):
 @query("json_states", _with("obs") + "SELECT read_id, idx, state FROM obs")
 def _(s, d):
     """Read states as one JSON object per read, and back."""
-    x = fx.observations(s, d).groupBy("read_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("string"), "state")))).alias("j"))
-    return x.select("read_id", F.explode(F.from_json("j", "map<string, int>")).alias("idx", "state")).select("read_id", F.col("idx").cast("long").alias("idx"), "state")
+    path = _folder(s, "states")
+    sinks.write_read_states(fx.observations(s, d), path)
+    return text.read_states(s, path).select(F.col("read_id").cast("long").alias("read_id"), "idx", "state")
 
 
 # ------------------------------------------------------------- methylation of reads
@@ -257,13 +259,13 @@ def _(s, d):
 def _(s, d):
     x = fx.methylation_sites(s, d)
     one = lambda df, name: df.select("site_start", F.lit(name).alias("hap"), "ratio")
-    return one(x.where("coverage % 3 = 0"), "hap1").unionByName(one(x.where("coverage % 3 = 1"), "hap2")).unionByName(one(x, "Total"))
+    return meth.sites_once(["site_start", "hap"], one(x.where("coverage % 3 = 0"), "hap1"), one(x.where("coverage % 3 = 1"), "hap2"), one(x, "Total"))
 
 
 @query("sites_once_in_order", "SELECT DISTINCT CAST(event_id % 900 AS BIGINT) AS start, CAST(user_id % 3 AS INT) AS hap FROM events ORDER BY 1, 2")
 def _(s, d):
     x = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 900).cast("long").alias("start"), (F.col("user_id") % 3).cast("int").alias("hap"))
-    return x.dropDuplicates().orderBy("start", "hap")
+    return meth.sites_once(["start", "hap"], x)
 
 
 @query(

@@ -353,7 +353,7 @@ def differing_sites(results: DataFrame) -> DataFrame:
         "chrom", F.col("site_start").alias("start"), F.col("site_end").alias("end"), "ratio", F.when(F.col("hap") == 0, "Total").otherwise(F.concat(F.lit("hap"), F.col("hap").cast("string"))).alias("hap"),
         "coverage", "mod_count", (F.col("coverage") - F.col("mod_count")).alias("unmod_count"),
     )
-    return x.select("chrom", "start", "end", F.col("ratio").alias("score"), "hap", "coverage", "mod_count", "unmod_count", "ratio").dropDuplicates().orderBy("chrom", "start", "hap")
+    return meth.sites_once(["chrom", "start", "hap"], x.select("chrom", "start", "end", F.col("ratio").alias("score"), "hap", "coverage", "mod_count", "unmod_count", "ratio"))
 
 
 def assignments(results: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
     tables = {
         "transition_matrix": lambda: matrix,
         "transition_matrix_meth": lambda: filled,
-        "read_states": lambda: obs.select("chrom", "read_id", "idx", "state"),
+        "read_states": lambda: obs,
         "variant_read_mapping": lambda: obs.where("state >= 0").select("chrom", "idx", "read_id"),
         "allele_coverage": lambda: transitions.allele_coverage(obs),
         "unphaseable_variants": lambda: variants.select("chrom", "idx", "pos").join(phaseable.select("chrom", "idx"), ["chrom", "idx"], "left_anti"),
@@ -171,6 +171,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
         path = getattr(args, f"output_{name}")
         if path and (df := table()) is not None:
             log.info("Writing the table %s to %s", name, path)
+            if name == "read_states":
+                sinks.write_read_states(df, path)
+                continue
             order = [c for c in ("chrom", "idx", "read_id") if c in df.columns]
             sinks.write_tsv(df.orderBy(*order), path, header=True)
     return {"variants": variants, "observations": obs, "haplotypes": haps, "tags": tags}

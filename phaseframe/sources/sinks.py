@@ -97,6 +97,12 @@ def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> str:
     return path
 
 
+def write_read_states(obs: DataFrame, path: str) -> None:
+    """A JSON object a read: chrom, read_id and its states by variant number."""
+    x = obs.groupBy("chrom", F.col("read_id").cast("string").alias("read_id")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("idx").cast("string"), "state")))).alias("states"))
+    x.write.mode("overwrite").json(path)
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
     """Tab-separated; an empty table still gets its header."""
     df.write.mode("overwrite").option("sep", "\t").option("header", header).csv(path)

@@ -224,5 +224,11 @@ def read_tables(spark: SparkSession, paths: list[str], schema: str | None = None
     return r.csv(paths).withColumn("source", F.input_file_name())
 
 
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, read_id, idx, state of what ``sinks.write_read_states`` has written."""
+    x = spark.read.schema("chrom string, read_id string, states map<string, int>").json(path)
+    return x.select("chrom", "read_id", F.explode("states").alias("idx", "state")).withColumn("idx", F.col("idx").cast("long"))
+
+
 def to_parquet(df: DataFrame, path: str, order: str) -> None:
     df.repartitionByRange("chrom", order).sortWithinPartitions("chrom", order).write.mode("overwrite").partitionBy("chrom").parquet(path)

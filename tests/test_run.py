@@ -138,7 +138,7 @@ def test_bam_to_bam(spark, tiny, files, tmp_path):
     assert {k: {"H1": 1, "H2": 2, "none": None}[tags[k]] for k in hp if k in tags} == {k: v for k, v in hp.items() if k in tags} and {1, 2} <= set(hp.values())
 
     table = lambda name: spark.read.csv(out[name], sep="\t", header=True)
-    assert table("read_states").count() == found["observations"].count() and set(table("allele_coverage").columns) >= {"chrom", "idx", "c0", "c1"}
+    assert text.read_states(spark, out["read_states"]).count() == found["observations"].count() and set(table("allele_coverage").columns) >= {"chrom", "idx", "c0", "c1"}
     assert table("transition_matrix").count() > 20 and table("variant_read_mapping").count() > 500 and table("unphaseable_variants").columns == ["chrom", "idx", "pos"]
     assert "isn't sorted" not in (tmp_path / "log").read_text()
 
