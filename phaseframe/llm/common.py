@@ -10,7 +10,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,17 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset, a temporary one under a local master
-    only, which is then set for the session: executors elsewhere wouldn't see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="phaseframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from phaseframe.sources.checkpoints import shared_folder
 
 
 #: Rows of an Arrow batch: whole texts of a few kilobytes on average, so a batch is a few megabytes.
