@@ -57,6 +57,8 @@ HOOKS = 3
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
+#: What tells the parts of a partition apart in a signature.
+_PART = mix(np.arange(1, 9, dtype=_U) * _U(0xD6E8FEB86659FD93))
 
 
 def elements(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -98,6 +100,15 @@ def scheme(differ: int, size: int) -> tuple[int, int, int]:
     return min(options)[2:]
 
 
+@lru_cache(maxsize=None)
+def choices(n: int, k: int) -> np.ndarray:
+    """The choices of ``k`` of ``n`` as rows of zeros and ones."""
+    out = np.zeros((math.comb(n, k), n), _U)
+    for row, parts in zip(out, itertools.combinations(range(n), k)):
+        row[list(parts)] = 1
+    return out
+
+
 def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The bucket keys of a non-empty set, under its own band's scheme and the next one's."""
     table = bands(percent, 1 << max(len(found), 1).bit_length())
@@ -111,13 +122,10 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         # parts are ranges of hashes
         borders = (np.arange(1, cells, dtype=_U) * _U((1 << 64) // cells)) if cells > 1 else np.empty(0, _U)
         ends = np.concatenate([[0], np.searchsorted(found, borders), [len(found)]])
-        cell = (sums[ends[1:]] - sums[ends[:-1]]).reshape(n1, n2)
-        place = mix(np.arange(n1, dtype=_U) + _U(tag * 0x1F123BB5 + 1))
-        for number, parts in enumerate(itertools.combinations(range(n2), n2 - k2)):
-            key = mix(place + _U(number + 1))
-            for p in parts:
-                key = mix(key * _ODD + cell[:, p])
-            out.append(key)
+        cell = mix((sums[ends[1:]] - sums[ends[:-1]]).reshape(n1, n2) + _PART[:n2])
+        chosen = choices(n2, n2 - k2)
+        place = np.arange(n1 * len(chosen), dtype=_U).reshape(n1, -1) * _ODD + _U(tag * 0x1F123BB5 + 1)
+        out.append(mix(place + (cell[:, None, :] * chosen).sum(axis=2, dtype=_U)).ravel())
     return np.concatenate(out).view(np.int64)
 
 
