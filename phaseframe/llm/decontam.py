@@ -2,7 +2,9 @@
 
 Texts become sequences of tokens in which numbers, units after a number and
 names (words inside a sentence of which only the first letter is a capital) are typed placeholders; their values
-are slots. Windows of ``window`` tokens are hashed; windows of documents are
+are slots. Words that may be names or not, a capital word that opens a sentence and one all in capitals,
+are read both ways: windows that hold such words stand once with the words themselves and once with names in their place.
+Windows of ``window`` tokens are hashed; windows of documents are
 joined by hash with those of benchmark items. Matches of a document and an item
 on one diagonal (document position less item position) are one alignment. It is
 contamination if it has ``min_windows`` windows (or all but one of a shorter
@@ -20,8 +22,9 @@ whatever the benchmark's size; document windows outside it never leave their
 task, the rest are joined by hash in full. A passage in a third of all documents
 gives that many short rows, grouped per document.
 
-Defined results: null or empty texts contain nothing; repeated rows of one id
-give one result row per item; documents without contamination give no row; an
+Defined results: null or empty texts contain nothing; rows of the same id and text
+count as one; rows that share an id, or have none, with other texts are documents of their own and give a result row each,
+and so are rows of the benchmark; documents without contamination give no row; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -49,7 +52,7 @@ UNITS = frozenset(
     " cm2 m2 km2 w kw kwh v a hz khz mhz ghz kb mb gb tb".split()
 )
 _U = np.uint64
-_LITERAL, _NUMBER, _CAPITAL, _NOTHING = range(4)
+_LITERAL, _NUMBER, _CAPITAL, _NOTHING, _CAPITALS = range(5)
 _CORE_HEAD, _CORE_TAIL = re.compile(r"[^\w$€£%°+-]*"), re.compile(r"[^\w$€£%°]+$")
 _IS_NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*%?")
 _PLACEHOLDERS = {"num": 1, "unit": 2, "name": 3}
@@ -151,6 +154,8 @@ class Canonical:
                 kind = _NUMBER
             elif core[0].isupper() and core[1:].islower():  # not shouting, not an initial
                 kind = _CAPITAL
+            elif len(core) > 1 and core.isalpha() and core.isupper():
+                kind = _CAPITALS
             else:
                 kind = _LITERAL
             ends = word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
@@ -189,7 +194,8 @@ class Canonical:
         self.begin = i.copy()
         first = np.minimum(i + 1, e)
         capital = ((bits[i] & _UPPER) != 0) & (lower[e] > lower[first]) & (upper[e] == upper[first])
-        self.kind = np.where(capital, _CAPITAL, _LITERAL).astype(np.int8)
+        capitals = (e - i > 1) & (upper[e] - upper[i] == e - i)
+        self.kind = np.where(capital, _CAPITAL, np.where(capitals, _CAPITALS, _LITERAL)).astype(np.int8)
         self.closes = signed & ((last & _END) != 0)
         for k in np.flatnonzero(~plain).tolist():
             self.kind[k], self.closes[k], head, tail = self._classed(self.text[i[k] : j[k]])
@@ -197,12 +203,12 @@ class Canonical:
         i, e = self.begin, self.end
         self.code = mix((sums[e] - sums[i]) * inverse[np.minimum(i, max(0, n - 1))] + (e - i).astype(_U))
 
-    def __call__(self, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, placeholder types (0: literal) and numbers of the words of a text."""
+    def __call__(self, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, placeholder types (0: literal) and numbers of the words of a text, and which literal ones may be names."""
         at = np.arange(self.bound[doc], self.bound[doc + 1])
         kinds, keep = self.kind[at], None
         if not len(at) or (kinds == _NOTHING).all():
-            return np.empty(0, _U), np.empty(0, np.int8), at[:0]
+            return np.empty(0, _U), np.empty(0, np.int8), at[:0], np.empty(0, bool)
         opening = np.empty(len(at), bool)
         opening[0] = True
         opening[1:] = self.closes[at[:-1]]
@@ -220,7 +226,7 @@ class Canonical:
             near = _UNIT_CODES[np.minimum(np.searchsorted(_UNIT_CODES, codes), len(_UNIT_CODES) - 1)]
             types[after[near == codes]] = _PLACEHOLDERS["unit"]
         codes = np.where(types == 0, self.code[at], _TYPED[types])
-        return codes, types, at
+        return codes, types, at, (types == 0) & ((kinds == _CAPITALS) | ((kinds == _CAPITAL) & opening))
 
     def slots(self, types: np.ndarray, at: np.ndarray, start: int, size: int) -> list[str]:
         """Values of a window's placeholders, in order, with their types."""
@@ -243,7 +249,7 @@ def window_hashes(codes: np.ndarray, types: np.ndarray, size: int, min_literal:
     return ok, mix(h[ok])
 
 
-_ROWS = "id long, pos int, windows int, size int, h long, slots array<string>"
+_ROWS = "id long, row long, pos int, windows int, size int, h long, slots array<string>"
 
 
 def _windows(window: int, min_literal: int, lengths: list[int] | None, bitmap):
@@ -257,8 +263,12 @@ def _windows(window: int, min_literal: int, lengths: list[int] | None, bitmap):
             rows: list[tuple] = []
             for part in _slices(batch):
                 canonical.read([t or "" for t in part["text"]])
-                for k, i in enumerate(part["id"]):
-                    codes, types, at = canonical(k)
+                for k, (i, row) in enumerate(zip(part["id"], part["row"])):
+                    codes, types, at, loose = canonical(k)
+                    name = _PLACEHOLDERS["name"]
+                    both = [(codes, types, None)]
+                    if loose.any():
+                        both.append((np.where(loose, _TYPED[name], codes), np.where(loose, np.int8(name), types), np.concatenate([[0], np.cumsum(loose)])))
                     if len(codes) and np.count_nonzero(types == 0) < min_literal:  # such an item is only found as a text of its own
                         sizes = [-len(codes)]
                     else:
@@ -266,14 +276,22 @@ def _windows(window: int, min_literal: int, lengths: list[int] | None, bitmap):
                     for size in sizes:
                         if 0 <= size < min_literal:
                             continue
-                        start, h = window_hashes(codes, types, abs(size), min_literal if size > 0 else 0)
-                        total = len(start)
-                        if bits is not None and total:
-                            p = h & mask
-                            hit = np.flatnonzero((bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1)
-                            start, h = start[hit], h[hit]
-                        for s, x in zip(start.tolist(), h.view(np.int64).tolist()):
-                            rows.append((None if pd.isna(i) else int(i), s, total, size, x, canonical.slots(types, at, s, abs(size))))
+                        total = 0
+                        for own, kinds, before in both:
+                            if before is not None and size < 0:
+                                continue
+                            start, h = window_hashes(own, kinds, abs(size), min_literal if size > 0 else 0)
+                            if before is None:
+                                total = len(start)
+                            else:  # others stand there already
+                                new = before[start + size] > before[start]
+                                start, h = start[new], h[new]
+                            if bits is not None and len(start):
+                                p = h & mask
+                                hit = np.flatnonzero((bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1)
+                                start, h = start[hit], h[hit]
+                            for s, x in zip(start.tolist(), h.view(np.int64).tolist()):
+                                rows.append((None if pd.isna(i) else int(i), row, s, total, size, x, canonical.slots(kinds, at, s, abs(size))))
                 if len(rows) > 20_000:
                     yield _frame(rows)
                     rows = []
@@ -294,7 +312,7 @@ def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["id", "pos", "windows", "size", "h", "slots"])
+    out = pd.DataFrame(rows, columns=["id", "row", "pos", "windows", "size", "h", "slots"])
     out["id"] = out["id"].astype("Int64")
     return out
 
@@ -328,19 +346,24 @@ def contaminated(
     """One row per document and item found in it: doc_id, item_id, n_windows, item_windows, at (first token), kind."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
+    def named(df: DataFrame, id_name: str, text_name: str) -> DataFrame:
+        i, text = F.col(id_name).cast("long"), F.coalesce(F.col(text_name).cast("string"), F.lit(""))
+        return df.select(i.alias("id"), text.alias("text"), F.xxhash64(i, text).alias("row"))
+
+    items = named(benchmark, item_col, item_text_col)
     items = scratch.write(items.mapInPandas(tidy(_windows(window, min_literal, None, None)), _ROWS), "items")
     lengths = sorted(r["size"] for r in items.where("size > 0").select("size").distinct().collect())  # at most `window` values
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
-    rows = slim_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInPandas(tidy(_windows(window, min_literal, lengths, bitmap)), _ROWS)
-    d = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("dpos"), "size", "h", F.col("slots").alias("dslots"))
-    i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("windows").alias("item_windows"), "size", "h", F.col("slots").alias("islots"))
+    found = named(slim_batches(docs), id_col, text_col).mapInPandas(tidy(_windows(window, min_literal, lengths, bitmap)), _ROWS)
+    d = found.select(F.col("id").alias("doc_id"), F.col("row").alias("drow"), F.col("pos").alias("dpos"), "size", "h", F.col("slots").alias("dslots"))
+    i = items.select(F.col("id").alias("item_id"), F.col("row").alias("irow"), F.col("pos").alias("ipos"), F.col("windows").alias("item_windows"), "size", "h", F.col("slots").alias("islots"))
     aligned = (
         d.join(i, ["h", "size"])
         .withColumn("diagonal", F.col("dpos") - F.col("ipos"))
-        .groupBy("doc_id", "item_id", "diagonal", "item_windows")
+        .groupBy("drow", "irow", "diagonal", "item_windows")
         .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.first("item_id").alias("item_id"),
             F.count_distinct("ipos").alias("n_windows"),
             F.min("dpos").alias("at"),
             F.min("size").alias("size"),
@@ -353,7 +376,7 @@ def contaminated(
     )
     best = F.max(F.struct("n_windows", F.col("kind") == "verbatim", -F.col("at"), "item_windows", "at", "kind"))
     return (
-        aligned.groupBy("doc_id", "item_id")
-        .agg(best.alias("b"))
+        aligned.groupBy("drow", "irow")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), best.alias("b"))
         .select("doc_id", "item_id", "b.n_windows", "b.item_windows", "b.at", "b.kind")
     )

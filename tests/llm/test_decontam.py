@@ -122,3 +122,30 @@ def test_changed_questions_against_brute_force(spark):
     found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
     assert got == {(d, i) for d, t in docs for i, x in items if plain_matches(t, x)} and 40 < len(got) < 90
+
+
+def test_names_that_open_sentences_and_names_in_capitals(spark):
+    items = [
+        (0, "Tom has 5 red apples in a box. Tom gives 2 of them to the boy. Tom eats 1 on the way home."),
+        (1, "If IBM sells 40 machines a week to its clients, how many machines does IBM sell in 6 weeks?"),
+    ]
+    docs = [
+        (0, "Before it. Anna has 7 red apples in a box. Anna gives 3 of them to the boy. Anna eats 4 on the way home. After it."),
+        (1, "If SAP sells 30 machines a week to its clients, how many machines does SAP sell in 5 weeks?"),
+        (2, "Anna has 7 red apples in a box. Boris gives 3 of them to the boy. Clara eats 4 on the way home."),  # three for one
+        (3, items[0][1].replace("Tom", "Anna")),
+        (4, items[1][1]),
+        (5, "Red is a colour. Tom has nothing to do with it. The way home is long, and the box stands in the room."),
+    ]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in found.collect()}
+    assert got == {(0, 0): "reparameterised", (1, 1): "reparameterised", (3, 0): "reparameterised", (4, 1): "verbatim"}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b = ITEM.replace("12", "7"), ITEM.replace("12", "9").replace("Smith", "Jones")
+    for ids in ((1, 2), (1, 1), (None, None)):
+        docs = spark.createDataFrame([(ids[0], a), (ids[1], b), (ids[1], b)], "doc_id long, text string")
+        for items in ([(0, ITEM)], [(0, ITEM), (0, PLAIN)], [(None, ITEM), (None, PLAIN)]):
+            found = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+            assert [(r["doc_id"], r["item_id"], r["kind"]) for r in sorted(found, key=lambda r: r["doc_id"] or 0)] == [(i, items[0][0], "reparameterised") for i in ids]
