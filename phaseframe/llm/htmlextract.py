@@ -16,7 +16,8 @@ Scale: pages are independent rows (``mapInPandas`` without an exchange), worked
 off in small slices of a batch; a very long page is one row's memory, and depth
 of nesting costs no recursion.
 
-Text of inline elements that are hidden is left out; that of formulas and drawings stays in its block.
+Text of elements that are hidden, block or inline, is left out, as are labels of buttons and what stands in place of
+media; that of formulas and drawings stays in its block. Elements of unknown names with a hyphen count as inline.
 
 Defined results: null or empty html gives an empty text, as does a page without
 main text; a text without markup is a page of one block; repeated rows give
@@ -45,13 +46,13 @@ INLINE = frozenset(
     " strike strong sub sup time tt u var wbr picture".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math select object canvas".split())
+RAW = frozenset("script style title textarea noscript iframe template svg math select object canvas button video audio".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 #: Of RAW, those that a browser doesn't carry on to the end of a page without a closing tag.
-UNCLOSED = frozenset("svg math select object canvas".split())
+UNCLOSED = frozenset("svg math select object canvas button video audio".split())
 #: An opening tag closes open elements of these names, up to the nearest of the stops.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -154,20 +155,23 @@ class Page:
         in_link, link = False, 0
         at, n = 0, len(src)
         unseen: list = []  # of a hidden inline element: its tag, open ones of that tag, depth of the stack
+        dark = 0  # depth of the outermost hidden block element, 0 for none
 
         def flush() -> None:
             nonlocal run, link
             if run:
                 text = " ".join(_html.unescape("".join(run)).split())
-                if text:
+                if text and not dark:
                     self._add("#text", stack[-1], 0, text, min(link, len(text)))
                 run, link = [], 0
 
         def pop_to(depth: int) -> None:
-            nonlocal unseen
+            nonlocal unseen, dark
             while len(stack) > depth:
                 stack.pop()
                 counts[names.pop()] -= 1
+            if depth < dark:
+                dark = 0
             if unseen and depth < unseen[2]:  # its block has ended
                 unseen = []
 
@@ -188,7 +192,7 @@ class Page:
             end, start = m[1], m[2]
             if start:
                 tag = start.lower()
-                if tag in INLINE:
+                if tag in INLINE or "-" in tag:
                     if unseen:
                         unseen[1] += tag == unseen[0]
                     elif m[3] and tag not in VOID and _is_hidden(m[3]) and not m[3].rstrip().endswith("/"):
@@ -234,10 +238,12 @@ class Page:
                     bits |= 1 << (N_CAT)
                 stack.append(self._add(tag, stack[-1], bits))
                 names.append(tag)
+                if not dark and attrs and tag not in ("html", "body") and _is_hidden(attrs):
+                    dark = len(stack)
                 counts[tag] = counts.get(tag, 0) + 1
             elif end:
                 tag = end.lower()
-                if tag in INLINE:
+                if tag in INLINE or "-" in tag:
                     if unseen and tag == unseen[0]:
                         unseen[1] -= 1
                         unseen = unseen if unseen[1] else []

@@ -84,3 +84,39 @@ def test_unclosed_element_does_not_end_the_page(tag):
 def test_unclosed_raw_text_reaches_the_end(tag):
     page = H.Page(f"<body><p>before</p><{tag}><p>no article</p></body>")
     assert "before" in vars(page)["text"] and "no article" not in vars(page)["text"]
+
+
+INSERTS = {
+    '<div style="display:none"><p>Hidden words of the page that nobody sees at all.</p></div>': [],
+    '<p hidden>Hidden words of the page that nobody sees at all.</p>': [],
+    '<p hidden>Hidden words without an end<p>Seen again, with some words after it.</p>': ["Seen again, with some words after it."],
+    '<div style="visibility: hidden"><ul><li>One of them<li>Two of them</ul></div>': [],
+    '<section hidden=""><div><p>Deep down</p></div><p>Still hidden, all of this text here.</p></section><p>Seen again, with some words after it.</p>': ["Seen again, with some words after it."],
+    '<p>Before the button <button class="x"><b>Press</b> me</button> and after it, in one block.</p>': ["Before the button and after it, in one block."],
+    '<p>A film <video src="a.mp4"><p>Your browser has no video.</p></video> that is shown here.</p>': ["A film that is shown here."],
+    '<p>A sound <audio>No sound in your browser.</audio> that is heard in this place.</p>': ["A sound that is heard in this place."],
+    '<p>Words with <x-y data-k="1">something of its own</x-y> stay in one block of text.</p>': ["Words with something of its own stay in one block of text."],
+    '<p class="overflow-hidden">A class that only sounds like hiding, on a plain paragraph.</p>': ["A class that only sounds like hiding, on a plain paragraph."],
+    '<p data-hidden="1" title="hidden">Attributes that only sound like hiding, on a plain paragraph.</p>': ["Attributes that only sound like hiding, on a plain paragraph."],
+    '<p>Some <span style="display:none">never seen</span>words and <span hidden>not these</span>more of them here.</p>': ["Some words and more of them here."],
+    '<blockquote>Quoted words of somebody, which belong to the article.</blockquote>': ["Quoted words of somebody, which belong to the article."],
+    '<ul><li>A first point of the list in the article.</li><li>A second point of the list, too.</li></ul>': ["A first point of the list in the article.", "A second point of the list, too."],
+    '<form class="signup"><label>Mail</label><input name=a><button>Send</button></form>': [],
+    '<aside class="related"><h3>Related</h3><ul><li><a href=/x>Another one</a></li><li><a href=/y>And another</a></li></ul></aside>': [],
+    '<p>Entities &amp; spaces&nbsp;here:   &#x41;&eacute;&lt;b&gt; are read as they should be.</p>': ["Entities & spaces here: Aé<b> are read as they should be."],
+    '<!-- <p>Not even this one is shown to anybody.</p> --><p>After a comment of the page the text goes on.</p>': ["After a comment of the page the text goes on."],
+    '<p>An unclosed paragraph with several words in it<p>And one more after it, also without an end': ["An unclosed paragraph with several words in it", "And one more after it, also without an end"],
+    '<script>document.write("<p>made up</p>")</script><noscript>No script here</noscript><style>p{}</style><p>What is left is a paragraph of text.</p>': ["What is left is a paragraph of text."],
+}
+
+
+@pytest.mark.parametrize("insert", INSERTS)
+def test_pages_by_hand(model, insert):
+    around = ["A headline", "The first paragraph of the article has a number of words, and a second clause.", "The last paragraph of the article has some words as well, and ends here."]
+    source = f"<html><body><nav><a href=/>Home</a> <a href=/a>About</a></nav><article><h1>{around[0]}</h1><p>{around[1]}</p>{insert}<p>{around[2]}</p></article><footer>Copyright</footer></body></html>"
+    assert H.extract_texts([source], model)[0].split("\n\n") == [*around[:2], *INSERTS[insert], around[2]]
+
+
+def test_a_page_that_hides_its_body_at_first(model):
+    source = '<html><body style="visibility:hidden"><article><h1>A headline</h1><p>The paragraph of the article has a number of words.</p></article></body></html>'
+    assert "The paragraph of the article has a number of words." in H.extract_texts([source], model)[0]
