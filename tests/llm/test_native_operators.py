@@ -147,3 +147,10 @@ def test_registered_native_queries_match_their_sql(spark, tiny):
         got = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
         want = sorted(str(tuple(dict(zip(rel.columns, r))[c] for c in cols)) for r in rel.fetchall())
         assert got == want
+
+
+def test_url_columns_of_any_name(spark):
+    rules = urlfilter.rules_table(spark, [("block", "com", "/en/")])
+    df = spark.createDataFrame([("http://a.com/en/1", "kept", 3), (None, "null", 4)], "url string, __url string, __best int")
+    got = sorted((r["__url"], r["__best"], r["verdict"]) for r in urlfilter.judge_urls(df, rules).collect())
+    assert got == [("kept", 3, "block"), ("null", 4, "allow")]
