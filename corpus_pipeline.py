@@ -26,8 +26,12 @@ from phaseframe.llm.queries import tokenizer_path
 ROW = "__pipeline_row"
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with that column, under a name that none of theirs has."""
+    name = ROW
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))), name
 
 
 def _columns(docs: DataFrame) -> list:
@@ -50,25 +54,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that with the smallest id (null last), then text hash; of equal rows any one."""
     scratch = Scratch(spark, "near")
-    rows = _named(docs)
-    classes = minhash.near_duplicates(rows, id_col=ROW).where("class_size > 1")
-    members = classes.select(F.col("doc_id").alias(ROW), "class_id").groupBy(ROW, "class_id").agg(F.count("*").alias("rows"))
-    ids = bitmap_filter(rows.select(ROW, "doc_id"), ROW, members.select(ROW)).distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
-    members = scratch.write(members.join(ids, ROW).withColumn("place", place), "members")
+    rows, row = _named(docs)
+    classes = minhash.near_duplicates(rows, id_col=row).where("class_size > 1")
+    members = classes.select(F.col("doc_id").alias(row), "class_id").groupBy(row, "class_id").agg(F.count("*").alias("rows"))
+    ids = bitmap_filter(rows.select(row, "doc_id"), row, members.select(row)).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)
+    members = scratch.write(members.join(ids, row).withColumn("place", place), "members")
     stays = members.groupBy("class_id").agg(F.min("place").alias("stay"))
-    members = scratch.write(members.join(stays, "class_id").select(ROW, "rows", (F.col("place") == F.col("stay")).alias("stays")), "placed")
-    left = without_ids(rows, ROW, members.where("NOT stays OR rows > 1").select(ROW), scratch)
-    again = members.where("stays AND rows > 1").select(ROW)
-    again = bitmap_filter(rows, ROW, again).join(again, ROW).dropDuplicates([ROW]).select(*[F.col(f"`{c}`") for c in rows.columns])
+    members = scratch.write(members.join(stays, "class_id").select(row, "rows", (F.col("place") == F.col("stay")).alias("stays")), "placed")
+    left = without_ids(rows, row, members.where("NOT stays OR rows > 1").select(row), scratch)
+    again = members.where("stays AND rows > 1").select(row)
+    again = bitmap_filter(rows, row, again).join(again, row).dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in rows.columns])
     return left.unionByName(again).select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a benchmark item go."""
-    rows = _named(docs)
-    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
-    return without_ids(rows, ROW, found.select(F.col("doc_id").alias(ROW)), Scratch(spark, "leaks")).select(*_columns(docs))
+    rows, row = _named(docs)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return without_ids(rows, row, found.select(F.col("doc_id").alias(row)), Scratch(spark, "leaks")).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
