@@ -105,7 +105,7 @@ def called(reads: DataFrame, config: PhasingConfig) -> DataFrame:
         text, data = _text(column("seq"))
         first, size = text[:-1][read], np.diff(text)[read]
         quals = column("quals")
-        q_offsets, q_values = quals.offsets.to_numpy().astype(np.int64), quals.values.to_numpy(zero_copy_only=False)
+        q_offsets, q_values = quals.offsets.to_numpy().astype(np.int64), quals.values.to_numpy(zero_copy_only=False).astype(np.int64)
         q_first, q_size = q_offsets[:-1][read], np.where(np.asarray(quals.is_null()), 0, np.diff(q_offsets))[read]
 
         q = merge.query(read, at)
@@ -169,5 +169,5 @@ def called(reads: DataFrame, config: PhasingConfig) -> DataFrame:
                 yield one(batch)
 
     strand = (F.col("flag").bitwiseAND(16) != 0).cast("int").alias("strand")
-    src = reads.select("chrom", "read_name", F.col("read_start").cast("long").alias("read_start"), "aln", strand, "cigar", "seq", F.col("quals").cast("array<int>").alias("quals"), F.col("variants").cast(SPEC).alias("variants"))
+    src = reads.select("chrom", "read_name", F.col("read_start").cast("long").alias("read_start"), "aln", strand, "cigar", "seq", F.col("quals").cast("array<tinyint>").alias("quals"), F.col("variants").cast(SPEC).alias("variants"))
     return src.mapInArrow(run, f"chrom string, read_name string, read_start long, aln long, strand int, gap_open int, gap_extend int, calls {CALLS}")

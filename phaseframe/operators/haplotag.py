@@ -63,6 +63,11 @@ def assign_blocks(tagged: DataFrame, haps: DataFrame) -> DataFrame:
     return joined.join(numbered, ["chrom", "block_end"], "left").join(n, "chrom", "left").withColumn("block", F.coalesce("block", "__n")).drop("__n")
 
 
+def of_reads(df: DataFrame, reads: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose read is among ``reads`` (chrom, read_id), or isn't."""
+    return df.join(reads.select("chrom", "read_id"), ["chrom", "read_id"], "left_semi" if inside else "left_anti")
+
+
 def combined_tags(direct: DataFrame, methylated: DataFrame) -> DataFrame:
     """Sequence first, methylation where that is undecided or missing."""
     m = methylated.select("chrom", "read_id", F.col("hp").alias("m_hp"), F.col("last_idx").alias("m_last"))
@@ -75,6 +80,6 @@ def combined_tags(direct: DataFrame, methylated: DataFrame) -> DataFrame:
 def tagged_reads(obs: DataFrame, haps: DataFrame, assigned: DataFrame | None, config) -> DataFrame:
     """chrom, read_id, hp, last_idx of all reads seen: by sequence, else by the methylation that assigned them, else null."""
     direct = tags(read_llr(obs, haps, config.error_rate), config.llr_threshold).select("chrom", "read_id", "hp", "last_idx")
-    if assigned is not None:
-        direct = combined_tags(direct, methylation_tags(assigned, haps))
+    if assigned is not None:  # held against the phase only where sequence says nothing
+        direct = combined_tags(direct, methylation_tags(of_reads(assigned, direct.where("hp IS NOT NULL"), inside=False), haps))
     return direct.where("last_idx IS NOT NULL")

@@ -136,10 +136,11 @@ def in_parts(rows: DataFrame, run: Callable[[pd.DataFrame, dict], tuple[pd.DataF
         left = pdf["carried"].iloc[0]
         cells = np.asarray([] if left is None else left, float).reshape(-1, 5)
         out, gives = run(pdf.drop(columns=["carried"]), {int(c[0]): c[1:].reshape(2, 2) for c in cells})
-        out = out.assign(carried=None)
-        mark = pd.DataFrame({n: [None] for n in names} | {"carried": [[float(v) for p, t in sorted(gives.items()) for v in (p, *t.ravel())]]})
-        out = pd.concat([out, mark], ignore_index=True) if len(out) else mark
-        return out.assign(chrom=pdf["chrom"].iloc[0], cluster=int(pdf["cluster"].iloc[0]), part=int(pdf["part"].iloc[0]))[[*keys, "carried", *names]]
+        # one row more, for what is handed over
+        handed = [float(v) for p, t in sorted(gives.items()) for v in (p, *t.ravel())]
+        columns_ = {n: [*out[n].tolist(), None] for n in names}
+        key = {k: [pdf[k].iloc[0]] * (len(out) + 1) for k in keys}
+        return pd.DataFrame(key | {"carried": [None] * len(out) + [handed]} | columns_)
 
     def ran(df: DataFrame, name: str) -> DataFrame:
         return cut(df.groupBy(*keys).applyInPandas(group, "chrom string, cluster long, part long, carried array<double>, " + columns), name)

@@ -319,7 +319,7 @@ def _(s, d):
     """Reads that methylation has assigned."""
     obs = fx.observations(s, d)
     assigned = obs.where("read_id % 7 < 2").select("chrom", "read_id").distinct()
-    return obs.join(assigned, ["chrom", "read_id"], "left_semi").select("read_id").distinct()
+    return haplotag.of_reads(obs, assigned).select("read_id").distinct()
 
 
 _MT = """firsts AS (SELECT read_id, min(idx) AS a_idx, max(idx) AS b_idx, count(*) AS n, 1 + read_id % 2 AS hap FROM obs WHERE read_id % 3 = 0 GROUP BY read_id),

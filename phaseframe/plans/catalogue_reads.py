@@ -54,7 +54,15 @@ def _(s, d):
 
 # ------------------------------------------------------------- phasing from alignments
 
-@query("phase_from_alignments")
+#: The planted phase. No read links the variants beside two empty blocks of forty, and none covers the last block; the
+#: last variant of a phase block is on haplotype 0.
+_PLANTED = (
+    "planted AS (SELECT chrom, idx, pos, b, truth, (b + 20) // 40 + CASE WHEN b = max(b) OVER () THEN 1 ELSE 0 END AS block_id FROM bv),"
+    " ends AS (SELECT *, last_value(truth) OVER (PARTITION BY chrom, block_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_truth FROM planted)"
+)
+
+
+@query("phase_from_alignments", f"WITH {_BV}, {_PLANTED} SELECT chrom, idx, pos, block_id, CAST((truth + last_truth) % 2 AS INT) AS h0, CAST(1 - (truth + last_truth) % 2 AS INT) AS h1 FROM ends")
 def _(s, d):
     from phaseframe.plans.pipeline import phase
 

@@ -24,6 +24,7 @@ from phaseframe.sources import bam, checkpoints, sinks, text
 
 log = logging.getLogger("phaseframe")
 
+BATCH_BYTES = 64 << 20
 #: Intermediate results that can be written.
 TABLES = ("transition_matrix", "transition_matrix_meth", "read_states", "variant_read_mapping", "allele_coverage", "unphaseable_variants")
 
@@ -182,7 +183,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     start_log(args.log, args.verbose)
-    run(SparkSession.builder.appName("phaseframe").getOrCreate(), args)
+    # alignments are long rows: batches to Python are bounded by bytes
+    run(SparkSession.builder.appName("phaseframe").config("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES).getOrCreate(), args)
     return 0
 
 

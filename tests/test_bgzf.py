@@ -2,11 +2,12 @@
 
 import gzip
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from phaseframe.sources import bam, bgzf, bgzip, text
+from phaseframe.sources import bam, bgzf, bgzip, parts, text
 
 SQ = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:c1\tLN:2000000\n@SQ\tSN:c2\tLN:900000\n"
 SCHEMA = "read_name string, flag int, chrom string, read_start long, read_end long, mapq int, cigar string, seq string, quals array<int>, mm string, ml string, hp int"
@@ -152,6 +153,27 @@ def test_index_holds_every_record():
     assert index.sorted and again.stretches(1, 0, 10) == []
 
 
+def test_csi_with_finer_and_more_levels():
+    """A third kind of index, for long contigs: other bins, and the least offset in each of them."""
+    rng = random.Random(5)
+    places = []
+    bins = {}
+    for k, start in enumerate(sorted(rng.randrange(1 << 32) for _ in range(500))):
+        end = start + rng.choice([1, 5_000, 2_000_000])
+        bins.setdefault(bgzf.bin_of(start, end, 12, 7), []).append((k << 16, (k + 1) << 16))
+        places.append((start, end))
+    names = b"c1\0"
+    aux = struct.pack("<7i", 2, 1, 2, 0, ord("#"), 0, len(names)) + names
+    body = struct.pack("<i", len(bins)) + b"".join(struct.pack("<IQi", b, s[0][0], len(s)) + b"".join(struct.pack("<2Q", *x) for x in s) for b, s in bins.items())
+    again = bgzf.parse_index(parts.compressed_index(b"CSI\1" + struct.pack("<3i", 12, 7, len(aux)) + aux + struct.pack("<i", 1) + body))
+    assert again.names == ["c1"] and (again.min_shift, again.depth) == (12, 7)
+    for _ in range(200):
+        low = rng.randrange(1 << 32)
+        high = low + rng.choice([1, 100_000, 50_000_000])
+        held = again.stretches(0, low, high)
+        assert all(any(a <= k << 16 < b for a, b in held) for k, (s, e) in enumerate(places) if s < high and e > low)
+
+
 def lines(n=5000, seed=2):
     rng = random.Random(seed)
     return sorted((("c1", "c2")[rng.random() < 0.3], rng.randint(1, 3_000_000), rng.choice(["A", "ACGT", "A" * 50]), k) for k in range(n))
