@@ -4,14 +4,14 @@ Intervals are half-open and 0-based unless said otherwise. An interval is
 posted in every bin it touches; a point has one bin, so a pair of point and
 interval meets once. Two intervals may share several bins: the pair is kept in
 the bin where the later of the two starts lies, which is one of them, so no
-deduplication is needed. Bins near the usual interval length keep the posting
-factor near two; a deep spot on a chromosome is one hot bin, which ``split`` deals out by its
+deduplication is needed. Bins near the usual interval length keep both the posting
+factor and the number of pairs compared per pair found near two, see ``usual_width``; a deep spot on a chromosome is one hot bin, which ``split`` deals out by its
 depth, and else the skew join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 16_384
@@ -21,6 +21,12 @@ def _bin(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
+def usual_width(intervals: DataFrame, start: str, end: str) -> int:
+    """The mean length of the intervals, from 64 to ``BIN``: a pass over two columns. It is a matter of speed alone."""
+    mean = intervals.agg(F.avg((F.col(end) - F.col(start)).cast("double")).alias("m")).first()["m"]
+    return int(min(max(mean or BIN, 64), BIN))
+
+
 def _binned(df: DataFrame, start: str, end: str, width: int, name: str = "__bin") -> DataFrame:
     last = F.greatest(F.col(start), F.col(end) - 1)
     return df.withColumn(name, F.explode(F.sequence(_bin(F.col(start), width), _bin(last, width))))
@@ -88,21 +94,31 @@ def overlap_length(a_start: str, a_end: str, b_start: str, b_end: str) -> Column
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
 
+def _next_low(bins: DataFrame, chrom: str, stretch: int = 4096) -> DataFrame:
+    """``bins`` (chrom, __bin, __low) with ``__next``, the first ``__low`` of a later bin.
+
+    In two levels, like ``ordered.running_sum``: within a stretch of bins, then over one row per stretch. Windows run from the
+    last row to the first, as a frame that grows takes one step a row and one that shrinks is taken anew for each.
+    """
+    x = bins.withColumn("__part", F.floor(F.col("__bin") / stretch).cast("long"))
+    later = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(F.desc(keys[-1])).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = x.groupBy(chrom, "__part").agg(F.min("__low").alias("__first"))
+    beyond = beyond.withColumn("__beyond", F.last("__first", ignorenulls=True).over(later(chrom, "__part"))).drop("__first")
+    x = x.withColumn("__inside", F.last("__low", ignorenulls=True).over(later(chrom, "__part", "__bin"))).join(beyond, [chrom, "__part"])
+    return x.withColumn("__next", F.coalesce("__inside", "__beyond")).drop("__part", "__inside", "__beyond")
+
+
 def first_at_or_after(left: DataFrame, right: DataFrame, chrom: str, at: str, value: str, width: int = 64) -> DataFrame:
     """As-of join forward: ``left`` with the smallest ``value`` of right that is >= ``at``, null beyond the last.
 
     Within a bin of ``width`` the answer comes from an equi-join; else it is the
-    smallest value of the next bin that has one, known from a window over one
-    row per bin.
+    smallest value of the next bin that has one, known from windows over stretches
+    of bins, see ``_next_low``.
     """
-    from pyspark.sql import Window
-
     r = right.select(chrom, F.col(value).alias("__v"), _bin(F.col(value), width).alias("__bin")).distinct()
     x = left.withColumn("__bin", _bin(F.col(at), width))
     bins = x.select(chrom, "__bin").distinct().join(r.groupBy(chrom, "__bin").agg(F.min("__v").alias("__low")), [chrom, "__bin"], "full")
-    # one row per occupied bin
-    later = Window.partitionBy(chrom).orderBy("__bin").rowsBetween(1, Window.unboundedFollowing)
-    bins = bins.withColumn("__next", F.first("__low", ignorenulls=True).over(later)).select(chrom, "__bin", "__next")
+    bins = _next_low(bins, chrom).select(chrom, "__bin", "__next")
     own = (
         x.select(chrom, "__bin", at).distinct().join(r, [chrom, "__bin"]).where(F.col("__v") >= F.col(at))
         .groupBy(chrom, at).agg(F.min("__v").alias("__own"))

@@ -292,3 +292,20 @@ def test_plan_decodes_asymmetric_blocks(spark, monkeypatch):
     for at, n in ((0, 3), (3, 3)):
         best = max(product((0, 1), repeat=n), key=lambda h: sum(np.log(t[at + k][h[k + 1], h[k]]) for k in range(n - 1)))
         assert [got[at + k] for k in range(n)] == [(h, 1 - h) for h in best]
+
+
+def test_as_of_join_takes_each_bin_once_and_crosses_stretches(spark):
+    right = [3, 70, 4_000, 900_000, 2_000_000]
+    left = [0, 3, 4, 71, 5_000, 899_999, 900_001, 1_999_999, 2_000_000, 2_000_001]
+    da, db = spark.createDataFrame([("c", v) for v in left], "chrom string, at long"), spark.createDataFrame([("c", v) for v in right], "chrom string, v long")
+    joined = intervals.first_at_or_after(da, db, "chrom", "at", "v", width=16)
+    assert {r["at"]: r["v"] for r in joined.collect()} == {x: min((v for v in right if v >= x), default=None) for x in left}
+    # a frame that shrinks is summed up anew for each row
+    assert "unboundedfollowing" not in joined._jdf.queryExecution().toString().lower()
+
+
+def test_width_of_bins_follows_the_intervals(spark):
+    made = lambda sizes: spark.createDataFrame([(10, 10 + n) for n in sizes], "a long, b long")
+    assert intervals.usual_width(made([290, 300, 310]), "a", "b") == 300
+    assert intervals.usual_width(made([1]), "a", "b") == 64
+    assert intervals.usual_width(made([10**9]), "a", "b") == intervals.usual_width(made([]), "a", "b") == intervals.BIN
