@@ -143,11 +143,18 @@ def read_fai(path: str) -> list[tuple[str, int, int, int, int]]:
     return [(name, *map(int, numbers)) for name, *numbers in rows]
 
 
+#: Bases that a window takes into its join at once.
+STRETCH = 1_000
+
+#: Bases that are worth a task of their own, on however few cores.
+TASK_BASES = 32_000_000
+
+
 def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000, chrom: str | None = None, chunks_per_task: int = 64) -> DataFrame:
     """Sequence in chunks: chrom, chunk_no, chunk_start (0-based), seq (upper case); wanted stretches join on chunk numbers.
 
-    The index beside the file (.fai) says where bases lie, so a chunk is a range of bytes, and a task a run of chunks:
-    no contig is read as a whole. Without an index, or where it doesn't fit the file, that is an error.
+    The index beside the file (.fai) says where bases lie, so a chunk is a range of bytes, and a task a run of chunks,
+    of ``chunks_per_task`` at least: no contig is read as a whole. Without an index, or where it doesn't fit the file, that is an error.
     """
     contigs = [c for c in read_fai(path) if chrom is None or c[0] == chrom]
     if any(length < 0 or bases <= 0 or width < bases for _, length, _, bases, width in contigs):
@@ -159,6 +166,8 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000, chrom: str
     byte = lambda base: F.col("first") + F.floor(base / F.col("bases")) * F.col("width") + base % F.col("bases")
     x = x.select("chrom", "chunk_no", low.alias("chunk_start"), (high - low).alias("n"), byte(low).alias("at"), (byte(high - 1) + 1).alias("end"))
     tasks = max(1, -(-sum(-(-c[1] // chunk) for c in contigs) // chunks_per_task))
+    # a task hands on sixteen chunks at a time, so it may have more than those where all cores are busy or bases are few
+    tasks = min(tasks, max(4 * spark.sparkContext.defaultParallelism, -(-sum(c[1] for c in contigs) // TASK_BASES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = bgzf.File(path)
@@ -178,15 +187,23 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000, chrom: str
 
 
 def reference_windows(windows: DataFrame, chunks: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """``windows`` (chrom, win_start, win_end) with ``ref_seq``, joined on the chunks they touch."""
+    """``windows`` (chrom, win_start, win_end) with ``ref_seq``, joined on the stretches of the chunks that they touch.
+
+    A chunk is first cut into stretches of ``STRETCH`` bases, so that a window takes a short text and not a whole chunk into
+    the join. A base is a byte; in a string, characters would be counted from its start.
+    """
+    size = STRETCH if chunk % STRETCH == 0 else chunk
     w = windows.withColumn("__id", F.xxhash64("chrom", "win_start", "win_end"))
     touch = w.select("chrom", "win_start", "win_end", "__id").distinct().withColumn(
-        "chunk_no", F.explode(F.sequence(F.floor(F.col("win_start") / chunk).cast("int"), F.floor((F.col("win_end") - 1) / chunk).cast("int")))
+        "__at", F.explode(F.sequence(F.floor(F.col("win_start") / size), F.floor((F.col("win_end") - 1) / size)))
     )
-    part = touch.join(chunks, ["chrom", "chunk_no"])
-    low = F.greatest(F.col("win_start") - F.col("chunk_start"), F.lit(0))
-    text = F.substring("seq", (low + 1).cast("int"), (F.least(F.col("win_end") - F.col("chunk_start"), F.lit(chunk)) - low).cast("int"))
-    whole = part.groupBy("__id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", text.alias("t")))), lambda s: s["t"]), "").alias("ref_seq"))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(chunk // size - 1)), lambda k: F.substring("__bytes", (k * size + 1), F.lit(size)))
+    x = chunks.withColumn("__bytes", F.col("seq").cast("binary")).select("chrom", (F.col("chunk_no").cast("long") * (chunk // size)).alias("__first"), F.posexplode(cuts))
+    x = x.select("chrom", (F.col("__first") + F.col("pos")).alias("__at"), F.col("col").alias("__bytes"))
+    part = touch.join(x, ["chrom", "__at"])
+    low = F.greatest(F.col("win_start") - F.col("__at") * size, F.lit(0))
+    text = F.substring("__bytes", (low + 1).cast("int"), (F.least(F.col("win_end") - F.col("__at") * size, F.lit(size)) - low).cast("int")).cast("string")
+    whole = part.groupBy("__id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", text.alias("t")))), lambda s: s["t"]), "").alias("ref_seq"))
     return w.join(whole, "__id", "left").drop("__id")
 
 

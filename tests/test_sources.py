@@ -156,3 +156,16 @@ def test_a_session_without_a_shared_folder(tmp_path):
     done = subprocess.run([sys.executable, "-c", PLAIN_SESSION], env=env, capture_output=True, text=True, timeout=300)
     assert done.stdout.endswith(" done\n"), done.stderr[-2000:]
     assert not os.path.exists(done.stdout.split()[-2])
+
+
+def test_short_chunks_make_no_task_each_and_windows_cross_stretches(spark, tmp_path):
+    seq = "".join("ACGT"[(k * k // 3 + k) % 4] for k in range(60_000))
+    contigs = spark.createDataFrame([("c", seq)], "chrom string, seq string")
+    path = sinks.write_fasta(contigs, f"{tmp_path}/r.fa")
+    chunks = text.read_fasta(spark, path, 50, chunks_per_task=4)
+    assert chunks.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 1200 // 4
+    places = [(0, 20), (40, 160), (999, 1001), (1999, 4002), (59_990, 60_050), (60_000, 60_010)]
+    w = spark.createDataFrame([("c", a, b) for a, b in places], "chrom string, win_start long, win_end long")
+    for size in (50, 2_000, 100_000):
+        got = {(r["win_start"], r["win_end"]): r["ref_seq"] for r in text.reference_windows(w, text.read_fasta(spark, path, size), size).collect()}
+        assert all((got[p] or "") == seq[p[0] : p[1]] for p in places)
