@@ -72,6 +72,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the orders, dealt out over all cores: a small file is one split, and an order becomes a read of hundreds of bases."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey")
+
+
 def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _sql(spark, RAW_VARIANTS, part=_table(spark, sf_dir, "part"))
     alts = F.when(F.col("alt2").isNull(), F.array("alt1")).otherwise(F.array("alt1", "alt2"))
@@ -84,7 +90,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _sql(spark, SITES, part=_table(spark, sf_dir, "part")).agg(F.max("pos")).first()[0]
-    return _sql(spark, READS, orders=_table(spark, sf_dir, "orders"), max_pos=top or 1)
+    return _sql(spark, READS, orders=_orders(spark, sf_dir), max_pos=top or 1)
 
 
 def observations(spark: SparkSession, sf_dir: str, min_mapq: int = 20) -> DataFrame:
@@ -184,7 +190,10 @@ def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments as the readers give them, with what they were made from and ``calls`` of modified bases."""
-    x = _sql(spark, BLOCK_READS, orders=_table(spark, sf_dir, "orders"))
+    return _with_quals(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir)))
+
+
+def _with_quals(x: DataFrame) -> DataFrame:
     return x.withColumn("quals", F.array_repeat("qual", F.length("seq"))).withColumn("is_forward", F.col("flag").bitwiseAND(16) == 0)
 
 
@@ -214,7 +223,8 @@ def block_modified_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``block_reads`` with ``calls``: map from query index to probability at the methylated offsets, missing in one block of 17."""
     from phaseframe.operators import cigar
 
-    x = cigar.with_offsets(block_reads(spark, sf_dir))
+    # qualities are made behind the exchange with Python, which takes every column
+    x = _with_quals(cigar.with_offsets(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir))))
 
     def call(k: int, n: int):
         b = F.col(f"b{k}")
@@ -223,4 +233,4 @@ def block_modified_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(q.alias("q"), F.when((F.col("ok") + b) % 17 != 0, p).alias("p"))
 
     every = F.array(*[call(k, n) for k in range(3) for n in range(len(METHYLATED))])
-    return x.withColumn("calls", F.map_from_entries(F.filter(every, lambda c: c["p"].isNotNull() & c["q"].isNotNull()))).drop("offs")
+    return x.withColumn("calls", F.map_from_entries(F.filter(every, lambda c: c["p"].isNotNull() & c["q"].isNotNull()))).drop("offs").select(*block_reads(spark, sf_dir).columns, "calls")

@@ -235,8 +235,9 @@ _CALLS = (
 @query("read_methylation", f"WITH {_BR}, {_CALLS} SELECT * FROM sited")
 def _(s, d):
     """Probabilities of modification of reads at the sites they cover."""
-    reads = cigar.with_offsets(vr.alignment_filter(fx.block_modified_reads(s, d), 20))
-    x = intervals.points_in_intervals(fx.block_methylation_sites(s, d).select("chrom", "site_start"), reads.select("chrom", "read_name", "read_start", "read_end", "offs", "calls"), "chrom", "site_start", "read_start", "read_end")
+    reads = cigar.with_offsets(vr.alignment_filter(fx.block_modified_reads(s, d), 20).select("chrom", "read_name", "read_start", "read_end", "cigar", "calls"))
+    width = intervals.usual_width(vr.alignment_filter(fx.block_reads(s, d), 20), "read_start", "read_end")
+    x = intervals.points_in_intervals(fx.block_methylation_sites(s, d).select("chrom", "site_start"), reads.drop("cigar"), "chrom", "site_start", "read_start", "read_end", width)
     p = cigar.methylation_probability(F.col("offs"), (F.col("site_start") - F.col("read_start")).cast("int"), F.col("calls"))
     return x.select("read_name", "chrom", F.col("site_start").alias("site"), p.alias("p")).where("p >= 0")
 
