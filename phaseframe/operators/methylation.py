@@ -113,11 +113,11 @@ def assign_reads_in_region(p: np.ndarray, hap: np.ndarray, max_rounds: int = 100
         differ = np.flatnonzero(meth[0] != meth[1])
         if log is not None:
             log.append((differ, hap.copy()))
-        score = []
+        score, at = [], np.ix_(free, differ)
         for h in (0, 1):
             m, u = sums[h]
-            side = np.where(meth[h], lp + m, lq + u)
-            score.append((side * known)[np.ix_(free, differ)].sum(axis=1))
+            side = np.where(meth[h][differ], lp[at] + m[differ], lq[at] + u[differ])
+            score.append((side * known[at]).sum(axis=1))
         new = np.where((score[0] > score[1]) & (score[0] > LOG_HALF), 0, np.where((score[1] > score[0]) & (score[1] > LOG_HALF), 1, -1))
         if (new == -1).all():
             break

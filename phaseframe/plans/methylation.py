@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from phaseframe.config import PhasingConfig
 from phaseframe.operators import cigar, inference, ordered, transitions
 from phaseframe.operators import methylation as meth
-from phaseframe.operators.intervals import overlaps, points_in_intervals
+from phaseframe.operators.intervals import overlaps, points_in_intervals, usual_width
 from phaseframe.sources.checkpoints import cut
 
 _RESULT = (
@@ -88,6 +88,39 @@ def site_probabilities(read: tuple, sites: np.ndarray) -> np.ndarray:
     return out
 
 
+def region_probabilities(reads: pd.DataFrame, at: np.ndarray) -> np.ndarray:
+    """``site_probabilities`` of many reads at sites in order, reads x sites: operations, calls and pairs of read and site lie
+    one behind another, keyed by read, and are placed by a search of sorted keys."""
+    out = np.full((len(reads), len(at)), np.nan)
+    start, end = (reads[c].to_numpy(np.int64) for c in ("read_start", "read_end"))
+    low, high = np.searchsorted(at, start, side="left"), np.searchsorted(at, end, side="right")
+    n = np.maximum(high - low, 0)
+    if not n.sum():
+        return out
+    read = np.repeat(np.arange(len(reads)), n)
+    site = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    off = at[site] - start[read]
+    owner, op, size, q, r = cigar.flat_operations(reads["cigar"].tolist())
+    aligned = np.isin(op, ["M", "=", "X"])
+    owner, size, q, r = owner[aligned], size[aligned], q[aligned], r[aligned]
+    sizes = [0 if c is None else len(c) for c in reads["call_at"]]
+    if not len(owner) or not sum(sizes):
+        return out
+    width = int(max(off.max(), r.max())) + 1
+    k = np.searchsorted(owner * width + r, read * width + off, side="right") - 1
+    on = np.maximum(k, 0)
+    hit = (k >= 0) & (owner[on] == read) & (off < r[on] + size[on])
+    read, site, query = read[hit], site[hit], (q[on] + off - r[on])[hit]
+    whole = lambda c, kind: np.concatenate([np.asarray(v, kind) for v in reads[c] if v is not None])
+    calls, p = whole("call_at", np.int64), whole("call_p", float)
+    width = int(max(query.max(initial=0), calls.max())) + 1
+    keys, wanted = np.repeat(np.arange(len(reads)), sizes) * width + calls, read * width + query
+    near = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[near] == wanted
+    out[read[hit], site[hit]] = p[near[hit]]
+    return out
+
+
 #: Reads times sites that a region may have to be worked on as one matrix.
 MATRIX_CELLS = 20_000_000
 
@@ -129,7 +162,7 @@ def _hap_transition(f_a: float, f_b: float) -> np.ndarray:
     return inference.mirror(t, True)
 
 
-def region_result(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_allele_count: int) -> list[dict]:
+def region_table(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_allele_count: int) -> pd.DataFrame:
     """Assignments, differing sites and new transitions of one region.
 
     reads: read_id, read_start, read_end, cigar, call_at, call_p, layers, states. sites: site_start, site_end,
@@ -142,38 +175,44 @@ def region_result(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min
             states[k, np.asarray(layers, int)] = np.asarray(own, int)
     both = _pattern_of(states[:, :2])
     if both is None:
-        return []
+        return pd.DataFrame(columns=_NAMES)
     at = sites["site_start"].to_numpy(np.int64)
-    p = np.array([site_probabilities((s, e, c, np.asarray(q, np.int64), np.asarray(v, float)), at) for s, e, c, q, v in zip(reads["read_start"], reads["read_end"], reads["cigar"], reads["call_at"], reads["call_p"])]).reshape(len(reads), len(at))
+    p = region_probabilities(reads, at)
     hap = np.where((states[:, :2] == -1).all(axis=1), -1, -2)
     for h in (1, 0):  # a read that fits both counts for the first
         hap[_fits(states, both[h])] = h
     log: list = []
     hap = meth.assign_reads_in_region(p, hap, log=log)
-    out: list[dict] = []
-    for name, h in zip(reads["read_id"], hap.tolist()):
-        if h >= 0:
-            out.append({"kind": "assign", "read_id": name, "hap": h + 1, "a_idx": idxs[0], "a_state": int(both[h][0]), "b_idx": idxs[1], "b_state": int(both[h][1])})
+    done = hap >= 0
+    own = np.where(hap == 1, 1, 0)[done]
+    out = [{"kind": "assign", "read_id": reads["read_id"].to_numpy()[done], "hap": hap[done] + 1, "a_idx": idxs[0], "a_state": np.array(both)[own, 0], "b_idx": idxs[1], "b_state": np.array(both)[own, 1]}]
+    covered, modified = ~np.isnan(p), np.nan_to_num(p) > 0.5
+    site_end = sites["site_end"].to_numpy(np.int64)
     for differ, before in log:
+        place = {"kind": "site", "site_start": at[differ], "site_end": site_end[differ]}
         for h in (0, 1):
-            own = p[before == h][:, differ]
-            cover, mod = (~np.isnan(own)).sum(axis=0), (np.nan_to_num(own) > 0.5).sum(axis=0)
-            for k, c, m in zip(differ.tolist(), cover.tolist(), mod.tolist()):
-                out.append({"kind": "site", "hap": h + 1, "site_start": int(at[k]), "site_end": int(sites["site_end"].iloc[k]), "coverage": c, "mod_count": m, "ratio": 100.0 * m / c if c else None})
-        for k in differ.tolist():
-            row = sites.iloc[k]
-            out.append({"kind": "site", "hap": 0, "site_start": int(at[k]), "site_end": int(row["site_end"]), "coverage": int(row["coverage"]), "mod_count": None if pd.isna(row["mod_count"]) else int(row["mod_count"]), "ratio": float(row["ratio"])})
+            cover, mod = (x[before == h].sum(axis=0)[differ] for x in (covered, modified))
+            ratio = np.where(cover > 0, 100.0 * mod / np.maximum(cover, 1), np.nan)
+            out.append(place | {"hap": h + 1, "coverage": cover, "mod_count": mod, "ratio": ratio})
+        out.append(place | {"hap": 0} | {c: sites[c].to_numpy()[differ] for c in ("coverage", "mod_count", "ratio")})
     known = np.where(states == -1, np.nan, states)
     cover = [(~np.isnan(known[hap == h])).sum(axis=0) for h in (0, 1)]
     share = [np.nansum(known[hap == h], axis=0) / np.maximum(cover[h], 1) for h in (0, 1)]
+    steps_ = []
     for i in range(2, n - 2):
         ends = [cover[h][i : i + 2] for h in (0, 1)]
         if min(e.min() for e in ends) < max(min_allele_count, 1):
             continue
         w = [e.mean() for e in ends]
         t = sum(_hap_transition(share[h][i], share[h][i + 1]) * w[h] for h in (0, 1)) / (sum(w) + 1e-100)
-        out.append({"kind": "step", "idx": idxs[i], **dict(zip(("t00", "t01", "t10", "t11"), map(float, t.ravel())))})
-    return out
+        steps_.append({"kind": "step", "idx": idxs[i], **dict(zip(("t00", "t01", "t10", "t11"), map(float, t.ravel())))})
+    tables = [pd.DataFrame(x) for x in [*out, steps_] if len(x)]
+    return pd.concat([x for x in tables if len(x)] or [pd.DataFrame(columns=_NAMES)], ignore_index=True).reindex(columns=_NAMES)
+
+
+def region_result(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_allele_count: int) -> list[dict]:
+    """The rows of ``region_table``."""
+    return region_table(reads, sites, idxs, min_allele_count).to_dict("records")
 
 
 def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame, alignments: DataFrame, sites: DataFrame, config: PhasingConfig, variants: DataFrame | None = None) -> DataFrame:
@@ -206,12 +245,12 @@ def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame,
     least = config.min_allele_count
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
+        out = pd.DataFrame(columns=_NAMES)
         if len(left):
             left = left.sort_values(["read_id", "read_start"], kind="stable").reset_index(drop=True)
             right = right.sort_values("site_start", kind="stable").reset_index(drop=True)
-            rows = region_result(left, right, [int(i) for i in left["idxs"].iloc[0]], least)
-        out = pd.DataFrame(rows, columns=_NAMES).assign(chrom=key[0], region_id=key[1])
+            out = region_table(left, right, [int(i) for i in left["idxs"].iloc[0]], least)
+        out = out.assign(chrom=key[0], region_id=key[1])
         whole = ["region_id", "hap", "a_idx", "a_state", "b_idx", "b_state", "idx", "site_start", "site_end", "coverage", "mod_count"]
         return out.astype({c: "Int64" for c in whole} | {c: "float64" for c in ("t00", "t01", "t10", "t11", "ratio")})
 
@@ -234,7 +273,7 @@ def _probabilities(reads: DataFrame, own: DataFrame) -> DataFrame:
     """chrom, region_id, rid, site_start, p: what reads say about the sites they cover."""
     place = lambda df: df.withColumn("key", F.concat_ws(":", "chrom", F.col("region_id").cast("string")))
     spans = place(reads).select("key", "rid", "read_start", (F.col("read_end") + 1).alias("read_end"))
-    on = points_in_intervals(place(own).select("key", "site_start"), spans, "key", "site_start", "read_start", "read_end", split=["rid"])
+    on = points_in_intervals(place(own).select("key", "site_start"), spans, "key", "site_start", "read_start", "read_end", usual_width(spans, "read_start", "read_end"), split=["rid"])
     on = on.groupBy("rid").agg(F.sort_array(F.collect_list("site_start")).alias("sites"))  # of one read
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
