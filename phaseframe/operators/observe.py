@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.config import PhasingConfig
 from phaseframe.operators import calls, realign
-from phaseframe.operators.intervals import points_in_intervals
+from phaseframe.operators.intervals import points_in_intervals, usual_width
 from phaseframe.operators.variants import alignment_filter, is_homopolymer
 from phaseframe.sources.checkpoints import cut
 from phaseframe.sources.text import reference_windows
@@ -38,7 +38,9 @@ def variant_windows(variants: DataFrame, chunks: DataFrame, config: PhasingConfi
 
 def _pairs(windows: DataFrame, reads: DataFrame) -> DataFrame:
     """aln with the variants that the alignment covers, in order, each by what a call needs of it."""
-    found = points_in_intervals(calls.spec(windows), reads.select("chrom", "aln", "read_start", "read_end"), "chrom", "at", "read_start", "read_end", split=["aln"])
+    spans = reads.select("chrom", "aln", "read_start", "read_end")
+    width = usual_width(spans, "read_start", "read_end")
+    found = points_in_intervals(calls.spec(windows), spans, "chrom", "at", "read_start", "read_end", width, split=["aln"])
     return found.groupBy("aln").agg(F.sort_array(F.collect_list("spec")).alias("variants"))
 
 
