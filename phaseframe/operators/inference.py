@@ -142,8 +142,12 @@ def in_parts(rows: DataFrame, run: Callable[[pd.DataFrame, dict], tuple[pd.DataF
         key = {k: [pdf[k].iloc[0]] * (len(out) + 1) for k in keys}
         return pd.DataFrame(key | {"carried": [None] * len(out) + [handed]} | columns_)
 
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def ran(df: DataFrame, name: str) -> DataFrame:
-        return cut(df.groupBy(*keys).applyInPandas(group, "chrom string, cluster long, part long, carried array<double>, " + columns), name)
+        # by number: parts are small in bytes and long in work, so they would be put together in a task
+        return cut(df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(group, "chrom string, cluster long, part long, carried array<double>, " + columns), name)
 
     none = F.lit(None).cast("array<double>")
     rows = rows.withColumn("cluster", F.col("cluster").cast("long"))

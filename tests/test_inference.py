@@ -222,3 +222,14 @@ def test_blocks_are_joined_as_in_sequence(spark, seed):
         assert got.keys() == want.keys() and len(got) > 40
         for k, t in got.items():
             assert (t is None) == (want[k] is None) and (t is None or np.allclose(t.reshape(2, 2), want[k] / want[k].sum(axis=1, keepdims=True), rtol=1e-12)), k
+
+
+def test_parts_are_dealt_out_by_number(spark, monkeypatch):
+    seen = []
+    write = inference.cut
+    monkeypatch.setattr(inference, "cut", lambda df, name: (seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())), write(df, name))[1])
+    rows = spark.createDataFrame([("c", k, 0, k) for k in range(40)], "chrom string, cluster long, part long, v long")
+    out = inference.in_parts(rows, lambda pdf, given: (pdf[["v"]], {}), "v long")
+    assert sorted(r["v"] for r in out.collect()) == list(range(40))
+    # few bytes: without a number of its own the exchange would be read by one task
+    assert all("RepartitionByExpression" in plan for name, plan in seen if name == "parts")
