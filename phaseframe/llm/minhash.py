@@ -215,6 +215,41 @@ def sign_documents(
     return src.mapInPandas(tidy(_signer(words, bands, rows, weighted)), schema)
 
 
+def pairs_by_difference(posts: DataFrame, elements: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): candidates for all links between different components among the nodes of a head.
+
+    posts: head, its component ``most``, node, comp. elements: node and its elements. With D the elements that a node has and its head
+    hasn't, or the other way round, two nodes differ in |Dx| + |Dy| - 2 |Dx & Dy| elements, and they link if that is at most
+    (1 - similarity) / (1 + similarity) of their sizes' sum. If x doesn't link with the head, Dx is so large that
+    x and y have to share differences, which gives the least number c of those: then one of the |D| - c + 1 rarest of
+    each is common to both. Copies that were changed in places of their own share none, however many they are.
+    Nodes that link with the head are paired with it alone: among them there are no two components left.
+    """
+    t = (1 - similarity) / (1 + similarity) + 1e-9
+    own = elements.select("node", F.array_distinct("elements").alias("elements"))
+    both = posts.select("head", "most", "node", "comp").distinct().where("node <> head").join(own, "node")
+    both = both.join(own.select(F.col("node").alias("head"), F.col("elements").alias("other")), "head")
+    diff = F.concat(F.array_except("elements", "other"), F.array_except("other", "elements"))
+    both = both.select("head", "most", "node", "comp", F.size("elements").alias("n"), F.size("other").alias("m"), diff.alias("diff"))
+    both = both.withColumn("d", F.size("diff")).withColumn("over", F.col("d") - t * (F.col("n") + F.col("m")))
+    both = scratch.write(both.drop("m"), "differences")
+    single = both.select("head", "node", "comp", "n", "d", "over", F.explode("diff").alias("e"))
+    shared = single.groupBy("head", "e").agg(F.count("*").alias("many")).where("many > 1")
+    ranked = single.join(shared, ["head", "e"]).groupBy("head", "node", "comp", "n", "d", "over").agg(F.sort_array(F.collect_list(F.struct("many", "e"))).alias("own"))
+    # differences that a node has alone come first and meet nothing
+    ranked = ranked.select("head", "node", "comp", "n", "d", "over", F.size("own").alias("met"), F.posexplode("own").alias("at", "x"))
+    ranked = ranked.select("head", "node", "comp", "n", "d", "over", (F.col("d") - F.col("met") + F.col("at")).alias("at"), F.col("x.e").alias("e"))
+    least = lambda c: F.greatest(F.lit(1), F.ceil(c / 2))
+    ranked = scratch.write(ranked.where(F.col("at") <= F.col("d") - least(F.greatest("over", F.lit(0.0)))), "ranked")
+    x, y = ranked.where("over > 0").alias("x"), ranked.alias("y")
+    c = least(F.col("x.d") + F.col("y.d") - t * (F.col("x.n") + F.col("y.n")))
+    found = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.e") == F.col("y.e")))
+    found = found.where("x.comp <> y.comp AND (y.over <= 0 OR x.node < y.node)").where((F.col("x.at") <= F.col("x.d") - c) & (F.col("y.at") <= F.col("y.d") - c))
+    found = found.where(F.least("x.n", "y.n") >= F.lit(similarity - 1e-12) * F.greatest("x.n", "y.n"))
+    direct = both.where("over <= 0 AND comp <> most").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return direct.union(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -288,9 +323,17 @@ def near_duplicates(
         before = lambda z: F.slice(z("bands"), F.lit(1), z("band"))
         return F.exists(F.zip_with(before(x), before(y), lambda p, q: p == q), lambda same: same)
 
+    def differing(posts_: DataFrame) -> DataFrame:
+        pairs = posts_.select(F.col("head").alias("a"), F.col("node").alias("b"))
+        own = of_pairs(whole, pairs, ["elements", "counts"], "members")
+        if weighted:  # the i-th of an element is an element
+            every = F.transform(F.arrays_zip("elements", "counts"), lambda z: F.transform(F.sequence(F.lit(1), z["counts"]), lambda i: F.xxhash64(z["elements"], i)))
+            own = own.select("node", F.flatten(every).alias("elements"))
+        return pairs_by_difference(posts_, own.select("node", "elements"), similarity, scratch)
+
     first = F.col("band") < max(1, bands // 5)
     details = whole.select("node", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(longs)])
-    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (details, agree, met), keys=sets.select(F.col("bands").alias("key")))
+    roots = link_buckets(posts, sizes_fit, verify, scratch, first, (details, agree, met), keys=sets.select(F.col("bands").alias("key")), differing=differing)
     placed = (
         signed.select("doc_id", "node")
         .join(roots, "node", "left")
