@@ -190,10 +190,10 @@ def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments as the readers give them, with what they were made from and ``calls`` of modified bases."""
-    return _with_quals(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir)))
+    return with_quals(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir)))
 
 
-def _with_quals(x: DataFrame) -> DataFrame:
+def with_quals(x: DataFrame) -> DataFrame:
     return x.withColumn("quals", F.array_repeat("qual", F.length("seq"))).withColumn("is_forward", F.col("flag").bitwiseAND(16) == 0)
 
 
@@ -224,7 +224,7 @@ def block_modified_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaseframe.operators import cigar
 
     # qualities are made behind the exchange with Python, which takes every column
-    x = _with_quals(cigar.with_offsets(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir))))
+    x = with_quals(cigar.with_offsets(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir))))
 
     def call(k: int, n: int):
         b = F.col(f"b{k}")

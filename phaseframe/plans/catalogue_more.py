@@ -98,7 +98,8 @@ def _bam(s, d, single: bool, hp=None) -> str:
     """The reads of the sequence fixture as BAM: one file with its index, or a folder of files."""
     bam.register(s)
     path = f"{_folder(s, 'bam')}.bam"
-    x = bam.coordinate_order(fx.block_reads(s, d), bam.header_of_text(_BLOCK_SQ))
+    # qualities are made behind the exchange, as in fx.block_modified_reads
+    x = fx.with_quals(bam.coordinate_order(fx.block_reads(s, d).drop("quals", "is_forward"), bam.header_of_text(_BLOCK_SQ)))
     columns = ["read_name", "flag", "chrom", "read_start", "mapq", "cigar", "seq", "quals"] + ([hp.alias("hp")] if hp is not None else [])
     x.select(*columns).write.format("bam").option("header", _BLOCK_SQ).option("single", single).mode("overwrite").save(path)
     return path

@@ -31,6 +31,8 @@ SCHEMA = (
     "read_name string, flag int, chrom string, read_start long, read_end long, mapq int, cigar string, seq string,"
     " quals array<int>, is_forward boolean, mm string, ml string"
 )
+#: Place of ``quals`` in it.
+QUALS = 8
 SPLIT_BYTES = 64 << 20
 BATCH_RECORDS = 1_000
 #: Fixed values of the format: letters of bases and operations, and the sizes of numbers by type letter.
@@ -130,6 +132,12 @@ def _span(raw: bytes) -> int:
 
 def decode(raw: bytes, names: list[str]) -> tuple:
     """A record, without its size, as the columns of ``SCHEMA``."""
+    row = _decoded(raw, names)
+    return (*row[:QUALS], None if row[QUALS] is None else row[QUALS].tolist(), *row[QUALS + 1 :])
+
+
+def _decoded(raw: bytes, names: list[str]) -> tuple:
+    """The same with the qualities as an array of bytes."""
     ref, pos, name_len, mapq, _, n_ops, flag, length = struct.unpack_from("<iiBBHHHi", raw)
     at = 32 + name_len
     ops = [(x >> 4, _OPS[x & 15]) for x in struct.unpack_from(f"<{n_ops}I", raw, at)]
@@ -140,10 +148,30 @@ def decode(raw: bytes, names: list[str]) -> tuple:
     span = sum(n for n, o in ops if o in "MDN=X")
     return (
         raw[32 : 31 + name_len].decode(), flag, names[ref] if ref >= 0 else None, pos, pos + span, mapq, "".join(f"{n}{o}" for n, o in ops) or "*", seq,
-        None if not length or quals[0] == 255 else quals.tolist(), not flag & 16, *_modifications(raw, at + length),
+        None if not length or quals[0] == 255 else quals, not flag & 16, *_modifications(raw, at + length),
     )
 
 
+def _list_array(quals: tuple[np.ndarray | None, ...]) -> pa.Array:
+    """Arrays of bytes as a column of lists, without an object for each number."""
+    sizes = np.fromiter((0 if q is None else len(q) for q in quals), np.int64, len(quals))
+    there = [q for q in quals if q is not None]
+    values = np.concatenate(there).astype(np.int32) if there else np.empty(0, np.int32)
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values), mask=pa.array([q is None for q in quals]))
+
+
+def _byte_arrays(column: pa.Array) -> list[np.ndarray | None]:
+    """A column of lists of numbers up to 255 as arrays of bytes."""
+    offsets, first = column.offsets.to_numpy(), column.offsets[0].as_py()
+    values = column.values.slice(first, int(offsets[-1]) - first)
+    # as numpy does for lists: no number is wrapped, no null becomes one
+    values = values.cast(pa.uint8()).to_numpy(zero_copy_only=False) if not values.null_count else None
+    if values is None:
+        raise TypeError("a quality is null")
+    return [values[a:b] if there else None for a, b, there in zip(offsets[:-1] - first, offsets[1:] - first, column.is_valid().to_pylist())]
+
+
 def encode(row: dict, numbers: dict[str, int]) -> bytes:
     """A record, without its size, of decoded columns; mates are unknown."""
     name = (row["read_name"] or "*").encode() + b"\0"
@@ -307,10 +335,11 @@ class _Reader(DataSourceReader):
         held: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            columns = [_list_array(c) if k == QUALS else pa.array(c, f.type) for k, (c, f) in enumerate(zip(zip(*held), schema))]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for raw in self.records(partition, header):
-            held.append((*decode(raw, header.names), *(_numbers(raw, self.tags) if self.tags else ()), *((raw,) if self.raw else ())))
+            held.append((*_decoded(raw, header.names), *(_numbers(raw, self.tags) if self.tags else ()), *((raw,) if self.raw else ())))
             if len(held) == BATCH_RECORDS:
                 yield batch()
                 held = []
@@ -325,7 +354,8 @@ def _codec(header: Header) -> parts.Codec:
     numbers = {n: k for k, n in enumerate(header.names)}
 
     def records(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
-        columns = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)}
+        used = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if "record" not in batch.schema.names or n in ("record", "hp")]
+        columns = {n: _byte_arrays(c) if n == "quals" and pa.types.is_list(c.type) else c.to_pylist() for n, c in used}
         tagged = columns.get("hp")
         for k in range(len(batch)):
             raw = columns["record"][k] if "record" in columns else encode({n: c[k] for n, c in columns.items()}, numbers)
