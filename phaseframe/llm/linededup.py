@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import Scratch, bit_array, bitmap_filter, link_buckets, once_per_key, slim_batches, split_by_ids, tidy
+from phaseframe.llm.common import KeyMap, Scratch, bitmap_filter, link_buckets, narrow_batches, once_per_key, slim_batches, split_by_ids, tidy
 
 SIMILARITY = 0.9
 SHORT = 54
@@ -343,16 +343,14 @@ def _with_keys(similarity: float):
     return run
 
 
-def _posts(bitmap):
-    """Posts whose key may be in the bitmap."""
+def _posts(shared):
+    """Posts whose key is in the broadcast map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = bitmap.value
         for batch in batches:
             keys = batch.column("keys")
             key = keys.flatten().to_numpy(zero_copy_only=False)
-            slot = key & (len(full) * 8 - 1)
-            hit = np.flatnonzero((full[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(shared.value.has(key))
             line, key = np.repeat(np.arange(len(batch)), np.diff(keys.offsets.to_numpy()))[hit], key[hit]
             node, length, bits, maps = (batch.column(c).to_numpy(zero_copy_only=False)[line] for c in ("node", "length", "bits", "map"))
             arrays = (key, node, length, np.where(key & 1, maps, bits))
@@ -409,9 +407,11 @@ def dedup_lines(
         """node, length and norm of the nodes."""
         return scratch.write(bitmap_filter(texts, "node", nodes).join(nodes, "node").dropDuplicates(["node"]), name)
 
-    def narrowed(keys: DataFrame) -> DataFrame:
-        bitmap = docs.sparkSession.sparkContext.broadcast(bit_array(keys, "key"))
-        return keyed.mapInArrow(tidy(_posts(bitmap)), "key long, node long, length int, bits long")
+    def narrowed() -> DataFrame:
+        with narrow_batches(docs.sparkSession):
+            shared = KeyMap(keyed.select(F.col("keys").alias("key")), keyed.agg(F.sum(F.size("keys"))).first()[0] or 0)
+        shared = docs.sparkSession.sparkContext.broadcast(shared)
+        return keyed.mapInArrow(tidy(_posts(shared)), "key long, node long, length int, bits long")
 
     def described(some: DataFrame) -> DataFrame:
         of_node = scratch.write(some.groupBy("node").agg(F.collect_list(F.struct("key", "bits")).alias("posts")), "of_node")
@@ -451,7 +451,6 @@ def dedup_lines(
 
     early = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit(7)) < EARLY
     attrs = ["node", "length", "bits"]
-    keys = keyed.select(F.col("keys").alias("key"))
 
     def met(x, y) -> Column:
         """Whether two lines share the key of an earlier band; pieces of short lines have no order."""
@@ -459,7 +458,7 @@ def dedup_lines(
         return F.exists(F.zip_with(before(x), before(y), lambda p, q: p == q), lambda same: same)
 
     more = (described, near, [*attrs, "sim", "at", "band", "bands"], met)
-    roots = link_buckets(None, alike_in_short, verify, scratch, early, attrs=attrs, narrowed=narrowed, described=more, keys=keys)
+    roots = link_buckets(None, alike_in_short, verify, scratch, early, attrs=attrs, narrowed=narrowed, described=more, apart=True)
     # the first occurrence of each group stays, for groups of two occurrences and more
     grouped = lines.select("node", "key", "at", "line").join(roots, "node", "left")
     grouped = grouped.select(F.coalesce("root", "node").alias("root"), "key", F.struct("at", "key", "line").alias("place"))
