@@ -166,17 +166,65 @@ _FLAGS = ", ".join(
     f" CASE WHEN (ok * 3 + first_block + {k}) % 31 = 0 THEN 1 ELSE 0 END AS n{k}, CASE WHEN (ok + first_block + {k}) % 13 = 0 AND (first_block + {k}) % 5 = 2 THEN 1 ELSE 0 END AS w{k}"
     for k in range(3)
 )
-BLOCK_READS = (
+_READ_COLUMNS = (
     "SELECT chrom, ok, concat('r', CAST(ok AS STRING)) AS read_name, hap, flag, mapq, 100 * b0 + 10 AS read_start, 100 * b0 + 300 AS read_end,\n"
-    "  b0, b1, b2, c0, c1, c2, n0, n1, n2, w0, w1, w2, clip, CASE WHEN ok % 29 = 0 THEN 0 ELSE 30 END AS qual,\n"
-    "  concat(CASE WHEN clip > 0 THEN concat(CAST(clip AS STRING), 'S') ELSE '' END, " + ", ".join(p[1] for p in _PIECES) + ") AS cigar,\n"
-    "  concat(substring('AAAA', 1, clip), " + ", ".join(p[0] for p in _PIECES) + ") AS seq\n"
-    "FROM (SELECT *, " + _FLAGS + " FROM (\n"
+    "  b0, b1, b2, c0, c1, c2, n0, n1, n2, w0, w1, w2, clip, CASE WHEN ok % 29 = 0 THEN 0 ELSE 30 END AS qual"
+)
+_READ_TEXTS = (
+    ",\n  concat(CASE WHEN clip > 0 THEN concat(CAST(clip AS STRING), 'S') ELSE '' END, " + ", ".join(p[1] for p in _PIECES) + ") AS cigar,\n"
+    "  concat(substring('AAAA', 1, clip), " + ", ".join(p[0] for p in _PIECES) + ") AS seq"
+)
+_READ_FACTS = (
+    "\nFROM (SELECT *, " + _FLAGS + " FROM (\n"
     "  SELECT o_orderkey AS ok, CASE WHEN o_orderkey % 3 = 0 THEN 'chr2' ELSE 'chr1' END AS chrom, (o_orderkey * 7919 + o_custkey * 104729) % (" + N_BLOCKS + " - 3) AS first_block,\n"
     "    CAST((o_orderkey // 4) % 2 AS INT) AS hap, CAST(o_custkey % 4 AS INT) AS clip, CAST((o_orderkey * 17 + o_custkey) % 61 AS INT) AS mapq,\n"
     "    CAST(16 * ((o_orderkey // 2) % 2) + CASE WHEN o_orderkey % 50 = 0 THEN 256 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 2048 ELSE 0 END AS INT) AS flag\n"
     "  FROM {orders}) a) f"
 )
+BLOCK_READS = _READ_COLUMNS + _READ_TEXTS + _READ_FACTS
+
+
+#: Offsets of cytosines in a block that may be methylated, on the haplotype h of block b where b + (number of the offset) + h is odd.
+METHYLATED = (25, 65, 92)
+
+
+def _made_piece(k: int, kind: int, c: int, n: int, w: int) -> tuple[str, str]:
+    """Sequence and CIGAR of ``_piece`` for a block of the kind with the allele c."""
+    skip, (at, ref, alt) = 10 if k == 0 else 0, ALLELES[kind]
+    if len(ref) == len(alt) == 1:
+        bases = "N" if n == 1 else alt if c == 1 else ref
+    else:
+        bases = ref if c != 1 else "AGA" if w == 1 else alt
+    step = f"{len(alt) - 1}I" if len(alt) > len(ref) else f"{len(ref) - 1}D" if len(alt) < len(ref) else ""
+    cigar = f"{at - skip + 1}M{step}{100 - at - len(ref)}M" if step and c == 1 else f"{100 - skip}M"
+    return BLOCK[skip:at] + bases + BLOCK[at + len(ref) :], cigar
+
+
+def _made_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``BLOCK_READS`` with ``sites``, the query indices of the methylated offsets; the few texts that a block can have are looked
+    up by their number. The cases written out are so long a method that the JVM never compiles it, and all else that is done
+    with a read runs in the same one."""
+    from phaseframe.operators.cigar import flat_operations
+
+    x = _sql(spark, _READ_COLUMNS + _READ_FACTS, orders=_orders(spark, sf_dir))
+    picked: tuple[list, list] = [], []
+    before, sites = F.col("clip"), []  # bases of the read before the block
+    for k in range(3):
+        made = [_made_piece(k, kind, c, n, w) for kind in range(5) for c in (0, 1) for n in (0, 1) for w in (0, 1)]
+        skip = 10 if k == 0 else 0
+        made.append((BLOCK[skip:], f"{100 - skip}M"))  # a block without a variant
+        number = ((F.col(f"b{k}") % 5 * 2 + F.col(f"c{k}")) * 2 + F.col(f"n{k}")) * 2 + F.col(f"w{k}")
+        x = x.withColumn(f"__{k}", F.when((F.col(f"b{k}") % 40).isin(18, 19), len(made) - 1).otherwise(number).cast("int"))
+        for column, texts in zip(picked, zip(*made)):
+            column.append(F.get(F.lit(list(texts)), F.col(f"__{k}")))
+        ops = list(zip(*flat_operations([cigar for _, cigar in made])))
+        for at in METHYLATED:  # no variant stands there
+            own = [next(q + at - skip - r for piece, op, size, q, r in ops if piece == m and op == "M" and r <= at - skip < r + size) for m in range(len(made))]
+            sites.append((before + F.get(F.lit([int(q) for q in own]), F.col(f"__{k}"))).cast("int"))
+        before = before + F.get(F.lit([len(seq) for seq, _ in made]), F.col(f"__{k}"))
+    clip = F.when(F.col("clip") > 0, F.concat(F.col("clip").cast("string"), F.lit("S"))).otherwise("")
+    x = x.withColumn("cigar", F.concat(clip, *picked[1])).withColumn("seq", F.concat(F.substring(F.lit("AAAA"), F.lit(1), F.col("clip")), *picked[0])).withColumn("sites", F.array(*sites))
+    return x.drop(*[f"__{k}" for k in range(3)])
 
 
 def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +238,7 @@ def block_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments as the readers give them, with what they were made from and ``calls`` of modified bases."""
-    return with_quals(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir)))
+    return with_quals(_made_reads(spark, sf_dir).drop("sites"))
 
 
 def with_quals(x: DataFrame) -> DataFrame:
@@ -206,10 +254,6 @@ def block_reference(spark: SparkSession, sf_dir: str, chunk: int = 100_000) -> D
     return rows.select("chrom", "chunk_no", "chunk_start", F.substring(F.lit(BLOCK * (chunk // len(BLOCK))), F.lit(1), size).alias("seq"))
 
 
-#: Offsets of cytosines in a block that may be methylated, on the haplotype h of block b where b + (number of the offset) + h is odd.
-METHYLATED = (25, 65, 92)
-
-
 def block_methylation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, site_start, site_end, coverage, mod_count, unmod_count, ratio: half of the reads are methylated everywhere."""
     blocks = _sql(spark, "SELECT " + N_BLOCKS + " AS n", orders=_table(spark, sf_dir, "orders"))
@@ -221,16 +265,12 @@ def block_methylation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_modified_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``block_reads`` with ``calls``: map from query index to probability at the methylated offsets, missing in one block of 17."""
-    from phaseframe.operators import cigar
-
-    # qualities are made behind the exchange with Python, which takes every column
-    x = with_quals(cigar.with_offsets(_sql(spark, BLOCK_READS, orders=_orders(spark, sf_dir))))
+    x = with_quals(_made_reads(spark, sf_dir))
 
     def call(k: int, n: int):
         b = F.col(f"b{k}")
-        q = cigar.query_index(F.col("offs"), (b * len(BLOCK) + METHYLATED[n] - F.col("read_start")).cast("int")).cast("int")
         p = F.when((b + n + F.col("hap")) % 2 == 1, 254.0).otherwise(2.0) / 256
-        return F.struct(q.alias("q"), F.when((F.col("ok") + b) % 17 != 0, p).alias("p"))
+        return F.struct(F.col("sites")[len(METHYLATED) * k + n].alias("q"), F.when((F.col("ok") + b) % 17 != 0, p).alias("p"))
 
     every = F.array(*[call(k, n) for k in range(3) for n in range(len(METHYLATED))])
-    return x.withColumn("calls", F.map_from_entries(F.filter(every, lambda c: c["p"].isNotNull() & c["q"].isNotNull()))).drop("offs").select(*block_reads(spark, sf_dir).columns, "calls")
+    return x.withColumn("calls", F.map_from_entries(F.filter(every, lambda c: c["p"].isNotNull()))).select(*block_reads(spark, sf_dir).columns, "calls")

@@ -120,7 +120,7 @@ def numbered_parts(windows: DataFrame, order: str = "first", size: int | None =
     return windows.withColumn("part", F.floor(number / (size or PART)).cast("long"))
 
 
-def in_parts(rows: DataFrame, run: Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]], columns: str) -> DataFrame:
+def in_parts(rows: DataFrame, run: Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]], columns: str, reads: str | None = None) -> DataFrame:
     """What ``run`` gives for the parts of each cluster, as if these ran one after another.
 
     ``run(pdf, given)`` takes a part's rows and the matrices by p_idx that the part before has left changed, and returns
@@ -128,42 +128,45 @@ def in_parts(rows: DataFrame, run: Callable[[pd.DataFrame, dict], tuple[pd.DataF
     run again whose predecessor leaves something else than they were given, until there are none. A part's outcome depends
     on what precedes it alone, so after k rounds the first k parts of a cluster are final, and the fixed point is the
     sequential result. A change rarely outlives a few windows, hence few rounds are needed, whatever the length of a cluster.
+    ``reads``: a column of which a part's smallest value is the first p_idx that the part reads; what is handed over below it makes no part run again.
     """
     keys = ["chrom", "cluster", "part"]
     names = [c.split()[0] for c in columns.split(", ")]
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf["carried"].iloc[0]
-        cells = np.asarray([] if left is None else left, float).reshape(-1, 5)
+        cells = np.array([] if left is None else [list(c) for c in left], float).reshape(-1, 5)
         out, gives = run(pdf.drop(columns=["carried"]), {int(c[0]): c[1:].reshape(2, 2) for c in cells})
         # one row more, for what is handed over
-        handed = [float(v) for p, t in sorted(gives.items()) for v in (p, *t.ravel())]
+        handed = [[float(v) for v in (p, *t.ravel())] for p, t in sorted(gives.items())]
         columns_ = {n: [*out[n].tolist(), None] for n in names}
         key = {k: [pdf[k].iloc[0]] * (len(out) + 1) for k in keys}
-        return pd.DataFrame(key | {"carried": [None] * len(out) + [handed]} | columns_)
+        low = -1 if reads is None else int(pdf[reads].min())
+        return pd.DataFrame(key | {"low": [low] * (len(out) + 1), "carried": [None] * len(out) + [handed]} | columns_)
 
     spark = rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def ran(df: DataFrame, name: str) -> DataFrame:
         # by number: parts are small in bytes and long in work, so they would be put together in a task
-        return cut(df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(group, "chrom string, cluster long, part long, carried array<double>, " + columns), name)
+        return cut(df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(group, "chrom string, cluster long, part long, low long, carried array<array<double>>, " + columns), name)
 
-    none = F.lit(None).cast("array<double>")
-    rows = rows.withColumn("cluster", F.col("cluster").cast("long"))
+    none = F.lit(None).cast("array<array<double>>")
+    rows = cut(rows.withColumn("cluster", F.col("cluster").cast("long")), "windows")  # read again by each round
     out = ran(rows.withColumn("carried", none), "parts")
-    later = out.where("carried IS NOT NULL AND part > 0").select(*keys)
+    later = out.where("carried IS NOT NULL AND part > 0").select(*keys, "low")
     if not later.isEmpty():
-        given = later.withColumn("before", F.array().cast("array<double>"))
+        given = later.withColumn("before", F.array().cast("array<array<double>>"))
         while True:
             leaves = out.where("carried IS NOT NULL").select("chrom", "cluster", (F.col("part") + 1).alias("part"), "carried")
-            changed = cut(leaves.join(given, keys).where("NOT carried <=> before").select(*keys, "carried"), "changed")
+            heard = leaves.join(given, keys).withColumn("carried", F.expr("filter(carried, c -> c[0] >= low)"))
+            changed = cut(heard.where("NOT carried <=> before").select(*keys, "carried"), "changed")
             if changed.isEmpty():
                 break
             again = ran(rows.join(changed, keys), "again")
             out = cut(out.join(changed.select(*keys), keys, "left_anti").unionByName(again), "parts")
-            given = cut(given.join(changed, keys, "left").select(*keys, F.coalesce("carried", "before").alias("before")), "given")
-    return out.where("carried IS NULL").drop("carried")
+            given = cut(given.join(changed, keys, "left").select(*keys, "low", F.coalesce("carried", "before").alias("before")), "given")
+    return out.where("carried IS NULL").drop("carried", "low")
 
 
 def run_windows(runs: DataFrame, n_phaseable: DataFrame, flank: int = 2) -> DataFrame:
@@ -222,7 +225,7 @@ def rephase(counts: DataFrame, mean_coverage: float, flank: int = 2, damping: fl
 
     if "part" not in counts.columns:
         counts = counts.withColumn("part", F.lit(0).cast("long"))
-    return in_parts(counts, run, "p_idx long, t00 double, t01 double, t10 double, t11 double").select("chrom", "p_idx", "t00", "t01", "t10", "t11")
+    return in_parts(counts, run, "p_idx long, t00 double, t01 double, t10 double, t11 double", "i").select("chrom", "p_idx", "t00", "t01", "t10", "t11")
 
 
 def reestimate(t1: np.ndarray, t2: np.ndarray, t3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +320,7 @@ def connect(windows: DataFrame) -> DataFrame:
 
     if "part" not in windows.columns:
         windows = windows.withColumn("part", F.lit(0).cast("long"))
-    found = in_parts(windows, run, "p_idx long, drop boolean, t00 double, t01 double, t10 double, t11 double")
+    found = in_parts(windows, run, "p_idx long, drop boolean, t00 double, t01 double, t10 double, t11 double", "i")
     # between parts, as within one: dropped variants have no transition, and later runs overrule earlier ones
     cells = F.struct("part", "t00", "t01", "t10", "t11")
     found = found.groupBy("chrom", "p_idx").agg(F.max("drop").alias("drop"), F.max(cells).alias("c"))

@@ -47,6 +47,7 @@ def _pairs(windows: DataFrame, reads: DataFrame) -> DataFrame:
 def _called(windows: DataFrame, alignments: DataFrame, config: PhasingConfig) -> DataFrame:
     reads = alignment_filter(alignments, config.min_mapq)
     reads = reads.withColumn("aln", F.xxhash64("chrom", "read_name", "flag", "read_start", "cigar"))
+    reads = reads.select("chrom", "read_name", "flag", "read_start", "read_end", "cigar", "seq", F.col("quals").cast("array<tinyint>").alias("quals"), "aln")
     return calls.called(reads.join(_pairs(windows, reads), "aln"), config)
 
 

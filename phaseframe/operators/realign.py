@@ -6,11 +6,13 @@ extend. The allele with the higher score is the state, -1 on a tie. For single
 bases the opening penalty is doubled, next to a homopolymer it is two less.
 
 Pairs are aligned side by side: one step of the table is an array operation over all
-pairs of a batch, sorted by length so that little of it is padding.
+pairs of a batch, sorted by length so that little of it is padding. Reads that show the same
+bases around a variant are one pair: a task aligns it once.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 MATCH, MISMATCH = 5, -4
 #: Cells of a table row that are worked on together.
 BATCH_CELLS = 100_000
+#: Characters of pairs whose states a task remembers.
+REMEMBERED = 64_000_000
 _LOW = -(10**8)
 
 
@@ -76,6 +80,16 @@ def states(
     return out
 
 
+def states_once(rows: list[tuple], known: dict[tuple, int]) -> np.ndarray:
+    """``states`` of pairs given as tuples of its arguments; those in ``known``, which grows, aren't aligned again."""
+    new = [r for r in dict.fromkeys(rows) if r not in known]
+    if new:
+        *texts, opening, extend, homopolymer = map(list, zip(*new))
+        found = states(*texts, np.array(opening, np.int32), np.array(extend, np.int32), np.array(homopolymer, bool))
+        known.update(zip(new, found.tolist()))
+    return np.array([known[r] for r in rows], np.int32)
+
+
 def realigned_states(pending: DataFrame) -> DataFrame:
     """pending: read_id, idx, read_window, left_flank, allele_a, allele_b, right_a and right_b (or right_flank for both),
     gap_open, gap_extend, homopolymer.
@@ -85,13 +99,20 @@ def realigned_states(pending: DataFrame) -> DataFrame:
     same = "right_flank" in pending.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, int] = {}
+        size = 0
         for pdf in batches:
             text = lambda c: pdf[c].fillna("").tolist()  # noqa: E731, B023
             rights = [text("right_flank")] * 2 if same else [text("right_a"), text("right_b")]
-            found = states(
+            rows = list(zip(
                 text("read_window"), text("left_flank"), text("allele_a"), text("allele_b"), *rights,
-                pdf["gap_open"].to_numpy(np.int32), pdf["gap_extend"].to_numpy(np.int32), pdf["homopolymer"].fillna(False).to_numpy(bool),
-            )
+                pdf["gap_open"].tolist(), pdf["gap_extend"].tolist(), pdf["homopolymer"].fillna(False).astype(bool).tolist(),
+            ))
+            if size > REMEMBERED:
+                known, size = {}, 0
+            before = len(known)
+            found = states_once(rows, known)
+            size += sum(len(t) for r in itertools.islice(known, before, None) for t in r[:6])
             yield pd.DataFrame({"read_id": pdf["read_id"], "idx": pdf["idx"], "state": found})
 
     return pending.mapInPandas(run, f"read_id {pending.schema['read_id'].dataType.simpleString()}, idx long, state int")

@@ -35,8 +35,9 @@ def _pair_counts(pairs: DataFrame, p: DataFrame, obs: DataFrame) -> DataFrame:
     return x.join(found, ["chrom", "idx_a", "idx_b"], "left").fillna(0, ["n00", "n01", "n10", "n11"])
 
 
-def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_coverage: float, damping: float = 0.0) -> DataFrame:
-    """New transitions of runs of difficult variants by belief propagation: chrom, idx and cells."""
+def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_coverage: float, damping: float = 0.0, matrix: DataFrame | None = None) -> DataFrame:
+    """New transitions of runs of difficult variants by belief propagation: chrom, idx and cells. ``matrix``: that of
+    ``phaseable_matrix``, if it is there already."""
     p = cut(_indexed(phaseable), "indexed")
     hard = transitions.difficult(p, transitions.allele_coverage(obs), min_allele_count)
     runs = cut(ordered.islands(p.join(hard, ["chrom", "idx"], "left_semi"), "chrom", "p_idx"), "runs")
@@ -44,7 +45,7 @@ def rephased(phaseable: DataFrame, obs: DataFrame, min_allele_count: int, mean_c
     pairs = inference.window_pairs(inference.run_windows(runs, n))
     counted = _pair_counts(pairs, p, obs)
     # neighbours use the adjacent counts of the matrix
-    m = phaseable_matrix(phaseable, obs).select("chrom", F.col("idx").alias("idx_a"), *[F.col(f"t{c}").alias(f"m{c}") for c in ("00", "01", "10", "11")])
+    m = (phaseable_matrix(phaseable, obs) if matrix is None else matrix).select("chrom", F.col("idx").alias("idx_a"), *[F.col(f"t{c}").alias(f"m{c}") for c in ("00", "01", "10", "11")])
     counted = counted.join(m, ["chrom", "idx_a"], "left")
     cells = [F.when(F.col("j") == F.col("i") + 1, F.col(f"m{c}") - transitions.EPSILON).otherwise(F.col(f"n{c}").cast("double")).alias(f"n{c}") for c in ("00", "01", "10", "11")]
     new = inference.rephase(counted.select("chrom", "cluster", "part", "first", "last", "i", "j", *cells), mean_coverage, damping=damping)
@@ -99,8 +100,8 @@ def sequence_stage(variants: DataFrame, obs: DataFrame, config: PhasingConfig) -
     seen = transitions.allele_coverage(obs).agg(F.sum(F.col("c0") + F.col("c1")).alias("c")).first()["c"] or 0
     mean = seen / max(1, 2 * variants.count())
     phaseable = cut(phaseable, "phaseable")
-    raw = phaseable_matrix(phaseable, obs)
-    raw = cut(_replaced(raw, rephased(phaseable, obs, config.min_allele_count, mean, config.damping)), "matrix")
+    raw = cut(phaseable_matrix(phaseable, obs), "raw")
+    raw = cut(_replaced(raw, rephased(phaseable, obs, config.min_allele_count, mean, config.damping, raw)), "matrix")
     changes = cut(connected(phaseable, raw, obs, variants), "changes")
     left = cut(phaseable.join(changes.where("drop").select("chrom", "idx"), ["chrom", "idx"], "left_anti"), "left")
     # a variant before a dropped one steps over the gap with its new transition

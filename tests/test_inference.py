@@ -233,3 +233,24 @@ def test_parts_are_dealt_out_by_number(spark, monkeypatch):
     assert sorted(r["v"] for r in out.collect()) == list(range(40))
     # few bytes: without a number of its own the exchange would be read by one task
     assert all("RepartitionByExpression" in plan for name, plan in seen if name == "parts")
+
+
+def test_parts_run_again_for_what_they_read_alone(spark):
+    """A part hands over a matrix below the first p_idx that the next one reads: nothing there changes, so no part runs twice."""
+    rows = spark.createDataFrame([("c", 0, part, 10 * part + k) for part in range(6) for k in range(3)], "chrom string, cluster long, part long, i long")
+
+    def run(pdf, given):
+        first = int(pdf["i"].min())
+        return pdf[["i"]].assign(heard=float(sum(t[0, 0] for t in given.values()))), {first + reach: np.full((2, 2), 1.0)}
+
+    found = {}
+    for reach in (5, 10):  # before and at the first of the next part
+        names = []
+        write = inference.cut
+        try:
+            inference.cut = lambda df, name: (names.append(name), write(df, name))[1]
+            out = inference.in_parts(rows, run, "i long, heard double", "i")
+        finally:
+            inference.cut = write
+        found[reach] = names.count("again"), sum(r["heard"] for r in out.collect())
+    assert found == {5: (0, 0.0), 10: (1, 15.0)}

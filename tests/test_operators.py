@@ -192,6 +192,19 @@ def test_realigned_states(spark):
     assert {r["idx"]: r["state"] for r in realign.realigned_states(df).collect()} == {0: 0, 1: 1, 2: -1}
 
 
+def test_equal_pairs_are_aligned_once(monkeypatch):
+    aligned = []
+    plain = realign.states
+    monkeypatch.setattr(realign, "states", lambda *a: (aligned.append(len(a[0])), plain(*a))[1])
+    base = ("TTGACCA", "TTGA", "C", "G", "CA", "CA", 5, 1, False)
+    rows = [base, ("TTGAGCA", *base[1:]), ("TTGAACA", *base[1:]), (*base[:6], 7, 1, False)]
+    known: dict = {}
+    want = plain(*map(list, zip(*[r[:6] for r in rows])), *(np.array([r[k] for r in rows]) for k in (6, 7, 8)))
+    assert realign.states_once(rows[:2] * 30, known).tolist() == want[:2].tolist() * 30
+    assert realign.states_once(rows * 20, known).tolist() == want.tolist() * 20
+    assert aligned == [2, 2]
+
+
 def test_beliefs_equal_enumeration_on_a_chain():
     rng = np.random.default_rng(3)
     edges = {(k, k + 1): rng.integers(1, 9, (2, 2)).astype(float) for k in range(4)}

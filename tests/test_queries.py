@@ -1,5 +1,7 @@
 """Registered phasing queries against their SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -160,3 +162,22 @@ def test_reads_of_a_small_file_are_dealt_out(spark):
 
     for made in (fx.reads, fx.block_reads, fx.block_modified_reads):
         assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_looked_up_reads_are_those_of_the_sql(spark, tiny):
+    from phaseframe import fixtures as fx
+
+    want = fx._sql(spark, fx.BLOCK_READS, orders=fx._orders(spark, tiny))
+    made = fx._made_reads(spark, tiny)
+    got = made.drop("sites")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    for r in made.where("ok % 7 = 0").collect():  # calls are on cytosines, or on what the variant's neighbours leave of them
+        assert [r["seq"][q] for q in r["sites"]] == [fx.BLOCK[at] for _ in range(3) for at in fx.METHYLATED]
+    # the cases written out make a method of more than 8,000 bytes, which the JVM's compiler leaves out
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", fx.block_reads(spark, tiny)._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000, sizes
