@@ -245,20 +245,26 @@ def with_quals(x: DataFrame) -> DataFrame:
     return x.withColumn("quals", F.array_repeat("qual", F.length("seq"))).withColumn("is_forward", F.col("flag").bitwiseAND(16) == 0)
 
 
+def n_blocks(spark: SparkSession, sf_dir: str) -> int:
+    """Blocks of a chromosome. What is made of this number is a range, whose size Spark knows: rows exploded from
+    one row would count as one, and be sent to the driver and all executors as a small table."""
+    return _sql(spark, "SELECT " + N_BLOCKS + " AS n", orders=_table(spark, sf_dir, "orders")).first()["n"]
+
+
 def block_reference(spark: SparkSession, sf_dir: str, chunk: int = 100_000) -> DataFrame:
     """chrom, chunk_no, chunk_start, seq."""
-    blocks = _sql(spark, "SELECT " + N_BLOCKS + " AS n", orders=_table(spark, sf_dir, "orders"))
-    rows = blocks.select("n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") * len(BLOCK) - 1) / chunk).cast("int"))).alias("chunk_no"))
+    n = n_blocks(spark, sf_dir)
+    rows = spark.range((n * len(BLOCK) - 1) // chunk + 1).select(F.col("id").cast("int").alias("chunk_no"))
     rows = rows.withColumn("chrom", F.explode(F.array(F.lit("chr1"), F.lit("chr2")))).withColumn("chunk_start", F.col("chunk_no").cast("long") * chunk)
-    size = F.least(F.lit(chunk), F.col("n") * len(BLOCK) - F.col("chunk_start")).cast("int")
+    size = F.least(F.lit(chunk), F.lit(n * len(BLOCK)) - F.col("chunk_start")).cast("int")
     return rows.select("chrom", "chunk_no", "chunk_start", F.substring(F.lit(BLOCK * (chunk // len(BLOCK))), F.lit(1), size).alias("seq"))
 
 
 def block_methylation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, site_start, site_end, coverage, mod_count, unmod_count, ratio: half of the reads are methylated everywhere."""
-    blocks = _sql(spark, "SELECT " + N_BLOCKS + " AS n", orders=_table(spark, sf_dir, "orders"))
-    b = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b")).withColumn("chrom", F.explode(F.array(F.lit("chr1"), F.lit("chr2"))))
-    x = b.withColumn("site_start", F.explode(F.array(*[F.col("b") * len(BLOCK) + k for k in METHYLATED])))
+    x = spark.range(2 * len(METHYLATED) * n_blocks(spark, sf_dir)).withColumn("b", F.expr(f"id div {2 * len(METHYLATED)}"))
+    x = x.withColumn("chrom", F.when(F.col("id") % 2 == 0, "chr1").otherwise("chr2"))
+    x = x.withColumn("site_start", F.col("b") * len(BLOCK) + F.get(F.lit(list(METHYLATED)), F.expr(f"(id div 2) % {len(METHYLATED)}").cast("int")))
     cover = (F.lit(16) + 2 * (F.col("b") % 10)).cast("int")
     return x.select("chrom", "site_start", (F.col("site_start") + 1).alias("site_end"), cover.alias("coverage"), (cover / 2).cast("int").alias("mod_count"), (cover / 2).cast("int").alias("unmod_count"), F.lit(50.0).alias("ratio"))
 

@@ -181,3 +181,16 @@ def test_looked_up_reads_are_those_of_the_sql(spark, tiny):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sizes and max(sizes) < 8000, sizes
+
+
+def test_sites_and_reference_arent_taken_for_small_tables(spark, tiny):
+    """Rows exploded from one row count as one: sites of any number were sent to the driver and all executors."""
+    from phaseframe import fixtures as fx
+
+    sites = fx.block_methylation_sites(spark, tiny)
+    rows, n = sites.collect(), fx.n_blocks(spark, tiny)
+    want = {(c, 100 * b + k, 100 * b + k + 1, 16 + 2 * (b % 10), 8 + b % 10, 8 + b % 10, 50.0) for c in ("chr1", "chr2") for b in range(n) for k in fx.METHYLATED}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    assert int(str(sites._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 20 * len(rows)
+    text = "".join(r["seq"] for r in fx.block_reference(spark, tiny, 1000).where("chrom = 'chr2'").orderBy("chunk_no").collect())
+    assert text == fx.BLOCK * n
