@@ -190,7 +190,8 @@ def reference_windows(windows: DataFrame, chunks: DataFrame, chunk: int = 100_00
     """``windows`` (chrom, win_start, win_end) with ``ref_seq``, joined on the stretches of the chunks that they touch.
 
     A chunk is first cut into stretches of ``STRETCH`` bases, so that a window takes a short text and not a whole chunk into
-    the join. A base is a byte; in a string, characters would be counted from its start.
+    the join. A base is a byte; in a string, characters would be counted from its start. Spark takes a text for twenty bytes,
+    so by its own estimate it would send a whole reference to all executors: the hint keeps both sides in an exchange.
     """
     size = STRETCH if chunk % STRETCH == 0 else chunk
     w = windows.withColumn("__id", F.xxhash64("chrom", "win_start", "win_end"))
@@ -200,7 +201,7 @@ def reference_windows(windows: DataFrame, chunks: DataFrame, chunk: int = 100_00
     cuts = F.transform(F.sequence(F.lit(0), F.lit(chunk // size - 1)), lambda k: F.substring("__bytes", (k * size + 1), F.lit(size)))
     x = chunks.withColumn("__bytes", F.col("seq").cast("binary")).select("chrom", (F.col("chunk_no").cast("long") * (chunk // size)).alias("__first"), F.posexplode(cuts))
     x = x.select("chrom", (F.col("__first") + F.col("pos")).alias("__at"), F.col("col").alias("__bytes"))
-    part = touch.join(x, ["chrom", "__at"])
+    part = touch.hint("merge").join(x, ["chrom", "__at"])
     low = F.greatest(F.col("win_start") - F.col("__at") * size, F.lit(0))
     text = F.substring("__bytes", (low + 1).cast("int"), (F.least(F.col("win_end") - F.col("__at") * size, F.lit(size)) - low).cast("int")).cast("string")
     whole = part.groupBy("__id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", text.alias("t")))), lambda s: s["t"]), "").alias("ref_seq"))

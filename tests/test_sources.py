@@ -1,5 +1,6 @@
 """Text and binary readers, outputs, checkpoints."""
 
+import re
 import struct
 import zlib
 
@@ -169,3 +170,12 @@ def test_short_chunks_make_no_task_each_and_windows_cross_stretches(spark, tmp_p
     for size in (50, 2_000, 100_000):
         got = {(r["win_start"], r["win_end"]): r["ref_seq"] for r in text.reference_windows(w, text.read_fasta(spark, path, size), size).collect()}
         assert all((got[p] or "") == seq[p[0] : p[1]] for p in places)
+
+
+def test_the_reference_is_never_broadcast(spark):
+    chunks = spark.range(3).selectExpr("'c' AS chrom", "CAST(id AS INT) AS chunk_no", "id * 2000 AS chunk_start", "repeat('ACGTT', 400) AS seq")
+    windows = spark.createDataFrame([("c", 998, 1003), ("c", 3998, 4004)], "chrom string, win_start long, win_end long")
+    x = text.reference_windows(windows, chunks, 2000)
+    assert {r["win_start"]: r["ref_seq"] for r in x.collect()} == {998: "TTACG", 3998: "TTACGT"}
+    plan = x._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert re.search(r"SortMergeJoin \[[^\]]*__at", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*__at", plan)
