@@ -100,25 +100,31 @@ def assign_reads_in_region(p: np.ndarray, hap: np.ndarray, max_rounds: int = 100
     the haplotypes differ and assigns a read to the likelier haplotype over them; it ends when
     nothing changes. ``log`` gets the differing sites and the assignment of each round.
     """
+    read, site = np.nonzero(~np.isnan(p))
+    return assign_pairs_in_region(read, site, p[read, site], p.shape[1], hap, max_rounds, log)
+
+
+def assign_pairs_in_region(read: np.ndarray, site: np.ndarray, p: np.ndarray, sites: int, hap: np.ndarray, max_rounds: int = 100, log: list | None = None) -> np.ndarray:
+    """``assign_reads_in_region`` from the known probabilities alone, pairs of a read and one of the ``sites`` in order of reads:
+    reads are short beside their region, so a round takes as long as there are pairs and not reads times sites."""
     hap = hap.copy()
-    known = ~np.isnan(p)
-    fill = np.where(known, p, 0.5)
-    lp, lq = (np.where(known, np.log10(x + 1e-20), 0.0) for x in (fill, 1 - fill))
+    lp, lq = np.log10(p + 1e-20), np.log10(1 - p + 1e-20)
     for _ in range(max_rounds):
-        free = np.flatnonzero(hap == -1)
-        if not len(free):
+        free = hap == -1
+        if not free.any():
             break
-        sums = [(lp[hap == h].sum(axis=0), lq[hap == h].sum(axis=0)) for h in (0, 1)]
+        owner = hap[read]
+        sums = [tuple(np.bincount(site[on], x[on], sites) for x in (lp, lq)) for on in (owner == 0, owner == 1)]
         meth = [(m > LOG_HALF) & (m - u > 3) for m, u in sums]
-        differ = np.flatnonzero(meth[0] != meth[1])
+        differ = meth[0] != meth[1]
         if log is not None:
-            log.append((differ, hap.copy()))
-        score, at = [], np.ix_(free, differ)
+            log.append((np.flatnonzero(differ), hap.copy()))
+        at = np.flatnonzero((owner == -1) & differ[site])
+        score = []
         for h in (0, 1):
-            m, u = sums[h]
-            side = np.where(meth[h][differ], lp[at] + m[differ], lq[at] + u[differ])
-            score.append((side * known[at]).sum(axis=1))
-        new = np.where((score[0] > score[1]) & (score[0] > LOG_HALF), 0, np.where((score[1] > score[0]) & (score[1] > LOG_HALF), 1, -1))
+            m, u = (x[site[at]] for x in sums[h])
+            score.append(np.bincount(read[at], np.where(meth[h][site[at]], lp[at] + m, lq[at] + u), len(hap)))
+        new = np.where((score[0] > score[1]) & (score[0] > LOG_HALF), 0, np.where((score[1] > score[0]) & (score[1] > LOG_HALF), 1, -1))[free]
         if (new == -1).all():
             break
         hap[free] = new

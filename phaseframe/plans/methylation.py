@@ -89,14 +89,23 @@ def site_probabilities(read: tuple, sites: np.ndarray) -> np.ndarray:
 
 
 def region_probabilities(reads: pd.DataFrame, at: np.ndarray) -> np.ndarray:
-    """``site_probabilities`` of many reads at sites in order, reads x sites: operations, calls and pairs of read and site lie
-    one behind another, keyed by read, and are placed by a search of sorted keys."""
+    """``region_pairs`` as a matrix, reads x sites, NaN where nothing is known."""
     out = np.full((len(reads), len(at)), np.nan)
+    read, site, p = region_pairs(reads, at)
+    out[read, site] = p
+    return out
+
+
+def region_pairs(reads: pd.DataFrame, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``site_probabilities`` of many reads at sites in order, where they are known: number of the read, number of the site,
+    probability, by read and site. Operations, calls and pairs of read and site lie one behind another, keyed by read, and
+    are placed by a search of sorted keys."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     start, end = (reads[c].to_numpy(np.int64) for c in ("read_start", "read_end"))
     low, high = np.searchsorted(at, start, side="left"), np.searchsorted(at, end, side="right")
     n = np.maximum(high - low, 0)
     if not n.sum():
-        return out
+        return none
     read = np.repeat(np.arange(len(reads)), n)
     site = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
     off = at[site] - start[read]
@@ -105,7 +114,7 @@ def region_probabilities(reads: pd.DataFrame, at: np.ndarray) -> np.ndarray:
     owner, size, q, r = owner[aligned], size[aligned], q[aligned], r[aligned]
     sizes = [0 if c is None else len(c) for c in reads["call_at"]]
     if not len(owner) or not sum(sizes):
-        return out
+        return none
     width = int(max(off.max(), r.max())) + 1
     k = np.searchsorted(owner * width + r, read * width + off, side="right") - 1
     on = np.maximum(k, 0)
@@ -116,9 +125,8 @@ def region_probabilities(reads: pd.DataFrame, at: np.ndarray) -> np.ndarray:
     width = int(max(query.max(initial=0), calls.max())) + 1
     keys, wanted = np.repeat(np.arange(len(reads)), sizes) * width + calls, read * width + query
     near = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[near] == wanted
-    out[read[hit], site[hit]] = p[near[hit]]
-    return out
+    hit = (keys[near] == wanted) & ~np.isnan(p[near])
+    return read[hit], site[hit], p[near[hit]]
 
 
 #: Reads times sites that a region may have to be worked on as one matrix.
@@ -162,8 +170,9 @@ def _hap_transition(f_a: float, f_b: float) -> np.ndarray:
     return inference.mirror(t, True)
 
 
-def region_table(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_allele_count: int) -> pd.DataFrame:
-    """Assignments, differing sites and new transitions of one region.
+def region_table(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_allele_count: int, once: bool = False) -> pd.DataFrame:
+    """Assignments, differing sites and new transitions of one region. A site is told of by each round in which it differs; with
+    ``once`` only by those after which its row has changed.
 
     reads: read_id, read_start, read_end, cigar, call_at, call_p, layers, states. sites: site_start, site_end,
     coverage, mod_count, ratio, in order.
@@ -177,24 +186,31 @@ def region_table(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_
     if both is None:
         return pd.DataFrame(columns=_NAMES)
     at = sites["site_start"].to_numpy(np.int64)
-    p = region_probabilities(reads, at)
+    read, site, p = region_pairs(reads, at)
     hap = np.where((states[:, :2] == -1).all(axis=1), -1, -2)
     for h in (1, 0):  # a read that fits both counts for the first
         hap[_fits(states, both[h])] = h
     log: list = []
-    hap = meth.assign_reads_in_region(p, hap, log=log)
+    hap = meth.assign_pairs_in_region(read, site, p, len(at), hap, log=log)
     done = hap >= 0
     own = np.where(hap == 1, 1, 0)[done]
     out = [{"kind": "assign", "read_id": reads["read_id"].to_numpy()[done], "hap": hap[done] + 1, "a_idx": idxs[0], "a_state": np.array(both)[own, 0], "b_idx": idxs[1], "b_state": np.array(both)[own, 1]}]
-    covered, modified = ~np.isnan(p), np.nan_to_num(p) > 0.5
-    site_end = sites["site_end"].to_numpy(np.int64)
+    told = np.full((3, len(at)), -1)  # coverage by haplotype when last told; it only grows, with the reads themselves
+    parts: list[tuple] = []
     for differ, before in log:
-        place = {"kind": "site", "site_start": at[differ], "site_end": site_end[differ]}
         for h in (0, 1):
-            cover, mod = (x[before == h].sum(axis=0)[differ] for x in (covered, modified))
+            on = before[read] == h
+            cover, mod = (np.bincount(x, minlength=len(at))[differ] for x in (site[on], site[on & (p > 0.5)]))
+            new = told[h, differ] != cover if once else slice(None)
+            told[h, differ] = cover
             ratio = np.where(cover > 0, 100.0 * mod / np.maximum(cover, 1), np.nan)
-            out.append(place | {"hap": h + 1, "coverage": cover, "mod_count": mod, "ratio": ratio})
-        out.append(place | {"hap": 0} | {c: sites[c].to_numpy()[differ] for c in ("coverage", "mod_count", "ratio")})
+            parts.append((np.full(len(cover), h + 1)[new], differ[new], cover[new], mod[new], ratio[new]))
+        new = differ[told[2, differ] < 0] if once else differ
+        told[2, differ] = 0
+        parts.append((np.zeros(len(new), np.int64), new, *(sites[c].to_numpy()[new] for c in ("coverage", "mod_count", "ratio"))))
+    if parts:
+        haps, differ, cover, mod, ratio = (np.concatenate(x) for x in zip(*parts))
+        out.append({"kind": "site", "hap": haps, "site_start": at[differ], "site_end": sites["site_end"].to_numpy(np.int64)[differ], "coverage": cover, "mod_count": mod, "ratio": ratio})
     known = np.where(states == -1, np.nan, states)
     cover = [(~np.isnan(known[hap == h])).sum(axis=0) for h in (0, 1)]
     share = [np.nansum(known[hap == h], axis=0) / np.maximum(cover[h], 1) for h in (0, 1)]
@@ -233,14 +249,16 @@ def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame,
         near = meth.site_cap(near, ["chrom", "region_id"], config.max_sites)
     own = near.select("chrom", "region_id", "site_start", "site_end", "coverage", "mod_count", "ratio")
 
-    reads = alignments.where("calls IS NOT NULL").select("chrom", F.col("read_name").alias("read_id"), "read_start", "read_end", "cigar", "calls")
+    calls = F.sort_array(F.map_entries("calls"))  # once a read, which lies in several regions
+    reads = alignments.where("calls IS NOT NULL").select(
+        "chrom", F.col("read_name").alias("read_id"), "read_start", "read_end", "cigar",
+        F.transform(calls, lambda c: c["key"]).alias("call_at"), F.transform(calls, lambda c: c["value"]).alias("call_p"),
+    )
     reads = region_reads(found, reads, config.max_meth_distance)
     carried = layers.join(obs.select("chrom", "read_id", "idx", "state"), ["chrom", "idx"]).groupBy("chrom", "region_id", "read_id")
     carried = carried.agg(F.collect_list("layer").alias("layers"), F.collect_list("state").alias("states"))
-    calls = F.sort_array(F.map_entries("calls"))
     reads = reads.join(carried, ["chrom", "region_id", "read_id"], "left").join(idxs, ["chrom", "region_id"]).select(
-        "chrom", "region_id", "read_id", "read_start", "read_end", "cigar", "layers", "states", "idxs",
-        F.transform(calls, lambda c: c["key"]).alias("call_at"), F.transform(calls, lambda c: c["value"]).alias("call_p"),
+        "chrom", "region_id", "read_id", "read_start", "read_end", "cigar", "layers", "states", "idxs", "call_at", "call_p",
     )
     least = config.min_allele_count
 
@@ -249,7 +267,7 @@ def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame,
         if len(left):
             left = left.sort_values(["read_id", "read_start"], kind="stable").reset_index(drop=True)
             right = right.sort_values("site_start", kind="stable").reset_index(drop=True)
-            out = region_table(left, right, [int(i) for i in left["idxs"].iloc[0]], least)
+            out = region_table(left, right, [int(i) for i in left["idxs"].iloc[0]], least, once=True)
         out = out.assign(chrom=key[0], region_id=key[1])
         whole = ["region_id", "hap", "a_idx", "a_state", "b_idx", "b_state", "idx", "site_start", "site_end", "coverage", "mod_count"]
         return out.astype({c: "Int64" for c in whole} | {c: "float64" for c in ("t00", "t01", "t10", "t11", "ratio")})
