@@ -68,38 +68,46 @@ def propagate(n: int, edges: dict[tuple[int, int], np.ndarray], damping: float =
     weighted by an edge's coverage over itself plus the median coverage.
     Messages are updated all at once until they move less than ``tol``; damping mixes their logarithms.
     """
+    cells = np.array(list(edges.values()), float).reshape(1, len(edges), 2, 2)
+    return propagate_many(n, list(edges), cells, damping, tol, rounds)[0]
+
+
+def propagate_many(n: int, at: list[tuple[int, int]], cells: np.ndarray, damping: float = 0.0, tol: float = 1e-10, rounds: int = 500) -> np.ndarray:
+    """``propagate`` on graphs with the same edges ``at``, side by side: cells are graphs x edges x 2 x 2. A graph whose messages
+    have come to rest is taken out, so its beliefs are those it would have alone."""
     phi = np.zeros((n, 2))
     phi[0] = [0.0, -np.inf]
-    if not edges:
-        return np.exp(phi - _log_sum(phi, 1)[:, None])
-    cover = {e: t.sum(axis=1).max() for e, t in edges.items()}
-    middle = float(np.median(list(cover.values())))
-    src, dst, fac = [], [], []
-    for (i, j), t in edges.items():
-        f = np.log(row_normal(t) + 1e-300) * (cover[i, j] / (cover[i, j] + middle))
-        src += [i, j]
-        dst += [j, i]
-        fac += [f, f.T]
-    src, dst, fac = np.array(src), np.array(dst), np.array(fac)
-    back = np.arange(len(src)) ^ 1
-    msg = np.full((len(src), 2), np.log(0.5))
-    for _ in range(rounds):
-        total = phi.copy()
-        np.add.at(total, dst, msg)
-        with np.errstate(invalid="ignore"):
-            inner = total[src] - msg[back]
-        new = _log_sum(inner[:, :, None] + fac, 1)
-        new -= _log_sum(new, 1)[:, None]
-        if damping:
-            new = (1 - damping) * new + damping * msg
-            new -= _log_sum(new, 1)[:, None]
-        moved = np.abs(np.exp(new) - np.exp(msg)).max()
-        msg = new
-        if moved < tol:
-            break
-    total = phi.copy()
-    np.add.at(total, dst, msg)
-    return np.exp(total - _log_sum(total, 1)[:, None])
+    src, dst = (np.array([e[k ^ side] for e in at for side in (0, 1)], int) for k in (0, 1))
+
+    def collected(msg: np.ndarray) -> np.ndarray:
+        total = np.repeat(phi[None], len(msg), axis=0)
+        for e, j in enumerate(dst):
+            total[:, j] += msg[:, e]
+        return total
+
+    last = np.full((len(cells), len(src), 2), np.log(0.5))
+    if at:
+        cover = cells.sum(axis=3).max(axis=2)
+        weight = cover / (cover + np.median(cover, axis=1, keepdims=True))
+        f = np.log(cells / cells.sum(axis=3, keepdims=True) + 1e-300) * weight[:, :, None, None]
+        fac = np.stack([f, f.transpose(0, 1, 3, 2)], axis=2).reshape(len(cells), len(src), 2, 2)
+        back, going, msg = np.arange(len(src)) ^ 1, np.arange(len(cells)), last
+        for _ in range(rounds):
+            with np.errstate(invalid="ignore"):
+                inner = collected(msg)[:, src] - msg[:, back]
+            new = _log_sum(inner[:, :, :, None] + fac, 2)
+            new -= _log_sum(new, 2)[:, :, None]
+            if damping:
+                new = (1 - damping) * new + damping * msg
+                new -= _log_sum(new, 2)[:, :, None]
+            rests = np.abs(np.exp(new) - np.exp(msg)).max(axis=(1, 2)) < tol
+            last[going] = msg = new
+            if rests.any():
+                going, msg, fac = going[~rests], msg[~rests], fac[~rests]
+                if not len(going):
+                    break
+    total = collected(last)
+    return np.exp(total - _log_sum(total, 2)[:, :, None])
 
 
 def belief_transition(parent: np.ndarray, child: np.ndarray, coverage: float) -> np.ndarray:
@@ -204,7 +212,7 @@ def rephase(counts: DataFrame, mean_coverage: float, flank: int = 2, damping: fl
         shared = {i: t for i, j, t in zip(pdf["i"], pdf["j"], cells) if j == i + 1}
         shared |= {p: t for p, t in given.items() if p in shared}
         changed: dict[int, np.ndarray] = {}
-        end = -1
+        windows, depth, end = [], [], -1
         for (first, last), part in sorted(pdf.assign(row=range(len(pdf))).groupby(["first", "last"])):
             lo, n = first - flank, last - first + 1 + 2 * flank
             edges = {}
@@ -213,13 +221,23 @@ def rephase(counts: DataFrame, mean_coverage: float, flank: int = 2, damping: fl
                 t = mirror(shared[i]) if j == i + 1 else mirror(cells[row])
                 if j == i + 1:
                     shared[i] = t
-                elif np.allclose(row_normal(t), 0.5):
+                elif (np.abs(row_normal(t) - 0.5) <= 5.01e-6).all():
                     continue
                 edges[i - lo, j - lo] = t
-            beliefs = propagate(n, edges, damping)
-            for k in range(flank - 1, n - flank):
-                shared[lo + k] = changed[lo + k] = belief_transition(beliefs[k], beliefs[k + 1], mean_coverage)
+            # what the window before changes ends with its run; a window that reads it waits for that one
+            depth.append(depth[-1] + 1 if windows and end >= lo else 0)
+            windows.append((lo, n, range(lo, end + 1) if depth[-1] else (), edges))
             end = int(last)
+        for d in range(max(depth, default=-1) + 1):
+            alike: dict[tuple, list[tuple]] = {}
+            for w in (w for w, k in zip(windows, depth) if k == d):
+                lo, n, heard, edges = w
+                edges.update({(p - lo, p - lo + 1): mirror(changed[p]) for p in heard})
+                alike.setdefault((n, *edges), []).append(w)
+            for (n, *at), group in alike.items():
+                for (lo, *_), beliefs in zip(group, propagate_many(n, at, np.array([list(w[3].values()) for w in group]), damping)):
+                    for k in range(flank - 1, n - flank):
+                        changed[lo + k] = belief_transition(beliefs[k], beliefs[k + 1], mean_coverage)
         rows = [(p, *t.ravel()) for p, t in sorted(changed.items())]
         return pd.DataFrame(rows, columns=["p_idx", "t00", "t01", "t10", "t11"]), {p: t for p, t in changed.items() if p == end}
 

@@ -254,3 +254,16 @@ def test_parts_run_again_for_what_they_read_alone(spark):
             inference.cut = write
         found[reach] = names.count("again"), sum(r["heard"] for r in out.collect())
     assert found == {5: (0, 0.0), 10: (1, 15.0)}
+
+
+def test_graphs_side_by_side_are_as_alone():
+    """Each graph rests in its own round, whatever the others do."""
+    rng = np.random.default_rng(8)
+    at = [(i, j) for i in range(7) for j in range(i + 1, 7) if j == i + 1 or i < 2 or j > 4]
+    cells = rng.integers(0, 40, (30, len(at), 2, 2)) + TINY
+    cells[::3] = np.where(np.eye(2) > 0, 30.0, TINY)
+    for damping in (0.0, 0.3):
+        many = inference.propagate_many(7, at, cells, damping)
+        for t, got in zip(cells, many):
+            np.testing.assert_array_equal(got, inference.propagate(7, dict(zip(at, t)), damping))
+            np.testing.assert_allclose(got, plain_beliefs(7, dict(zip(at, t)), damping=damping), atol=1e-6)
