@@ -179,9 +179,11 @@ def region_table(reads: pd.DataFrame, sites: pd.DataFrame, idxs: list[int], min_
     """
     n = len(idxs)
     states = np.full((len(reads), n), -1)
-    for k, (layers, own) in enumerate(zip(reads["layers"], reads["states"])):
-        if layers is not None and len(layers):
-            states[k, np.asarray(layers, int)] = np.asarray(own, int)
+    whole = [k for k, v in enumerate(reads["layers"]) if v is not None and len(v)]
+    if whole:
+        lists = [reads[c].to_numpy()[whole] for c in ("layers", "states")]
+        layers, own = (np.concatenate([np.asarray(v, int) for v in x]) for x in lists)
+        states[np.repeat(whole, [len(v) for v in lists[0]]), layers] = own
     both = _pattern_of(states[:, :2])
     if both is None:
         return pd.DataFrame(columns=_NAMES)
@@ -257,17 +259,19 @@ def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame,
     reads = region_reads(found, reads, config.max_meth_distance)
     carried = layers.join(obs.select("chrom", "read_id", "idx", "state"), ["chrom", "idx"]).groupBy("chrom", "region_id", "read_id")
     carried = carried.agg(F.collect_list("layer").alias("layers"), F.collect_list("state").alias("states"))
-    reads = reads.join(carried, ["chrom", "region_id", "read_id"], "left").join(idxs, ["chrom", "region_id"]).select(
-        "chrom", "region_id", "read_id", "read_start", "read_end", "cigar", "layers", "states", "idxs", "call_at", "call_p",
+    reads = reads.join(carried, ["chrom", "region_id", "read_id"], "left").select(
+        "chrom", "region_id", "read_id", "read_start", "read_end", "cigar", "layers", "states", "call_at", "call_p",
     )
     least = config.min_allele_count
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(columns=_NAMES)
+        numbers = right["idx"][right["layer"].notna()].astype(int)  # the region's variants stand among its sites
+        right = right[right["layer"].isna()]
         if len(left):
             left = left.sort_values(["read_id", "read_start"], kind="stable").reset_index(drop=True)
             right = right.sort_values("site_start", kind="stable").reset_index(drop=True)
-            out = region_table(left, right, [int(i) for i in left["idxs"].iloc[0]], least, once=True)
+            out = region_table(left, right, numbers.sort_values().tolist(), least, once=True)
         out = out.assign(chrom=key[0], region_id=key[1])
         whole = ["region_id", "hap", "a_idx", "a_state", "b_idx", "b_state", "idx", "site_start", "site_end", "coverage", "mod_count"]
         return out.astype({c: "Int64" for c in whole} | {c: "float64" for c in ("t00", "t01", "t10", "t11", "ratio")})
@@ -276,15 +280,19 @@ def methylation_results(phaseable: DataFrame, matrix: DataFrame, obs: DataFrame,
     cells = reads.groupBy("chrom", "region_id").count().join(own.groupBy("chrom", "region_id").agg(F.count("*").alias("sites")), ["chrom", "region_id"])
     large = cut(cells.where(F.col("count") * F.col("sites") > MATRIX_CELLS).select("chrom", "region_id"), "large")
     if large.isEmpty():
-        return _small(reads, own, run)
+        return _small(reads, own, layers, run)
     keys = ["chrom", "region_id"]
-    small = _small(reads.join(large, keys, "left_anti"), own.join(large, keys, "left_anti"), run)
-    return small.unionByName(large_regions(reads.join(large, keys, "left_semi"), own.join(large, keys, "left_semi"), least))
+    small = _small(reads.join(large, keys, "left_anti"), own.join(large, keys, "left_anti"), layers.join(large, keys, "left_anti"), run)
+    return small.unionByName(large_regions(reads.join(large, keys, "left_semi").join(idxs, keys), own.join(large, keys, "left_semi"), least))
 
 
-def _small(reads: DataFrame, own: DataFrame, run) -> DataFrame:
-    reads = reads.drop("rid")
-    return reads.groupBy("chrom", "region_id").cogroup(own.groupBy("chrom", "region_id")).applyInPandas(run, _RESULT)
+def _small(reads: DataFrame, own: DataFrame, layers: DataFrame, run) -> DataFrame:
+    spark, keys = reads.sparkSession, ["chrom", "region_id"]
+    # by number: rows of a region are few bytes and much work
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = own.unionByName(layers, allowMissingColumns=True)
+    deal = lambda df: df.repartition(tasks, *keys).groupBy(*keys)
+    return deal(reads.drop("rid")).cogroup(deal(own)).applyInPandas(run, _RESULT)
 
 
 def _probabilities(reads: DataFrame, own: DataFrame) -> DataFrame:
