@@ -189,12 +189,16 @@ def viterbi_blocks(blocked: DataFrame, chunk: int = CHUNK) -> DataFrame:
             if parts:
                 yield pd.concat(parts)
 
+    spark = chunks.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # by number: a block's chunks are few bytes, so all blocks would be put together in a task
+    by_block = lambda df: df.repartition(tasks, "chrom", "block_id").groupBy("chrom", "block_id")
     key = "chrom string, block_id long, chunk long, "
     scores = chunks.select(*keys, "t").mapInPandas(composed, key + "a00 double, a01 double, a10 double, a11 double")
-    scores = scores.groupBy("chrom", "block_id").applyInPandas(scan, key + "x double, y double")
+    scores = by_block(scores).applyInPandas(scan, key + "x double, y double")
     chunks = cut(chunks.join(scores, keys), "scored")
     ends = chunks.select(*keys, "t", "x", "y").mapInPandas(maps, key + "from0 int, from1 int, best int")
-    ends = ends.groupBy("chrom", "block_id").applyInPandas(scan_back, key + "end int")
+    ends = by_block(ends).applyInPandas(scan_back, key + "end int")
     return chunks.join(ends, keys).mapInPandas(traced, "chrom string, idx long, block_id long, h0 int")
 
 

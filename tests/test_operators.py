@@ -322,3 +322,14 @@ def test_width_of_bins_follows_the_intervals(spark):
     assert intervals.usual_width(made([290, 300, 310]), "a", "b") == 300
     assert intervals.usual_width(made([1]), "a", "b") == 64
     assert intervals.usual_width(made([10**9]), "a", "b") == intervals.usual_width(made([]), "a", "b") == intervals.BIN
+
+
+def test_blocks_are_dealt_out_by_number(spark, monkeypatch):
+    """A block's chunks are few bytes: without a number of their own all blocks would be scanned in one task."""
+    rows = [("c", 10 * b + k, 10 * b + k, int(k == 0), b, 0.6, 0.4, 0.1, 0.9) for b in range(6) for k in range(10)]
+    blocked = spark.createDataFrame(rows, "chrom string, p_idx long, idx long, breaks long, block_id long, t00 double, t01 double, t10 double, t11 double")
+    plans, write = {}, decode.cut
+    monkeypatch.setattr(decode, "cut", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), write(df, name))[1])
+    out = decode.viterbi_blocks(blocked, chunk=4)
+    assert out.count() == 60 and "RepartitionByExpression" in plans["scored"]
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
